@@ -83,43 +83,55 @@ def _flows(star: Star, scope: Scope | None, hospital_id: str | None) -> DataFram
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def _links(star: Star, scope: Scope | None, hospital_id: str | None) -> DataFrame:
+    """Flow counts per (hospital, source node, target node).
+
+    Each (admission, severity, outcome) count emits its two links and the
+    links are re-aggregated: one scan of visits, one tiny second shuffle.
+    """
+    flows = _flows(star, scope, hospital_id)
+    severity = _severity_node(F.col("severity_level"))
+    both = F.array(
+        F.struct(F.col("admission_type").alias("source_node"), severity.alias("target_node")),
+        F.struct(severity.alias("source_node"), F.col("outcome").alias("target_node")))
+    return (flows.select("hospital_id", "n", F.inline(both))
+            .filter(F.col("source_node").isNotNull() & F.col("target_node").isNotNull())
+            .groupBy("hospital_id", "source_node", "target_node")
+            .agg(F.sum("n").cast("bigint").alias("value")))
+
+
+def _node_names(links: DataFrame) -> F.Column:
+    """Sorted distinct node names of a hospital (bounded by the categories)."""
+    return F.array_sort(F.array_distinct(F.concat(
+        F.collect_set("source_node"), F.collect_set("target_node"))))
+
+
 def sankey_links(star: Star, hospital_id: str | None = None, scope: Scope | None = None) -> DataFrame:
     """R8 links: admission -> severity and severity -> outcome flow counts.
 
     With ``hospital_id`` it is the single-hospital report; without it, every
     in-scope hospital's flows at once (keyed by ``hospital_id``).  Node
-    indexes are positions in the hospital's sorted node-name list.  Links
-    with a null end are left out (T12).
+    indexes are positions in the hospital's sorted node-name list, found
+    with a window over the hospital's links (no self-join).  Links with a
+    null end are left out (T12).
     """
-    flows = _flows(star, scope, hospital_id)
-    first = (flows.groupBy("hospital_id", F.col("admission_type").alias("source_node"),
-                           _severity_node(F.col("severity_level")).alias("target_node"))
-             .agg(F.sum("n").alias("value")))
-    second = (flows.groupBy("hospital_id", _severity_node(F.col("severity_level")).alias("source_node"),
-                            F.col("outcome").alias("target_node"))
-              .agg(F.sum("n").alias("value")))
-    links = first.unionByName(second).filter(
-        F.col("source_node").isNotNull() & F.col("target_node").isNotNull())
-    nodes = sankey_nodes_from_links(links)
-    src = nodes.select("hospital_id", F.col("name").alias("source_node"), F.col("node_index").alias("source"))
-    tgt = nodes.select("hospital_id", F.col("name").alias("target_node"), F.col("node_index").alias("target"))
-    return (links.join(src, ["hospital_id", "source_node"]).join(tgt, ["hospital_id", "target_node"])
-            .select("hospital_id", "source_node", "target_node", "source", "target",
-                    F.col("value").cast("bigint").alias("value")))
-
-
-def sankey_nodes_from_links(links: DataFrame) -> DataFrame:
-    names = (links.select("hospital_id", F.col("source_node").alias("name"))
-             .union(links.select("hospital_id", F.col("target_node").alias("name")))
-             .distinct())
-    w = Window.partitionBy("hospital_id").orderBy("name")
-    return names.select("hospital_id", (F.row_number().over(w) - 1).cast("bigint").alias("node_index"), "name")
+    links = _links(star, scope, hospital_id)
+    w = Window.partitionBy("hospital_id")
+    names = F.array_sort(F.array_distinct(F.concat(
+        F.collect_set("source_node").over(w), F.collect_set("target_node").over(w))))
+    return (links.withColumn("names", names).select(
+        "hospital_id", "source_node", "target_node",
+        (F.array_position("names", F.col("source_node")) - 1).cast("bigint").alias("source"),
+        (F.array_position("names", F.col("target_node")) - 1).cast("bigint").alias("target"),
+        "value"))
 
 
 def sankey_nodes(star: Star, hospital_id: str | None = None, scope: Scope | None = None) -> DataFrame:
     """R8 nodes: sorted distinct node names per hospital with their index."""
-    links = sankey_links(star, hospital_id, scope).select("hospital_id", "source_node", "target_node")
-    return sankey_nodes_from_links(links)
+    links = _links(star, scope, hospital_id)
+    return (links.groupBy("hospital_id").agg(_node_names(links).alias("names"))
+            .select("hospital_id", F.posexplode("names").alias("node_index", "name"))
+            .select("hospital_id", F.col("node_index").cast("bigint").alias("node_index"), "name"))
 
 
 def severity_weekday_wait(star: Star, hospital_id: str | None = None,

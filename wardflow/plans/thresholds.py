@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import count_true, pct, round_dec
@@ -86,8 +86,11 @@ def double_violators(star: Star, scope: Scope | None = None,
 
 def burnout_violators(star: Star, scope: Scope | None = None,
                       burnout_limit: float = BURNOUT_LIMIT) -> DataFrame:
-    """Hospitals whose full-year burnout breaks the limit, with the count."""
+    """Hospitals whose full-year burnout breaks the limit, with the count.
+
+    The count is a window over the flagged rows, which are one per hospital
+    (bounded by the hospital dimension), so the facts are scanned once.
+    """
     flagged = threshold_flags(star, scope, burnout_limit=burnout_limit).filter("violates_burnout")
-    n = flagged.agg(F.count(F.lit(1)).cast("bigint")).scalar()
-    return flagged.select("hospital_id", "hospital_name", "avg_burnout_index",
-                          "readmission_rate_pct", n.alias("violator_count"))
+    return flagged.select("hospital_id", "hospital_name", "avg_burnout_index", "readmission_rate_pct",
+                          F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint").alias("violator_count"))
