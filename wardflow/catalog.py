@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.plans import finance, outliers, overview, sector, thresholds
+from wardflow.plans import finance, outliers, overview, sector, shapes, thresholds
 from wardflow.sources.star import DriverStar
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +60,27 @@ def report_queries() -> dict[str, QueryFn]:
     }
 
 
+def shape_queries() -> dict[str, QueryFn]:
+    return {
+        "department_pivot": _on_star(shapes.department_pivot),
+        "calendar_heatmap": _on_star(shapes.calendar_heatmap),
+        "kpi_target_gap": _on_star(shapes.kpi_target_gap),
+        "department_families": _on_star(shapes.department_families),
+        "readmission_month_pivot": _on_star(shapes.readmission_month_pivot),
+        "sankey_node_stats": _on_star(shapes.sankey_node_stats),
+        "sankey_link_shares": _on_star(shapes.sankey_link_shares),
+        "severity_weekday_grid": _on_star(shapes.severity_weekday_grid),
+        "scatter_focus": _on_star(shapes.scatter_focus),
+        "facility_ledger": _on_star(shapes.facility_ledger),
+        "regional_alarms": _on_star(shapes.regional_alarms),
+        "sector_gap": _on_star(shapes.sector_gap),
+        "waterfall_bars": _on_star(shapes.waterfall_bars),
+        "burnout_month_pivot": _on_star(shapes.burnout_month_pivot),
+        "burnout_hospital_list": _on_star(shapes.burnout_hospital_list),
+        "alert_summary": _on_star(shapes.alert_summary),
+        "deficit_hospitals": _on_star(shapes.deficit_hospitals),
+    }
+
+
 def queries() -> dict[str, QueryFn]:
-    return dict(report_queries())
+    return {**report_queries(), **shape_queries()}

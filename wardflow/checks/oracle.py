@@ -91,6 +91,10 @@ fact_financials AS (
 """
 
 
+def _p(body: str, ctes: str = "") -> tuple[str, str]:
+    return (ctes, body)
+
+
 def q(body: str, ctes: str = "") -> str:
     extra = f",\n{ctes}\n" if ctes else "\n"
     return STAR.rstrip() + extra + body
@@ -112,10 +116,10 @@ staff_metrics AS (
     FROM fact_staffing s {{where_s}} GROUP BY s.hospital_id)"""
 
 
-def _outliers(period: str | None) -> str:
+def _outliers(period: str | None) -> tuple[str, str]:
     where = {"H1": ("WHERE v.month <= 6", "WHERE s.month <= 6"),
              "H2": ("WHERE v.month > 6", "WHERE s.month > 6")}.get(period, ("", ""))
-    return q("""SELECT h.hospital_id, h.hospital_name, h.nhs_trust_type, h.city,
+    return _p("""SELECT h.hospital_id, h.hospital_name, h.nhs_trust_type, h.city,
        COALESCE(v.total_visits, 0) AS total_visits,
        COALESCE(v.readmission_rate, 0.0) AS readmission_rate,
        COALESCE(v.avg_wait_time, 0.0) AS avg_wait_time,
@@ -251,9 +255,10 @@ ALERTS = "\nUNION ALL\n".join([
 ])
 
 
-def oracle_sql() -> dict[str, str]:
+def report_parts() -> dict[str, tuple[str, str]]:
+    """(extra CTEs, final SELECT) per report, before the star prefix."""
     return {
-        "overview_kpis": q(f"""SELECT CAST(COUNT(*) AS BIGINT) AS total_visits,
+        "overview_kpis": _p(f"""SELECT CAST(COUNT(*) AS BIGINT) AS total_visits,
        CASE WHEN COUNT(*) = 0 THEN CAST(0.0 AS DOUBLE) ELSE {rate('v.readmission_30_days_flag')} END
            AS readmission_rate,
        CASE WHEN COUNT(*) = 0 THEN CAST(0.0 AS DOUBLE) ELSE {rd('AVG(v.wait_time_minutes)', 1)} END
@@ -261,23 +266,23 @@ def oracle_sql() -> dict[str, str]:
        CASE WHEN COUNT(*) = 0 THEN CAST(0.0 AS DOUBLE) ELSE
            (SELECT {rd('AVG(s.burnout_risk_index)', 3)} FROM {S_H}) END AS avg_burnout_index
 FROM {V_H}"""),
-        "visits_over_time": q(f"""SELECT strftime(v.arrival_datetime, '%Y-%m') AS month,
+        "visits_over_time": _p(f"""SELECT strftime(v.arrival_datetime, '%Y-%m') AS month,
        CAST(COUNT(*) AS BIGINT) AS visits
 FROM {V_H} GROUP BY strftime(v.arrival_datetime, '%Y-%m')"""),
-        "visits_by_department": q(f"""SELECT h.hospital_name, d.department_name,
+        "visits_by_department": _p(f"""SELECT h.hospital_name, d.department_name,
        CAST(COUNT(v.visit_id) AS BIGINT) AS visits
 FROM {V_H} JOIN dim_department d ON v.department_id = d.department_id
 GROUP BY h.hospital_name, d.department_name"""),
-        "daily_heatmap": q(f"""SELECT CAST(CAST(v.arrival_datetime AS DATE) AS VARCHAR) AS date,
+        "daily_heatmap": _p(f"""SELECT CAST(CAST(v.arrival_datetime AS DATE) AS VARCHAR) AS date,
        CAST(COUNT(*) AS BIGINT) AS count
 FROM {V_H} GROUP BY CAST(v.arrival_datetime AS DATE)"""),
-        "hourly_arrivals": q(f"""SELECT CAST(hour(v.arrival_datetime) AS BIGINT) AS hour,
+        "hourly_arrivals": _p(f"""SELECT CAST(hour(v.arrival_datetime) AS BIGINT) AS hour,
        CAST(COUNT(*) AS BIGINT) AS count
 FROM {V_H} GROUP BY hour(v.arrival_datetime)"""),
         "hospital_outliers": _outliers(None),
         "hospital_outliers_h1": _outliers("H1"),
         "hospital_outliers_h2": _outliers("H2"),
-        "bump_rankings": q("""SELECT CAST(month AS BIGINT) AS month, hospital_id, hospital_name,
+        "bump_rankings": _p("""SELECT CAST(month AS BIGINT) AS month, hospital_id, hospital_name,
        readmission_rate,
        CAST(DENSE_RANK() OVER (PARTITION BY month ORDER BY readmission_rate DESC NULLS FIRST)
             AS BIGINT) AS rank
@@ -285,31 +290,31 @@ FROM monthly_rates""", f"""monthly_rates AS (
     SELECT v.month, h.hospital_id, h.hospital_name,
            {rate('v.readmission_30_days_flag')} AS readmission_rate
     FROM {V_H} GROUP BY v.month, h.hospital_id, h.hospital_name)"""),
-        "sankey_links": q("""SELECT l.hospital_id, l.source_node, l.target_node,
+        "sankey_links": _p("""SELECT l.hospital_id, l.source_node, l.target_node,
        CAST(s.node_index AS BIGINT) AS source, CAST(t.node_index AS BIGINT) AS target,
        CAST(l.value AS BIGINT) AS value
 FROM links l
 JOIN nodes s ON s.hospital_id = l.hospital_id AND s.name = l.source_node
 JOIN nodes t ON t.hospital_id = l.hospital_id AND t.name = l.target_node""", SANKEY_CTES),
-        "sankey_nodes": q("""SELECT hospital_id, CAST(node_index AS BIGINT) AS node_index, name
+        "sankey_nodes": _p("""SELECT hospital_id, CAST(node_index AS BIGINT) AS node_index, name
 FROM nodes""", SANKEY_CTES),
-        "severity_weekday_wait": q(f"""SELECT v.hospital_id, CAST(v.severity_level AS BIGINT) AS severity,
+        "severity_weekday_wait": _p(f"""SELECT v.hospital_id, CAST(v.severity_level AS BIGINT) AS severity,
        d.day_of_week AS weekday, CAST(d.day_number AS BIGINT) AS day_num,
        {rd('AVG(v.wait_time_minutes)', 1)} AS avg_wait
 FROM {V_H} JOIN dim_date d ON CAST(v.arrival_datetime AS DATE) = d.full_date
 GROUP BY v.hospital_id, v.severity_level, d.day_of_week, d.day_number"""),
-        "radar_profiles": q(f"""SELECT CAST(a.axis AS BIGINT) AS axis, a.subject,
+        "radar_profiles": _p(f"""SELECT CAST(a.axis AS BIGINT) AS axis, a.subject,
        CASE WHEN n.private IS NULL THEN CAST(0.0 AS DOUBLE) ELSE {_AXIS_VALUE.format(g='n')} END AS NHS,
        CASE WHEN p.private IS NULL THEN CAST(0.0 AS DOUBLE) ELSE {_AXIS_VALUE.format(g='p')} END AS Private
 FROM axes a
 LEFT JOIN grouped n ON n.private = false
 LEFT JOIN grouped p ON p.private = true""", RADAR_GROUPED + ",\n" + RADAR_AXES_SQL),
-        "diverging_wait": q(f"""SELECT h.hospital_id, h.hospital_name, h.nhs_trust_type, h.private,
+        "diverging_wait": _p(f"""SELECT h.hospital_id, h.hospital_name, h.nhs_trust_type, h.private,
        {rd('AVG(v.wait_time_minutes)', 1)} AS avg_wait_time,
        {rd('AVG(v.wait_time_minutes) - 61.4', 1)} AS divergence
 FROM dim_hospital h LEFT JOIN fact_patient_visits v ON h.hospital_id = v.hospital_id
 GROUP BY h.hospital_id, h.hospital_name, h.nhs_trust_type, h.private"""),
-        "regional_choropleth": q(f"""SELECT r.region_id, r.region_name,
+        "regional_choropleth": _p(f"""SELECT r.region_id, r.region_name,
        {rate('v.readmission_30_days_flag')} AS readmission_rate,
        {rd('AVG(v.wait_time_minutes)', 1)} AS avg_wait_time,
        {rd('AVG(s.burnout_risk_index)', 3)} AS avg_burnout
@@ -318,14 +323,14 @@ JOIN dim_hospital h ON r.region_id = h.region_id
 LEFT JOIN fact_patient_visits v ON h.hospital_id = v.hospital_id
 LEFT JOIN fact_staffing s ON h.hospital_id = s.hospital_id AND v.month = s.month
 GROUP BY r.region_id, r.region_name"""),
-        "burnout_financials": q(f"""SELECT h.hospital_id, h.hospital_name,
+        "burnout_financials": _p(f"""SELECT h.hospital_id, h.hospital_name,
        {rd('AVG(f.avg_burnout_index)', 3)} AS avg_burnout,
        {rd('AVG(f.profit_margin) * 100.0', 2)} AS profit_margin_pct,
        CAST(SUM(f.revenue) AS DOUBLE) AS revenue,
        CAST(SUM(f.operational_cost) AS DOUBLE) AS operational_cost,
        CAST(SUM(f.visit_count) AS BIGINT) AS visit_count
 FROM {F_H} GROUP BY h.hospital_id, h.hospital_name"""),
-        "financial_waterfall": q("""SELECT * FROM (
+        "financial_waterfall": _p("""SELECT * FROM (
     SELECT CAST(1 AS BIGINT) AS stage, 'Total Revenue' AS name, revenue AS value FROM t
     UNION ALL SELECT 2, 'Base Staffing Costs', -staffing_cost FROM t
     UNION ALL SELECT 3, 'General Ops Costs', -operational_cost FROM t
@@ -337,24 +342,201 @@ WHERE (SELECT revenue FROM t) IS NOT NULL""", f"""t AS (
            CAST(SUM(f.operational_cost) AS DOUBLE) AS operational_cost,
            CAST(SUM(f.icu_cost) AS DOUBLE) AS icu_cost
     FROM {F_H})"""),
-        "absences_overtime": q(f"""SELECT CAST(s.month AS BIGINT) AS month,
+        "absences_overtime": _p(f"""SELECT CAST(s.month AS BIGINT) AS month,
        CAST(SUM(s.staff_absence_count) AS BIGINT) AS absences,
        {rd('AVG(s.overtime_hours)', 1)} AS overtime_hours
 FROM {S_H} GROUP BY s.month"""),
-        "burnout_by_month": q(f"""SELECT h.hospital_id, h.hospital_name, CAST(s.month AS BIGINT) AS month,
+        "burnout_by_month": _p(f"""SELECT h.hospital_id, h.hospital_name, CAST(s.month AS BIGINT) AS month,
        {rd('AVG(s.burnout_risk_index)', 3)} AS burnout
 FROM {S_H} GROUP BY h.hospital_id, h.hospital_name, s.month"""),
-        "cfo_alerts": q(ALERTS, ALERT_INPUTS),
-        "threshold_flags": q("SELECT * FROM full_year", NOTEBOOK_FULL),
-        "half_year_shift": q("SELECT * FROM shift", NOTEBOOK_SHIFT),
-        "double_violators": q("""SELECT 'H1' AS period, hospital_id, hospital_name,
+        "cfo_alerts": _p(ALERTS, ALERT_INPUTS),
+        "threshold_flags": _p("SELECT * FROM full_year", NOTEBOOK_FULL),
+        "half_year_shift": _p("SELECT * FROM shift", NOTEBOOK_SHIFT),
+        "double_violators": _p("""SELECT 'H1' AS period, hospital_id, hospital_name,
        h1_readmission_rate AS readmission_rate, h1_burnout AS burnout
 FROM shift WHERE h1_readmission_rate > 11.0 AND h1_burnout > 0.60
 UNION ALL
 SELECT 'H2' AS period, hospital_id, hospital_name,
        h2_readmission_rate AS readmission_rate, h2_burnout AS burnout
 FROM shift WHERE h2_readmission_rate > 11.0 AND h2_burnout > 0.60""", NOTEBOOK_SHIFT),
-        "burnout_violators": q("""SELECT hospital_id, hospital_name, avg_burnout_index, readmission_rate_pct,
+        "burnout_violators": _p("""SELECT hospital_id, hospital_name, avg_burnout_index, readmission_rate_pct,
        (SELECT CAST(COUNT(*) AS BIGINT) FROM full_year WHERE violates_burnout) AS violator_count
 FROM full_year WHERE violates_burnout""", NOTEBOOK_FULL),
     }
+
+
+# Fixed values of the driver fixture used to spell out pivot columns: the
+# department names (part types) and the hospital ids / names (one per nation).
+FIXTURE_DEPARTMENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+FIXTURE_HOSPITAL_IDS = [f"H{k + 1:02d}" for k in range(25)]
+FIXTURE_HOSPITAL_NAMES = [f"NATION_{k}" for k in range(25)]
+MONTHS_SQL = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+
+
+def _on(base: str, alias: str = "base") -> str:
+    """The CTEs of a report plus the report itself as CTE ``alias``."""
+    ctes, body = report_parts()[base]
+    return (ctes + ",\n" if ctes else "") + f"{alias} AS (\n{body})"
+
+
+def _stress(b: str, w: str, r: str) -> str:
+    return (f"(CASE WHEN {b} > 0.62 THEN 2 WHEN {b} > 0.60 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {w} > 90 THEN 2 WHEN {w} > 60 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {r} / 100.0 > 0.19 THEN 2 WHEN {r} / 100.0 > 0.15 THEN 1 ELSE 0 END)")
+
+
+def shape_parts() -> dict[str, tuple[str, str]]:
+    short = "regexp_replace(regexp_replace(regexp_replace(hospital_name, ' Hospital', ''), ' Infirmary', ''), ' NHS FT', '')"
+    dept_cols = ",\n       ".join(
+        f"CAST(COALESCE(SUM(CASE WHEN department_name = '{d}' THEN visits END), 0) AS BIGINT) AS \"{d}\""
+        for d in FIXTURE_DEPARTMENTS)
+    hosp_cols = ",\n       ".join(
+        f"MAX(CASE WHEN hospital_id = '{h}' THEN readmission_rate END) AS \"{h}\""
+        for h in FIXTURE_HOSPITAL_IDS)
+    name_cols = ",\n       ".join(
+        f"MAX(CASE WHEN hospital_name = '{n}' THEN burnout END) AS \"{n}\""
+        for n in FIXTURE_HOSPITAL_NAMES)
+    name_sel = ", ".join(f'p."{n}"' for n in FIXTURE_HOSPITAL_NAMES)
+    families = ("CASE WHEN contains(lower(department_name), 'emergency') OR contains(lower(department_name), 'accident') THEN 'emergency' "
+                "WHEN contains(lower(department_name), 'icu') OR contains(lower(department_name), 'intensive') "
+                "OR contains(lower(department_name), 'critical') THEN 'critical care' "
+                "WHEN contains(lower(department_name), 'pediatrics') OR contains(lower(department_name), 'child') THEN 'paediatrics' "
+                "WHEN contains(lower(department_name), 'cardiology') OR contains(lower(department_name), 'heart') THEN 'cardiology' "
+                "WHEN contains(lower(department_name), 'oncology') OR contains(lower(department_name), 'cancer') THEN 'oncology' "
+                "WHEN contains(lower(department_name), 'general medicine') OR contains(lower(department_name), 'internal') "
+                "THEN 'general medicine' "
+                "ELSE 'other-' || CAST(list_sum(list_transform(string_split(department_name, ''), lambda x: ascii(x))) % 6 AS VARCHAR) END")
+    node_stats_ctes = SANKEY_CTES + """,
+ends AS (
+    SELECT hospital_id, source_node AS name, value AS v_out, 0 AS v_in, false AS as_outcome FROM links
+    UNION ALL
+    SELECT hospital_id, target_node AS name, 0 AS v_out, value AS v_in,
+           starts_with(source_node, 'Severity') AS as_outcome FROM links),
+node_stats AS (
+    SELECT e.hospital_id, CAST(n.node_index AS BIGINT) AS node_index, e.name,
+           CAST(CASE WHEN starts_with(e.name, 'Severity') THEN 1
+                     WHEN bool_or(e.as_outcome) OR e.name IN
+                          ('Discharged', 'Deceased', 'Readmitted', 'Transfer', 'Referred', 'AMA') THEN 2
+                     ELSE 0 END AS BIGINT) AS stage,
+           CAST(CASE WHEN SUM(e.v_in) + SUM(e.v_out) = 0 THEN 5 ELSE SUM(e.v_in) + SUM(e.v_out) END
+                AS BIGINT) AS value,
+           e.name IN ('Readmitted', 'Deceased') AS is_warning
+    FROM ends e JOIN nodes n ON n.hospital_id = e.hospital_id AND n.name = e.name
+    GROUP BY e.hospital_id, n.node_index, e.name)"""
+    return {
+        "department_pivot": _p(f"""SELECT {short} AS name, hospital_name,
+       {dept_cols}
+FROM base GROUP BY hospital_name""", _on("visits_by_department")),
+        "calendar_heatmap": _p(f"""SELECT date, year, count,
+       CAST(CASE WHEN count <= 2 THEN 0 WHEN count <= 6 THEN 1 WHEN count <= 11 THEN 2
+                 WHEN count <= 16 THEN 3 ELSE 4 END AS BIGINT) AS band,
+       CAST(rn // 7 AS BIGINT) AS week_index, CAST(rn % 7 AS BIGINT) AS day_slot,
+       CASE WHEN rn % 7 = 0 AND (pm IS NULL OR pm <> m) THEN {MONTHS_SQL}[m] END AS month_label
+FROM lagged""", _on("daily_heatmap") + """,
+laid AS (
+    SELECT date, substr(date, 1, 4) AS year, count,
+           ROW_NUMBER() OVER (PARTITION BY substr(date, 1, 4) ORDER BY date) - 1 AS rn,
+           CAST(substr(date, 6, 2) AS INTEGER) AS m
+    FROM base),
+lagged AS (SELECT *, LAG(m, 7) OVER (PARTITION BY year ORDER BY date) AS pm FROM laid)"""),
+        "kpi_target_gap": _p(f"""SELECT *,
+       CASE WHEN readmission_rate > 11.0 THEN {rd('readmission_rate - 11.0', 2)} END AS excess_points,
+       readmission_rate <= 11.0 AS within_target
+FROM base""", _on("overview_kpis")),
+        "department_families": _p(f"""SELECT department_id, department_name, {families} AS family
+FROM dim_department"""),
+        "readmission_month_pivot": _p(f"""SELECT month,
+       {hosp_cols}
+FROM base GROUP BY month""", _on("bump_rankings")),
+        "sankey_node_stats": _p("SELECT * FROM node_stats", node_stats_ctes),
+        "sankey_link_shares": _p(f"""SELECT l.hospital_id, l.source_node, l.target_node,
+       CAST(l.value AS BIGINT) AS value,
+       {rd('CAST(l.value AS DOUBLE) / CAST(ns.value AS DOUBLE)', 6)} AS share,
+       l.target_node IN ('Readmitted', 'Deceased') AS is_warning
+FROM links l JOIN node_stats ns ON ns.hospital_id = l.hospital_id AND ns.name = l.source_node""",
+                                node_stats_ctes),
+        "severity_weekday_grid": _p("""SELECT g.hospital_id, CAST(g.severity AS BIGINT) AS severity, g.weekday,
+       CAST(g.day_num AS BIGINT) AS day_num, c.avg_wait,
+       CASE WHEN c.avg_wait IS NULL OR c.avg_wait = 0 THEN 'none' WHEN c.avg_wait < 50 THEN '<50'
+            WHEN c.avg_wait < 75 THEN '<75' WHEN c.avg_wait < 95 THEN '<95' ELSE '>=95' END AS wait_band,
+       CASE WHEN c.avg_wait IS NOT NULL AND c.avg_wait <> 0
+            THEN CAST(CAST(floor(c.avg_wait + 0.5) AS BIGINT) AS VARCHAR) || 'm' ELSE '-' END AS label
+FROM grid g LEFT JOIN base c
+  ON c.hospital_id = g.hospital_id AND c.severity = g.severity AND c.weekday = g.weekday""",
+                                   _on("severity_weekday_wait") + """,
+grid AS (
+    SELECT h.hospital_id, s.severity, w.weekday, w.day_num
+    FROM dim_hospital h,
+         (VALUES (5), (4), (3), (2), (1)) s(severity),
+         (VALUES ('Monday', 1), ('Tuesday', 2), ('Wednesday', 3), ('Thursday', 4),
+                 ('Friday', 5), ('Saturday', 6), ('Sunday', 7)) w(weekday, day_num))"""),
+        "scatter_focus": _p("SELECT *, COALESCE(hospital_id = 'H07', false) AS is_focus FROM base",
+                            _on("burnout_financials")),
+        "facility_ledger": _p(f"""SELECT hospital_id, hospital_name, nhs_trust_type, city, total_visits,
+       readmission_rate, avg_wait_time, avg_satisfaction, avg_burnout_index,
+       COALESCE(nhs_trust_type = 'Independent / Private', false) AS private,
+       CAST({_stress('avg_burnout_index', 'avg_wait_time', 'readmission_rate')} AS BIGINT) AS stress_score,
+       CASE WHEN avg_burnout_index IS NULL THEN staffing_stress
+            WHEN {_stress('avg_burnout_index', 'avg_wait_time', 'readmission_rate')} >= 5 THEN 'CRITICAL'
+            WHEN {_stress('avg_burnout_index', 'avg_wait_time', 'readmission_rate')} >= 3 THEN 'HIGH'
+            WHEN {_stress('avg_burnout_index', 'avg_wait_time', 'readmission_rate')} >= 1 THEN 'MODERATE'
+            ELSE 'LOW' END AS staffing_stress,
+       CASE WHEN readmission_rate > AVG(readmission_rate) OVER () + 0.8 THEN 'high'
+            WHEN readmission_rate < AVG(readmission_rate) OVER () - 0.8 THEN 'low'
+            ELSE 'normal' END AS readmission_band
+FROM base""", _on("hospital_outliers")),
+        "regional_alarms": _p("""SELECT *, COALESCE(readmission_rate > 17.0, false) AS alarm,
+       CAST(floor(avg_wait_time + 0.5) AS BIGINT) AS wait_minutes
+FROM base""", _on("regional_choropleth")),
+        "sector_gap": _p("""SELECT axis, subject, NHS, Private, gap, unit, nhs_position, private_position,
+       CASE WHEN gap > 0 THEN '+' || printf(fmt, abs(gap)) || ' ' || unit || ' above NHS'
+            WHEN gap < 0 THEN '-' || printf(fmt, abs(gap)) || ' ' || unit || ' below NHS'
+            ELSE 'No gap' END AS gap_text
+FROM (
+    SELECT axis, subject, NHS, Private,
+           CASE WHEN places = 3 THEN """ + rd("Private - NHS", 3) + " ELSE " + rd("Private - NHS", 1) + """ END AS gap,
+           unit, CASE WHEN places = 3 THEN '%.3f' ELSE '%.1f' END AS fmt,
+           CASE WHEN greatest(NHS, Private) - least(NHS, Private) > 0
+                THEN (NHS - least(NHS, Private)) / (greatest(NHS, Private) - least(NHS, Private)) * 100.0
+                ELSE 50.0 END AS nhs_position,
+           CASE WHEN greatest(NHS, Private) - least(NHS, Private) > 0
+                THEN (Private - least(NHS, Private)) / (greatest(NHS, Private) - least(NHS, Private)) * 100.0
+                ELSE 50.0 END AS private_position
+    FROM base JOIN (VALUES ('Wait Time (min)', 'min', 1), ('Satisfaction (%)', '%', 1),
+                           ('Burnout Index', 'index', 3), ('Readmissions (%)', '%', 1),
+                           ('Profit Margin (%)', '%', 1), ('ICU Admits (%)', '%', 1)) u(s, unit, places)
+      ON u.s = base.subject)""", _on("radar_profiles")),
+        "waterfall_bars": _p("""SELECT stage, name, value,
+       CASE WHEN stage = 1 OR stage = (SELECT MAX(stage) FROM base) THEN 0.0
+            ELSE COALESCE(SUM(value) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+       END AS open,
+       CASE WHEN stage = 1 OR stage = (SELECT MAX(stage) FROM base) THEN value
+            ELSE COALESCE(SUM(value) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+                 + value END AS close,
+       value >= 0 AS is_positive
+FROM base""", _on("financial_waterfall")),
+        "burnout_month_pivot": _p(f"""SELECT m.month, {MONTHS_SQL}[m.month] AS name, {name_sel}
+FROM (SELECT CAST(range AS BIGINT) AS month FROM range(1, 13)) m
+LEFT JOIN (SELECT month,
+       {name_cols}
+    FROM base GROUP BY month) p ON p.month = m.month""", _on("burnout_by_month")),
+        "burnout_hospital_list": _p("""SELECT hospital_id, hospital_name, month, burnout FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY hospital_id ORDER BY month DESC, hospital_name DESC) AS rn
+    FROM base) WHERE rn = 1""", _on("burnout_by_month")),
+        "alert_summary": _p("""SELECT label, string_agg(hospital_name, ', ' ORDER BY hospital_name) AS hospitals,
+       CAST(COUNT(*) AS BIGINT) AS alerts
+FROM (SELECT hospital_name,
+             CASE type WHEN 'CRITICAL_BURNOUT' THEN 'Staffing stress'
+                       WHEN 'FINANCIAL_SQUEEZE' THEN 'Financial squeeze'
+                       WHEN 'READMISSION_SPIKE' THEN 'Readmission spike'
+                       WHEN 'STAFFING_STRESS' THEN 'Staffing stress'
+                       ELSE regexp_replace(type, '_', ' ') END AS label
+      FROM base) GROUP BY label""", _on("cfo_alerts")),
+        "deficit_hospitals": _p("""SELECT hospital_id, hospital_name, profit_margin_pct FROM base
+WHERE profit_margin_pct < 0""", _on("burnout_financials")),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    parts = {**report_parts(), **shape_parts()}
+    return {name: q(body, ctes) for name, (ctes, body) in parts.items()}
