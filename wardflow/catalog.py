@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.plans import finance, outliers, overview, sector, shapes, thresholds
+from wardflow.plans import audit, finance, outliers, overview, sector, shapes, thresholds
 from wardflow.sources.star import DriverStar
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -82,5 +82,15 @@ def shape_queries() -> dict[str, QueryFn]:
     }
 
 
+def audit_queries() -> dict[str, QueryFn]:
+    return {
+        "audit_keys": _on_star(audit.key_audit),
+        "audit_references": _on_star(audit.reference_audit),
+        "audit_row_counts": _on_star(audit.row_counts),
+        "audit_headline": _on_star(audit.headline_check),
+        "audit_dimension_bounds": _on_star(audit.dimension_bounds),
+    }
+
+
 def queries() -> dict[str, QueryFn]:
-    return {**report_queries(), **shape_queries()}
+    return {**report_queries(), **shape_queries(), **audit_queries()}

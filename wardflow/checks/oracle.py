@@ -43,10 +43,18 @@ dim_hospital AS (
 dim_department AS (
     SELECT DISTINCT 'D_' || p_type AS department_id, p_type AS department_name FROM part),
 dim_date AS (
-    SELECT CAST(d AS DATE) AS full_date, dayname(d) AS day_of_week, isodow(d) AS day_number
+    SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key,
+           CAST(d AS DATE) AS full_date, dayname(d) AS day_of_week, isodow(d) AS day_number
     FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 DAY) t(d)),
+dim_patient AS (SELECT c_custkey AS patient_id FROM customer),
+dim_doctor AS (
+    SELECT s_suppkey AS doctor_id, {_code('H', 's_nationkey')} AS primary_hospital_id FROM supplier),
+dim_diagnosis AS (SELECT DISTINCT p_brand AS diagnosis_id FROM part),
 fact_patient_visits AS (
     SELECT l.l_orderkey * 10 + l.l_linenumber AS visit_id,
+           o.o_custkey AS patient_id,
+           l.l_suppkey AS doctor_id,
+           p.p_brand AS diagnosis_category,
            {_code('H', 's.s_nationkey')} AS hospital_id,
            'D_' || p.p_type AS department_id,
            CAST(l.l_shipdate AS TIMESTAMP)
@@ -67,6 +75,7 @@ fact_patient_visits AS (
 fact_staffing AS (
     SELECT o.o_orderkey AS shift_id,
            {_code('H', 'c.c_nationkey')} AS hospital_id,
+           CAST(NULL AS VARCHAR) AS department_id,
            CAST(o.o_orderdate AS DATE) AS shift_date,
            month(o.o_orderdate) AS month,
            o.o_custkey % 6 AS staff_absence_count,
@@ -74,7 +83,9 @@ fact_staffing AS (
            CAST(500 + o.o_orderkey % 200 AS DOUBLE) / 1000.0 AS burnout_risk_index
     FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
 fact_financials AS (
-    SELECT {_code('H', 'c_nationkey')} AS hospital_id, y AS year, m AS month,
+    SELECT {_code('H', 'c_nationkey')} || '-' || CAST(y AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0')
+               AS financial_record_id,
+           {_code('H', 'c_nationkey')} AS hospital_id, y AS year, m AS month,
            revenue,
            CAST(revenue * 0.04 AS DECIMAL(18,2)) AS staffing_cost,
            CAST(revenue * 0.68 AS DECIMAL(18,2)) AS operational_cost,
@@ -537,6 +548,73 @@ WHERE profit_margin_pct < 0""", _on("burnout_financials")),
     }
 
 
+PRIMARY_KEYS = [
+    ("dim_region", "region_id"), ("dim_hospital", "hospital_id"), ("dim_department", "department_id"),
+    ("dim_date", "date_key"), ("dim_patient", "patient_id"), ("dim_doctor", "doctor_id"),
+    ("dim_diagnosis", "diagnosis_id"), ("fact_patient_visits", "visit_id"), ("fact_staffing", "shift_id"),
+    ("fact_financials", "financial_record_id"),
+]
+FOREIGN_KEYS = [
+    ("dim_hospital", "region_id", "dim_region", "region_id"),
+    ("dim_doctor", "primary_hospital_id", "dim_hospital", "hospital_id"),
+    ("fact_patient_visits", "patient_id", "dim_patient", "patient_id"),
+    ("fact_patient_visits", "hospital_id", "dim_hospital", "hospital_id"),
+    ("fact_patient_visits", "department_id", "dim_department", "department_id"),
+    ("fact_patient_visits", "doctor_id", "dim_doctor", "doctor_id"),
+    ("fact_patient_visits", "diagnosis_category", "dim_diagnosis", "diagnosis_id"),
+    ("fact_staffing", "hospital_id", "dim_hospital", "hospital_id"),
+    ("fact_staffing", "department_id", "dim_department", "department_id"),
+    ("fact_staffing", "shift_date", "dim_date", "full_date"),
+    ("fact_financials", "hospital_id", "dim_hospital", "hospital_id"),
+]
+DIMENSION_BOUNDS = [("dim_region", 10_000), ("dim_hospital", 100_000), ("dim_department", 10_000),
+                    ("dim_date", 100_000)]
+
+
+def _key_sql(table: str, key: str, kind: str) -> str:
+    ok = ("duplicated_keys = 0" if kind == "unique" else "null_keys = 0 AND duplicated_keys = 0")
+    return f"""SELECT *, CASE WHEN {ok} THEN 'ok' ELSE 'violation' END AS status FROM (
+    SELECT '{table}' AS table_name, '{key}' AS key_column, '{kind}' AS kind,
+           CAST(COUNT(*) AS BIGINT) AS rows,
+           CAST(COUNT(*) - COUNT({key}) AS BIGINT) AS null_keys,
+           CAST(COUNT(DISTINCT {key}) AS BIGINT) AS distinct_keys,
+           (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT {key} FROM {table} WHERE {key} IS NOT NULL
+                                                  GROUP BY {key} HAVING COUNT(*) > 1)) AS duplicated_keys
+    FROM {table})"""
+
+
+def _ref_sql(table: str, column: str, ref_table: str, ref_column: str) -> str:
+    missing = f"NOT EXISTS (SELECT 1 FROM {ref_table} d WHERE d.{ref_column} = f.{column})"
+    return f"""SELECT *, CASE WHEN orphans = 0 THEN 'ok' ELSE 'violation' END AS status FROM (
+    SELECT '{table}' AS table_name, '{column}' AS column_name, '{ref_table}' AS ref_table,
+           '{ref_column}' AS ref_column,
+           CAST(COUNT(*) AS BIGINT) AS checked,
+           CAST(COUNT(*) FILTER (WHERE {missing}) AS BIGINT) AS orphans,
+           CAST(COUNT(DISTINCT f.{column}) FILTER (WHERE {missing}) AS BIGINT) AS orphan_values
+    FROM {table} f WHERE f.{column} IS NOT NULL)"""
+
+
+def audit_parts() -> dict[str, tuple[str, str]]:
+    keys = [_key_sql(t, k, "primary") for t, k in PRIMARY_KEYS] + [_key_sql("dim_date", "full_date", "unique")]
+    counts = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS expected, "
+        f"'n/a' AS status FROM {t}" for t, _ in PRIMARY_KEYS)
+    bounds = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS rows, CAST({b} AS BIGINT) AS bound, "
+        f"CASE WHEN COUNT(*) <= {b} THEN 'ok' ELSE 'violation' END AS status FROM {t}"
+        for t, b in DIMENSION_BOUNDS)
+    return {
+        "audit_keys": _p("\nUNION ALL\n".join(keys)),
+        "audit_references": _p("\nUNION ALL\n".join(_ref_sql(*fk) for fk in FOREIGN_KEYS)),
+        "audit_row_counts": _p(counts),
+        "audit_headline": _p(f"""SELECT 'readmission_rate' AS metric, readmission_rate,
+       17.0 AS expected, 1.0 AS tolerance,
+       CASE WHEN abs(readmission_rate - 17.0) <= 1.0 THEN 'ok' ELSE 'off' END AS status
+FROM (SELECT {rate('readmission_30_days_flag')} AS readmission_rate FROM fact_patient_visits)"""),
+        "audit_dimension_bounds": _p(bounds),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    parts = {**report_parts(), **shape_parts()}
+    parts = {**report_parts(), **shape_parts(), **audit_parts()}
     return {name: q(body, ctes) for name, (ctes, body) in parts.items()}

@@ -44,7 +44,7 @@ def burnout_financials(star: Star, scope: Scope | None = None) -> DataFrame:
         F.sum("revenue").cast("double").alias("revenue"),
         F.sum("operational_cost").cast("double").alias("operational_cost"),
         F.sum("visit_count").cast("bigint").alias("visit_count"),
-    )
+    ).orderBy(F.desc_nulls_first("avg_burnout"))
 
 
 def financial_waterfall(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -72,7 +72,8 @@ def absences_overtime(star: Star, scope: Scope | None = None) -> DataFrame:
     return (s.join(dim_side(h), "hospital_id").groupBy("month").agg(
         F.sum("staff_absence_count").cast("bigint").alias("absences"),
         mean("overtime_hours", 1).alias("overtime_hours"),
-    ).select(F.col("month").cast("bigint").alias("month"), "absences", "overtime_hours"))
+    ).select(F.col("month").cast("bigint").alias("month"), "absences", "overtime_hours")
+            .orderBy(F.asc_nulls_last("month")))
 
 
 def burnout_by_month(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -82,7 +83,8 @@ def burnout_by_month(star: Star, scope: Scope | None = None) -> DataFrame:
     return (s.join(dim_side(h), "hospital_id")
             .groupBy("hospital_id", "hospital_name", "month")
             .agg(mean("burnout_risk_index", 3).alias("burnout"))
-            .select("hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"), "burnout"))
+            .select("hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"), "burnout")
+            .orderBy(F.asc_nulls_last("month"), F.asc_nulls_last("hospital_name")))
 
 
 def alert_inputs(star: Star, scope: Scope | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def hospital_outliers(star: Star, scope: Scope | None = None, period: str | None
         F.coalesce("avg_satisfaction", zero).alias("avg_satisfaction"),
         F.coalesce("avg_burnout_index", zero).alias("avg_burnout_index"),
         "staffing_stress",
-    ))
+    ).orderBy(F.desc_nulls_first("readmission_rate")))
 
 
 def bump_rankings(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -65,7 +65,8 @@ def bump_rankings(star: Star, scope: Scope | None = None) -> DataFrame:
     w = Window.partitionBy("month").orderBy(F.desc_nulls_first("readmission_rate"))
     return monthly.select(
         F.col("month").cast("bigint").alias("month"), "hospital_id", "hospital_name",
-        "readmission_rate", F.dense_rank().over(w).cast("bigint").alias("rank"))
+        "readmission_rate", F.dense_rank().over(w).cast("bigint").alias("rank")
+    ).orderBy(F.asc_nulls_last("month"), F.asc_nulls_last("rank"))
 
 
 def _severity_node(level) -> F.Column:
@@ -154,7 +155,9 @@ def severity_weekday_wait(star: Star, hospital_id: str | None = None,
                     F.col("severity_level").cast("bigint").alias("severity"),
                     F.col("day_of_week").alias("weekday"),
                     F.col("day_number").cast("bigint").alias("day_num"),
-                    "avg_wait"))
+                    "avg_wait")
+            .orderBy(F.asc_nulls_last("hospital_id"), F.asc_nulls_last("severity"),
+                     F.asc_nulls_last("day_num")))
 
 
 __all__ = ["visit_metrics", "staff_metrics", "hospital_outliers", "bump_rankings",

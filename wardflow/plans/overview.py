@@ -37,7 +37,8 @@ def visits_over_time(star: Star, scope: Scope | None = None) -> DataFrame:
     h = hospital_scope(star.hospitals(), scope)
     v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
     return (v.groupBy(F.date_format("arrival_datetime", "yyyy-MM").alias("month"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("visits")))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("visits"))
+            .orderBy(F.asc_nulls_last("month")))
 
 
 def visits_by_department(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -48,7 +49,8 @@ def visits_by_department(star: Star, scope: Scope | None = None) -> DataFrame:
     return (v.join(dim_side(h), "hospital_id")
             .join(dim_side(d, "dim_department"), "department_id")
             .groupBy("hospital_name", "department_name")
-            .agg(F.count("visit_id").cast("bigint").alias("visits")))
+            .agg(F.count("visit_id").cast("bigint").alias("visits"))
+            .orderBy(F.asc_nulls_last("hospital_name"), F.desc_nulls_first("visits")))
 
 
 def visits_treemap(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -65,7 +67,8 @@ def visits_treemap(star: Star, scope: Scope | None = None) -> DataFrame:
     return (flat.groupBy(F.col("hospital_name").alias("name"))
             .agg(ordered.alias("c"))
             .select("name", F.transform("c", lambda x: F.struct(
-                x["name"].alias("name"), x["value"].alias("value"))).alias("children")))
+                x["name"].alias("name"), x["value"].alias("value"))).alias("children"))
+            .orderBy(F.asc_nulls_last("name")))
 
 
 def daily_counts(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -73,7 +76,8 @@ def daily_counts(star: Star, scope: Scope | None = None) -> DataFrame:
     h = hospital_scope(star.hospitals(), scope)
     v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
     return (v.groupBy(F.to_date("arrival_datetime").cast("string").alias("date"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+            .orderBy(F.asc_nulls_last("date")))
 
 
 def hourly_arrivals(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -81,7 +85,8 @@ def hourly_arrivals(star: Star, scope: Scope | None = None) -> DataFrame:
     h = hospital_scope(star.hospitals(), scope)
     v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
     return (v.groupBy(F.hour("arrival_datetime").cast("bigint").alias("hour"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+            .orderBy(F.asc_nulls_last("hour")))
 
 
 __all__ = ["kpis", "visits_over_time", "visits_by_department", "visits_treemap",

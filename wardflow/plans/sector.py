@@ -61,7 +61,8 @@ def radar_profiles(star: Star, scope: Scope | None = None) -> DataFrame:
     return (long.groupBy("axis", "subject").agg(
         F.when(F.max(nhs_rank) > 0, F.max_by("value", nhs_rank)).otherwise(F.lit(0.0)).alias("NHS"),
         F.when(F.max(pvt_rank) > 0, F.max_by("value", pvt_rank)).otherwise(F.lit(0.0)).alias("Private"),
-    ).select(F.col("axis").cast("bigint").alias("axis"), "subject", "NHS", "Private"))
+    ).select(F.col("axis").cast("bigint").alias("axis"), "subject", "NHS", "Private")
+     .orderBy("axis"))
 
 
 def diverging_wait(star: Star, scope: Scope | None = None,
@@ -81,7 +82,8 @@ def diverging_wait(star: Star, scope: Scope | None = None,
     return h.join(v, "hospital_id", "left").select(
         "hospital_id", "hospital_name", "nhs_trust_type", "private",
         round_dec(avg, 1).alias("avg_wait_time"),
-        round_dec(avg - F.lit(benchmark), 1).alias("divergence"))
+        round_dec(avg - F.lit(benchmark), 1).alias("divergence")
+    ).orderBy(F.desc_nulls_first("avg_wait_time"))
 
 
 def regional_choropleth(star: Star, scope: Scope | None = None) -> DataFrame:

@@ -31,7 +31,8 @@ def threshold_flags(star: Star, scope: Scope | None = None,
     return (h.join(v, "hospital_id").join(s, "hospital_id").select(
         "hospital_id", "hospital_name", "total_visits", "readmission_rate_pct", "avg_burnout_index",
         over_r.alias("violates_readmission"), over_b.alias("violates_burnout"),
-        (over_r & over_b).alias("violates_both")))
+        (over_r & over_b).alias("violates_both")
+    ).orderBy(F.desc_nulls_first("readmission_rate_pct")))
 
 
 def half_year_shift(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -65,7 +66,8 @@ def half_year_shift(star: Star, scope: Scope | None = None) -> DataFrame:
         "hospital_id", "hospital_name", "h1_readmission_rate", "h2_readmission_rate",
         round_dec(F.col("h2_readmission_rate") - F.col("h1_readmission_rate"), 2).alias("readmission_delta"),
         "h1_burnout", "h2_burnout",
-        round_dec(F.col("h2_burnout") - F.col("h1_burnout"), 3).alias("burnout_delta"))
+        round_dec(F.col("h2_burnout") - F.col("h1_burnout"), 3).alias("burnout_delta")
+    ).orderBy(F.desc_nulls_first("readmission_delta"))
 
 
 def double_violators(star: Star, scope: Scope | None = None,

@@ -342,3 +342,36 @@ class PublishedStar(Star):
 
     def financials(self, *cols: str) -> DataFrame:
         return self._read("fact_financials", cols)
+
+
+class FrameStar(Star):
+    """A star over given DataFrames (hand-made fixtures, other sources).
+
+    Missing star columns are added as typed nulls, so a fixture only needs
+    the columns a test is about.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+        self.spark, self.tables = spark, tables
+
+    def _get(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
+        schema = {f.name: f.dataType for f in SCHEMAS[name].fields}
+        df = self.tables.get(name)
+        if df is None:
+            df = self.spark.createDataFrame([], SCHEMAS[name])
+        wanted = list(cols) or list(schema)
+        present = set(df.columns)
+        return df.select([(F.col(c) if c in present else F.lit(None)).cast(schema[c]).alias(c)
+                          for c in wanted])
+
+    def dim(self, name: str) -> DataFrame:
+        return self._get(name)
+
+    def visits(self, *cols: str) -> DataFrame:
+        return self._get("fact_patient_visits", cols)
+
+    def staffing(self, *cols: str) -> DataFrame:
+        return self._get("fact_staffing", cols)
+
+    def financials(self, *cols: str) -> DataFrame:
+        return self._get("fact_financials", cols)
