@@ -124,7 +124,7 @@ def readmission_month_pivot(star: Star, scope: Scope | None = None,
         hospital_ids = sorted(r[0] for r in hospital_scope(star.hospitals(), scope)
                               .select("hospital_id").collect())
     return (bump.groupBy("month").pivot("hospital_id", hospital_ids)
-            .agg(F.max("readmission_rate")))
+            .agg(F.max("readmission_rate")).orderBy("month"))
 
 
 def sankey_node_stats(star: Star, hospital_id: str | None = None,
@@ -285,7 +285,8 @@ def burnout_month_pivot(star: Star, scope: Scope | None = None,
     months = star.spark.range(1, 13).select(F.col("id").alias("month"))
     return (months.join(wide, "month", "left")
             .select("month", month_short_name("month").alias("name"),
-                    *[F.col(f"`{n}`") for n in hospital_names]))
+                    *[F.col(f"`{n}`") for n in hospital_names])
+            .orderBy("month"))
 
 
 def burnout_hospital_list(star: Star, scope: Scope | None = None) -> DataFrame:
