@@ -63,6 +63,7 @@ def report_queries() -> dict[str, QueryFn]:
 def shape_queries() -> dict[str, QueryFn]:
     return {
         "department_pivot": _on_star(shapes.department_pivot),
+        "department_totals": _on_star(shapes.department_totals),
         "calendar_heatmap": _on_star(shapes.calendar_heatmap),
         "kpi_target_gap": _on_star(shapes.kpi_target_gap),
         "department_families": _on_star(shapes.department_families),

@@ -438,6 +438,8 @@ node_stats AS (
         "department_pivot": _p(f"""SELECT {short} AS name, hospital_name,
        {dept_cols}
 FROM base GROUP BY hospital_name""", _on("visits_by_department")),
+        "department_totals": _p("""SELECT department_name, CAST(SUM(visits) AS BIGINT) AS visits
+FROM base GROUP BY department_name""", _on("visits_by_department")),
         "calendar_heatmap": _p(f"""SELECT date, year, count,
        CAST(CASE WHEN count <= 2 THEN 0 WHEN count <= 6 THEN 1 WHEN count <= 11 THEN 2
                  WHEN count <= 16 THEN 3 ELSE 4 END AS BIGINT) AS band,

@@ -110,5 +110,19 @@ def char_code_bucket(c: Column | str, buckets: int = 6) -> Column:
 
 
 def py_str(c: Column) -> Column:
-    """A double printed as Python ``str`` does for moderate magnitudes."""
+    """A double as Python ``str`` prints it, for values in [0.001, 1e7)
+    (every rounded metric of the alerts); null prints ``None``."""
     return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+def fixed(c: Column | str, places: int) -> Column:
+    """Thousands-separated text with a fixed number of decimals."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.format_number(col, places)
+
+
+def currency(c: Column | str, symbol: str = "£", places: int = 0) -> Column:
+    """A money amount as text, sign before the symbol."""
+    col = F.col(c) if isinstance(c, str) else c
+    body = F.format_number(F.abs(col), places)
+    return F.when(col < 0, F.concat(F.lit("-" + symbol), body)).otherwise(F.concat(F.lit(symbol), body))

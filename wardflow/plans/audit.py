@@ -6,8 +6,8 @@ checked before it is published (see ``sources.etl``).
 
 Plans are built for large facts: a key check is one aggregation by key
 (partial aggregation collapses a hot key inside each task), and a reference
-check aggregates the referencing column to (value, rows) first, so only
-distinct values meet the referenced table in the existence join.
+check aggregates a table's references to (reference, value, rows) first,
+so only distinct values meet the referenced keys in the existence join.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ def key_check(df: DataFrame, table: str, key: str, kind: str = "primary") -> Dat
 
 def key_audit(star: Star) -> DataFrame:
     """A11 + A12: primary keys (unique, not null) and extra unique columns."""
-    checks = [key_check(star.table(t).select(k), t, k) for t, k in PRIMARY_KEYS.items()]
-    checks += [key_check(star.table(t).select(c), t, c, "unique")
+    checks = [key_check(star.columns(t, k), t, k) for t, k in PRIMARY_KEYS.items()]
+    checks += [key_check(star.columns(t, c), t, c, "unique")
                for t, cols in UNIQUE_KEYS.items() for c in cols]
     out = _union(checks)
     ok = (F.col("null_keys") == 0) & (F.col("duplicated_keys") == 0)
@@ -57,28 +57,51 @@ def key_audit(star: Star) -> DataFrame:
     return out.withColumn("status", F.when(ok | if_unique, F.lit("ok")).otherwise(F.lit("violation")))
 
 
-def reference_check(star: Star, table: str, column: str, ref_table: str, ref_column: str) -> DataFrame:
-    """Rows whose non-null reference has no match in the referenced key."""
-    refs = (star.table(table).select(F.col(column).alias("ref"))
-            .filter(F.col("ref").isNotNull())
-            .groupBy("ref").agg(F.count(F.lit(1)).alias("n")))
-    target = star.table(ref_table).select(F.col(ref_column).alias("ref"))
+def reference_check(star: Star, table: str,
+                    refs: list[tuple[str, str, str]]) -> DataFrame:
+    """Rows whose non-null reference has no match in the referenced key.
+
+    All references of one table are checked in one pass: each row emits
+    (reference, value) pairs, which are aggregated to (reference, value,
+    rows) — only distinct values are shuffled, and a hot value collapses in
+    the partial aggregate — and matched to the union of the referenced
+    keys with one existence join.
+    """
+    cols = [c for c, _, _ in refs]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("ref"))
+                      for c in cols])
+    found = (star.columns(table, *cols).select(F.inline(pairs))
+             .filter(F.col("ref").isNotNull())
+             .groupBy("column_name", "ref").agg(F.count(F.lit(1)).alias("n")))
+    targets = _union([star.columns(rt, rc).select(F.lit(c).alias("column_name"),
+                                                  F.col(rc).cast("string").alias("ref"))
+                      for c, rt, rc in refs])
     # EXISTS subquery -> an existence join: duplicate target keys cannot
-    # multiply rows, and a bounded target is broadcast.
-    hit = dim_side(target, ref_table).where(F.col("ref") == F.col("r.ref").outer()).exists()
+    # multiply rows.
+    hit = targets.where((F.col("column_name") == F.col("r.column_name").outer())
+                        & (F.col("ref") == F.col("r.ref").outer())).exists()
     missing = ~F.col("hit")
-    return (refs.alias("r").select("n", hit.alias("hit")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("checked"),
-        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).cast("bigint").alias("orphans"),
-        F.count(F.when(missing, F.lit(1))).cast("bigint").alias("orphan_values"))
-        .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                F.lit(ref_table).alias("ref_table"), F.lit(ref_column).alias("ref_column"),
-                "checked", "orphans", "orphan_values"))
+    per_column = (found.alias("r").select("column_name", "n", hit.alias("hit"))
+                  .groupBy("column_name").agg(
+                      F.sum("n").cast("bigint").alias("checked"),
+                      F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).cast("bigint").alias("orphans"),
+                      F.count(F.when(missing, F.lit(1))).cast("bigint").alias("orphan_values")))
+    spec = star.spark.createDataFrame(
+        [(table, c, rt, rc) for c, rt, rc in refs],
+        "table_name string, column_name string, ref_table string, ref_column string")
+    # every declared reference gets a row, also when all its values are null
+    return (spec.join(per_column, "column_name", "left").select(
+        "table_name", "column_name", "ref_table", "ref_column",
+        *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+          for c in ("checked", "orphans", "orphan_values")]))
 
 
 def reference_audit(star: Star) -> DataFrame:
-    """Every declared reference (nulls allowed)."""
-    out = _union([reference_check(star, *fk) for fk in FOREIGN_KEYS])
+    """Every declared reference (nulls allowed), one pass per table."""
+    by_table: dict[str, list[tuple[str, str, str]]] = {}
+    for table, column, ref_table, ref_column in FOREIGN_KEYS:
+        by_table.setdefault(table, []).append((column, ref_table, ref_column))
+    out = _union([reference_check(star, t, refs) for t, refs in by_table.items()])
     return out.withColumn("status", F.when(F.col("orphans") == 0, F.lit("ok")).otherwise(F.lit("violation")))
 
 
@@ -87,7 +110,8 @@ def row_counts(star: Star, expected: dict[str, int] | None = None,
     """Rows per table next to the expected count (null = not checked)."""
     tables = tables or list(PRIMARY_KEYS)
     expected = expected or {}
-    frames = [star.table(t).select(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("rows"))
+    frames = [star.columns(t, PRIMARY_KEYS.get(t) or star.table(t).columns[0])
+              .agg(F.count(F.lit(1)).alias("rows"))
               .select(F.lit(t).alias("table_name"), F.col("rows").cast("bigint").alias("rows"),
                       F.lit(expected.get(t)).cast("bigint").alias("expected"))
               for t in tables]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import mean, round_dec
+from wardflow.functions.text import py_str as py_text
 from wardflow.operators.scope import Scope, dim_side, hospital_scope
 from wardflow.sources.star import Star
 
@@ -97,12 +98,6 @@ def alert_inputs(star: Star, scope: Scope | None = None) -> DataFrame:
     )
 
 
-def py_text(c: Column) -> Column:
-    """A double as the dashboard prints it: Python ``str`` for values in
-    [0.001, 1e7), which is every rounded metric here; null prints ``None``."""
-    return F.coalesce(c.cast("string"), F.lit("None"))
-
-
 def _truthy_number(c: Column) -> Column:
     """Python truthiness of a number: not null and not zero."""
     return c.isNotNull() & (c != F.lit(0.0))

@@ -75,6 +75,16 @@ def department_pivot(star: Star, scope: Scope | None = None,
                        *[F.col(f"`{c}`").cast("bigint").alias(c) for c in cols])
 
 
+def department_totals(star: Star, scope: Scope | None = None) -> DataFrame:
+    """Visits per department summed over the hospitals' nested lists
+    (the totals that order the stacked view)."""
+    tree = overview.visits_treemap(star, scope)
+    return (tree.select(F.inline("children"))
+            .groupBy(F.col("name").alias("department_name"))
+            .agg(F.sum("value").cast("bigint").alias("visits"))
+            .orderBy(F.desc("visits"), "department_name"))
+
+
 def calendar_heatmap(star: Star, scope: Scope | None = None, year: str | None = None) -> DataFrame:
     """P2 + P3: daily counts laid out in blocks of 7 *present* days per year.
 

@@ -73,6 +73,16 @@ class Star:
             return self.financials()
         return self.dim(name)
 
+    def columns(self, name: str, *cols: str) -> DataFrame:
+        """Only ``cols`` of a table (a fact builds only the joins they need)."""
+        if name == "fact_patient_visits":
+            return self.visits(*cols)
+        if name == "fact_staffing":
+            return self.staffing(*cols)
+        if name == "fact_financials":
+            return self.financials(*cols)
+        return self.dim(name).select(*cols)
+
     # Convenience accessors used by most reports.
     def hospitals(self) -> DataFrame:
         return self.dim("dim_hospital")
