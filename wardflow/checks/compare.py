@@ -64,12 +64,24 @@ def rows_of(columns: list[str], records: list[tuple]) -> tuple[list[str], list[t
     return cols, sorted(rows, key=_key)
 
 
+SPARK_TO_DUCKDB = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+}
+
+
 def compare(name: str, spark_df, con, sql: str) -> Outcome:
     s_cols = spark_df.columns
+    s_types = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
     rel = con.execute(sql)
     o_cols = [d[0] for d in rel.description]
+    o_types = {d[0]: str(d[1]) for d in rel.description}
     o_rows = rel.fetchall()
+    bad_types = [(c, s_types[c], o_types.get(c)) for c in s_cols
+                 if c in o_types and SPARK_TO_DUCKDB.get(s_types[c], s_types[c]) != o_types[c]]
+    if bad_types:
+        return Outcome(name, False, len(s_rows), len(o_rows), f"types differ: {bad_types}")
     sc, sr = rows_of(s_cols, s_rows)
     oc, orows = rows_of(o_cols, o_rows)
     if sc != oc:

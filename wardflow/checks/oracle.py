@@ -610,7 +610,7 @@ def audit_parts() -> dict[str, tuple[str, str]]:
         "audit_references": _p("\nUNION ALL\n".join(_ref_sql(*fk) for fk in FOREIGN_KEYS)),
         "audit_row_counts": _p(counts),
         "audit_headline": _p(f"""SELECT 'readmission_rate' AS metric, readmission_rate,
-       17.0 AS expected, 1.0 AS tolerance,
+       CAST(17.0 AS DOUBLE) AS expected, CAST(1.0 AS DOUBLE) AS tolerance,
        CASE WHEN abs(readmission_rate - 17.0) <= 1.0 THEN 'ok' ELSE 'off' END AS status
 FROM (SELECT {rate('readmission_30_days_flag')} AS readmission_rate FROM fact_patient_visits)"""),
         "audit_dimension_bounds": _p(bounds),

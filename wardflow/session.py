@@ -38,8 +38,11 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
     for key, value in ADAPTIVE_CONF.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
+        try:
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, value)
+        except Exception:  # not settable in this deployment; keep its value
+            pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -69,7 +72,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (local tests) do we point it at a fresh
     scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
