@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query is executed in full with the ``noop`` sink (the whole plan runs,
-nothing is collected to the driver).  Prints one JSON line.
+nothing is collected to the driver), once cold and once warm.  Prints one
+JSON line: ``value``/``queries`` are the warm pass, ``cold_*`` the first.
 """
 
 from __future__ import annotations
@@ -28,16 +29,21 @@ def main() -> None:
                           app_name="wardflow-bench")
     registered = catalog.queries()
 
-    # Warm-up: JIT, Parquet footer reads and codegen caches, not timed.
-    registered["hospital_outliers"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-
-    times: dict[str, float] = {}
-    for name, fn in registered.items():
-        if only and name not in only:
-            continue
-        t0 = time.perf_counter()
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+    def run_all() -> dict[str, float]:
+        times: dict[str, float] = {}
+        for name, fn in registered.items():
+            if only and name not in only:
+                continue
+            t0 = time.perf_counter()
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        return times
+
+    # First pass: cold (JIT, Parquet footers, codegen caches).  Second pass:
+    # warm, as a dashboard serving repeated requests sees it.  Every pass
+    # executes each query in full (noop sink, nothing collected).
+    cold = run_all()
+    times = run_all()
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -46,6 +52,8 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
+        "cold_value": round(sum(cold.values()), 3),
+        "cold_queries": cold,
     }))
     spark.stop()
 

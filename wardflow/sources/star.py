@@ -34,6 +34,9 @@ CALENDAR_START = dt.date(1995, 1, 1)
 CALENDAR_END = dt.date(2001, 12, 31)
 
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def coded_id(prefix: str, key: Column) -> Column:
     """'H' + lpad(key + 1, 2, '0'): the hospital / region code of a key."""
     return F.concat(F.lit(prefix), F.lpad((key + F.lit(1)).cast("string"), 2, "0"))
@@ -133,7 +136,16 @@ class DriverStar(Star):
         self.calendar_start, self.calendar_end = calendar_start, calendar_end
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The driver table as a (lazy) relation, resolved once per session.
+
+        The driver tables are read-only inputs, so their file listing and
+        Parquet schema are looked up once instead of on every report.
+        """
+        key = (id(self.spark), f"{self.sf_dir}/{name}.parquet")
+        df = _RELATIONS.get(key)
+        if df is None:
+            df = _RELATIONS[key] = self.spark.read.parquet(key[1])
+        return df
 
     # ---------------------------------------------------------- dimensions
     def dim(self, name: str) -> DataFrame:
