@@ -620,3 +620,13 @@ FROM (SELECT {rate('readmission_30_days_flag')} AS readmission_rate FROM fact_pa
 def oracle_sql() -> dict[str, str]:
     parts = {**report_parts(), **shape_parts(), **audit_parts()}
     return {name: q(body, ctes) for name, (ctes, body) in parts.items()}
+
+
+def scoped_sql(name: str, where: str) -> str:
+    """The oracle of ``name`` with the hospital dimension filtered by ``where``
+    (the dashboard filter applied to ``dim_hospital``, as the reports do)."""
+    sql = oracle_sql()[name]
+    head, tail = sql.split("dim_department AS (", 1)
+    head = head.replace("dim_hospital AS (\n", "dim_hospital AS (SELECT * FROM (\n", 1)
+    head = head.rstrip().rstrip(",") + f" WHERE {where}),\n"
+    return head + "dim_department AS (" + tail

@@ -54,15 +54,20 @@ def radar_profiles(star: Star, scope: Scope | None = None) -> DataFrame:
     the ``private = false`` row (T19).
     """
     m = sector_metrics(star, scope)
-    stack = ", ".join(f"{i}, '{label}', {key}" for i, (key, label) in enumerate(RADAR_AXES, 1))
-    long = m.select("private", F.expr(f"stack({len(RADAR_AXES)}, {stack}) AS (axis, subject, value)"))
     nhs_rank = F.when(F.col("private") == F.lit(False), 2).when(F.col("private").isNull(), 1).otherwise(0)
     pvt_rank = F.when(F.col("private"), 1).otherwise(0)
-    return (long.groupBy("axis", "subject").agg(
-        F.when(F.max(nhs_rank) > 0, F.max_by("value", nhs_rank)).otherwise(F.lit(0.0)).alias("NHS"),
-        F.when(F.max(pvt_rank) > 0, F.max_by("value", pvt_rank)).otherwise(F.lit(0.0)).alias("Private"),
-    ).select(F.col("axis").cast("bigint").alias("axis"), "subject", "NHS", "Private")
-     .orderBy("axis"))
+
+    def pick(key: str, rank) -> F.Column:
+        return F.when(F.max(rank) > 0, F.max_by(key, rank)).otherwise(F.lit(0.0))
+
+    # A global aggregate always yields one row, so all six axes exist even
+    # when the selection is empty (both sectors then read 0.0).
+    one = m.agg(*[c for key, _ in RADAR_AXES
+                  for c in (pick(key, nhs_rank).alias(f"nhs_{key}"), pick(key, pvt_rank).alias(f"pvt_{key}"))])
+    stack = ", ".join(f"{i}L, '{label}', nhs_{key}, pvt_{key}"
+                      for i, (key, label) in enumerate(RADAR_AXES, 1))
+    return (one.select(F.expr(f"stack({len(RADAR_AXES)}, {stack}) AS (axis, subject, NHS, Private)"))
+            .orderBy("axis"))
 
 
 def diverging_wait(star: Star, scope: Scope | None = None,
