@@ -1,35 +1,23 @@
 """Execute each registered query and report what its final plan does.
 
-For every query: number of scans per driver table (a fact scanned more
-than once means repeated work), shuffles, broadcasts, sort-merge joins.
+For every query: scans per driver table (a fact scanned more than once means
+repeated work), shuffles, broadcast and sort-merge joins, windows.
 
-    python tools/plan_audit.py [sf_dir] [name ...]
+    python tools/plan_audit.py [sf_dir] [name ...]      (SHOW=1 prints plans)
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from wardflow import catalog  # noqa: E402
+from wardflow.checks.plans import final_plan, plan_facts  # noqa: E402
 from wardflow.session import local_session  # noqa: E402
 
 
-def final_plan(df) -> str:
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    # keep the final adaptive plans (main query and subqueries), drop the initial ones
-    parts = re.split(r"\+- == (Final|Initial) Plan ==", plan)
-    keep, mode = [parts[0]], None
-    for i in range(1, len(parts), 2):
-        if parts[i] == "Final":
-            keep.append(parts[i + 1])
-    return "\n".join(keep)
-
-
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
@@ -38,11 +26,9 @@ def main() -> None:
         if only and name not in only:
             continue
         plan = final_plan(fn(spark, sf_dir))
-        scans = re.findall(r"FileScan parquet .*?\[file:[^\]]*/(\w+)\.parquet", plan)
-        counts = {t: scans.count(t) for t in sorted(set(scans))}
-        print(f"{name:26s} scans={counts} shuffles={plan.count('ShuffleQueryStage')} "
-              f"reused={plan.count('ReusedExchange')} bhj={plan.count('BroadcastHashJoin')} "
-              f"smj={plan.count('SortMergeJoin')} window={plan.count('Window')}")
+        f = plan_facts(plan)
+        print(f"{name:26s} scans={f.scans} shuffles={f.shuffles} bhj={f.broadcast_joins} "
+              f"smj={f.sort_merge_joins} window={f.windows}")
         if os.environ.get("SHOW"):
             print(plan)
 
