@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import rate_pct
-from wardflow.operators.scope import dim_side
 from wardflow.schemas import FOREIGN_KEYS, PRIMARY_KEYS, ROW_BOUND, UNIQUE_KEYS
 from wardflow.sources.star import Star
 
