@@ -22,6 +22,7 @@ def _on_star(report: Callable[..., DataFrame], **kwargs) -> QueryFn:
         return report(DriverStar(spark, sf_dir), **kwargs)
     run.__name__ = report.__name__
     run.__doc__ = report.__doc__
+    run.on = lambda star: report(star, **kwargs)  # the same report on any Star
     return run
 
 
