@@ -151,12 +151,14 @@ def _write(df: DataFrame, path: str, name: str) -> None:
     layout = LAYOUT.get(name)
     if layout:
         # Cluster by the columns reports filter and join on so Parquet
-        # min/max statistics prune row groups.  The range bounds include a
-        # second, high-cardinality column, so a hot hospital is split over
-        # many partitions instead of landing in one.
+        # min/max statistics prune row groups.  ``rebalance`` lets AQE size
+        # the output partitions from the measured shuffle bytes (advisory
+        # partition size) and split a hot hospital's partition into several,
+        # so file sizes hold at any scale; the sort makes each file's row
+        # groups cover narrow (hospital, time) ranges.
         cols = [c for c in layout if c in df.columns]
         if cols:
-            df = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+            df = df.hint("rebalance", cols[0]).sortWithinPartitions(*cols)
     df.write.mode("overwrite").parquet(path)
 
 
