@@ -185,3 +185,16 @@ def test_department_pivot_order_and_zero_fill(spark):
     got = {r["name"]: tuple(r)[2:] for r in out.collect()}
     assert got == {"Alpha": (0, 1, 0), "Beta": (0, 0, 1)}
     assert shapes.department_pivot(s, Scope(hospital_id="H02")).count() == 1
+
+
+def test_pivot_values_are_guarded(spark):
+    from wardflow.operators.reshape import TooManyPivotValues, pivot_values
+
+    df = spark.range(30).selectExpr("cast(id as string) as k")
+    assert pivot_values(df, "k")[:3] == ["0", "1", "10"]
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    try:
+        with pytest.raises(TooManyPivotValues):
+            pivot_values(df, "k")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardflow.functions import bands
 from wardflow.functions.numeric import js_round, round_dec
 from wardflow.functions.text import month_short_name, short_hospital_name
+from wardflow.operators.reshape import pivot_values
 from wardflow.operators.scope import Scope, focus_flag, hospital_scope, search
 from wardflow.plans import finance, outliers, overview, sector
 from wardflow.sources.star import Star
@@ -66,8 +67,7 @@ def department_pivot(star: Star, scope: Scope | None = None,
     """
     flat = overview.visits_by_department(star, scope)
     if departments is None:
-        departments = [r[0] for r in star.dim("dim_department").select("department_name")
-                       .distinct().collect()]
+        departments = pivot_values(star.dim("dim_department"), "department_name")
     cols = ordered_departments(departments)
     wide = flat.groupBy("hospital_name").pivot("department_name", cols).agg(F.sum("visits"))
     wide = wide.na.fill(0, subset=cols)
@@ -131,8 +131,7 @@ def readmission_month_pivot(star: Star, scope: Scope | None = None,
     """Month rows x hospital-id columns of monthly readmission %."""
     bump = outliers.bump_rankings(star, scope)
     if hospital_ids is None:
-        hospital_ids = sorted(r[0] for r in hospital_scope(star.hospitals(), scope)
-                              .select("hospital_id").collect())
+        hospital_ids = pivot_values(hospital_scope(star.hospitals(), scope), "hospital_id")
     return (bump.groupBy("month").pivot("hospital_id", hospital_ids)
             .agg(F.max("readmission_rate")).orderBy("month"))
 
@@ -289,8 +288,7 @@ def burnout_month_pivot(star: Star, scope: Scope | None = None,
     """Twelve month rows (always present) x hospital-name columns."""
     slope = finance.burnout_by_month(star, scope)
     if hospital_names is None:
-        hospital_names = sorted(r[0] for r in hospital_scope(star.hospitals(), scope)
-                                .select("hospital_name").distinct().collect())
+        hospital_names = pivot_values(hospital_scope(star.hospitals(), scope), "hospital_name")
     wide = slope.groupBy("month").pivot("hospital_name", hospital_names).agg(F.max("burnout"))
     months = star.spark.range(1, 13).select(F.col("id").alias("month"))
     return (months.join(wide, "month", "left")
