@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.plans import audit, finance, outliers, overview, sector, shapes, thresholds
+from wardflow.plans import audit, finance, outliers, overview, sector, shapes, sql, thresholds
 from wardflow.sources.star import DriverStar
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,8 @@ def report_queries() -> dict[str, QueryFn]:
         "half_year_shift": _on_star(thresholds.half_year_shift),
         "double_violators": _on_star(thresholds.double_violators),
         "burnout_violators": _on_star(thresholds.burnout_violators),
+        # the same analysis as SQL over the star's views
+        "sql_threshold_flags": _on_star(sql.sql_report),
     }
 
 

@@ -362,6 +362,7 @@ FROM {S_H} GROUP BY s.month"""),
 FROM {S_H} GROUP BY h.hospital_id, h.hospital_name, s.month"""),
         "cfo_alerts": _p(ALERTS, ALERT_INPUTS),
         "threshold_flags": _p("SELECT * FROM full_year", NOTEBOOK_FULL),
+        "sql_threshold_flags": _p("SELECT * FROM full_year", NOTEBOOK_FULL),
         "half_year_shift": _p("SELECT * FROM shift", NOTEBOOK_SHIFT),
         "double_violators": _p("""SELECT 'H1' AS period, hospital_id, hospital_name,
        h1_readmission_rate AS readmission_rate, h1_burnout AS burnout
