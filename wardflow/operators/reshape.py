@@ -24,3 +24,10 @@ def pivot_values(df: DataFrame, column: str) -> list:
         raise TooManyPivotValues(
             f"{column} has more than {limit} distinct values; pass the pivot columns explicitly")
     return sorted(values)
+
+
+def sort_if(df: DataFrame, ordered: bool, *keys) -> DataFrame:
+    """The report's ORDER BY, skipped when the caller reshapes it further
+    (a global sort is a range shuffle that a later window, pivot or
+    aggregate would only undo)."""
+    return df.orderBy(*keys) if ordered else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import mean, round_dec
 from wardflow.functions.text import py_str as py_text
+from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, dim_side, hospital_scope
 from wardflow.sources.star import Star
 
@@ -32,20 +33,20 @@ def _financials_in_scope(star: Star, scope: Scope | None, *cols: str) -> DataFra
     return star.financials("hospital_id", *cols).join(dim_side(h), "hospital_id")
 
 
-def burnout_financials(star: Star, scope: Scope | None = None) -> DataFrame:
+def burnout_financials(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Per hospital mean burnout, margin %, revenue, op cost, visits.
 
     Uses the financial rows' own burnout figure, not the shifts (T15).
     """
     f = _financials_in_scope(star, scope, "avg_burnout_index", "profit_margin",
                              "revenue", "operational_cost", "visit_count")
-    return f.groupBy("hospital_id", "hospital_name").agg(
+    out = f.groupBy("hospital_id", "hospital_name").agg(
         mean("avg_burnout_index", 3).alias("avg_burnout"),
         round_dec(F.avg("profit_margin") * F.lit(100.0), 2).alias("profit_margin_pct"),
         F.sum("revenue").cast("double").alias("revenue"),
         F.sum("operational_cost").cast("double").alias("operational_cost"),
-        F.sum("visit_count").cast("bigint").alias("visit_count"),
-    ).orderBy(F.desc_nulls_first("avg_burnout"))
+        F.sum("visit_count").cast("bigint").alias("visit_count"))
+    return sort_if(out, ordered, F.desc_nulls_first("avg_burnout"))
 
 
 def financial_waterfall(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -66,26 +67,26 @@ def financial_waterfall(star: Star, scope: Scope | None = None) -> DataFrame:
             .select(F.inline(stages)))
 
 
-def absences_overtime(star: Star, scope: Scope | None = None) -> DataFrame:
+def absences_overtime(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Per month, total absences and mean overtime hours."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id")
     s = star.staffing("hospital_id", "month", "staff_absence_count", "overtime_hours")
-    return (s.join(dim_side(h), "hospital_id").groupBy("month").agg(
+    out = (s.join(dim_side(h), "hospital_id").groupBy("month").agg(
         F.sum("staff_absence_count").cast("bigint").alias("absences"),
         mean("overtime_hours", 1).alias("overtime_hours"),
-    ).select(F.col("month").cast("bigint").alias("month"), "absences", "overtime_hours")
-            .orderBy(F.asc_nulls_last("month")))
+    ).select(F.col("month").cast("bigint").alias("month"), "absences", "overtime_hours"))
+    return sort_if(out, ordered, F.asc_nulls_last("month"))
 
 
-def burnout_by_month(star: Star, scope: Scope | None = None) -> DataFrame:
+def burnout_by_month(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Mean shift burnout per hospital and month (years pooled, T7)."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     s = star.staffing("hospital_id", "month", "burnout_risk_index")
-    return (s.join(dim_side(h), "hospital_id")
-            .groupBy("hospital_id", "hospital_name", "month")
+    out = (s.join(dim_side(h), "hospital_id")
+           .groupBy("hospital_id", "hospital_name", "month")
             .agg(mean("burnout_risk_index", 3).alias("burnout"))
-            .select("hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"), "burnout")
-            .orderBy(F.asc_nulls_last("month"), F.asc_nulls_last("hospital_name")))
+           .select("hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"), "burnout"))
+    return sort_if(out, ordered, F.asc_nulls_last("month"), F.asc_nulls_last("hospital_name"))
 
 
 def alert_inputs(star: Star, scope: Scope | None = None) -> DataFrame:

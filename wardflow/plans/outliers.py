@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import mean, rate_pct
+from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, dim_side, half_year, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
@@ -29,7 +30,8 @@ def staff_metrics(star: Star, hospitals: DataFrame, period: str | None = None) -
     return s.groupBy("hospital_id").agg(mean("burnout_risk_index", 3).alias("avg_burnout_index"))
 
 
-def hospital_outliers(star: Star, scope: Scope | None = None, period: str | None = None) -> DataFrame:
+def hospital_outliers(star: Star, scope: Scope | None = None, period: str | None = None,
+                      ordered: bool = True) -> DataFrame:
     """Every in-scope hospital with visit and shift metrics; zeros if none.
 
     Both facts are reduced to in-scope hospitals and aggregated to one row
@@ -40,7 +42,7 @@ def hospital_outliers(star: Star, scope: Scope | None = None, period: str | None
     v = visit_metrics(star, h, period)
     s = staff_metrics(star, h, period)
     zero = F.lit(0.0)
-    return (h.join(v, "hospital_id", "left").join(s, "hospital_id", "left").select(
+    out = (h.join(v, "hospital_id", "left").join(s, "hospital_id", "left").select(
         "hospital_id", "hospital_name", "nhs_trust_type", "city",
         F.coalesce("total_visits", F.lit(0).cast("bigint")).alias("total_visits"),
         F.coalesce("readmission_rate", zero).alias("readmission_rate"),
@@ -48,10 +50,11 @@ def hospital_outliers(star: Star, scope: Scope | None = None, period: str | None
         F.coalesce("avg_satisfaction", zero).alias("avg_satisfaction"),
         F.coalesce("avg_burnout_index", zero).alias("avg_burnout_index"),
         "staffing_stress",
-    ).orderBy(F.desc_nulls_first("readmission_rate")))
+    ))
+    return sort_if(out, ordered, F.desc_nulls_first("readmission_rate"))
 
 
-def bump_rankings(star: Star, scope: Scope | None = None) -> DataFrame:
+def bump_rankings(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Monthly readmission % per hospital and its dense rank in the month.
 
     The rank is over the *rounded* rate (T9) and only among the filtered
@@ -63,10 +66,10 @@ def bump_rankings(star: Star, scope: Scope | None = None) -> DataFrame:
                .groupBy("month", "hospital_id", "hospital_name")
                .agg(rate_pct("readmission_30_days_flag").alias("readmission_rate")))
     w = Window.partitionBy("month").orderBy(F.desc_nulls_first("readmission_rate"))
-    return monthly.select(
+    out = monthly.select(
         F.col("month").cast("bigint").alias("month"), "hospital_id", "hospital_name",
-        "readmission_rate", F.dense_rank().over(w).cast("bigint").alias("rank")
-    ).orderBy(F.asc_nulls_last("month"), F.asc_nulls_last("rank"))
+        "readmission_rate", F.dense_rank().over(w).cast("bigint").alias("rank"))
+    return sort_if(out, ordered, F.asc_nulls_last("month"), F.asc_nulls_last("rank"))
 
 
 def _severity_node(level) -> F.Column:
@@ -136,7 +139,7 @@ def sankey_nodes(star: Star, hospital_id: str | None = None, scope: Scope | None
 
 
 def severity_weekday_wait(star: Star, hospital_id: str | None = None,
-                          scope: Scope | None = None) -> DataFrame:
+                          scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Mean wait per severity x weekday (arrival date joined to the calendar).
 
     Arrivals outside the calendar or without a date drop out (inner join,
@@ -149,15 +152,15 @@ def severity_weekday_wait(star: Star, hospital_id: str | None = None,
     v = in_scope(star.visits("hospital_id", "arrival_datetime", "severity_level", "wait_time_minutes"), h)
     cal = star.calendar().select("full_date", "day_of_week", "day_number")
     joined = v.join(dim_side(cal, "dim_date"), F.to_date(v["arrival_datetime"]) == cal["full_date"])
-    return (joined.groupBy("hospital_id", "severity_level", "day_of_week", "day_number")
+    out = (joined.groupBy("hospital_id", "severity_level", "day_of_week", "day_number")
             .agg(mean("wait_time_minutes", 1).alias("avg_wait"))
             .select("hospital_id",
                     F.col("severity_level").cast("bigint").alias("severity"),
                     F.col("day_of_week").alias("weekday"),
                     F.col("day_number").cast("bigint").alias("day_num"),
-                    "avg_wait")
-            .orderBy(F.asc_nulls_last("hospital_id"), F.asc_nulls_last("severity"),
-                     F.asc_nulls_last("day_num")))
+                    "avg_wait"))
+    return sort_if(out, ordered, F.asc_nulls_last("hospital_id"), F.asc_nulls_last("severity"),
+                   F.asc_nulls_last("day_num"))
 
 
 __all__ = ["visit_metrics", "staff_metrics", "hospital_outliers", "bump_rankings",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import count_true, pct, round_dec
+from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, dim_side, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
@@ -32,61 +33,61 @@ def kpis(star: Star, scope: Scope | None = None) -> DataFrame:
     )
 
 
-def visits_over_time(star: Star, scope: Scope | None = None) -> DataFrame:
+def visits_over_time(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """R2: visits per arrival ``YYYY-MM`` (null arrivals form a null month)."""
     h = hospital_scope(star.hospitals(), scope)
     v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
-    return (v.groupBy(F.date_format("arrival_datetime", "yyyy-MM").alias("month"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("visits"))
-            .orderBy(F.asc_nulls_last("month")))
+    out = (v.groupBy(F.date_format("arrival_datetime", "yyyy-MM").alias("month"))
+           .agg(F.count(F.lit(1)).cast("bigint").alias("visits")))
+    return sort_if(out, ordered, F.asc_nulls_last("month"))
 
 
-def visits_by_department(star: Star, scope: Scope | None = None) -> DataFrame:
+def visits_by_department(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """R3 (flat): visits per hospital name x department name."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     d = star.dim("dim_department").select("department_id", "department_name")
     v = star.visits("visit_id", "hospital_id", "department_id")
-    return (v.join(dim_side(h), "hospital_id")
-            .join(dim_side(d, "dim_department"), "department_id")
-            .groupBy("hospital_name", "department_name")
-            .agg(F.count("visit_id").cast("bigint").alias("visits"))
-            .orderBy(F.asc_nulls_last("hospital_name"), F.desc_nulls_first("visits")))
+    out = (v.join(dim_side(h), "hospital_id")
+           .join(dim_side(d, "dim_department"), "department_id")
+           .groupBy("hospital_name", "department_name")
+           .agg(F.count("visit_id").cast("bigint").alias("visits")))
+    return sort_if(out, ordered, F.asc_nulls_last("hospital_name"), F.desc_nulls_first("visits"))
 
 
-def visits_treemap(star: Star, scope: Scope | None = None) -> DataFrame:
+def visits_treemap(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """One row per hospital with its departments as an ordered list.
 
     ``children`` is ``array<struct<name, value>>`` ordered by visits
     descending; a hospital's list is bounded by the department dimension.
     """
-    flat = visits_by_department(star, scope)
-    ordered = F.array_sort(
+    flat = visits_by_department(star, scope, ordered=False)
+    by_visits = F.array_sort(
         F.collect_list(F.struct((-F.col("visits")).alias("k"),
                                 F.col("department_name").alias("name"),
                                 F.col("visits").alias("value"))))
-    return (flat.groupBy(F.col("hospital_name").alias("name"))
-            .agg(ordered.alias("c"))
-            .select("name", F.transform("c", lambda x: F.struct(
-                x["name"].alias("name"), x["value"].alias("value"))).alias("children"))
-            .orderBy(F.asc_nulls_last("name")))
+    out = (flat.groupBy(F.col("hospital_name").alias("name"))
+           .agg(by_visits.alias("c"))
+           .select("name", F.transform("c", lambda x: F.struct(
+               x["name"].alias("name"), x["value"].alias("value"))).alias("children")))
+    return sort_if(out, ordered, F.asc_nulls_last("name"))
 
 
-def daily_counts(star: Star, scope: Scope | None = None) -> DataFrame:
+def daily_counts(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Visits per arrival date as ``YYYY-MM-DD`` text."""
     h = hospital_scope(star.hospitals(), scope)
     v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
-    return (v.groupBy(F.to_date("arrival_datetime").cast("string").alias("date"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-            .orderBy(F.asc_nulls_last("date")))
+    out = (v.groupBy(F.to_date("arrival_datetime").cast("string").alias("date"))
+           .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+    return sort_if(out, ordered, F.asc_nulls_last("date"))
 
 
-def hourly_arrivals(star: Star, scope: Scope | None = None) -> DataFrame:
+def hourly_arrivals(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Visits per hour of arrival."""
     h = hospital_scope(star.hospitals(), scope)
     v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
-    return (v.groupBy(F.hour("arrival_datetime").cast("bigint").alias("hour"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-            .orderBy(F.asc_nulls_last("hour")))
+    out = (v.groupBy(F.hour("arrival_datetime").cast("bigint").alias("hour"))
+           .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+    return sort_if(out, ordered, F.asc_nulls_last("hour"))
 
 
 __all__ = ["kpis", "visits_over_time", "visits_by_department", "visits_treemap",

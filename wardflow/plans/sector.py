@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import pct, round_dec
 from wardflow.operators.fanout import FactSide, fanout_sums, weighted_mean
+from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, dim_side, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
@@ -47,7 +48,7 @@ def sector_metrics(star: Star, scope: Scope | None = None) -> DataFrame:
     )
 
 
-def radar_profiles(star: Star, scope: Scope | None = None) -> DataFrame:
+def radar_profiles(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Six axes with an NHS and a Private value each.
 
     A sector with no row gives 0.0; a null ``private`` is read as NHS, after
@@ -66,12 +67,12 @@ def radar_profiles(star: Star, scope: Scope | None = None) -> DataFrame:
                   for c in (pick(key, nhs_rank).alias(f"nhs_{key}"), pick(key, pvt_rank).alias(f"pvt_{key}"))])
     stack = ", ".join(f"{i}L, '{label}', nhs_{key}, pvt_{key}"
                       for i, (key, label) in enumerate(RADAR_AXES, 1))
-    return (one.select(F.expr(f"stack({len(RADAR_AXES)}, {stack}) AS (axis, subject, NHS, Private)"))
-            .orderBy("axis"))
+    out = one.select(F.expr(f"stack({len(RADAR_AXES)}, {stack}) AS (axis, subject, NHS, Private)"))
+    return sort_if(out, ordered, "axis")
 
 
 def diverging_wait(star: Star, scope: Scope | None = None,
-                   benchmark: float = NETWORK_WAIT_BENCHMARK) -> DataFrame:
+                   benchmark: float = NETWORK_WAIT_BENCHMARK, ordered: bool = True) -> DataFrame:
     """Mean wait per hospital and its distance from a fixed benchmark.
 
     Visits are pre-aggregated per hospital before the join; hospitals
@@ -84,11 +85,11 @@ def diverging_wait(star: Star, scope: Scope | None = None,
          .groupBy("hospital_id")
          .agg(F.sum("wait_time_minutes").alias("w_sum"), F.count("wait_time_minutes").alias("w_cnt")))
     avg = F.try_divide(F.col("w_sum").cast("double"), F.col("w_cnt").cast("double"))
-    return h.join(v, "hospital_id", "left").select(
+    out = h.join(v, "hospital_id", "left").select(
         "hospital_id", "hospital_name", "nhs_trust_type", "private",
         round_dec(avg, 1).alias("avg_wait_time"),
-        round_dec(avg - F.lit(benchmark), 1).alias("divergence")
-    ).orderBy(F.desc_nulls_first("avg_wait_time"))
+        round_dec(avg - F.lit(benchmark), 1).alias("divergence"))
+    return sort_if(out, ordered, F.desc_nulls_first("avg_wait_time"))
 
 
 def regional_choropleth(star: Star, scope: Scope | None = None) -> DataFrame:

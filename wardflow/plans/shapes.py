@@ -65,7 +65,7 @@ def department_pivot(star: Star, scope: Scope | None = None,
     The column list is the department dimension in business order (a pivot
     needs its columns up front; the dimension is small by contract).
     """
-    flat = overview.visits_by_department(star, scope)
+    flat = overview.visits_by_department(star, scope, ordered=False)
     if departments is None:
         departments = pivot_values(star.dim("dim_department"), "department_name")
     cols = ordered_departments(departments)
@@ -78,7 +78,7 @@ def department_pivot(star: Star, scope: Scope | None = None,
 def department_totals(star: Star, scope: Scope | None = None) -> DataFrame:
     """Visits per department summed over the hospitals' nested lists
     (the totals that order the stacked view)."""
-    tree = overview.visits_treemap(star, scope)
+    tree = overview.visits_treemap(star, scope, ordered=False)
     return (tree.select(F.inline("children"))
             .groupBy(F.col("name").alias("department_name"))
             .agg(F.sum("value").cast("bigint").alias("visits"))
@@ -92,7 +92,7 @@ def calendar_heatmap(star: Star, scope: Scope | None = None, year: str | None =
     on the first day of a block whose month differs from the block before
     (gaps shift the grid, as on the page).  ``year`` filters (B5).
     """
-    daily = overview.daily_counts(star, scope).withColumn("year", F.substring("date", 1, 4))
+    daily = overview.daily_counts(star, scope, ordered=False).withColumn("year", F.substring("date", 1, 4))
     if year:
         daily = daily.filter(F.col("year") == F.lit(str(year)))
     w = Window.partitionBy("year").orderBy("date")
@@ -129,7 +129,7 @@ def department_families(star: Star) -> DataFrame:
 def readmission_month_pivot(star: Star, scope: Scope | None = None,
                             hospital_ids: list[str] | None = None) -> DataFrame:
     """Month rows x hospital-id columns of monthly readmission %."""
-    bump = outliers.bump_rankings(star, scope)
+    bump = outliers.bump_rankings(star, scope, ordered=False)
     if hospital_ids is None:
         hospital_ids = pivot_values(hospital_scope(star.hospitals(), scope), "hospital_id")
     return (bump.groupBy("month").pivot("hospital_id", hospital_ids)
@@ -193,7 +193,7 @@ def severity_weekday_grid(star: Star, hospital_id: str | None = None,
                     F.posexplode(F.array(*[F.lit(d) for d in WEEKDAYS])).alias("pos", "weekday"))
             .select("hospital_id", "severity", "weekday",
                     (F.col("pos") + 1).cast("bigint").alias("day_num")))
-    cells = outliers.severity_weekday_wait(star, hospital_id, scope).select(
+    cells = outliers.severity_weekday_wait(star, hospital_id, scope, ordered=False).select(
         "hospital_id", "severity", "weekday", "avg_wait")
     wait = F.col("avg_wait")
     truthy = wait.isNotNull() & (wait != 0)
@@ -206,7 +206,7 @@ def severity_weekday_grid(star: Star, hospital_id: str | None = None,
 
 def scatter_focus(star: Star, focus_id: str = "H07", scope: Scope | None = None) -> DataFrame:
     """The financial bubble rows with the focus hospital marked."""
-    return focus_flag(finance.burnout_financials(star, scope), focus_id)
+    return focus_flag(finance.burnout_financials(star, scope, ordered=False), focus_id)
 
 
 # ------------------------------------------------------------------ sector
@@ -218,7 +218,7 @@ def facility_ledger(star: Star, scope: Scope | None = None, period: str | None =
     search (B6) and sort (F2).  The mean is a window over the listed rows,
     one per hospital (bounded by the hospital dimension).
     """
-    t = outliers.hospital_outliers(star, scope, period)
+    t = outliers.hospital_outliers(star, scope, period, ordered=False)
     t = t.select(
         "hospital_id", "hospital_name", "nhs_trust_type", "city", "total_visits",
         "readmission_rate", "avg_wait_time", "avg_satisfaction", "avg_burnout_index",
@@ -244,7 +244,7 @@ def regional_alarms(star: Star, scope: Scope | None = None) -> DataFrame:
 def sector_gap(star: Star, scope: Scope | None = None) -> DataFrame:
     """Private minus NHS per radar axis, with direction text and
     min-max positions of both sectors (50 when equal)."""
-    radar = sector.radar_profiles(star, scope)
+    radar = sector.radar_profiles(star, scope, ordered=False)
     subject = F.col("subject")
     unit_txt, places_of = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, (u, p) in AXIS_UNITS.items():
@@ -286,7 +286,7 @@ def waterfall_bars(star: Star, scope: Scope | None = None) -> DataFrame:
 def burnout_month_pivot(star: Star, scope: Scope | None = None,
                         hospital_names: list[str] | None = None) -> DataFrame:
     """Twelve month rows (always present) x hospital-name columns."""
-    slope = finance.burnout_by_month(star, scope)
+    slope = finance.burnout_by_month(star, scope, ordered=False)
     if hospital_names is None:
         hospital_names = pivot_values(hospital_scope(star.hospitals(), scope), "hospital_name")
     wide = slope.groupBy("month").pivot("hospital_name", hospital_names).agg(F.max("burnout"))
@@ -299,7 +299,7 @@ def burnout_month_pivot(star: Star, scope: Scope | None = None,
 
 def burnout_hospital_list(star: Star, scope: Scope | None = None) -> DataFrame:
     """P20: one row per hospital: its last month's burnout (distinct-on)."""
-    slope = finance.burnout_by_month(star, scope)
+    slope = finance.burnout_by_month(star, scope, ordered=False)
     w = Window.partitionBy("hospital_id").orderBy(F.desc("month"), F.desc("hospital_name"))
     return (slope.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn"))
 
@@ -314,6 +314,6 @@ def alert_summary(star: Star, scope: Scope | None = None) -> DataFrame:
 
 def deficit_hospitals(star: Star, scope: Scope | None = None) -> DataFrame:
     """Hospitals whose mean profit margin is negative."""
-    return (finance.burnout_financials(star, scope)
+    return (finance.burnout_financials(star, scope, ordered=False)
             .filter(F.col("profit_margin_pct") < 0)
             .select("hospital_id", "hospital_name", "profit_margin_pct"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import count_true, pct, round_dec
+from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, hospital_scope, in_scope
 from wardflow.plans.outliers import staff_metrics, visit_metrics
 from wardflow.sources.star import Star
@@ -16,7 +17,7 @@ BURNOUT_LIMIT = 0.60
 
 def threshold_flags(star: Star, scope: Scope | None = None,
                     readmission_target: float = READMISSION_TARGET,
-                    burnout_limit: float = BURNOUT_LIMIT) -> DataFrame:
+                    burnout_limit: float = BURNOUT_LIMIT, ordered: bool = True) -> DataFrame:
     """Full-year rates per hospital and which limits they break.
 
     Hospitals need both visits and shifts (inner joins); flags compare the
@@ -28,14 +29,14 @@ def threshold_flags(star: Star, scope: Scope | None = None,
     s = staff_metrics(star, h)
     over_r = F.col("readmission_rate_pct") > F.lit(readmission_target)
     over_b = F.col("avg_burnout_index") > F.lit(burnout_limit)
-    return (h.join(v, "hospital_id").join(s, "hospital_id").select(
+    out = (h.join(v, "hospital_id").join(s, "hospital_id").select(
         "hospital_id", "hospital_name", "total_visits", "readmission_rate_pct", "avg_burnout_index",
         over_r.alias("violates_readmission"), over_b.alias("violates_burnout"),
-        (over_r & over_b).alias("violates_both")
-    ).orderBy(F.desc_nulls_first("readmission_rate_pct")))
+        (over_r & over_b).alias("violates_both")))
+    return sort_if(out, ordered, F.desc_nulls_first("readmission_rate_pct"))
 
 
-def half_year_shift(star: Star, scope: Scope | None = None) -> DataFrame:
+def half_year_shift(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """H1 (months 1-6) vs H2 (7-12) readmission % and burnout, and deltas.
 
     One pass over each fact with conditional aggregates instead of four
@@ -62,19 +63,19 @@ def half_year_shift(star: Star, scope: Scope | None = None) -> DataFrame:
         pct(F.col("h1_hits"), F.col("h1_n")).alias("h1_readmission_rate"),
         pct(F.col("h2_hits"), F.col("h2_n")).alias("h2_readmission_rate"),
         "h1_burnout", "h2_burnout")
-    return rates.select(
+    out = rates.select(
         "hospital_id", "hospital_name", "h1_readmission_rate", "h2_readmission_rate",
         round_dec(F.col("h2_readmission_rate") - F.col("h1_readmission_rate"), 2).alias("readmission_delta"),
         "h1_burnout", "h2_burnout",
-        round_dec(F.col("h2_burnout") - F.col("h1_burnout"), 3).alias("burnout_delta")
-    ).orderBy(F.desc_nulls_first("readmission_delta"))
+        round_dec(F.col("h2_burnout") - F.col("h1_burnout"), 3).alias("burnout_delta"))
+    return sort_if(out, ordered, F.desc_nulls_first("readmission_delta"))
 
 
 def double_violators(star: Star, scope: Scope | None = None,
                      readmission_target: float = READMISSION_TARGET,
                      burnout_limit: float = BURNOUT_LIMIT) -> DataFrame:
     """Hospitals over both limits, per half, from R19 (one pass)."""
-    t = half_year_shift(star, scope)
+    t = half_year_shift(star, scope, ordered=False)
     halves = F.array(*[
         F.struct(F.lit(p.upper()).alias("period"),
                  F.col(f"{p}_readmission_rate").alias("readmission_rate"),
@@ -93,6 +94,6 @@ def burnout_violators(star: Star, scope: Scope | None = None,
     The count is a window over the flagged rows, which are one per hospital
     (bounded by the hospital dimension), so the facts are scanned once.
     """
-    flagged = threshold_flags(star, scope, burnout_limit=burnout_limit).filter("violates_burnout")
+    flagged = threshold_flags(star, scope, burnout_limit=burnout_limit, ordered=False).filter("violates_burnout")
     return flagged.select("hospital_id", "hospital_name", "avg_burnout_index", "readmission_rate_pct",
                           F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint").alias("violator_count"))
