@@ -7,14 +7,24 @@ from dataclasses import dataclass
 
 
 def final_plan(df) -> str:
-    """Run ``df`` and return its final adaptive plans (query and subqueries)."""
+    """Run ``df`` and return its final adaptive plans (query and subqueries).
+
+    Adaptive plans print a "Final Plan" and an "Initial Plan" block; the
+    lines indented under an "Initial Plan" marker are dropped.
+    """
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    parts = re.split(r"\+- == (Final|Initial) Plan ==", plan)
-    keep = [parts[0]]
-    for i in range(1, len(parts), 2):
-        if parts[i] == "Final":
-            keep.append(parts[i + 1])
+    keep, skip_below = [], None
+    for line in plan.splitlines():
+        indent = len(line) - len(line.lstrip(" :|+-"))
+        if skip_below is not None:
+            if indent > skip_below:
+                continue
+            skip_below = None
+        if "== Initial Plan ==" in line:
+            skip_below = line.index("+-")
+            continue
+        keep.append(line)
     return "\n".join(keep)
 
 
