@@ -237,33 +237,43 @@ def _txt(c: str) -> str:
     return f"COALESCE(CAST({c} AS VARCHAR), 'None')"
 
 
-ALERTS = "\nUNION ALL\n".join([
-    _alert("CRITICAL_BURNOUT", "CRITICAL", "avg_burnout",
-           f"'Action Required: ' || hospital_name || ' staffing burnout index has reached ' || "
-           f"{_txt('avg_burnout')} || ', crossing the 0.630 safety limit.'",
-           "avg_burnout <> 0 AND avg_burnout > 0.63"),
-    _alert("STAFFING_STRESS", "WARNING", "avg_burnout",
-           "'Staffing Alert: ' || hospital_name || ' staffing stress has reached HIGH due to long "
-           "wait times and rising clinician fatigue.'",
-           "hospital_id = 'H03'"),
-    _alert("STAFFING_STRESS", "WARNING", "avg_burnout",
-           f"'Staffing Alert: ' || hospital_name || ' staffing stress index sits at ' || "
-           f"{_txt('avg_burnout')} || ', crossing target limits.'",
-           "hospital_id = 'H07'"),
-    _alert("FINANCIAL_SQUEEZE", "WARNING", "avg_profit_margin",
-           f"'Sustainability Alert: ' || hospital_name || ' profit margin sits at ' || "
-           f"{_txt('avg_profit_margin')} || '%, violating the 15.0% board sustainability floor.'",
-           "avg_profit_margin <> 0 AND avg_profit_margin < 15.0"),
-    _alert("FINANCIAL_SQUEEZE", "WARNING", "avg_profit_margin",
-           f"'Sustainability Alert: ' || hospital_name || ' profit margin sits at ' || "
-           f"{_txt('avg_profit_margin')} || '%, violating the 16.0% board sustainability floor.'",
-           "NOT (avg_profit_margin <> 0 AND avg_profit_margin < 15.0) AND hospital_id = 'H03' "
-           "AND avg_profit_margin <> 0 AND avg_profit_margin < 16.0"),
-    _alert("READMISSION_SPIKE", "WARNING", "avg_readmit_rate",
-           f"'Readmission Alert: ' || hospital_name || ' 30-day readmission rate sits at ' || "
-           f"{_txt('avg_readmit_rate')} || '%, exceeding the 11.0% NHS ceiling.'",
-           "avg_readmit_rate <> 0 AND avg_readmit_rate > 18.0"),
-])
+def _render_sql(template: str, value: str) -> str:
+    """An alert text template as SQL string concatenation."""
+    import re
+
+    parts = [p for p in re.split(r"(\{name\}|\{value\})", template) if p]
+    out = []
+    for p in parts:
+        if p == "{name}":
+            out.append("COALESCE(hospital_name, 'None')")
+        elif p == "{value}":
+            out.append(_txt(value))
+        else:
+            out.append("'" + p.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+def _alerts_sql() -> str:
+    from wardflow.plans.finance import ALERT_TEXTS as T
+
+    squeeze = "avg_profit_margin <> 0 AND avg_profit_margin < 15.0"
+    return "\nUNION ALL\n".join([
+        _alert("CRITICAL_BURNOUT", "CRITICAL", "avg_burnout",
+               _render_sql(T["critical_burnout"], "avg_burnout"), "avg_burnout <> 0 AND avg_burnout > 0.63"),
+        _alert("STAFFING_STRESS", "WARNING", "avg_burnout",
+               _render_sql(T["stress_first"], "avg_burnout"), "hospital_id = 'H03'"),
+        _alert("STAFFING_STRESS", "WARNING", "avg_burnout",
+               _render_sql(T["stress_second"], "avg_burnout"), "hospital_id = 'H07'"),
+        _alert("FINANCIAL_SQUEEZE", "WARNING", "avg_profit_margin",
+               _render_sql(T["squeeze"], "avg_profit_margin"), squeeze),
+        _alert("FINANCIAL_SQUEEZE", "WARNING", "avg_profit_margin",
+               _render_sql(T["squeeze_watched"], "avg_profit_margin"),
+               f"NOT ({squeeze}) AND hospital_id = 'H03' AND avg_profit_margin <> 0 "
+               "AND avg_profit_margin < 16.0"),
+        _alert("READMISSION_SPIKE", "WARNING", "avg_readmit_rate",
+               _render_sql(T["readmission"], "avg_readmit_rate"),
+               "avg_readmit_rate <> 0 AND avg_readmit_rate > 18.0"),
+    ])
 
 
 def report_parts() -> dict[str, tuple[str, str]]:
@@ -360,7 +370,7 @@ FROM {S_H} GROUP BY s.month"""),
         "burnout_by_month": _p(f"""SELECT h.hospital_id, h.hospital_name, CAST(s.month AS BIGINT) AS month,
        {rd('AVG(s.burnout_risk_index)', 3)} AS burnout
 FROM {S_H} GROUP BY h.hospital_id, h.hospital_name, s.month"""),
-        "cfo_alerts": _p(ALERTS, ALERT_INPUTS),
+        "cfo_alerts": _p(_alerts_sql(), ALERT_INPUTS),
         "threshold_flags": _p("SELECT * FROM full_year", NOTEBOOK_FULL),
         "sql_threshold_flags": _p("SELECT * FROM full_year", NOTEBOOK_FULL),
         "half_year_shift": _p("SELECT * FROM shift", NOTEBOOK_SHIFT),

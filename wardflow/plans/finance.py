@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,37 @@ WATERFALL_STAGES = [
     "Net Profit Margin",
 ]
 
-# CFO alert limits and texts.
+# CFO alert limits.
 BURNOUT_CEILING = 0.63
 MARGIN_FLOOR = 15.0
 WATCHED_MARGIN_FLOOR = 16.0
 READMISSION_CEILING = 18.0
 WATCHED_HOSPITALS = ("H03", "H07")
 
+# CFO alert texts, in rule order; {name} is the hospital name
+# and {value} the averaged figure the rule tested, printed as Python does.
+ALERT_TEXTS = {
+    "critical_burnout": "Action Required: {name} staffing burnout index has reached {value}, "
+                        "crossing the 0.630 safety limit.",
+    "stress_first": "Staffing Alert: {name} staffing stress has reached HIGH due to long wait times "
+                    "and rising clinician fatigue.",
+    "stress_second": "Staffing Alert: {name} staffing stress index sits at {value}, crossing target limits.",
+    "squeeze": "Sustainability Alert: {name} profit margin sits at {value}%, "
+               "violating the 15.0% board sustainability floor.",
+    "squeeze_watched": "Sustainability Alert: {name} profit margin sits at {value}%, "
+                       "violating the 16.0% board sustainability floor.",
+    "readmission": "Readmission Alert: {name} 30-day readmission rate sits at {value}%, "
+                   "exceeding the 11.0% NHS ceiling.",
+}
+
+
+def render(template: str, name: Column, value: Column) -> Column:
+    """An alert text as a ``concat`` of its literal parts and the two fields."""
+    parts = re.split(r"(\{name\}|\{value\})", template)
+    cols = [name if p == "{name}" else py_text(value) if p == "{value}" else F.lit(p)
+            for p in parts if p]
+    return F.concat(*cols)
+
 
 def _financials_in_scope(star: Star, scope: Scope | None, *cols: str) -> DataFrame:
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
@@ -127,35 +153,25 @@ def cfo_alerts(star: Star, scope: Scope | None = None,
             F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
             value.cast("double").alias("value"), message.alias("message")))
 
+    name_text = F.coalesce(name, F.lit("None"))
+    squeeze = _truthy_number(margin) & (margin < F.lit(margin_floor))
     rules = F.array(
         alert(_truthy_number(burnout) & (burnout > F.lit(burnout_ceiling)),
               "CRITICAL_BURNOUT", "CRITICAL", burnout,
-              F.concat(F.lit("Action Required: "), name,
-                       F.lit(" staffing burnout index has reached "), py_text(burnout),
-                       F.lit(", crossing the 0.630 safety limit."))),
+              render(ALERT_TEXTS["critical_burnout"], name_text, burnout)),
         alert(hid == F.lit(first_watch), "STAFFING_STRESS", "WARNING", burnout,
-              F.concat(F.lit("Staffing Alert: "), name,
-                       F.lit(" staffing stress has reached HIGH due to long wait times"
-                             " and rising clinician fatigue."))),
+              render(ALERT_TEXTS["stress_first"], name_text, burnout)),
         alert(hid == F.lit(second_watch), "STAFFING_STRESS", "WARNING", burnout,
-              F.concat(F.lit("Staffing Alert: "), name,
-                       F.lit(" staffing stress index sits at "), py_text(burnout),
-                       F.lit(", crossing target limits."))),
-        alert(_truthy_number(margin) & (margin < F.lit(margin_floor)),
-              "FINANCIAL_SQUEEZE", "WARNING", margin,
-              F.concat(F.lit("Sustainability Alert: "), name, F.lit(" profit margin sits at "),
-                       py_text(margin), F.lit("%, violating the 15.0% board sustainability floor."))),
-        alert(~(_truthy_number(margin) & (margin < F.lit(margin_floor)))
-              & (hid == F.lit(first_watch)) & _truthy_number(margin)
+              render(ALERT_TEXTS["stress_second"], name_text, burnout)),
+        alert(squeeze, "FINANCIAL_SQUEEZE", "WARNING", margin,
+              render(ALERT_TEXTS["squeeze"], name_text, margin)),
+        alert(~squeeze & (hid == F.lit(first_watch)) & _truthy_number(margin)
               & (margin < F.lit(watched_margin_floor)),
               "FINANCIAL_SQUEEZE", "WARNING", margin,
-              F.concat(F.lit("Sustainability Alert: "), name, F.lit(" profit margin sits at "),
-                       py_text(margin), F.lit("%, violating the 16.0% board sustainability floor."))),
+              render(ALERT_TEXTS["squeeze_watched"], name_text, margin)),
         alert(_truthy_number(readmit) & (readmit > F.lit(readmission_ceiling)),
               "READMISSION_SPIKE", "WARNING", readmit,
-              F.concat(F.lit("Readmission Alert: "), name,
-                       F.lit(" 30-day readmission rate sits at "), py_text(readmit),
-                       F.lit("%, exceeding the 11.0% NHS ceiling."))),
+              render(ALERT_TEXTS["readmission"], name_text, readmit)),
     )
     return (a.select("hospital_id", "hospital_name",
                      F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("a"))
