@@ -105,9 +105,9 @@ def test_load_stages_audits_and_publishes(spark, sf0001):
     for report in (outliers.hospital_outliers, sector.radar_profiles, outliers.sankey_links):
         assert rows(report(pub)) == rows(report(src))
     files = spark.read.parquet(f"{target}/fact_patient_visits").inputFiles()
-    assert files  # written with the sorted layout
-    first = spark.read.parquet(files[0]).select("hospital_id").collect()
-    assert [r[0] for r in first] == sorted(r[0] for r in first)
+    assert files and all("/hospital_id=H" in f for f in files)  # partitioned by hospital
+    first = [r[0] for r in spark.read.parquet(files[0]).select("arrival_datetime").collect()]
+    assert first == sorted(first)  # and sorted by time inside each file
 
 
 def test_dimension_bounds(spark):
@@ -118,3 +118,21 @@ def test_dimension_bounds(spark):
     s2 = star(spark, dim_region=big)
     b2 = {r["table_name"]: r["status"] for r in audit.dimension_bounds(s2).collect()}
     assert b2["dim_region"] == "violation"
+
+
+def test_published_facts_prune_by_region(spark, sf0001):
+    from wardflow.operators.scope import Scope
+    from wardflow.plans import overview
+
+    src = DriverStar(spark, sf0001)
+    target = scratch() + "/star"
+    res = etl.load(spark, etl.star_tables(src), target, allow_violations={"fact_patient_visits"})
+    pub = PublishedStar(spark, res.published_to)
+    df = overview.hourly_arrivals(pub, Scope(region="R02"))
+    assert rows(df) == rows(overview.hourly_arrivals(src, Scope(region="R02")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan  # region filter prunes hospital partitions
+    unpartitioned = etl.load(spark, etl.star_tables(src), scratch() + "/flat",
+                             allow_violations={"fact_patient_visits"}, partition_by_hospital=False)
+    files = spark.read.parquet(f"{unpartitioned.published_to}/fact_staffing").inputFiles()
+    assert not any("hospital_id=" in f for f in files)

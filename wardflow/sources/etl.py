@@ -147,9 +147,18 @@ def conform(tables: dict[str, DataFrame], strict_flags: bool = False) -> dict[st
 
 
 # -------------------------------------------------------- stage / publish
-def _write(df: DataFrame, path: str, name: str) -> None:
+# Facts are also partitioned on disk by hospital when there are at most this
+# many hospitals: a dashboard filter (region, trust type) then prunes whole
+# directories at run time (dynamic partition pruning through the broadcast
+# hospital dimension).  More hospitals would mean too many small directories.
+HOSPITAL_PARTITION_LIMIT = 2000
+
+
+def _write(df: DataFrame, path: str, name: str, by_hospital: bool = False,
+           relayout: bool = True) -> None:
     layout = LAYOUT.get(name)
-    if layout:
+    writer_cols = ["hospital_id"] if by_hospital and layout and "hospital_id" in df.columns else []
+    if layout and relayout:
         # Cluster by the columns reports filter and join on so Parquet
         # min/max statistics prune row groups.  ``rebalance`` lets AQE size
         # the output partitions from the measured shuffle bytes (advisory
@@ -159,7 +168,10 @@ def _write(df: DataFrame, path: str, name: str) -> None:
         cols = [c for c in layout if c in df.columns]
         if cols:
             df = df.hint("rebalance", cols[0]).sortWithinPartitions(*cols)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if writer_cols:
+        writer = writer.partitionBy(*writer_cols)
+    writer.parquet(path)
 
 
 @dataclass
@@ -190,18 +202,27 @@ def blocking(findings: dict[str, list], allow: set[str] | frozenset = frozenset(
 
 def load(spark: SparkSession, tables: dict[str, DataFrame], target: str,
          run_id: str | None = None, allow_violations: set[str] | frozenset = frozenset(),
-         publish: bool = True) -> LoadResult:
+         publish: bool = True, partition_by_hospital: bool | None = None) -> LoadResult:
     """A10 + A18: stage in dependency order, audit the staged copy, publish.
 
     ``allow_violations`` names tables whose audit findings are reported but
-    do not block publication.
+    do not block publication.  ``partition_by_hospital`` (default: when the
+    staged hospital dimension has at most ``HOSPITAL_PARTITION_LIMIT`` rows)
+    also partitions the facts on disk by hospital.
     """
     run_id = run_id or uuid.uuid4().hex[:12]
     root = target.rstrip("/")
     staging = f"{root}/_staging/{run_id}"
+    by_hospital = bool(partition_by_hospital)
     for name in LOAD_ORDER:
-        if name in tables:
-            _write(tables[name], f"{staging}/{name}", name)
+        if name not in tables:
+            continue
+        if name.startswith("fact_") and partition_by_hospital is None:
+            hospitals = spark.read.parquet(f"{staging}/dim_hospital") if "dim_hospital" in tables else None
+            by_hospital = hospitals is not None and \
+                hospitals.limit(HOSPITAL_PARTITION_LIMIT + 1).count() <= HOSPITAL_PARTITION_LIMIT
+            partition_by_hospital = by_hospital
+        _write(tables[name], f"{staging}/{name}", name, by_hospital)
     staged = PublishedStar(spark, staging)
     findings = audit_findings(staged)
     bad = blocking(findings, allow_violations)
@@ -214,7 +235,7 @@ def load(spark: SparkSession, tables: dict[str, DataFrame], target: str,
             # Read back the staged files: the published copy does not
             # recompute the source lineage.
             df = spark.read.parquet(f"{staging}/{name}")
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            _write(df, f"{root}/{name}", name, by_hospital, relayout=False)
     return LoadResult(staging, root, findings)
 
 
