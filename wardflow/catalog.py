@@ -7,6 +7,7 @@ are run for every hospital at once, keyed by ``hospital_id``).
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ def _on_star(report: Callable[..., DataFrame], **kwargs) -> QueryFn:
     run.__name__ = report.__name__
     run.__doc__ = report.__doc__
     run.on = lambda star: report(star, **kwargs)  # the same report on any Star
+    run.report = lambda star, **more: report(star, **{**kwargs, **more})  # with filters
+    run.report.__signature__ = inspect.signature(report)
     return run
 
 
