@@ -427,7 +427,8 @@ def shape_parts() -> dict[str, tuple[str, str]]:
                 "WHEN contains(lower(department_name), 'oncology') OR contains(lower(department_name), 'cancer') THEN 'oncology' "
                 "WHEN contains(lower(department_name), 'general medicine') OR contains(lower(department_name), 'internal') "
                 "THEN 'general medicine' "
-                "ELSE 'other-' || CAST(list_sum(list_transform(string_split(department_name, ''), lambda x: ascii(x))) % 6 AS VARCHAR) END")
+                "ELSE 'other-' || CAST((SELECT SUM(ascii(ch)) FROM unnest(string_split(department_name, '')) AS t(ch)) % 6 "
+                "AS VARCHAR) END")
     node_stats_ctes = SANKEY_CTES + """,
 ends AS (
     SELECT hospital_id, source_node AS name, value AS v_out, 0 AS v_in, false AS as_outcome FROM links
