@@ -481,6 +481,7 @@ FROM base GROUP BY month""", _on("bump_rankings")),
 FROM links l JOIN node_stats ns ON ns.hospital_id = l.hospital_id AND ns.name = l.source_node""",
                                 node_stats_ctes),
         "severity_weekday_grid": _p("""SELECT g.hospital_id, CAST(g.severity AS BIGINT) AS severity, g.weekday,
+       substr(g.weekday, 1, 3) AS day,
        CAST(g.day_num AS BIGINT) AS day_num, c.avg_wait,
        CASE WHEN c.avg_wait IS NULL OR c.avg_wait = 0 THEN 'none' WHEN c.avg_wait < 50 THEN '<50'
             WHEN c.avg_wait < 75 THEN '<75' WHEN c.avg_wait < 95 THEN '<95' ELSE '>=95' END AS wait_band,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import bands
 from wardflow.functions.numeric import js_round, round_dec
-from wardflow.functions.text import month_short_name, short_hospital_name
+from wardflow.functions.text import month_short_name, short_hospital_name, weekday_short
 from wardflow.operators.reshape import pivot_values
 from wardflow.operators.scope import Scope, focus_flag, hospital_scope, search
 from wardflow.plans import finance, outliers, overview, sector
@@ -198,7 +198,7 @@ def severity_weekday_grid(star: Star, hospital_id: str | None = None,
     wait = F.col("avg_wait")
     truthy = wait.isNotNull() & (wait != 0)
     return grid.join(cells, ["hospital_id", "severity", "weekday"], "left").select(
-        "hospital_id", "severity", "weekday", "day_num", "avg_wait",
+        "hospital_id", "severity", "weekday", weekday_short("weekday").alias("day"), "day_num", "avg_wait",
         bands.wait_band("avg_wait").alias("wait_band"),
         F.when(truthy, F.concat(js_round(wait).cast("string"), F.lit("m"))).otherwise(F.lit("-"))
         .alias("label"))
