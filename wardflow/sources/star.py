@@ -240,17 +240,22 @@ class DriverStar(Star):
         def base() -> DataFrame:
             return self.read("lineitem")
 
+        # Derived keys are computed on the lookup side of each join, once
+        # per supplier / part / order, not once per line item.
         def with_supplier(df: DataFrame) -> DataFrame:
-            s = self.read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+            s = self.read("supplier").select(F.col("s_suppkey").alias("l_suppkey"),
+                                             coded_id("H", F.col("s_nationkey")).alias("s_hospital_id"))
             return df.join(s, "l_suppkey")
 
         def with_part(df: DataFrame) -> DataFrame:
-            p = self.read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
+            p = self.read("part").select(F.col("p_partkey").alias("l_partkey"),
+                                         F.concat(F.lit("D_"), F.col("p_type")).alias("p_department_id"),
+                                         "p_brand")
             return df.join(p, "l_partkey")
 
         def with_orders(df: DataFrame) -> DataFrame:
-            o = self.read("orders").select(F.col("o_orderkey").alias("l_orderkey"),
-                                           "o_custkey", "o_orderpriority")
+            o = self.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey",
+                                           F.substring("o_orderpriority", 1, 1).cast("int").alias("o_severity"))
             return df.join(o, "l_orderkey")
 
         col = F.col
@@ -262,8 +267,8 @@ class DriverStar(Star):
         columns = {
             "visit_id": ((), lambda: col("l_orderkey") * 10 + col("l_linenumber")),
             "patient_id": (("o",), lambda: col("o_custkey")),
-            "hospital_id": (("s",), lambda: coded_id("H", col("s_nationkey"))),
-            "department_id": (("p",), lambda: F.concat(F.lit("D_"), col("p_type"))),
+            "hospital_id": (("s",), lambda: col("s_hospital_id")),
+            "department_id": (("p",), lambda: col("p_department_id")),
             "doctor_id": ((), lambda: col("l_suppkey")),
             "diagnosis_category": (("p",), lambda: col("p_brand")),
             "arrival_datetime": ((), lambda: arrival),
@@ -271,7 +276,7 @@ class DriverStar(Star):
             "treatment_start_datetime": ((), lambda: arrival_plus(wait)),
             "discharge_datetime": ((), lambda: arrival_plus(wait + F.lit(60) * col("l_linenumber"))),
             "month": ((), lambda: F.month("l_shipdate")),
-            "severity_level": (("o",), lambda: F.substring("o_orderpriority", 1, 1).cast("int")),
+            "severity_level": (("o",), lambda: col("o_severity")),
             "admission_type": ((), lambda: _lookup(col("l_linestatus"), ADMISSION_BY_LINESTATUS)),
             "outcome": ((), lambda: _lookup(col("l_returnflag"), OUTCOME_BY_RETURNFLAG)),
             "wait_time_minutes": ((), lambda: wait),
@@ -290,13 +295,14 @@ class DriverStar(Star):
             return self.read("orders")
 
         def with_customer(df: DataFrame) -> DataFrame:
-            c = self.read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+            c = self.read("customer").select(F.col("c_custkey").alias("o_custkey"),
+                                             coded_id("H", F.col("c_nationkey")).alias("c_hospital_id"))
             return df.join(c, "o_custkey")
 
         col = F.col
         columns = {
             "shift_id": ((), lambda: col("o_orderkey")),
-            "hospital_id": (("c",), lambda: coded_id("H", col("c_nationkey"))),
+            "hospital_id": (("c",), lambda: col("c_hospital_id")),
             "department_id": ((), lambda: F.lit(None).cast("string")),
             "shift_date": ((), lambda: F.to_date("o_orderdate")),
             "month": ((), lambda: F.month("o_orderdate")),
