@@ -32,15 +32,26 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
                           app_name="wardflow-bench")
     registered = catalog.queries()
+    errors: dict[str, str] = {}
+
+    def timed(name: str, make) -> float | None:
+        """Seconds to run one query in full; a failure is recorded, not fatal."""
+        t0 = time.perf_counter()
+        try:
+            make().write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # keep benchmarking the rest
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            return None
+        return round(time.perf_counter() - t0, 3)
 
     def run_all() -> dict[str, float]:
         times: dict[str, float] = {}
         for name, fn in registered.items():
             if only and name not in only:
                 continue
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - t0, 3)
+            sec = timed(name, lambda: fn(spark, sf_dir))
+            if sec is not None:
+                times[name] = sec
         return times
 
     # First pass: cold (JIT, Parquet footers, codegen caches).  Second pass:
@@ -54,20 +65,22 @@ def main() -> None:
     published: dict[str, float] = {}
     etl_seconds = None
     if os.environ.get("BENCH_PUBLISHED", "1") == "1":
-        target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-star-{int(time.time())}"
-        t0 = time.perf_counter()
-        res = etl.load(spark, etl.star_tables(DriverStar(spark, sf_dir)), target,
-                       allow_violations={"fact_patient_visits"})  # fixture visit ids repeat
-        etl_seconds = round(time.perf_counter() - t0, 3)
-        star = PublishedStar(spark, res.published_to)
-        for rnd in range(2):  # warm-up round, then the timed one
-            for name, fn in registered.items():
-                if only and name not in only:
-                    continue
-                t0 = time.perf_counter()
-                fn.on(star).write.format("noop").mode("overwrite").save()
-                if rnd:
-                    published[name] = round(time.perf_counter() - t0, 3)
+        try:
+            target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-star-{int(time.time())}"
+            t0 = time.perf_counter()
+            res = etl.load(spark, etl.star_tables(DriverStar(spark, sf_dir)), target,
+                           allow_violations={"fact_patient_visits"})  # fixture visit ids repeat
+            etl_seconds = round(time.perf_counter() - t0, 3)
+            star = PublishedStar(spark, res.published_to)
+            for rnd in range(2):  # warm-up round, then the timed one
+                for name, fn in registered.items():
+                    if only and name not in only:
+                        continue
+                    sec = timed(f"published:{name}", lambda: fn.on(star))
+                    if rnd and sec is not None:
+                        published[name] = sec
+        except Exception as exc:
+            errors["published_load"] = f"{type(exc).__name__}: {str(exc)[:200]}"
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -81,6 +94,7 @@ def main() -> None:
         "published_etl_seconds": etl_seconds,
         "published_value": round(sum(published.values()), 3) if published else None,
         "published_queries": published,
+        "errors": errors,
     }))
     spark.stop()
 
