@@ -1,0 +1 @@
+"""Verification helpers: DuckDB oracle SQL, result comparison, plan facts."""
