@@ -31,3 +31,19 @@ def test_route_arguments(spark, sf0001):
     assert flow["nodes"].count() > 0
     with pytest.raises(KeyError):
         routes.call(star, "/nope")
+
+
+# The source system's smoke test allowed 10 s per request.
+SMOKE_LIMIT_SECONDS = 10.0
+
+
+@pytest.mark.parametrize("path", sorted(routes.ROUTES))
+def test_every_route_answers_within_the_smoke_limit(spark, sf001, path):
+    import time
+
+    star = DriverStar(spark, sf001)
+    started = time.perf_counter()
+    out = routes.call(star, path.replace("{hospital_id}", "H07"))
+    for df in (out.values() if isinstance(out, dict) else [out]):
+        assert df.count() >= 0
+    assert time.perf_counter() - started < SMOKE_LIMIT_SECONDS
