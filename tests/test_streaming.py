@@ -30,3 +30,15 @@ def test_streaming_matches_batch(spark, sf0001):
     got_h = rows(spark.table("live_hourly"))
     want_h = rows(overview.hourly_arrivals(star, Scope(region="R01")))
     assert got_h == want_h
+
+
+def test_live_alerts_match_batch(spark, sf0001):
+    from wardflow.plans import finance
+
+    star = DriverStar(spark, sf0001)
+    landing = tempfile.mkdtemp(prefix="wardflow-landing-")
+    star.financials().repartition(3).write.mode("overwrite").parquet(landing)
+    stream = live.financial_stream(spark, landing, max_files_per_trigger=1)
+    q = live.start(live.live_alerts(stream, star.hospitals()), "live_cfo_alerts")
+    q.awaitTermination(300)
+    assert rows(spark.table("live_cfo_alerts")) == rows(finance.cfo_alerts(star))

@@ -20,8 +20,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardflow.functions.numeric import mean, rate_pct
 from wardflow.operators.scope import Scope, hospital_scope, in_scope
+from wardflow.plans import finance
 from wardflow.schemas import SCHEMAS
 from wardflow.session import ensure_checkpoint_dir
+from wardflow.sources.star import FrameStar
 
 
 def visit_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -32,6 +34,25 @@ def visit_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return reader.parquet(path)
 
 
+def financial_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Monthly financial rows from Parquet files landing under ``path``."""
+    reader = spark.readStream.schema(SCHEMAS["fact_financials"])
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
+
+
+def live_alerts(financials: DataFrame, hospitals: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """The CFO alerts (R17) kept current as financial rows arrive.
+
+    The batch report itself runs on the stream: its per-hospital averages
+    are a streaming aggregate (state: one row per hospital) and the alert
+    rules are a projection of it.
+    """
+    star = FrameStar(financials.sparkSession, {"fact_financials": financials, "dim_hospital": hospitals})
+    return finance.cfo_alerts(star, scope)
+
+
 def live_hospital_metrics(visits: DataFrame, hospitals: DataFrame, scope: Scope | None = None) -> DataFrame:
     """Running per-hospital visit metrics (the visit half of R6)."""
     v = in_scope(visits, hospital_scope(hospitals, scope))
