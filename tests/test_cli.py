@@ -30,3 +30,10 @@ def test_derive_then_report_on_published_star(spark, sf0001):
     out = tempfile.mkdtemp(prefix="wardflow-cli-") + "/r10"
     assert main(["report", "radar_profiles", "--star", target, "--out", out]) == 0
     assert spark.read.parquet(out).count() == 6
+
+
+def test_report_as_json(spark, sf0001):
+    out = tempfile.mkdtemp(prefix="wardflow-cli-") + "/tree"
+    assert main(["report", "visits_treemap", "--sf-dir", sf0001, "--out", out, "--out-format", "json"]) == 0
+    first = spark.read.json(out).first()
+    assert first["children"] and {"name", "value"} <= set(first["children"][0].asDict())

@@ -69,7 +69,9 @@ def main(argv: list[str] | None = None) -> int:
     rp.add_argument("--trust-type")
     rp.add_argument("--hospital")
     rp.add_argument("--period", choices=["H1", "H2"])
-    rp.add_argument("--out", help="write the result here (Parquet)")
+    rp.add_argument("--out", help="write the result here")
+    rp.add_argument("--out-format", default="parquet", choices=["parquet", "json", "csv"],
+                    help="json gives the row objects the dashboard API returned")
     rp.add_argument("--show", type=int, default=0, help="print the first N rows")
     args = p.parse_args(argv)
 
@@ -99,8 +101,11 @@ def main(argv: list[str] | None = None) -> int:
     star = PublishedStar(spark, args.star) if args.star else DriverStar(spark, args.sf_dir)
     df = report(star, **_report_kwargs(report, args))
     if args.out:
-        df.write.mode("overwrite").parquet(args.out)
-        print(f"wrote {args.out}")
+        writer = df.write.mode("overwrite")
+        if args.out_format == "csv":
+            writer = writer.option("header", True)
+        writer.format(args.out_format).save(args.out)
+        print(f"wrote {args.out} ({args.out_format})")
     if args.show:
         df.show(args.show, truncate=False)
     return 0
