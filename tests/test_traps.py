@@ -278,3 +278,11 @@ def test_half_year_filter(spark, period, expected):
     s = star(spark, fact_patient_visits=visits(spark, vs))
     out = {r["hospital_id"]: r for r in outliers.hospital_outliers(s, period=period).collect()}
     assert out["H01"]["total_visits"] == expected
+
+
+def test_sankey_reports_dropped_flows(spark):
+    vs = [v(1, "H07", sev=2, outcome="Readmitted"), v(2, "H07", sev=None, outcome="Discharged"),
+          v(3, "H07", sev=5, adm="Elective", outcome=None)]
+    s = star(spark, fact_patient_visits=visits(spark, vs))
+    got = rows(outliers.sankey_dropped(s, "H07"))
+    assert got == [("H07", 1, 2)]

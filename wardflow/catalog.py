@@ -45,6 +45,7 @@ def report_queries() -> dict[str, QueryFn]:
         "bump_rankings": _on_star(outliers.bump_rankings),
         "sankey_links": _on_star(outliers.sankey_links),
         "sankey_nodes": _on_star(outliers.sankey_nodes),
+        "sankey_dropped": _on_star(outliers.sankey_dropped),
         "severity_weekday_wait": _on_star(outliers.severity_weekday_wait),
         # sector (R10-R12)
         "radar_profiles": _on_star(sector.radar_profiles),

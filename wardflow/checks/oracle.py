@@ -319,6 +319,12 @@ JOIN nodes s ON s.hospital_id = l.hospital_id AND s.name = l.source_node
 JOIN nodes t ON t.hospital_id = l.hospital_id AND t.name = l.target_node""", SANKEY_CTES),
         "sankey_nodes": _p("""SELECT hospital_id, CAST(node_index AS BIGINT) AS node_index, name
 FROM nodes""", SANKEY_CTES),
+        "sankey_dropped": _p(f"""SELECT v.hospital_id,
+       CAST(COUNT(*) FILTER (WHERE v.admission_type IS NULL OR v.severity_level IS NULL) AS BIGINT)
+           AS dropped_admission_links,
+       CAST(COUNT(*) FILTER (WHERE v.severity_level IS NULL OR v.outcome IS NULL) AS BIGINT)
+           AS dropped_outcome_links
+FROM {V_H} GROUP BY v.hospital_id"""),
         "severity_weekday_wait": _p(f"""SELECT v.hospital_id, CAST(v.severity_level AS BIGINT) AS severity,
        d.day_of_week AS weekday, CAST(d.day_number AS BIGINT) AS day_num,
        {rd('AVG(v.wait_time_minutes)', 1)} AS avg_wait

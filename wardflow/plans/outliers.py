@@ -104,6 +104,16 @@ def _links(star: Star, scope: Scope | None, hospital_id: str | None) -> DataFram
             .agg(F.sum("n").cast("bigint").alias("value")))
 
 
+def sankey_dropped(star: Star, hospital_id: str | None = None, scope: Scope | None = None) -> DataFrame:
+    """Visits per hospital left out of each flow hop for a null end."""
+    flows = _flows(star, scope, hospital_id)
+    first_gap = F.col("admission_type").isNull() | F.col("severity_level").isNull()
+    second_gap = F.col("severity_level").isNull() | F.col("outcome").isNull()
+    return flows.groupBy("hospital_id").agg(
+        F.coalesce(F.sum(F.when(first_gap, F.col("n"))), F.lit(0)).cast("bigint").alias("dropped_admission_links"),
+        F.coalesce(F.sum(F.when(second_gap, F.col("n"))), F.lit(0)).cast("bigint").alias("dropped_outcome_links"))
+
+
 def _node_names(links: DataFrame) -> F.Column:
     """Sorted distinct node names of a hospital (bounded by the categories)."""
     return F.array_sort(F.array_distinct(F.concat(
