@@ -75,22 +75,30 @@ def burnout_financials(star: Star, scope: Scope | None = None, ordered: bool = T
     return sort_if(out, ordered, F.desc_nulls_first("avg_burnout"))
 
 
+def waterfall_totals(star: Star, scope: Scope | None = None) -> DataFrame:
+    """One row of summed money columns (none when no financial row is in scope)."""
+    f = _financials_in_scope(star, scope, "revenue", "staffing_cost", "operational_cost", "icu_cost")
+    t = f.agg(*[F.sum(c).cast("double").alias(c)
+                for c in ("revenue", "staffing_cost", "operational_cost", "icu_cost")])
+    return t.filter(F.col("revenue").isNotNull())
+
+
+def waterfall_values() -> list[Column]:
+    """The five stage values of the bridge, in order, over ``waterfall_totals``."""
+    net = F.col("revenue") - F.col("staffing_cost") - F.col("operational_cost") - F.col("icu_cost")
+    return [F.col("revenue"), -F.col("staffing_cost"), -F.col("operational_cost"),
+            -F.col("icu_cost"), net]
+
+
 def financial_waterfall(star: Star, scope: Scope | None = None) -> DataFrame:
     """Revenue minus staffing, operational and ICU cost = net (5 stages).
 
     Empty when there is no financial row in scope.
     """
-    f = _financials_in_scope(star, scope, "revenue", "staffing_cost", "operational_cost", "icu_cost")
-    t = f.agg(*[F.sum(c).cast("double").alias(c)
-                for c in ("revenue", "staffing_cost", "operational_cost", "icu_cost")])
-    net = F.col("revenue") - F.col("staffing_cost") - F.col("operational_cost") - F.col("icu_cost")
-    values = [F.col("revenue"), -F.col("staffing_cost"), -F.col("operational_cost"),
-              -F.col("icu_cost"), net]
     stages = F.array(*[F.struct(F.lit(i).cast("bigint").alias("stage"), F.lit(name).alias("name"),
                                 value.alias("value"))
-                       for i, (name, value) in enumerate(zip(WATERFALL_STAGES, values), 1)])
-    return (t.filter(F.col("revenue").isNotNull())
-            .select(F.inline(stages)))
+                       for i, (name, value) in enumerate(zip(WATERFALL_STAGES, waterfall_values()), 1)])
+    return waterfall_totals(star, scope).select(F.inline(stages))
 
 
 def absences_overtime(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:

@@ -270,17 +270,24 @@ def sector_gap(star: Star, scope: Scope | None = None) -> DataFrame:
 
 # ----------------------------------------------------------------- burnout
 def waterfall_bars(star: Star, scope: Scope | None = None) -> DataFrame:
-    """Floating bars of the five-stage bridge (first and last from 0)."""
-    wf = finance.financial_waterfall(star, scope)
-    w = Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("stage").over(Window.partitionBy())
-    running = F.coalesce(F.sum("value").over(w), F.lit(0.0))
-    anchored = (F.col("stage") == 1) | (F.col("stage") == last)
-    return wf.select(
-        "stage", "name", "value",
-        F.when(anchored, F.lit(0.0)).otherwise(running).alias("open"),
-        F.when(anchored, F.col("value")).otherwise(running + F.col("value")).alias("close"),
-        (F.col("value") >= 0).alias("is_positive"))
+    """Floating bars of the five-stage bridge (first and last from 0).
+
+    The running total is accumulated stage by stage inside the single row
+    of totals (same left-to-right addition as a running sum), then the five
+    bars are generated from it.
+    """
+    values = finance.waterfall_values()
+    last = len(values)
+    bars, running = [], F.lit(0.0)
+    for i, (name, value) in enumerate(zip(finance.WATERFALL_STAGES, values), 1):
+        anchored = i in (1, last)
+        bars.append(F.struct(
+            F.lit(i).cast("bigint").alias("stage"), F.lit(name).alias("name"), value.alias("value"),
+            (F.lit(0.0) if anchored else running).alias("open"),
+            (value if anchored else running + value).alias("close"),
+            (value >= 0).alias("is_positive")))
+        running = value if i == 1 else running + value
+    return finance.waterfall_totals(star, scope).select(F.inline(F.array(*bars)))
 
 
 def burnout_month_pivot(star: Star, scope: Scope | None = None,
