@@ -52,7 +52,10 @@ def main(argv: list[str] | None = None) -> int:
     ld.add_argument("--source", required=True)
     ld.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ld.add_argument("--target", required=True)
-    ld.add_argument("--strict-flags", action="store_true")
+    ld.add_argument("--strict-flags", action="store_true",
+                    help="parse yes/no/true/false text (always on for CSV, which has no booleans)")
+    ld.add_argument("--truthy-flags", action="store_true",
+                    help="for CSV too, keep the source ETL's Python truthiness of flag text")
     ld.add_argument("--allow", nargs="*", default=[], help="tables whose audit findings do not block")
 
     dv = sub.add_parser("derive", help="publish the star derived from driver tables")
@@ -84,7 +87,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = _session()
     if args.cmd == "load":
-        tables = etl.conform(etl.read_sources(spark, args.source, fmt=args.format), args.strict_flags)
+        strict = args.strict_flags or (args.format == "csv" and not args.truthy_flags)
+        tables = etl.conform(etl.read_sources(spark, args.source, fmt=args.format), strict)
         result = etl.load(spark, tables, args.target, allow_violations=set(args.allow))
         print(f"published {result.published_to} (staged at {result.staged_at})")
         return 0
