@@ -37,3 +37,23 @@ def test_report_as_json(spark, sf0001):
     assert main(["report", "visits_treemap", "--sf-dir", sf0001, "--out", out, "--out-format", "json"]) == 0
     first = spark.read.json(out).first()
     assert first["children"] and {"name", "value"} <= set(first["children"][0].asDict())
+
+
+def test_load_command_from_csv_sheets(spark, sf0001):
+    from conftest import rows
+    from test_etl import _sheet_header
+    from wardflow.plans import outliers
+    from wardflow.sources import etl
+    from wardflow.sources.star import DriverStar, PublishedStar
+
+    src = DriverStar(spark, sf0001)
+    root = tempfile.mkdtemp(prefix="wardflow-cli-")
+    for sheet, table in etl.SOURCE_TABLES.items():
+        df = src.table(table)
+        if table != "data_dictionary":
+            df = df.toDF(*[_sheet_header(c) for c in df.columns])
+        df.write.option("header", True).csv(f"{root}/in/{sheet}")
+    assert main(["load", "--source", f"{root}/in", "--format", "csv", "--target", f"{root}/star",
+                 "--allow", "fact_patient_visits"]) == 0
+    pub = PublishedStar(spark, f"{root}/star")
+    assert rows(outliers.hospital_outliers(pub)) == rows(outliers.hospital_outliers(src))
