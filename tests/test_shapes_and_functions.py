@@ -198,3 +198,14 @@ def test_pivot_values_are_guarded(spark):
             pivot_values(df, "k")
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_filter_options_fall_back_to_codes(spark):
+    hs = spark.createDataFrame([("H01", None, "R01", "NHS Trust", False), ("H02", "Beta", "R02", None, False)],
+                               "hospital_id string, hospital_name string, region_id string, "
+                               "nhs_trust_type string, private boolean")
+    s = star(spark, dim_hospital=hs)
+    got = rows(shapes.filter_options(s))
+    assert ("hospital", "H01", "H01") in got and ("hospital", "H02", "Beta") in got
+    assert [r for r in got if r[0] == "trust_type"] == [("trust_type", "NHS Trust", "NHS Trust")]
+    assert ("region", "R02", "South") in got

@@ -74,6 +74,7 @@ def shape_queries() -> dict[str, QueryFn]:
         "calendar_heatmap": _on_star(shapes.calendar_heatmap),
         "kpi_target_gap": _on_star(shapes.kpi_target_gap),
         "department_families": _on_star(shapes.department_families),
+        "filter_options": _on_star(shapes.filter_options),
         "readmission_month_pivot": _on_star(shapes.readmission_month_pivot),
         "sankey_node_stats": _on_star(shapes.sankey_node_stats),
         "sankey_link_shares": _on_star(shapes.sankey_link_shares),

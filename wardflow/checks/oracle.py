@@ -476,6 +476,12 @@ lagged AS (SELECT *, LAG(m, 7) OVER (PARTITION BY year ORDER BY date) AS pm FROM
 FROM base""", _on("overview_kpis")),
         "department_families": _p(f"""SELECT department_id, department_name, {families} AS family
 FROM dim_department"""),
+        "filter_options": _p("""SELECT 'region' AS kind, region_id AS value, COALESCE(region_name, region_id) AS label
+FROM dim_region
+UNION ALL
+SELECT DISTINCT 'trust_type', nhs_trust_type, nhs_trust_type FROM dim_hospital WHERE nhs_trust_type IS NOT NULL
+UNION ALL
+SELECT 'hospital', hospital_id, COALESCE(hospital_name, hospital_id) FROM dim_hospital"""),
         "readmission_month_pivot": _p(f"""SELECT month,
        {hosp_cols}
 FROM base GROUP BY month""", _on("bump_rankings")),

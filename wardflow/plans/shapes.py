@@ -118,6 +118,22 @@ def kpi_target_gap(star: Star, scope: Scope | None = None,
                     (F.col("readmission_rate") <= F.lit(target)).alias("within_target"))
 
 
+def filter_options(star: Star) -> DataFrame:
+    """The dashboard's filter menus from the dimensions: regions, trust types
+    and hospitals, each value with its display label (G16: the name, or the
+    code when the name is missing)."""
+    h = star.hospitals()
+    r = star.regions()
+    regions = r.select(F.lit("region").alias("kind"), F.col("region_id").alias("value"),
+                       F.coalesce("region_name", "region_id").alias("label"))
+    trusts = (h.select(F.lit("trust_type").alias("kind"), F.col("nhs_trust_type").alias("value"))
+              .filter(F.col("value").isNotNull()).distinct()
+              .withColumn("label", F.col("value")))
+    hospitals = h.select(F.lit("hospital").alias("kind"), F.col("hospital_id").alias("value"),
+                         F.coalesce("hospital_name", "hospital_id").alias("label"))
+    return regions.unionByName(trusts).unionByName(hospitals)
+
+
 def department_families(star: Star) -> DataFrame:
     """Department family by name rules, else a stable hash bucket."""
     d = star.dim("dim_department")
