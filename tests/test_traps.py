@@ -286,3 +286,27 @@ def test_sankey_reports_dropped_flows(spark):
     s = star(spark, fact_patient_visits=visits(spark, vs))
     got = rows(outliers.sankey_dropped(s, "H07"))
     assert got == [("H07", 1, 2)]
+
+
+def test_fanout_weights_do_not_overflow_bigint(spark):
+    """At 100 TB a (hospital, month) can hold ~1e10 visits and ~1e9 shifts;
+    their product exceeds bigint and must still be exact."""
+    from wardflow.operators.fanout import FactSide, fanout_sums
+
+    class Counted(FactSide):
+        def __init__(self, name, rows, measures, flags=()):
+            super().__init__(name, None, list(measures), list(flags))
+            self.rows = rows
+
+        def partial(self):
+            return spark.createDataFrame(self.rows, self.schema)
+
+    visits_side = Counted("v", [("H01", 1, 4_000_000_000, 8.0e10, 4_000_000_000, 1_000_000_000)], ["w"], ["r"])
+    visits_side.schema = "hospital_id string, month int, v__n long, v__sum__w double, v__cnt__w long, v__hits__r long"
+    shifts_side = Counted("s", [("H01", 1, 3_000_000_000, 1.8e9, 3_000_000_000)], ["b"])
+    shifts_side.schema = "hospital_id string, month int, s__n long, s__sum__b double, s__cnt__b long"
+    h = spark.createDataFrame([("H01", "x")], "hospital_id string, g string")
+    out = fanout_sums(h, visits_side, [shifts_side], ["g"]).collect()[0]
+    assert int(out["rows"]) == 12 * 10**18          # > 2**63 - 1
+    assert int(out["hits__r"]) == 3 * 10**18
+    assert out["sum__w"] / float(out["cnt__w"]) == 20.0

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import count_true
 
+COUNT_TYPE = "decimal(38,0)"
+
 
 @dataclass
 class FactSide:
@@ -62,18 +64,21 @@ def fanout_sums(hospitals: DataFrame, driver: FactSide, others: list[FactSide],
         o = side.partial().withColumnRenamed("month", "__month")
         joined = joined.join(o, ["hospital_id", "__month"], "left")
 
+    # Row multiplicities are products of per-(hospital, month) counts; at
+    # 100 TB they exceed bigint (1e10 visits x 1e9 shifts), so they are
+    # carried as exact decimal(38,0).  The frames are hospitals x months.
     sides = [driver, *others]
-    mult = {s.name: F.coalesce(F.col(f"{s.name}__n"), F.lit(1)) for s in sides}
+    mult = {s.name: F.coalesce(F.col(f"{s.name}__n"), F.lit(1)).cast(COUNT_TYPE) for s in sides}
 
     def weight_without(name: str) -> Column:
-        w = F.lit(1).cast("bigint")
+        w = F.lit(1).cast(COUNT_TYPE)
         for s in sides:
             if s.name != name:
                 w = w * mult[s.name]
         return w
 
     aggs: list[Column] = []
-    total = F.lit(1).cast("bigint")
+    total = F.lit(1).cast(COUNT_TYPE)
     for s in sides:
         total = total * mult[s.name]
     aggs.append(F.sum(total).alias("rows"))
@@ -81,10 +86,10 @@ def fanout_sums(hospitals: DataFrame, driver: FactSide, others: list[FactSide],
         w = weight_without(s.name)
         for m in s.measures:
             aggs.append(F.sum(F.col(f"{s.name}__sum__{m}") * w).alias(f"sum__{m}"))
-            aggs.append(F.sum(F.col(f"{s.name}__cnt__{m}") * w).alias(f"cnt__{m}"))
+            aggs.append(F.sum(F.col(f"{s.name}__cnt__{m}").cast(COUNT_TYPE) * w).alias(f"cnt__{m}"))
         for flag in s.flags:
-            aggs.append(F.coalesce(F.sum(F.col(f"{s.name}__hits__{flag}") * w),
-                                   F.lit(0).cast("bigint")).alias(f"hits__{flag}"))
+            aggs.append(F.coalesce(F.sum(F.col(f"{s.name}__hits__{flag}").cast(COUNT_TYPE) * w),
+                                   F.lit(0).cast(COUNT_TYPE)).alias(f"hits__{flag}"))
     return joined.groupBy(*group_cols).agg(*aggs)
 
 
