@@ -35,3 +35,17 @@ def rows(df, *cols):
     if cols:
         df = df.select(*cols)
     return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple(str(x) for x in t))
+
+
+@pytest.fixture(scope="session")
+def published_sf0001(spark, sf0001):
+    """The sf0.001 star published once by the load job: (derived, published)."""
+    import tempfile
+
+    from wardflow.sources import etl
+    from wardflow.sources.star import DriverStar, PublishedStar
+
+    src = DriverStar(spark, sf0001)
+    target = tempfile.mkdtemp(prefix="wardflow-published-") + "/star"
+    res = etl.load(spark, etl.star_tables(src), target, allow_violations={"fact_patient_visits"})
+    return src, PublishedStar(spark, res.published_to)

@@ -93,18 +93,19 @@ def test_row_count_and_headline_checks(spark):
     assert head["readmission_rate"] == 17.0 and head["status"] == "ok"
 
 
-def test_load_stages_audits_and_publishes(spark, sf0001):
+def test_load_stages_audits_and_publishes(spark, sf0001, published_sf0001):
     src = DriverStar(spark, sf0001)
     target = scratch() + "/star"
     with pytest.raises(etl.LoadRejected) as err:  # duplicate visit ids are a real finding
         etl.load(spark, etl.star_tables(src), target)
     bad = [r for r in err.value.findings["keys"] if r["status"] != "ok"]
     assert [r["table_name"] for r in bad] == ["fact_patient_visits"]
-    result = etl.load(spark, etl.star_tables(src), target, allow_violations={"fact_patient_visits"})
-    pub = PublishedStar(spark, result.published_to)
+    import os
+    assert not os.path.exists(f"{target}/fact_patient_visits")  # nothing published
+    src, pub = published_sf0001
     for report in (outliers.hospital_outliers, sector.radar_profiles, outliers.sankey_links):
         assert rows(report(pub)) == rows(report(src))
-    files = spark.read.parquet(f"{target}/fact_patient_visits").inputFiles()
+    files = spark.read.parquet(f"{pub.root}/fact_patient_visits").inputFiles()
     assert files and all("/hospital_id=H" in f for f in files)  # partitioned by hospital
     first = [r[0] for r in spark.read.parquet(files[0]).select("arrival_datetime").collect()]
     assert first == sorted(first)  # and sorted by time inside each file
@@ -120,21 +121,18 @@ def test_dimension_bounds(spark):
     assert b2["dim_region"] == "violation"
 
 
-def test_published_facts_prune_by_region(spark, sf0001):
+def test_published_facts_prune_by_region(spark, published_sf0001):
     from wardflow.operators.scope import Scope
     from wardflow.plans import overview
 
-    src = DriverStar(spark, sf0001)
-    target = scratch() + "/star"
-    res = etl.load(spark, etl.star_tables(src), target, allow_violations={"fact_patient_visits"})
-    pub = PublishedStar(spark, res.published_to)
+    src, pub = published_sf0001
     df = overview.hourly_arrivals(pub, Scope(region="R02"))
     assert rows(df) == rows(overview.hourly_arrivals(src, Scope(region="R02")))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruningexpression" in plan  # region filter prunes hospital partitions
-    unpartitioned = etl.load(spark, etl.star_tables(src), scratch() + "/flat",
-                             allow_violations={"fact_patient_visits"}, partition_by_hospital=False)
-    files = spark.read.parquet(f"{unpartitioned.published_to}/fact_staffing").inputFiles()
+    unpartitioned = etl.load(spark, etl.star_tables(src), scratch() + "/flat", partition_by_hospital=False,
+                             allow_violations={"fact_patient_visits"}, publish=False)
+    files = spark.read.parquet(f"{unpartitioned.staged_at}/fact_staffing").inputFiles()
     assert not any("hospital_id=" in f for f in files)
 
 
