@@ -77,6 +77,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("WARDFLOW_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # a long local session (tests, bench) frees old shuffle files and
+        # broadcasts sooner than the 30 min default
+        .config("spark.cleaner.periodicGC.interval", "5min")
     )
     for key, value in {**SEMANTIC_CONF, **ADAPTIVE_CONF}.items():
         builder = builder.config(key, value)
