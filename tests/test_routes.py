@@ -47,3 +47,15 @@ def test_every_route_answers_within_the_smoke_limit(spark, sf001, path):
     for df in (out.values() if isinstance(out, dict) else [out]):
         assert df.count() >= 0
     assert time.perf_counter() - started < SMOKE_LIMIT_SECONDS
+
+
+def test_ignored_route_arguments(spark, sf0001):
+    """The dashboard sends `period` to bump rankings and a second
+    hospital id to the per-hospital routes; the server ignored both."""
+    star = DriverStar(spark, sf0001)
+    with_period = routes.call(star, "/hospitals/bump-rankings", period="H1")
+    assert rows(with_period) == rows(routes.call(star, "/hospitals/bump-rankings"))
+    some = star.visits("hospital_id").first()[0]
+    a = routes.call(star, f"/hospitals/{some}/severity-weekday-wait", hospital_id="H99")
+    b = routes.call(star, f"/hospitals/{some}/severity-weekday-wait")
+    assert rows(a) == rows(b) and len(rows(a)) > 0
