@@ -310,3 +310,13 @@ def test_fanout_weights_do_not_overflow_bigint(spark):
     assert int(out["rows"]) == 12 * 10**18          # > 2**63 - 1
     assert int(out["hits__r"]) == 3 * 10**18
     assert out["sum__w"] / float(out["cnt__w"]) == 20.0
+
+
+def test_text_order_is_binary(spark):
+    """Node indexes follow binary (code point) order, not a locale
+    collation: upper-case names sort before lower-case ones."""
+    vs = [v(1, "H07", adm="emergency", sev=1, outcome="Discharged"),
+          v(2, "H07", adm="Elective", sev=1, outcome="Discharged")]
+    s = star(spark, fact_patient_visits=visits(spark, vs))
+    names = [r[1] for r in sorted(rows(outliers.sankey_nodes(s, "H07"), "node_index", "name"))]
+    assert names == ["Discharged", "Elective", "Severity 1", "emergency"]
