@@ -320,3 +320,14 @@ def test_text_order_is_binary(spark):
     s = star(spark, fact_patient_visits=visits(spark, vs))
     names = [r[1] for r in sorted(rows(outliers.sankey_nodes(s, "H07"), "node_index", "name"))]
     assert names == ["Discharged", "Elective", "Severity 1", "emergency"]
+
+
+def test_financial_reports_use_their_own_burnout(spark):
+    """R13 and the alerts average the financial rows' burnout figure;
+    R6 averages the shifts.  The two are kept apart."""
+    s = star(spark, fact_patient_visits=visits(spark, [v(1, "H01")]),
+             fact_staffing=staffing(spark, [(1, "H01", 1, 0.5, 0, 0.0)]),
+             fact_financials=financials(spark, [("a", "H01", 1, 0.2, 0.9, 0.1)]))
+    r6 = {r["hospital_id"]: r["avg_burnout_index"] for r in outliers.hospital_outliers(s).collect()}
+    r13 = {r["hospital_id"]: r["avg_burnout"] for r in finance.burnout_financials(s).collect()}
+    assert r6["H01"] == 0.5 and r13["H01"] == 0.9
