@@ -209,3 +209,12 @@ def test_filter_options_fall_back_to_codes(spark):
     assert ("hospital", "H01", "H01") in got and ("hospital", "H02", "Beta") in got
     assert [r for r in got if r[0] == "trust_type"] == [("trust_type", "NHS Trust", "NHS Trust")]
     assert ("region", "R02", "South") in got
+
+
+def test_diverging_bars_shorten_names(spark):
+    hs = spark.createDataFrame([("H01", "King's College Hospital NHS Foundation Trust", "R01", "NHS Trust", False)],
+                               "hospital_id string, hospital_name string, region_id string, "
+                               "nhs_trust_type string, private boolean")
+    s = star(spark, dim_hospital=hs, fact_patient_visits=visits(spark, [v(1, "H01", wait=70.0)]))
+    got = shapes.diverging_bars(s).collect()[0]
+    assert (got["hospital_name"], got["avg_wait_time"], got["divergence"]) == ("King's College", 70.0, 8.6)

@@ -82,6 +82,7 @@ def shape_queries() -> dict[str, QueryFn]:
         "scatter_focus": _on_star(shapes.scatter_focus),
         "facility_ledger": _on_star(shapes.facility_ledger),
         "regional_alarms": _on_star(shapes.regional_alarms),
+        "diverging_bars": _on_star(shapes.diverging_bars),
         "sector_gap": _on_star(shapes.sector_gap),
         "waterfall_bars": _on_star(shapes.waterfall_bars),
         "burnout_month_pivot": _on_star(shapes.burnout_month_pivot),

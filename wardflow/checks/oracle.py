@@ -413,6 +413,18 @@ def _stress(b: str, w: str, r: str) -> str:
             f" + CASE WHEN {r} / 100.0 > 0.19 THEN 2 WHEN {r} / 100.0 > 0.15 THEN 1 ELSE 0 END)")
 
 
+def _clean_name_sql(col: str) -> str:
+    """G11's ordered, case-insensitive rules as nested DuckDB replacements."""
+    from wardflow.functions.text import FACILITY_NAME_RULES
+
+    out = f"COALESCE({col}, '')"
+    for pattern, replacement in FACILITY_NAME_RULES:
+        pat = pattern.replace("'", "''")
+        rep = replacement.replace("'", "''")
+        out = f"regexp_replace({out}, '{pat}', '{rep}', 'gi')"
+    return f"trim({out})"
+
+
 def shape_parts() -> dict[str, tuple[str, str]]:
     short = "regexp_replace(regexp_replace(regexp_replace(hospital_name, ' Hospital', ''), ' Infirmary', ''), ' NHS FT', '')"
     dept_cols = ",\n       ".join(
@@ -523,6 +535,9 @@ grid AS (
             WHEN readmission_rate < AVG(readmission_rate) OVER () - 0.8 THEN 'low'
             ELSE 'normal' END AS readmission_band
 FROM base""", _on("hospital_outliers")),
+        "diverging_bars": _p(f"""SELECT hospital_id, {_clean_name_sql('hospital_name')} AS hospital_name,
+       nhs_trust_type, private, avg_wait_time, divergence
+FROM base""", _on("diverging_wait")),
         "regional_alarms": _p("""SELECT *, COALESCE(readmission_rate > 17.0, false) AS alarm,
        CAST(floor(avg_wait_time + 0.5) AS BIGINT) AS wait_minutes
 FROM base""", _on("regional_choropleth")),

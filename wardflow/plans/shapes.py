@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import bands
 from wardflow.functions.numeric import js_round, round_dec
-from wardflow.functions.text import month_short_name, short_hospital_name, weekday_short
+from wardflow.functions.text import clean_facility_name, month_short_name, short_hospital_name, weekday_short
 from wardflow.operators.reshape import pivot_values
 from wardflow.operators.scope import Scope, focus_flag, hospital_scope, search
 from wardflow.plans import finance, outliers, overview, sector
@@ -250,6 +250,13 @@ def facility_ledger(star: Star, scope: Scope | None = None, period: str | None =
     return t.orderBy(key.asc() if ascending else key.desc())
 
 
+def diverging_bars(star: Star, scope: Scope | None = None) -> DataFrame:
+    """R11 as the sector page charts it: facility names shortened."""
+    d = sector.diverging_wait(star, scope, ordered=False)
+    out = d.withColumn("hospital_name", clean_facility_name("hospital_name"))
+    return out.orderBy(F.desc_nulls_first("avg_wait_time"))
+
+
 def regional_alarms(star: Star, scope: Scope | None = None) -> DataFrame:
     """Regions with the readmission alarm flag and whole-minute wait."""
     r = sector.regional_choropleth(star, scope)
