@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import cut, prepare
 
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 #: Between words; upper case is lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases to an ASCII letter, though it isn't one.
@@ -53,7 +53,7 @@ TEMPLATES = (
     Template("lgpl", "licensed under the gnu lesser general public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    Template("cc-by", "licensed under cc by 4 0"),
+    Template("cc-by", "licensed under cc by 4 0 international"),
     Template("cc-by-nc", "licensed under cc by nc 4 0"),
     Template("cc-by", "licensed under a creative commons attribution international license"),
     Template("proprietary", "all rights reserved"),

@@ -46,9 +46,10 @@ class Threshold:
 THRESHOLDS = (
     Threshold("length", "n_words", least=20, most=10_000_000),
     Threshold("mean_word", "mean_word_chars", least=1.5, most=20),
-    Threshold("symbols", "symbol_ratio", most=0.1),
+    Threshold("symbols", "symbol_ratio", most=0.05),
     Threshold("stop_words", "stop_ratio", least=0.0),
     Threshold("dup_lines", "dup_line_ratio", most=0.6),
+    Threshold("stutter", "stutter_ratio", most=0.3),
     Threshold("repeats", "repeat_ratio", most=0.3),
 )
 
@@ -63,7 +64,7 @@ def _ratio(a: str, b: str) -> Column:
 
 def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and the base measures, each level one projection."""
-    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop"]
+    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_stutter"]
     keep = replacing(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else docs, out)
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
     k = [F.col(f"__k{i}") for i in range(len(keep))]
@@ -83,7 +84,8 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         _n(F.col("lines")).alias("n_lines"),
         (_n(F.col("lines")) - _n(F.array_distinct("lines"))).alias("n_dup_lines"),
-        _n(F.filter("w", lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop"), hashes.alias("h"))
+        _n(F.filter("w", lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
+        _n(F.expr("filter(w, (x, i) -> i > 0 and x = w[greatest(i - 1, 0)])")).alias("n_stutter"), hashes.alias("h"))
     plain = level.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.expr(
         "sort_array(transform(h, (x, i) -> struct(x as x, i as i)))")))
     starts = plain.withColumn("at", F.expr(
@@ -116,7 +118,7 @@ def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text:
     """``docs`` with measures, ratios, ``failed`` (rule names) and ``kept``."""
     out = measures(docs, text, keep)
     ratios = {"mean_word_chars": _ratio("word_chars", "n_words"), "symbol_ratio": _ratio("n_symbols", "word_chars"),
-              "stop_ratio": _ratio("n_stop", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
+              "stop_ratio": _ratio("n_stop", "n_words"), "stutter_ratio": _ratio("n_stutter", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
               "repeat_ratio": _ratio("n_repeat_words", "n_words")}
     out = out.withColumns(ratios)
     kept, failed = compile_rules(thresholds)

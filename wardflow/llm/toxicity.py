@@ -36,8 +36,8 @@ from wardflow.llm.words import words_of
 
 #: Labelled documents that teach: the bounded sample, chosen by a hash of doc_id.
 MAX_LABELLED = 400_000
-#: Strength of the Dirichlet prior in tokens, and the standard errors taken off a log-odds.
-PRIOR = 500.0
+#: Strength of the Dirichlet prior as a share of the labelled tokens, and the standard errors taken off a log-odds.
+PRIOR = 0.1
 CAUTION = 3.0
 #: Tokens with a score of their own: at most this many, the strongest.
 MAX_TOKENS = 100_000
@@ -105,6 +105,7 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def log_odds(counts: DataFrame, prior: float = PRIOR, caution: float = CAUTION) -> tuple[DataFrame, tuple]:
     """(token, score, n_clean) of the tokens whose log-odds differ from 0, and the class totals."""
     n, nt, nc = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_toxic", "n_clean")]).first()
+    prior *= max(nt + nc, 1)
     alpha = F.col("n") * F.lit(prior / max(n, 1))
 
     def odds(c, total):
