@@ -23,7 +23,9 @@ table gives no documents.  Columns other than id and text aren't stored.
 
 from __future__ import annotations
 
+import functools
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,6 +46,8 @@ END_ID = 2
 SHARD_TEXT = 32 << 20
 FRAME_TOKENS = 1 << 16
 LEVEL = 3
+#: Text that a task encodes at a time.
+CHUNK_TEXT = 8 << 20
 #: Words whose ids a task remembers.
 CACHE_WORDS = 250_000
 
@@ -56,32 +61,147 @@ def skippable(magic: int, payload: bytes) -> bytes:
     return struct.pack("<II", magic, len(payload)) + payload
 
 
+#: Lower-case letters of ASCII and Latin-1 in UTF-8.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_PLAIN_BYTES = bytes([*range(97, 123), *range(0x80, 0xC0), 0xC3])
+#: Kinds of bytes: 0 space, 1 ASCII letter, 2 sign, 3 anything else (digits, apostrophe, ``<``, non-ASCII).
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[97:123] = 1
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<"]] = 2
+
+
+def parted(texts: list[bytes]) -> pa.Array:
+    """The texts with a space put between letters and signs, where the tokenizer parts them anyhow.
+
+    Only in pieces of ASCII letters, Latin-1 letters and signs; others stay as they are.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    tail = data[lead + 1]
+    lead = lead[(tail >= 0xA0) & (tail <= 0xBF) & (tail != 0xB7)]
+    kind[lead] = 1
+    kind[lead + 1] = 1
+    first = np.zeros(data.size + 1, bool)  # a text's first byte starts a piece, too
+    first[offsets] = True
+    piece = np.cumsum((kind == 0) | first[:-1], dtype=np.int32)
+    odd = np.zeros(int(piece[-1]) + 1 if piece.size else 1, bool)
+    odd[piece[kind == 3]] = True
+    cut = np.zeros(data.size, np.int32)
+    cut[1:] = (kind[1:] + kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0) & ~first[1:-1]
+    cut[odd[piece]] = 0
+    moved = np.cumsum(cut, dtype=np.int32)
+    out = np.full(data.size + (int(moved[-1]) if moved.size else 0), 32, np.uint8)
+    out[np.arange(data.size, dtype=np.int32) + moved] = data
+    ends = offsets + np.concatenate([[0], moved])[offsets]
+    return pa.Array.from_buffers(pa.string(), len(texts), [
+        None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+#: A special token's start, combining marks, capital sigma and dotted I: where lower-casing first could matter.
+_CASED = re.compile(rb"<\||[\xcc\xcd]|\xce\xa3|\xc4\xb0")
+
+
+def lowered(text: bytes) -> bytes:
+    """Lower case wherever the tokenizer's own lower-casing gives the same."""
+    if text.isascii():
+        return text if b"<|" in text else text.lower()
+    return text if _CASED.search(text) else text.decode("utf-8", "replace").lower().encode()
+
+
 class WordEncoder:
     """Ids of whole texts, as packed integers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its space-separated pieces; equal pieces are encoded once.
+    The tokenizer lower-cases, drops white space and never joins across it, so
+    a text's ids are those of its space-separated pieces; equal pieces are
+    encoded once while they are remembered.  A word and the stop after it are
+    pieces too.  New words of plain letters are encoded many at a time: the
+    last id of each is one that ends a word.
     """
 
     def __init__(self, tokenizer_json: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[bytes, bytes] = {}
-        self.cache_words = cache_words
+        # for words of plain letters, which are normal already and single tokens before the merges
+        self.plain = Tokenizer.from_str(tokenizer_json)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.half = cache_words // 2
+
+    def _encode(self, pieces: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(pieces), 4096):
+            part = [p.decode("utf-8", "replace") for p in pieces[i:i + 4096]]
+            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(e.ids, self.dtype).tobytes()
+
+    def _encode_letters(self, words: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(words), 4096):
+            part = words[i:i + 4096]
+            joined = b" ".join(part).decode()
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                yield from self._encode(part)
+                continue
+            data, width, start = ids.tobytes(), ids.itemsize, 0
+            for end in cuts:
+                yield data[start * width:end * width]
+                start = end
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain = [not p.translate(None, _PLAIN_BYTES) and (p.isascii() or _PLAIN.fullmatch(p)) for p in pieces]
+        words = [p for p, x in zip(pieces, plain, strict=True) if x]
+        other = [p for p, x in zip(pieces, plain, strict=True) if not x]
+        self.young.update(zip(words, self._encode_letters(words), strict=True))
+        self.young.update(zip(other, self._encode(other), strict=True))
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        if None in found:
+            new = {pieces[i] for i, f in enumerate(found) if f is None}
+            young.update((p, old[p]) for p in old.keys() & new)
+            self._learn([p for p in new if p not in young])
+            found = list(map(young.__getitem__, pieces))
+        return found
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        new = list({p for ps in pieces for p in ps}.difference(self.cache))
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache.clear()
-            new = list({p for ps in pieces for p in ps})
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            done = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            for p, e in zip(part, done, strict=True):
-                self.cache[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.cache.__getitem__, ps)) for ps in pieces]
+        """Ids of each text; equal pieces are looked up once for all of them."""
+        flat = pc.ascii_split_whitespace(parted([lowered(t) for t in texts]))
+        offsets = flat.offsets.to_numpy()
+        flat = flat.flatten().dictionary_encode()
+        which = flat.indices.to_numpy()
+        ids = self._ids(flat.dictionary.cast(pa.binary()).to_pylist())
+        table = np.frombuffer(b"".join(ids), self.dtype)
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // width
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        many = sizes[which]
+        ends = np.cumsum(many, dtype=np.int64)
+        at = np.repeat((starts[which] - (ends - many)).astype(np.int32), many)
+        at += np.arange(at.size, dtype=np.int32)
+        out = table[at].tobytes()
+        ends = np.concatenate([[0], ends])[offsets] * width
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(tokenizer_json: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(tokenizer_json)
 
 
 class ShardWriter:
@@ -180,6 +300,21 @@ class ShardReader:
                 data, f"<u{self.width}", int(self.counts[i]), start * self.width)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], least: int = CHUNK_TEXT) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of several batches at a time, until they hold ``least`` bytes."""
+    doc_ids, texts, size = [], [], 0
+    for b in batches:
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            doc_ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+            if size >= least:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
                  shard_text: int = SHARD_TEXT) -> None:
     """Encode ``doc_id`` and ``text`` of every row into shards below ``path``."""
@@ -197,11 +332,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         def batch(values: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
-        encoder = WordEncoder(shared.value)
+        encoder = encoder_of(shared.value)
         writer = ShardWriter(encoder.dtype)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.packed(b.column(1).to_pylist()), strict=True):
+        for doc_ids, texts in chunks(batches):
+            for doc_id, ids in zip(doc_ids, encoder.packed(texts), strict=True):
                 for frame in writer.add(doc_id, ids + end):
                     yield batch([frame])
         for frame in writer.finish():
