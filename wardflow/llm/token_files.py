@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from wardflow.llm.common import cut, prepare
 
 END_ID = 2
-SHARD_TEXT = 32 << 20
+SHARD_TEXT = 16 << 20
 FRAME_TOKENS = 1 << 16
 LEVEL = 3
 #: Text that a task encodes at a time.
@@ -111,6 +111,18 @@ def lowered(text: bytes) -> bytes:
     return text if _CASED.search(text) else text.decode("utf-8", "replace").lower().encode()
 
 
+def _groups(texts: list[bytes], least: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The texts in lists of about ``least`` bytes, so that the arrays of a list stay small."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= least:
+            yield part
+            part, size = [], 0
+    yield part
+
+
 class WordEncoder:
     """Ids of whole texts, as packed integers.
 
@@ -138,6 +150,10 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
         self.half = cache_words // 2
 
+    def forget(self) -> None:
+        """Drop the remembered words, between tasks."""
+        self.young, self.old = {}, {}
+
     def _encode(self, pieces: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(pieces), 4096):
             part = [p.decode("utf-8", "replace") for p in pieces[i:i + 4096]]
@@ -180,9 +196,11 @@ class WordEncoder:
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; equal pieces are looked up once for all of them."""
-        flat = pc.ascii_split_whitespace(parted([lowered(t) for t in texts]))
-        offsets = flat.offsets.to_numpy()
-        flat = flat.flatten().dictionary_encode()
+        lists = [pc.ascii_split_whitespace(parted(part)) for part in _groups([lowered(t) for t in texts])]
+        counts = np.concatenate([[0], *[np.diff(x.offsets.to_numpy()) for x in lists]])
+        offsets = np.cumsum(counts)
+        flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        del lists
         which = flat.indices.to_numpy()
         ids = self._ids(flat.dictionary.cast(pa.binary()).to_pylist())
         table = np.frombuffer(b"".join(ids), self.dtype)
@@ -332,13 +350,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         def batch(values: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back between batches
         encoder = encoder_of(shared.value)
+        encoder.forget()
         writer = ShardWriter(encoder.dtype)
         end = np.array([end_id], encoder.dtype).tobytes()
         for doc_ids, texts in chunks(batches):
             for doc_id, ids in zip(doc_ids, encoder.packed(texts), strict=True):
                 for frame in writer.add(doc_id, ids + end):
                     yield batch([frame])
+        encoder.forget()
         for frame in writer.finish():
             yield batch([frame])
 
