@@ -157,7 +157,7 @@ class Automaton:
                  smooth: Callable[[np.ndarray, np.ndarray], np.ndarray]):
         self.order = order
         self.labels = sorted({c[0] for c in counts})
-        symbols = sorted({g & 255 for _, _, g, _ in counts})
+        symbols = sorted({PAD, *(g & 255 for _, _, g, _ in counts)})
         self.symbol_of = np.zeros(256, np.int64)  # 0: a byte that no training text has
         for i, b in enumerate(symbols):
             self.symbol_of[b] = i + 1

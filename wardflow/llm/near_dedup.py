@@ -16,8 +16,8 @@ Groups of copies are never expanded into pairs:
    components is compared, and no link between components is lost.
 Components come from repeated contraction, cut by checkpoints.
 
-With 24 bands of 5 rows a pair at similarity 0.85 is missed with probability
-(1 - 0.85^5)^24 = 8e-7.
+``BANDINGS`` has bands and rows by similarity: 24 bands of 5 rows miss a pair at
+0.85 with probability (1 - 0.85^5)^24 = 8e-7, 28 of 4 one at 0.8 with 4e-7.
 
 Defined cases: a null, empty or word-free text has no shingle and is linked
 with nothing; a text with fewer words than a shingle is one shingle of all
@@ -40,7 +40,8 @@ from pyspark.sql import types as T
 from wardflow.llm.common import cut, map_arrow, prepare
 from wardflow.llm.words import spaced_words_of
 
-BANDS, ROWS = 24, 5
+#: (least percent, bands, rows): the first that a similarity reaches.
+BANDINGS = ((85, 24, 5), (80, 28, 4), (0, 64, 3))
 #: Shingles of one side of a block comparison (8 bytes each).
 BLOCK_SHINGLES = 400_000
 #: Word hashes that a task remembers.
@@ -338,13 +339,13 @@ def find_links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return cut(first.unionByName(second).unionByName(third))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, key.
 
     Links: 100 x intersection >= ``percent`` x union of the shingle sets of ``words`` words.
     """
     prepare(docs.sparkSession)
+    _, bands, rows = next(b for b in BANDINGS if percent >= b[0])
     keyed = docs.select(row_key("doc_id", "text").alias("key"), F.col("text"))
     sets = cut(sets_of(keyed, words, bands, rows))
     nodes = cut(sets.where("digest is not null").groupBy("digest").agg(

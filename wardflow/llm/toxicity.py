@@ -7,12 +7,13 @@ ordinary text has a negative expected score.  A linear scan finds every
 maximal-scoring segment.  Scores of segments follow an extreme-value law in
 clean text (parameters lambda and K): a segment is significant when its
 expected number of equals in that much clean text is below ``EVALUE``.  A document's evidence is the sum of its
-significant segments' excess over that level, and labelled rows calibrate
-evidence into a probability.
+significant segments' excess over that level.  Evidence becomes a probability
+by a calibration on labelled rows: each half of them is scored by the tokens of
+the other half, so no row judges itself; the final scores use both halves.
 
 Defined cases: a null, empty or word-free text has no evidence, and gets the
 probability of that; without toxic or without clean examples every score is
-the smoothed base rate and no segment exists.  A doc_id with several label
+about the base rate and no segment exists.  A doc_id with several label
 rows is toxic if any says so; rows with a null label teach nothing; repeated
 documents count each time.  Texts are scanned whole.
 Columns of the input that an output column names are replaced.
@@ -38,12 +39,12 @@ from wardflow.llm.words import words_of
 MAX_LABELLED = 400_000
 #: Strength of the Dirichlet prior as a share of the labelled tokens, and the standard errors taken off a log-odds.
 PRIOR = 0.1
-CAUTION = 3.0
+CAUTION = 2.0
 #: Tokens with a score of their own: at most this many, the strongest.
 MAX_TOKENS = 100_000
-DRIFT = 0.05
+DRIFT = 0.1
 #: Expected number of clean segments of that score in one document.
-EVALUE = 0.01
+EVALUE = 0.1
 #: Distinct tokens that a task holds before it writes them out.
 FLUSH_TOKENS = 400_000
 BINS_PER_UNIT = 4
@@ -63,27 +64,31 @@ def label_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFra
     """(doc_id, toxic): at most ``max_labelled`` labelled documents, the lowest by hash."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn(
+        "half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
+
+
+#: Token counts: of the corpus, then by class and half of the labelled rows.
+COUNTS = ["n", "clean_0", "clean_1", "toxic_0", "toxic_1"]
 
 
 def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, n, n_toxic, n_clean) over every text of ``docs``; ``labels`` is the bounded sample."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left")
-    out = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("n", T.LongType()),
-                        T.StructField("n_toxic", T.LongType()), T.StructField("n_clean", T.LongType())])
+    """(token, COUNTS) over every text of ``docs``; ``labels`` is the bounded sample."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").withColumn(
+        "mark", F.col("toxic") * 2 + F.col("half"))
+    out = T.StructType([T.StructField("token", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in COUNTS])
 
     def make():
-        every, toxic, clean = Counter(), Counter(), Counter()
+        every, marked = Counter(), [Counter() for _ in range(4)]
 
         def drain():
             if not every:
                 return None
             tokens = list(every)
-            batch = pa.RecordBatch.from_arrays([
-                pa.array(tokens, pa.binary()), pa.array([every[t] for t in tokens], pa.int64()),
-                pa.array([toxic[t] for t in tokens], pa.int64()), pa.array([clean[t] for t in tokens], pa.int64()),
-            ], names=["token", "n", "n_toxic", "n_clean"])
-            for c in (every, toxic, clean):
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(tokens, pa.binary()),
+                 *[pa.array([c[t] for t in tokens], pa.int64()) for c in (every, *marked)]], names=out.names)
+            for c in (every, *marked):
                 c.clear()
             return batch
 
@@ -93,18 +98,23 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     words = words_of(data)
                     every.update(words)
                     if mark is not None:
-                        (toxic if mark else clean).update(words)
+                        marked[mark].update(words)
             return drain() if len(every) > FLUSH_TOKENS else None
 
         return add, drain
 
-    return (gather_arrow(rows, {"text": "binary", "toxic": "int"}, out, make)
-            .groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "n_toxic", "n_clean")]))
+    return (gather_arrow(rows, {"text": "binary", "mark": "int"}, out, make)
+            .groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+
 
+def log_odds(counts: DataFrame, halves: tuple[int, ...] = (0, 1), prior: float = PRIOR,
+             caution: float = CAUTION) -> tuple[DataFrame, int]:
+    """(token, score, n_clean) of the tokens whose log-odds differ from 0, and the clean tokens' number."""
+    def by(kind: str):
+        return sum((F.col(f"{kind}_{h}") for h in halves[1:]), F.col(f"{kind}_{halves[0]}"))
 
-def log_odds(counts: DataFrame, prior: float = PRIOR, caution: float = CAUTION) -> tuple[DataFrame, tuple]:
-    """(token, score, n_clean) of the tokens whose log-odds differ from 0, and the class totals."""
-    n, nt, nc = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_toxic", "n_clean")]).first()
+    rows = counts.select("token", "n", by("toxic").alias("n_toxic"), by("clean").alias("n_clean"))
+    n, nt, nc = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_toxic", "n_clean")]).first()
     prior *= max(nt + nc, 1)
     alpha = F.col("n") * F.lit(prior / max(n, 1))
 
@@ -114,7 +124,7 @@ def log_odds(counts: DataFrame, prior: float = PRIOR, caution: float = CAUTION)
     delta = odds("n_toxic", nt) - odds("n_clean", nc)
     error = F.sqrt(1 / (F.col("n_toxic") + alpha) + 1 / (F.col("n_clean") + alpha))
     score = F.signum(delta) * F.greatest(F.abs(delta) - F.lit(caution) * error, F.lit(0.0))
-    return counts.select("token", "n_clean", score.alias("score")).where("score <> 0"), (n, nt, nc)
+    return rows.select("token", "n_clean", score.alias("score")).where("score <> 0"), nc
 
 
 def extreme_value(values: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -200,12 +210,18 @@ def _calibrate(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
     n, y = np.array([b[1] for b in bins], float), np.array([b[2] for b in bins], float)
     w = np.array([math.log((y.sum() + 1) / (n.sum() - y.sum() + 1)), 0.0])
     feats = np.stack([np.ones_like(x), x])
-    for _ in range(50):
+
+    def loss(v: np.ndarray) -> float:
+        z = v @ feats
+        return float((n * np.logaddexp(0, z) - y * z).sum() + 0.005 * v @ v)
+
+    for _ in range(100):  # Newton's method, halving steps that don't help
         p = 1 / (1 + np.exp(-np.clip(w @ feats, -30, 30)))
         grad = feats @ (y - n * p) - 0.01 * w
-        hess = (feats * (n * p * (1 - p))) @ feats.T + 0.01 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w + np.clip(step, -3, 3)
+        step = np.linalg.solve((feats * (n * p * (1 - p))) @ feats.T + 0.01 * np.eye(2), grad)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return float(w[0]), float(max(w[1], 0.0))
@@ -224,17 +240,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     prepare(docs.sparkSession)
     sample = cut(label_sample(labels, max_labelled))
     counts = cut(token_counts(docs, sample))
-    odds, (_, _, clean) = log_odds(counts)
+    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    bins: Counter = Counter()
+    for half in (0, 1):
+        model = _learned(counts, (1 - half,))
+        for b, n, toxic in (evidence(taught.where(F.col("half") == half), model, keep=["toxic"])
+                            .groupBy(_bin().alias("bin")).agg(F.count("*"), F.sum("toxic")).collect()):
+            bins[b, 0] += n
+            bins[b, 1] += toxic
+    model = _learned(counts, (0, 1))
+    model.a, model.b = _calibrate([(b, bins[b, 0], bins[b, 1]) for b in sorted({b for b, _ in bins})])
+    return model
+
+
+def _learned(counts: DataFrame, halves: tuple[int, ...]) -> ToxicityModel:
+    """Token scores and extreme-value parameters from some halves of the labelled rows."""
+    odds, clean = log_odds(counts, halves)
     rows = odds.orderBy(F.abs("score").desc(), "token").limit(MAX_TOKENS).collect()
     model = ToxicityModel({bytes(r.token): r.score for r in rows})
     known = sum(r.n_clean for r in rows)
     values = np.array([r.score - DRIFT for r in rows] + [-DRIFT])
     weights = np.array([r.n_clean + 0.5 for r in rows] + [max(clean - known, 1.0)], float)
     model.lam, model.k = extreme_value(values, weights)
-    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    bins = (evidence(taught, model, keep=["toxic"]).groupBy(_bin().alias("bin"))
-            .agg(F.count("*"), F.sum("toxic")).collect())
-    model.a, model.b = _calibrate(sorted(tuple(r) for r in bins))
     return model
 
 

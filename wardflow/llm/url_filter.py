@@ -4,7 +4,7 @@ Two smoothed variable-order Markov models (Witten-Bell) learn the URLs that
 rules accept and reject.  Any other URL is judged by the difference of its
 log-likelihoods divided by its length, against a threshold calibrated on the
 rule-judged URLs: the value that best separates the two classes, weighting
-both alike.
+both alike (half way between the neighbouring scores).
 
 Defined cases: a null URL, or one without ``://``, has an empty host and
 path; a null or empty URL scores 0 and is allowed, as is every URL while one
@@ -124,10 +124,10 @@ def fit(pages: DataFrame, rules: list[Rule], url: str = "url", order: int = ORDE
     bins.sort(key=lambda r: r.bin)
     good, bad = sum(r.good for r in bins), sum(r.bad for r in bins)
     best, at, passed_good, passed_bad = -1.0, float("-inf"), good, bad
-    for r in bins:
+    for before, r in zip([None, *bins], bins, strict=False):
         value = passed_good / good - passed_bad / bad  # allowing this bin and above
-        if value > best:
-            best, at = value, r.bin / BINS
+        if value > best:  # half way to the bin below
+            best, at = value, (r.bin + (before.bin if before else r.bin)) / 2 / BINS
         passed_good -= r.good
         passed_bad -= r.bad
     return UrlModel(trees, at)
