@@ -69,7 +69,7 @@ def main() -> None:
             target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-star-{int(time.time())}"
             t0 = time.perf_counter()
             res = etl.load(spark, etl.star_tables(DriverStar(spark, sf_dir)), target,
-                           allow_violations={"fact_patient_visits"})  # fixture visit ids repeat
+                           allow_violations={"keys:fact_patient_visits:visit_id"})  # fixture visit ids repeat
             etl_seconds = round(time.perf_counter() - t0, 3)
             star = PublishedStar(spark, res.published_to)
             for rnd in range(2):  # warm-up round, then the timed one

@@ -30,8 +30,8 @@ def test_conform_dirty_visits_sheet(spark):
     assert df.columns == ["visit_id", "hospital_id", "arrival_datetime", "readmission_30_days_flag",
                           "icu_required_flag", "wait_time_minutes"]
     got = [tuple(r) for r in df.orderBy("visit_id").collect()]
-    assert got == [(1, "H01", dt.datetime(2024, 1, 5, 10), True, False, 1.5),
-                   (2, "H02", None, True, True, 2.5)]  # "No" and null are truthy (T8)
+    assert got == [("1", "H01", dt.datetime(2024, 1, 5, 10), True, False, 1.5),
+                   ("2", "H02", None, True, True, 2.5)]  # "No" and null are truthy (T8)
     strict = etl.conform_table("fact_patient_visits", etl.normalise_headers(raw), strict_flags=True)
     assert [r[0] for r in strict.orderBy("visit_id").select("readmission_30_days_flag").collect()] == [False, None]
 
@@ -106,9 +106,92 @@ def test_load_stages_audits_and_publishes(spark, sf0001, published_sf0001):
     for report in (outliers.hospital_outliers, sector.radar_profiles, outliers.sankey_links):
         assert rows(report(pub)) == rows(report(src))
     files = spark.read.parquet(f"{pub.root}/fact_patient_visits").inputFiles()
-    assert files and all("/hospital_id=H" in f for f in files)  # partitioned by hospital
-    first = [r[0] for r in spark.read.parquet(files[0]).select("arrival_datetime").collect()]
-    assert first == sorted(first)  # and sorted by time inside each file
+    first = [tuple(r) for r in spark.read.parquet(files[0]).select("hospital_id", "arrival_datetime").collect()]
+    assert first == sorted(first)  # sorted by hospital and time inside each file
+
+
+def small_tables(spark, ids=("01", "02"), visit_ids=("V001", "V002")):
+    """A whole star of a few rows, with text ids and an extra column."""
+    s = star(spark)
+    tables = etl.star_tables(s)
+    tables["dim_region"] = spark.createDataFrame([("R1", "North")], "region_id string, region_name string")
+    tables["dim_hospital"] = spark.createDataFrame([(i, f"Hospital {i}", "R1", 51.5) for i in ids],
+                                                   "hospital_id string, hospital_name string, region_id string, latitude double")
+    for t in ("dim_department", "dim_patient", "dim_doctor", "dim_diagnosis", "fact_staffing", "fact_financials"):
+        tables[t] = tables[t].where("false")
+    tables["fact_patient_visits"] = spark.createDataFrame(
+        [(v, i, 1) for v, i in zip(visit_ids, ids)], "visit_id string, hospital_id string, month int")
+    return tables
+
+
+def test_publish_keeps_ids_and_takes_empty_facts(spark):
+    target = scratch() + "/star"
+    result = etl.load(spark, small_tables(spark), target, expected_rows={"fact_patient_visits": 2})
+    pub = PublishedStar(spark, target)
+    assert rows(pub.visits("visit_id", "hospital_id")) == [("V001", "01"), ("V002", "02")]
+    assert rows(pub.hospitals().select("hospital_id", "latitude")) == [("01", 51.5), ("02", 51.5)]
+    assert {r["hospital_id"]: r["total_visits"] for r in outliers.hospital_outliers(pub).collect()} == {"01": 1, "02": 1}
+    assert pub.financials().count() == 0
+    counts = {r["table_name"]: r["status"] for r in result.findings["row_counts"]}
+    assert counts["fact_patient_visits"] == "ok" and result.findings["headline"]
+
+
+def test_failed_load_leaves_the_old_star(spark, monkeypatch):
+    target = scratch() + "/star"
+    etl.load(spark, small_tables(spark), target)
+    newer = small_tables(spark, ids=("03", "04"))
+    with pytest.raises(etl.LoadRejected):
+        etl.load(spark, newer, target, expected_rows={"fact_patient_visits": 3})
+    write, seen = etl._write, []
+
+    def failing(df, path, name):
+        seen.append(name)
+        if name == "fact_financials":
+            raise OSError("lost")
+        write(df, path, name)
+
+    monkeypatch.setattr(etl, "_write", failing)
+    with pytest.raises(OSError):
+        etl.load(spark, newer, target)
+    monkeypatch.undo()
+    assert "dim_hospital" in seen
+    assert rows(PublishedStar(spark, target).hospitals().select("hospital_id")) == [("01",), ("02",)]
+    before = PublishedStar(spark, target)
+    etl.load(spark, newer, target)
+    assert rows(PublishedStar(spark, target).hospitals().select("hospital_id")) == [("03",), ("04",)]
+    assert rows(before.hospitals().select("hospital_id")) == [("01",), ("02",)]  # a star stays one version
+
+
+def test_a_finding_is_allowed_by_its_column(spark):
+    tables = small_tables(spark, visit_ids=("V1", "V1"))
+    tables["fact_patient_visits"] = tables["fact_patient_visits"].withColumn(
+        "hospital_id", F.when(F.col("hospital_id") == "02", "99").otherwise(F.col("hospital_id")))
+    with pytest.raises(etl.LoadRejected, match="references:fact_patient_visits:hospital_id"):
+        etl.load(spark, tables, scratch() + "/s", allow_violations={"keys:fact_patient_visits:visit_id"})
+
+
+def test_unparsable_values_fail_the_load(spark):
+    raw = spark.createDataFrame([("V1", "3.0", "4", "")], "visit_id string, month string, severity_level string, wait_time_minutes string")
+    assert rows(etl.conform_table("fact_patient_visits", raw)) == [("V1", 3, 4, None)]
+    bad = spark.createDataFrame([("V1", "March")], "visit_id string, month string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        etl.conform_table("fact_patient_visits", bad).collect()
+
+
+def test_codes_of_more_than_99_hospitals(spark):
+    from wardflow.sources.star import coded_id
+
+    got = [r[0] for r in spark.range(150).select(coded_id("H", F.col("id"))).collect()]
+    assert got[0] == "H01" and got[98:101] == ["H99", "H100", "H101"] and len(set(got)) == 150
+
+
+def test_new_files_are_seen_by_a_new_star(spark):
+    root = scratch()
+    region = spark.createDataFrame([(0, "A")], "r_regionkey long, r_name string")
+    region.write.parquet(f"{root}/region.parquet")
+    assert DriverStar(spark, root).regions().count() == 1
+    region.write.mode("append").parquet(f"{root}/region.parquet")
+    assert DriverStar(spark, root).regions().count() == 2
 
 
 def test_dimension_bounds(spark):
@@ -121,21 +204,6 @@ def test_dimension_bounds(spark):
     assert b2["dim_region"] == "violation"
 
 
-def test_published_facts_prune_by_region(spark, published_sf0001):
-    from wardflow.operators.scope import Scope
-    from wardflow.plans import overview
-
-    src, pub = published_sf0001
-    df = overview.hourly_arrivals(pub, Scope(region="R02"))
-    assert rows(df) == rows(overview.hourly_arrivals(src, Scope(region="R02")))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruningexpression" in plan  # region filter prunes hospital partitions
-    unpartitioned = etl.load(spark, etl.star_tables(src), scratch() + "/flat", partition_by_hospital=False,
-                             allow_violations={"fact_patient_visits"}, publish=False)
-    files = spark.read.parquet(f"{unpartitioned.staged_at}/fact_staffing").inputFiles()
-    assert not any("hospital_id=" in f for f in files)
-
-
 def _sheet_header(column: str) -> str:
     """A workbook-style header that normalises back to ``column``."""
     return " ".join(part.capitalize() for part in column.split("_"))
@@ -154,7 +222,7 @@ def test_csv_workbook_round_trip(spark, sf0001):
             df = df.toDF(*[_sheet_header(c) for c in df.columns])
         df.write.option("header", True).csv(f"{root}/{sheet}")
     tables = etl.conform(etl.read_sources(spark, root, fmt="csv"), strict_flags=True)
-    res = etl.load(spark, tables, scratch() + "/star", allow_violations={"fact_patient_visits"})
+    res = etl.load(spark, tables, scratch() + "/star", allow_violations={"keys:fact_patient_visits:visit_id"})
     pub = PublishedStar(spark, res.published_to)
     for name in ("hospital_outliers", "radar_profiles", "cfo_alerts", "severity_weekday_wait",
                  "regional_choropleth", "burnout_financials", "daily_heatmap", "audit_references"):

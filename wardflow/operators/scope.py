@@ -2,8 +2,8 @@
 
 The dashboard filter (region, trust type, hospital) is a predicate on the
 hospital dimension.  It is applied to the dimension *before* any join, and
-facts are reduced to in-scope hospitals with a semi join on the (small,
-bounded) filtered dimension, so the aggregation only sees in-scope rows.
+facts are reduced to in-scope hospitals with a semi join on the filtered
+dimension (broadcast by Spark when its size is under the threshold), so the aggregation only sees in-scope rows.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.schemas import ROW_BOUND
-
 
 @dataclass(frozen=True)
 class Scope:
@@ -47,21 +45,9 @@ def hospital_scope(hospitals: DataFrame, scope: Scope | None = None) -> DataFram
     return hospitals.filter(scope.predicate())
 
 
-def dim_side(dim: DataFrame, name: str = "dim_hospital") -> DataFrame:
-    """Mark a dimension for broadcast under its declared row bound.
-
-    The bound is enforced when the star is published (``sources.etl``) and
-    holds by construction for the driver-derived star (nation/region are
-    fixed-size, the calendar is a fixed range).  Dimensions without a bound
-    are left to Spark's size-checked broadcast threshold.
-    """
-    return F.broadcast(dim) if name in ROW_BOUND else dim
-
-
 def in_scope(fact: DataFrame, hospitals_in_scope: DataFrame) -> DataFrame:
     """Keep fact rows of in-scope hospitals (semi join on the small dim)."""
-    keys = dim_side(hospitals_in_scope.select("hospital_id"))
-    return fact.join(keys, "hospital_id", "left_semi")
+    return fact.join(hospitals_in_scope.select("hospital_id"), "hospital_id", "left_semi")
 
 
 def half_year(fact: DataFrame, period: str | None) -> DataFrame:

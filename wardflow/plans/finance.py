@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardflow.functions.numeric import mean, round_dec
 from wardflow.functions.text import py_str as py_text
 from wardflow.operators.reshape import sort_if
-from wardflow.operators.scope import Scope, dim_side, hospital_scope
+from wardflow.operators.scope import Scope, hospital_scope
 from wardflow.sources.star import Star
 
 # Waterfall stage labels in bridge order.
@@ -56,7 +56,7 @@ def render(template: str, name: Column, value: Column) -> Column:
 
 def _financials_in_scope(star: Star, scope: Scope | None, *cols: str) -> DataFrame:
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
-    return star.financials("hospital_id", *cols).join(dim_side(h), "hospital_id")
+    return star.financials("hospital_id", *cols).join(h, "hospital_id")
 
 
 def burnout_financials(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
@@ -105,7 +105,7 @@ def absences_overtime(star: Star, scope: Scope | None = None, ordered: bool = Tr
     """Per month, total absences and mean overtime hours."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id")
     s = star.staffing("hospital_id", "month", "staff_absence_count", "overtime_hours")
-    out = (s.join(dim_side(h), "hospital_id").groupBy("month").agg(
+    out = (s.join(h, "hospital_id").groupBy("month").agg(
         F.sum("staff_absence_count").cast("bigint").alias("absences"),
         mean("overtime_hours", 1).alias("overtime_hours"),
     ).select(F.col("month").cast("bigint").alias("month"), "absences", "overtime_hours"))
@@ -116,7 +116,7 @@ def burnout_by_month(star: Star, scope: Scope | None = None, ordered: bool = Tru
     """Mean shift burnout per hospital and month (years pooled, T7)."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     s = star.staffing("hospital_id", "month", "burnout_risk_index")
-    out = (s.join(dim_side(h), "hospital_id")
+    out = (s.join(h, "hospital_id")
            .groupBy("hospital_id", "hospital_name", "month")
             .agg(mean("burnout_risk_index", 3).alias("burnout"))
            .select("hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"), "burnout"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import mean, rate_pct
 from wardflow.operators.reshape import sort_if
-from wardflow.operators.scope import Scope, dim_side, half_year, hospital_scope, in_scope
+from wardflow.operators.scope import Scope, half_year, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
 
@@ -62,7 +62,7 @@ def bump_rankings(star: Star, scope: Scope | None = None, ordered: bool = True)
     """
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     v = star.visits("hospital_id", "month", "readmission_30_days_flag")
-    monthly = (v.join(dim_side(h), "hospital_id")
+    monthly = (v.join(h, "hospital_id")
                .groupBy("month", "hospital_id", "hospital_name")
                .agg(rate_pct("readmission_30_days_flag").alias("readmission_rate")))
     w = Window.partitionBy("month").orderBy(F.desc_nulls_first("readmission_rate"))
@@ -161,7 +161,7 @@ def severity_weekday_wait(star: Star, hospital_id: str | None = None,
         h = h.filter(F.col("hospital_id") == F.lit(hospital_id))
     v = in_scope(star.visits("hospital_id", "arrival_datetime", "severity_level", "wait_time_minutes"), h)
     cal = star.calendar().select("full_date", "day_of_week", "day_number")
-    joined = v.join(dim_side(cal, "dim_date"), F.to_date(v["arrival_datetime"]) == cal["full_date"])
+    joined = v.join(cal, F.to_date(v["arrival_datetime"]) == cal["full_date"])
     out = (joined.groupBy("hospital_id", "severity_level", "day_of_week", "day_number")
             .agg(mean("wait_time_minutes", 1).alias("avg_wait"))
             .select("hospital_id",

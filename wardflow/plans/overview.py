@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import count_true, pct, round_dec
 from wardflow.operators.reshape import sort_if
-from wardflow.operators.scope import Scope, dim_side, hospital_scope, in_scope
+from wardflow.operators.scope import Scope, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
 
@@ -47,8 +47,8 @@ def visits_by_department(star: Star, scope: Scope | None = None, ordered: bool =
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     d = star.dim("dim_department").select("department_id", "department_name")
     v = star.visits("visit_id", "hospital_id", "department_id")
-    out = (v.join(dim_side(h), "hospital_id")
-           .join(dim_side(d, "dim_department"), "department_id")
+    out = (v.join(h, "hospital_id")
+           .join(d, "department_id")
            .groupBy("hospital_name", "department_name")
            .agg(F.count("visit_id").cast("bigint").alias("visits")))
     return sort_if(out, ordered, F.asc_nulls_last("hospital_name"), F.desc_nulls_first("visits"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardflow.functions.numeric import pct, round_dec
 from wardflow.operators.fanout import FactSide, fanout_sums, weighted_mean
 from wardflow.operators.reshape import sort_if
-from wardflow.operators.scope import Scope, dim_side, hospital_scope, in_scope
+from wardflow.operators.scope import Scope, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
 # Radar axes (key, label) in display order.
@@ -96,7 +96,7 @@ def regional_choropleth(star: Star, scope: Scope | None = None) -> DataFrame:
     """Readmission %, mean wait and mean burnout per region (fan-out weighted)."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "region_id")
     r = star.regions().select("region_id", "region_name")
-    hr = h.join(dim_side(r, "dim_region"), "region_id")
+    hr = h.join(r, "region_id")
     visits = FactSide("v", in_scope(star.visits(
         "hospital_id", "month", "wait_time_minutes", "readmission_30_days_flag"), h),
         measures=["wait_time_minutes"], flags=["readmission_30_days_flag"])

@@ -231,8 +231,8 @@ def facility_ledger(star: Star, scope: Scope | None = None, period: str | None =
                     ascending: bool = False) -> DataFrame:
     """The outlier table with sector flag, recalculated staffing
     stress, readmission band against the listed hospitals' mean, optional
-    search (B6) and sort (F2).  The mean is a window over the listed rows,
-    one per hospital (bounded by the hospital dimension).
+    search (B6) and sort (F2).  The mean is of the whole list; the search
+    only picks what is shown.
     """
     t = outliers.hospital_outliers(star, scope, period, ordered=False)
     t = t.select(
@@ -243,9 +243,9 @@ def facility_ledger(star: Star, scope: Scope | None = None, period: str | None =
         .cast("bigint").alias("stress_score"),
         bands.stress_level("avg_burnout_index", "avg_wait_time", "readmission_rate",
                            "staffing_stress").alias("staffing_stress"))
-    t = search(t, text, "hospital_name", "city")
-    mean = F.avg("readmission_rate").over(Window.partitionBy())
+    mean = t.agg(F.avg("readmission_rate")).scalar()
     t = t.withColumn("readmission_band", bands.readmission_band("readmission_rate", mean))
+    t = search(t, text, "hospital_name", "city")
     key = F.lower(F.col(sort_by)) if dict(t.dtypes)[sort_by] == "string" else F.col(sort_by)
     return t.orderBy(key.asc() if ascending else key.desc())
 
@@ -264,9 +264,22 @@ def regional_alarms(star: Star, scope: Scope | None = None) -> DataFrame:
                     js_round("avg_wait_time").alias("wait_minutes"))
 
 
-def sector_gap(star: Star, scope: Scope | None = None) -> DataFrame:
-    """Private minus NHS per radar axis, with direction text and
-    min-max positions of both sectors (50 when equal)."""
+# Least and most of each radar axis as the sector page draws it.
+AXIS_RANGES = {
+    "Wait Time (min)": (45.0, 90.0),
+    "Satisfaction (%)": (62.0, 62.7),
+    "Burnout Index": (0.588, 0.598),
+    "Readmissions (%)": (16.5, 17.4),
+    "Profit Margin (%)": (20.0, 30.0),
+    "ICU Admits (%)": (16.0, 17.0),
+}
+
+
+def sector_gap(star: Star, scope: Scope | None = None,
+               ranges: dict[str, tuple[float, float]] = AXIS_RANGES) -> DataFrame:
+    """Private minus NHS per radar axis, with direction text and the
+    positions of both sectors in percent of the axis range (50 when the range
+    is empty; outside 0 to 100 when a value is outside its range)."""
     radar = sector.radar_profiles(star, scope, ordered=False)
     subject = F.col("subject")
     unit_txt, places_of = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -277,8 +290,10 @@ def sector_gap(star: Star, scope: Scope | None = None) -> DataFrame:
     gap = F.when(places_of == 3, round_dec(diff, 3)).otherwise(round_dec(diff, 1))
     shown = F.when(places_of == 3, F.format_string("%.3f", F.abs(F.col("gap")))) \
         .otherwise(F.format_string("%.1f", F.abs(F.col("gap"))))
-    lo, hi = F.least("NHS", "Private"), F.greatest("NHS", "Private")
-    rng = hi - lo
+    lo, rng = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, (least, most) in ranges.items():
+        lo = F.when(subject == name, F.lit(least)).otherwise(lo)
+        rng = F.when(subject == name, F.lit(most) - F.lit(least)).otherwise(rng)
     pos = lambda c: F.when(rng > 0, (F.col(c) - lo) / rng * F.lit(100.0)).otherwise(F.lit(50.0))
     return (radar.select("axis", "subject", "NHS", "Private", gap.alias("gap"),
                          unit_txt.alias("unit"), pos("NHS").alias("nhs_position"),
@@ -328,9 +343,9 @@ def burnout_month_pivot(star: Star, scope: Scope | None = None,
 
 
 def burnout_hospital_list(star: Star, scope: Scope | None = None) -> DataFrame:
-    """P20: one row per hospital: its last month's burnout (distinct-on)."""
+    """P20: one row per hospital: the last row by month, null months after all others."""
     slope = finance.burnout_by_month(star, scope, ordered=False)
-    w = Window.partitionBy("hospital_id").orderBy(F.desc("month"), F.desc("hospital_name"))
+    w = Window.partitionBy("hospital_id").orderBy(F.desc_nulls_first("month"), F.desc("hospital_name"))
     return (slope.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn"))
 
 

@@ -43,30 +43,10 @@ def configure(spark: SparkSession) -> SparkSession:
                 spark.conf.set(key, value)
         except Exception:  # not settable in this deployment; keep its value
             pass
-    _size_initial_partitions(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
-def _size_initial_partitions(spark: SparkSession) -> None:
-    """On a large cluster, start shuffles wide and let AQE coalesce.
-
-    The default 200 shuffle partitions is far too few for the big joins of
-    a 100 TB input; with AQE on, ``initialPartitionNum`` only sets the width
-    before coalescing, so a generous value costs little for small stages.
-    Applied only when unset and when the cluster has more than 64 cores.
-    """
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    try:
-        if spark.conf.get(key, None) is not None:
-            return
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect: the server owns these settings
-        return
-    if cores > 64:
-        spark.conf.set(key, str(max(200, 4 * cores)))
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "wardflow") -> SparkSession:
     """A local session for tests and the bench (never used on a cluster)."""
@@ -104,6 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="wardflow-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -4,12 +4,11 @@
     conformed = conform(tables)                              # A4-A9
     result = load(spark, conformed, "/shared/star")          # A10-A18
 
-``load`` writes every table to a staging folder under the target, runs the
-key, reference and dimension-bound audits on the *staged* copy (so the
-audits read files, not the source lineage), and only then publishes the
-tables in dependency order.  A failed audit leaves the published tables
-untouched.  Plain Parquet has no cross-table transaction, so publication is
-per table (SURVEY §7.4); the staged copy stays for inspection.
+``load`` writes every table once into a new version folder under the target,
+runs the key, reference, row-count and headline audits on that copy (so the
+audits read files, not the source lineage), and then publishes the version
+by appending one row to a small log.  A failed audit or write leaves the
+published star as it was.
 """
 
 from __future__ import annotations
@@ -19,13 +18,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 from pyspark.sql.utils import AnalysisException
 
 from wardflow.functions.flags import strict_flag, truthy
 from wardflow.functions.text import clean_column_name, clean_name_col
 from wardflow.plans import audit
-from wardflow.schemas import LAYOUT, LOAD_ORDER, SCHEMAS
-from wardflow.sources.star import PublishedStar, Star
+from wardflow.schemas import FOREIGN_KEYS, LAYOUT, LOAD_ORDER, PRIMARY_KEYS, SCHEMAS
+from wardflow.sources.star import PublishedStar, Star, published_version
 
 # Source table (sheet) names and the star table each becomes.
 SOURCE_TABLES = {
@@ -52,13 +52,14 @@ FLAG_COLUMNS = {
                             "complaint_flag", "ambulance_arrival_flag"],
     "fact_financials": ["expansion_projects_flag"],
 }
-# Date columns that must parse (A6) and timestamps where bad values become null.
+# Date columns that must parse (A6) and timestamps where bad values become null.
 STRICT_DATES = {"dim_date": ["full_date"], "fact_staffing": ["shift_date"]}
 COERCED_TIMESTAMPS = {"fact_patient_visits": ["arrival_datetime", "triage_datetime",
                                               "treatment_start_datetime", "discharge_datetime"]}
-# Columns repeated from dim_hospital that the facts drop if present.
+# Columns repeated from dim_hospital that the facts drop if present.
 DENORMALISED = {t: ["hospital_name", "latitude", "longitude"]
                 for t in ("fact_patient_visits", "fact_staffing", "fact_financials")}
+# Columns of the vocabulary sheet, by position.
 VOCABULARY_COLUMNS = ["table_name", "column_name", "data_type", "description", "uk_context", "notes"]
 
 
@@ -119,11 +120,15 @@ def conform_vocabulary(raw: DataFrame) -> DataFrame:
 
 def conform_table(name: str, df: DataFrame, strict_flags: bool = False) -> DataFrame:
     """A5-A8 for one table: flags, dates, timestamps, dropped columns,
-    declared types for the known columns (unknown columns are kept)."""
+    declared types for the measures.  Ids keep the source's type, other
+    unknown columns are kept.  A value that its type can't hold fails the load
+    (ANSI cast); a whole number may be written as ``3.0``."""
     if name == "data_dictionary":
         return conform_vocabulary(df)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     declared = {f.name: f.dataType for f in SCHEMAS[name].fields}
+    ids = {PRIMARY_KEYS.get(name), *(col for t, col, _, _ in FOREIGN_KEYS if t == name)}
+    ids = {c for c in ids if c and not isinstance(declared.get(c), DateType)}
     exprs = []
     for c in df.columns:
         if c in DENORMALISED.get(name, []):
@@ -136,8 +141,12 @@ def conform_table(name: str, df: DataFrame, strict_flags: bool = False) -> DataF
         elif c in COERCED_TIMESTAMPS.get(name, []):
             col = (F.try_to_timestamp(col.cast("string")) if dtypes[c].simpleString() == "string"
                    else col).cast("timestamp_ntz")
-        elif c in declared:
-            col = col.try_cast(declared[c])
+        elif c in declared and c not in ids:
+            if dtypes[c].simpleString() == "string":
+                col = F.when(F.trim(col) != "", col)  # an empty cell
+                if declared[c].simpleString() in ("int", "bigint", "smallint"):
+                    col = F.regexp_replace(F.trim(col), r"\.0+$", "")
+            col = col.cast(declared[c])
         exprs.append(col.alias(c))
     return df.select(*exprs)
 
@@ -146,32 +155,18 @@ def conform(tables: dict[str, DataFrame], strict_flags: bool = False) -> dict[st
     return {name: conform_table(name, df, strict_flags) for name, df in tables.items()}
 
 
-# -------------------------------------------------------- stage / publish
-# Facts are also partitioned on disk by hospital when there are at most this
-# many hospitals: a dashboard filter (region, trust type) then prunes whole
-# directories at run time (dynamic partition pruning through the broadcast
-# hospital dimension).  More hospitals would mean too many small directories.
-HOSPITAL_PARTITION_LIMIT = 2000
-
-
-def _write(df: DataFrame, path: str, name: str, by_hospital: bool = False,
-           relayout: bool = True) -> None:
-    layout = LAYOUT.get(name)
-    writer_cols = ["hospital_id"] if by_hospital and layout and "hospital_id" in df.columns else []
-    if layout and relayout:
-        # Cluster by the columns reports filter and join on so Parquet
-        # min/max statistics prune row groups.  ``rebalance`` lets AQE size
-        # the output partitions from the measured shuffle bytes (advisory
-        # partition size) and split a hot hospital's partition into several,
-        # so file sizes hold at any scale; the sort makes each file's row
-        # groups cover narrow (hospital, time) ranges.
-        cols = [c for c in layout if c in df.columns]
-        if cols:
-            df = df.hint("rebalance", cols[0]).sortWithinPartitions(*cols)
-    writer = df.write.mode("overwrite")
-    if writer_cols:
-        writer = writer.partitionBy(*writer_cols)
-    writer.parquet(path)
+# -------------------------------------------------------- write / publish
+def _write(df: DataFrame, path: str, name: str) -> None:
+    # Cluster by the columns reports filter and join on so Parquet
+    # min/max statistics prune row groups.  ``rebalance`` lets AQE size
+    # the output partitions from the measured shuffle bytes (advisory
+    # partition size) and split a hot hospital's partition into several,
+    # so file sizes hold at any scale; the sort makes each file's row
+    # groups cover narrow (hospital, time) ranges.
+    cols = [c for c in LAYOUT.get(name, ()) if c in df.columns]
+    if cols:
+        df = df.hint("rebalance", cols[0]).sortWithinPartitions(*cols)
+    df.write.parquet(path)
 
 
 @dataclass
@@ -181,62 +176,65 @@ class LoadResult:
     findings: dict[str, list] = field(default_factory=dict)
 
 
-def audit_findings(star: Star) -> dict[str, list]:
+def audit_findings(star: Star, expected_rows: dict[str, int] | None = None) -> dict[str, list]:
     """Run the audits; the results are per-table summaries (tens of rows)."""
     return {
         "keys": [r.asDict() for r in audit.key_audit(star).collect()],
         "references": [r.asDict() for r in audit.reference_audit(star).collect()],
-        "bounds": [r.asDict() for r in audit.dimension_bounds(star).collect()],
-        "row_counts": [r.asDict() for r in audit.row_counts(star).collect()],
+        "row_counts": [r.asDict() for r in audit.row_counts(star, expected_rows).collect()],
+        "headline": [r.asDict() for r in audit.headline_check(star).collect()],
     }
 
 
+def finding_name(kind: str, row: dict) -> str:
+    """``audit:table:column``, by which a finding is allowed."""
+    return f"{kind}:{row['table_name']}:{row.get('key_column') or row.get('column_name') or '*'}"
+
+
 def blocking(findings: dict[str, list], allow: set[str] | frozenset = frozenset()) -> list[str]:
+    """Findings that stop a load: keys, references and row counts other than expected.
+
+    The headline metric is a benchmark of one data set; it is reported only.
+    """
     bad = []
-    for kind in ("keys", "references", "bounds"):
+    for kind in ("keys", "references", "row_counts"):
         for row in findings.get(kind, []):
-            if row["status"] != "ok" and row["table_name"] not in allow:
-                bad.append(f"{kind}: {row}")
+            if row["status"] not in ("ok", "n/a") and finding_name(kind, row) not in allow:
+                bad.append(f"{finding_name(kind, row)}: {row}")
     return bad
 
 
 def load(spark: SparkSession, tables: dict[str, DataFrame], target: str,
          run_id: str | None = None, allow_violations: set[str] | frozenset = frozenset(),
-         publish: bool = True, partition_by_hospital: bool | None = None) -> LoadResult:
-    """A10 + A18: stage in dependency order, audit the staged copy, publish.
-
-    ``allow_violations`` names tables whose audit findings are reported but
-    do not block publication.  ``partition_by_hospital`` (default: when the
-    staged hospital dimension has at most ``HOSPITAL_PARTITION_LIMIT`` rows)
-    also partitions the facts on disk by hospital.
+         publish: bool = True, expected_rows: dict[str, int] | None = None) -> LoadResult:
+    """A10 + A18: write a version in dependency order, audit it, publish it.
+
+    Every table is written once, below ``_versions/<run_id>``; the audits read
+    those files; then one row appended to the log ``_published`` makes the
+    whole version current.  Until that commit readers see the old star, after
+    it the new one.  ``allow_violations`` names findings (``finding_name``)
+    that are reported but do not block; ``expected_rows`` is the number of
+    rows that each table must have (A15).
     """
     run_id = run_id or uuid.uuid4().hex[:12]
     root = target.rstrip("/")
-    staging = f"{root}/_staging/{run_id}"
-    by_hospital = bool(partition_by_hospital)
+    version = f"{root}/_versions/{run_id}"
     for name in LOAD_ORDER:
-        if name not in tables:
-            continue
-        if name.startswith("fact_") and partition_by_hospital is None:
-            hospitals = spark.read.parquet(f"{staging}/dim_hospital") if "dim_hospital" in tables else None
-            by_hospital = hospitals is not None and \
-                hospitals.limit(HOSPITAL_PARTITION_LIMIT + 1).count() <= HOSPITAL_PARTITION_LIMIT
-            partition_by_hospital = by_hospital
-        _write(tables[name], f"{staging}/{name}", name, by_hospital)
-    staged = PublishedStar(spark, staging)
-    findings = audit_findings(staged)
+        if name in tables:
+            _write(tables[name], f"{version}/{name}", name)
+    findings = audit_findings(PublishedStar(spark, version), expected_rows)
     bad = blocking(findings, allow_violations)
     if bad:
-        raise LoadRejected(f"{len(bad)} blocking audit finding(s); nothing published", findings)
+        raise LoadRejected(f"{len(bad)} blocking audit finding(s); nothing published: {bad[0]}", findings)
     if not publish:
-        return LoadResult(staging, None, findings)
-    for name in LOAD_ORDER:
-        if name in tables:
-            # Read back the staged files: the published copy does not
-            # recompute the source lineage.
-            df = spark.read.parquet(f"{staging}/{name}")
-            _write(df, f"{root}/{name}", name, by_hospital, relayout=False)
-    return LoadResult(staging, root, findings)
+        return LoadResult(version, None, findings)
+    log = f"{root}/_published"
+    number = 1
+    if published_version(spark, root):
+        number += spark.read.schema("number long, version string").parquet(log).agg(F.max("number")).first()[0]
+    (spark.createDataFrame([(number, run_id)], "number long, version string").coalesce(1)
+     .write.mode("append").parquet(log))
+    return LoadResult(version, root, findings)
 
 
 def star_tables(star: Star) -> dict[str, DataFrame]:

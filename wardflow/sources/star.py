@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from wardflow.schemas import SCHEMAS
 
@@ -34,12 +35,10 @@ CALENDAR_START = dt.date(1995, 1, 1)
 CALENDAR_END = dt.date(2001, 12, 31)
 
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
-
-
 def coded_id(prefix: str, key: Column) -> Column:
-    """'H' + lpad(key + 1, 2, '0'): the hospital / region code of a key."""
-    return F.concat(F.lit(prefix), F.lpad((key + F.lit(1)).cast("string"), 2, "0"))
+    """'H' and key + 1 in two digits or more: the hospital / region code of a key."""
+    number = (key + F.lit(1)).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
 
 
 def _lookup(col: Column, mapping: dict, default=None) -> Column:
@@ -134,18 +133,13 @@ class DriverStar(Star):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.calendar_start, self.calendar_end = calendar_start, calendar_end
+        self._read: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        """The driver table as a (lazy) relation, resolved once per session.
-
-        The driver tables are read-only inputs, so their file listing and
-        Parquet schema are looked up once instead of on every report.
-        """
-        key = (id(self.spark), f"{self.sf_dir}/{name}.parquet")
-        df = _RELATIONS.get(key)
-        if df is None:
-            df = _RELATIONS[key] = self.spark.read.parquet(key[1])
-        return df
+        """The driver table as a (lazy) relation, listed anew for each star."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     # ---------------------------------------------------------- dimensions
     def dim(self, name: str) -> DataFrame:
@@ -348,14 +342,42 @@ class DriverStar(Star):
         return _Derived(base, {}, columns)
 
 
+def published_version(spark: SparkSession, target: str) -> str | None:
+    """The version of the last published load below ``target``, None without one.
+
+    ``_published`` is a log of one-row Parquet files: appending one is a
+    single committed write, and the row with the highest number counts.
+    """
+    try:
+        log = spark.read.schema("number long, version string").parquet(f"{target}/_published")
+        last = log.orderBy(F.desc("number"), F.desc("version")).first()
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return None
+    return last.version if last else None
+
+
 class PublishedStar(Star):
-    """The star as published by ``sources.etl.publish`` under ``root``."""
+    """The star that ``sources.etl.load`` last published under ``target``.
+
+    The version is looked up once, so one star never mixes two loads.  A
+    folder without published versions is read as a version itself.  Tables
+    have the columns and types they were written with; declared columns that
+    the source lacks are null.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, target: str):
+        self.spark, self.target = spark, target.rstrip("/")
+        version = published_version(spark, self.target)
+        self.root = f"{self.target}/_versions/{version}" if version else self.target
 
     def _read(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        df = self.spark.read.parquet(f"{self.root}/{name}")
+        declared = {f.name: f.dataType for f in SCHEMAS[name].fields}
+        missing = [c for c in declared if c not in df.columns]
+        if missing:
+            df = df.withColumns({c: F.lit(None).cast(declared[c]) for c in missing})
         cols = list(cols)
         return df.select(*cols) if cols else df
 

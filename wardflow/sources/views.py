@@ -10,11 +10,17 @@ from wardflow.schemas import LOAD_ORDER
 from wardflow.sources.star import Star
 
 
-def register_views(star: Star, tables: list[str] | None = None, prefix: str = "") -> list[str]:
-    """Create or replace one temporary view per star table; returns the names."""
+def register_views(star: Star, tables: list[str] | None = None, prefix: str = "",
+                   columns: dict[str, list[str]] | None = None) -> list[str]:
+    """Create or replace one temporary view per star table; returns the names.
+
+    ``prefix`` keeps them apart from other views; ``columns`` lists a table's
+    columns that are wanted (default: all).
+    """
     names = []
     for name in tables or LOAD_ORDER:
         view = f"{prefix}{name}"
-        star.table(name).createOrReplaceTempView(view)
+        wanted = (columns or {}).get(name)
+        (star.columns(name, *wanted) if wanted else star.table(name)).createOrReplaceTempView(view)
         names.append(view)
     return names
