@@ -54,6 +54,6 @@ def test_load_command_from_csv_sheets(spark, sf0001):
             df = df.toDF(*[_sheet_header(c) for c in df.columns])
         df.write.option("header", True).csv(f"{root}/in/{sheet}")
     assert main(["load", "--source", f"{root}/in", "--format", "csv", "--target", f"{root}/star",
-                 "--allow", "fact_patient_visits"]) == 0
+                 "--allow", "keys:fact_patient_visits:visit_id"]) == 0
     pub = PublishedStar(spark, f"{root}/star")
     assert rows(outliers.hospital_outliers(pub)) == rows(outliers.hospital_outliers(src))

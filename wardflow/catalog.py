@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardflow.operators.scope import Scope
 from wardflow.plans import audit, finance, outliers, overview, sector, shapes, sql, thresholds
 from wardflow.sources.star import DriverStar
 
@@ -92,15 +93,32 @@ def shape_queries() -> dict[str, QueryFn]:
     }
 
 
+def scoped_queries() -> dict[str, QueryFn]:
+    """Reports under a dashboard filter, a search or a sort."""
+    region, private = Scope(region="R02"), Scope(trust_type="Independent / Private")
+    return {
+        "overview_kpis_region": _on_star(overview.kpis, scope=region),
+        "hospital_outliers_private": _on_star(outliers.hospital_outliers, scope=private),
+        "radar_profiles_region": _on_star(sector.radar_profiles, scope=region),
+        "regional_choropleth_private": _on_star(sector.regional_choropleth, scope=private),
+        "sankey_links_hospital": _on_star(outliers.sankey_links, hospital_id="H07"),
+        "severity_weekday_wait_hospital": _on_star(outliers.severity_weekday_wait, hospital_id="H07"),
+        "facility_ledger_search": _on_star(shapes.facility_ledger, text="nation_1", sort_by="avg_wait_time",
+                                           ascending=True),
+        "visits_treemap_text": _on_star(overview.visits_treemap_text),
+    }
+
+
 def audit_queries() -> dict[str, QueryFn]:
     return {
         "audit_keys": _on_star(audit.key_audit),
         "audit_references": _on_star(audit.reference_audit),
         "audit_row_counts": _on_star(audit.row_counts),
         "audit_headline": _on_star(audit.headline_check),
+        "audit_sector_agreement": _on_star(audit.sector_agreement),
         "audit_dimension_bounds": _on_star(audit.dimension_bounds),
     }
 
 
 def queries() -> dict[str, QueryFn]:
-    return {**report_queries(), **shape_queries(), **audit_queries()}
+    return {**report_queries(), **shape_queries(), **scoped_queries(), **audit_queries()}

@@ -633,6 +633,12 @@ def _ref_sql(table: str, column: str, ref_table: str, ref_column: str) -> str:
     FROM {table} f WHERE f.{column} IS NOT NULL)"""
 
 
+SECTOR_AGREEMENT = """SELECT private, private_by_type, COUNT(*) AS hospitals,
+       CASE WHEN private IS NOT DISTINCT FROM private_by_type THEN 'ok' ELSE 'mismatch' END AS status
+FROM (SELECT private, COALESCE(nhs_trust_type = 'Independent / Private', false) AS private_by_type FROM dim_hospital)
+GROUP BY private, private_by_type"""
+
+
 def audit_parts() -> dict[str, tuple[str, str]]:
     keys = [_key_sql(t, k, "primary") for t, k in PRIMARY_KEYS] + [_key_sql("dim_date", "full_date", "unique")]
     counts = "\nUNION ALL\n".join(
@@ -646,6 +652,7 @@ def audit_parts() -> dict[str, tuple[str, str]]:
         "audit_keys": _p("\nUNION ALL\n".join(keys)),
         "audit_references": _p("\nUNION ALL\n".join(_ref_sql(*fk) for fk in FOREIGN_KEYS)),
         "audit_row_counts": _p(counts),
+        "audit_sector_agreement": _p(SECTOR_AGREEMENT),
         "audit_headline": _p(f"""SELECT 'readmission_rate' AS metric, readmission_rate,
        CAST(17.0 AS DOUBLE) AS expected, CAST(1.0 AS DOUBLE) AS tolerance,
        CASE WHEN abs(readmission_rate - 17.0) <= 1.0 THEN 'ok' ELSE 'off' END AS status
@@ -656,13 +663,36 @@ FROM (SELECT {rate('readmission_30_days_flag')} AS readmission_rate FROM fact_pa
 
 def oracle_sql() -> dict[str, str]:
     parts = {**report_parts(), **shape_parts(), **audit_parts()}
-    return {name: q(body, ctes) for name, (ctes, body) in parts.items()}
+    out = {name: q(body, ctes) for name, (ctes, body) in parts.items()}
+    out["facility_ledger_search"] = (
+        f"SELECT * FROM ({out['facility_ledger']}) WHERE contains(lower(hospital_name), 'nation_1') "
+        "OR contains(lower(city), 'nation_1')")
+    out["visits_treemap_text"] = (
+        "SELECT hospital_name AS name, string_agg(department_name || '=' || visits, ', ' "
+        f"ORDER BY visits DESC, department_name) AS children FROM ({out['visits_by_department']}) GROUP BY 1")
+    for name, (base, where) in SCOPED.items():
+        out[name] = _scoped(out[base], where)
+    return out
+
+
+#: Registered reports under a dashboard filter: (report, predicate on the hospitals).
+SCOPED = {
+    "overview_kpis_region": ("overview_kpis", "region_id = 'R02'"),
+    "hospital_outliers_private": ("hospital_outliers", "nhs_trust_type = 'Independent / Private'"),
+    "radar_profiles_region": ("radar_profiles", "region_id = 'R02'"),
+    "regional_choropleth_private": ("regional_choropleth", "nhs_trust_type = 'Independent / Private'"),
+    "sankey_links_hospital": ("sankey_links", "hospital_id = 'H07'"),
+    "severity_weekday_wait_hospital": ("severity_weekday_wait", "hospital_id = 'H07'"),
+}
 
 
 def scoped_sql(name: str, where: str) -> str:
     """The oracle of ``name`` with the hospital dimension filtered by ``where``
     (the dashboard filter applied to ``dim_hospital``, as the reports do)."""
-    sql = oracle_sql()[name]
+    return _scoped(oracle_sql()[name], where)
+
+
+def _scoped(sql: str, where: str) -> str:
     head, tail = sql.split("dim_department AS (", 1)
     head = head.replace("dim_hospital AS (\n", "dim_hospital AS (SELECT * FROM (\n", 1)
     head = head.rstrip().rstrip(",") + f" WHERE {where}),\n"

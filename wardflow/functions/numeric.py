@@ -51,8 +51,3 @@ def js_round(col: Column | str) -> Column:
     """``Math.round``: nearest whole number, halves toward +infinity."""
     c = F.col(col) if isinstance(col, str) else col
     return F.floor(c + F.lit(0.5)).cast("bigint")
-
-
-def as_long(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast("bigint")

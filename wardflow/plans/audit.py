@@ -17,13 +17,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.functions.bands import is_private_trust
 from wardflow.functions.numeric import rate_pct
 from wardflow.schemas import FOREIGN_KEYS, PRIMARY_KEYS, ROW_BOUND, UNIQUE_KEYS
 from wardflow.sources.star import Star
 
-# The load's expected row counts and headline readmission
-# rate (percent) with the tolerance the reconciliation allows.
-EXPECTED_ROWS = {"fact_patient_visits": 9994, "fact_staffing": 9919, "fact_financials": 264}
+# The headline readmission rate (percent) with the tolerance
+# that the reconciliation allows.
 EXPECTED_READMISSION_RATE = 17.0
 READMISSION_TOLERANCE = 1.0
 
@@ -121,6 +121,14 @@ def row_counts(star: Star, expected: dict[str, int] | None = None,
     return out.withColumn("status", status)
 
 
+def sector_agreement(star: Star) -> DataFrame:
+    """Hospitals by the ``private`` flag against the private trust type."""
+    by_type = F.coalesce(is_private_trust("nhs_trust_type"), F.lit(False))
+    h = star.hospitals().select("hospital_id", "private", by_type.alias("private_by_type"))
+    return h.groupBy("private", "private_by_type").agg(F.count(F.lit(1)).cast("bigint").alias("hospitals")).withColumn(
+        "status", F.when(F.col("private").eqNullSafe(F.col("private_by_type")), F.lit("ok")).otherwise(F.lit("mismatch")))
+
+
 def headline_check(star: Star, expected: float = EXPECTED_READMISSION_RATE,
                    tolerance: float = READMISSION_TOLERANCE) -> DataFrame:
     """Global readmission rate against its expected benchmark."""

@@ -72,6 +72,13 @@ def visits_treemap(star: Star, scope: Scope | None = None, ordered: bool = True)
     return sort_if(out, ordered, F.asc_nulls_last("name"))
 
 
+def visits_treemap_text(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
+    """R3 with the ordered children as text, ``name=visits`` joined by commas."""
+    nested = visits_treemap(star, scope, ordered)
+    return nested.select("name", F.array_join(F.transform("children", lambda x: F.concat_ws(
+        "=", x["name"], x["value"].cast("string"))), ", ").alias("children"))
+
+
 def daily_counts(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Visits per arrival date as ``YYYY-MM-DD`` text."""
     h = hospital_scope(star.hospitals(), scope)

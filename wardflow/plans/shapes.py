@@ -243,7 +243,8 @@ def facility_ledger(star: Star, scope: Scope | None = None, period: str | None =
         .cast("bigint").alias("stress_score"),
         bands.stress_level("avg_burnout_index", "avg_wait_time", "readmission_rate",
                            "staffing_stress").alias("staffing_stress"))
-    mean = t.agg(F.avg("readmission_rate")).scalar()
+    # one row per hospital reaches this window; a scalar subquery would scan the facts twice
+    mean = F.avg("readmission_rate").over(Window.partitionBy())
     t = t.withColumn("readmission_band", bands.readmission_band("readmission_rate", mean))
     t = search(t, text, "hospital_name", "city")
     key = F.lower(F.col(sort_by)) if dict(t.dtypes)[sort_by] == "string" else F.col(sort_by)

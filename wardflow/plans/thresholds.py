@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import count_true, pct, round_dec
@@ -91,9 +91,10 @@ def burnout_violators(star: Star, scope: Scope | None = None,
                       burnout_limit: float = BURNOUT_LIMIT) -> DataFrame:
     """Hospitals whose full-year burnout breaks the limit, with the count.
 
-    The count is a one-row aggregate of the flagged rows.
+    The count is a window over the flagged rows, one per hospital, so the
+    facts are scanned once (a scalar subquery would scan them twice).
     """
     flagged = threshold_flags(star, scope, burnout_limit=burnout_limit, ordered=False).filter("violates_burnout")
-    many = flagged.agg(F.count(F.lit(1)).cast("bigint")).scalar()
+    many = F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint")
     return flagged.select("hospital_id", "hospital_name", "avg_burnout_index", "readmission_rate_pct",
                           many.alias("violator_count"))
