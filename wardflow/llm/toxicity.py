@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from wardflow.llm.common import cut, gather_arrow, map_arrow, prepare
 from wardflow.llm.words import words_of
 
-#: Labelled documents that teach: the bounded sample, chosen by a hash of doc_id.
+#: Labelled documents that teach, about: the bounded sample, chosen by a hash of doc_id.
 MAX_LABELLED = 400_000
 #: Strength of the Dirichlet prior as a share of the labelled tokens, and the standard errors taken off a log-odds.
 PRIOR = 0.1
@@ -61,10 +61,14 @@ class ToxicityModel:
 
 
 def label_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, toxic): at most ``max_labelled`` labelled documents, the lowest by hash."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
-        F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn(
+    """(doc_id, toxic, half): about ``max_labelled`` labelled documents at most, by a hash of doc_id.
+
+    The hash picks a share, so no task sorts or holds the sample.
+    """
+    one = cut(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
+        F.max((F.col("toxic") != 0).cast("int")).alias("toxic")))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return one.where(place < F.lit(max_labelled / max(one.count(), 1))).withColumn(
         "half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
 
 
@@ -238,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     and toxic of the rows that may teach.
     """
     prepare(docs.sparkSession)
-    sample = cut(label_sample(labels, max_labelled))
+    sample = label_sample(labels, max_labelled)
     counts = cut(token_counts(docs, sample))
     taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     bins: Counter = Counter()
