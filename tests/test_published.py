@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from wardflow import catalog
 
-QUERIES = catalog.queries()
+QUERIES = catalog.star_queries()
 
 
 @pytest.fixture(scope="module")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardflow.operators.scope import Scope
 from wardflow.plans import audit, finance, outliers, overview, sector, shapes, sql, thresholds
+from wardflow.sources import etl, sheets
 from wardflow.sources.star import DriverStar
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -109,16 +110,47 @@ def scoped_queries() -> dict[str, QueryFn]:
     }
 
 
+def _reconciled_rows() -> QueryFn:
+    """A15 with the counts that the driver tables imply; on another star nothing is expected."""
+    plain = _on_star(audit.row_counts)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = DriverStar(spark, sf_dir)
+        return audit.row_counts(star, star.expected_rows())
+    run.on, run.report = plain.on, plain.report
+    return run
+
+
+def conform_queries() -> dict[str, QueryFn]:
+    """The load's conforming step (A3-A9) over untidy sheets of whole driver tables."""
+    def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return etl.conform_table("fact_patient_visits", etl.normalise_headers(sheets.visit_sheet(spark, sf_dir)))
+
+    def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sheet = etl.normalise_headers(sheets.visit_sheet(spark, sf_dir)).select("visit_id", "icu_required_flag")
+        return etl.conform_table("fact_patient_visits", sheet, strict_flags=True)
+
+    def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return etl.conform_vocabulary(sheets.vocabulary_sheet(spark, sf_dir))
+
+    return {"conform_visits": visits, "conform_flags": flags, "conform_vocabulary": vocabulary}
+
+
 def audit_queries() -> dict[str, QueryFn]:
     return {
         "audit_keys": _on_star(audit.key_audit),
         "audit_references": _on_star(audit.reference_audit),
-        "audit_row_counts": _on_star(audit.row_counts),
+        "audit_row_counts": _reconciled_rows(),
         "audit_headline": _on_star(audit.headline_check),
         "audit_sector_agreement": _on_star(audit.sector_agreement),
         "audit_dimension_bounds": _on_star(audit.dimension_bounds),
     }
 
 
-def queries() -> dict[str, QueryFn]:
+def star_queries() -> dict[str, QueryFn]:
+    """The queries that run on any star."""
     return {**report_queries(), **shape_queries(), **scoped_queries(), **audit_queries()}
+
+
+def queries() -> dict[str, QueryFn]:
+    return {**star_queries(), **conform_queries()}

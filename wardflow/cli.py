@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     rp.add_argument("--show", type=int, default=0, help="print the first N rows")
     args = p.parse_args(argv)
 
-    registry = catalog.queries()
+    registry = catalog.star_queries()
     if args.cmd == "list":
         for name, fn in registry.items():
             doc = (fn.__doc__ or "").strip().splitlines()

@@ -6,15 +6,14 @@ checked before it is published (see ``sources.etl``).
 
 Plans are built for large facts: a key check is one aggregation by key
 (partial aggregation collapses a hot key inside each task), and a reference
-check aggregates a table's references to (reference, value, rows) first,
-so only distinct values meet the referenced keys in the existence join.
+check joins a table once to each referenced key and moves only orphans on.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.bands import is_private_trust
@@ -46,53 +45,78 @@ def key_check(df: DataFrame, table: str, key: str, kind: str = "primary") -> Dat
 
 
 def key_audit(star: Star) -> DataFrame:
-    """A11 + A12: primary keys (unique, not null) and extra unique columns."""
-    checks = [key_check(star.columns(t, k), t, k) for t, k in PRIMARY_KEYS.items()]
-    checks += [key_check(star.columns(t, c), t, c, "unique")
-               for t, cols in UNIQUE_KEYS.items() for c in cols]
-    out = _union(checks)
+    """A11 + A12: primary keys (unique, not null) and extra unique columns.
+
+    Each fact's key is aggregated in its own type, one shuffle a fact; the keys of
+    all dimensions share one aggregate by (table, column, key as text).
+    """
+    keys = [(t, k, "primary") for t, k in PRIMARY_KEYS.items()]
+    keys += [(t, c, "unique") for t, cols in UNIQUE_KEYS.items() for c in cols]
+    small = [k for k in keys if not k[0].startswith("fact_")]
+    out = _union([key_check(star.columns(t, k), t, k, kind) for t, k, kind in keys if t.startswith("fact_")]
+                 + [_small_key_checks(star, small)])
     ok = (F.col("null_keys") == 0) & (F.col("duplicated_keys") == 0)
     if_unique = (F.col("kind") == "unique") & (F.col("duplicated_keys") == 0)
     return out.withColumn("status", F.when(ok | if_unique, F.lit("ok")).otherwise(F.lit("violation")))
 
 
+def _small_key_checks(star: Star, keys: list[tuple[str, str, str]]) -> DataFrame:
+    """``key_check`` of several tables in one aggregate; a table without rows has a row too."""
+    every = _union([star.columns(t, k).select(F.lit(i).alias("nth"), F.col(k).cast("string").alias("key"))
+                    for i, (t, k, _) in enumerate(keys)])
+    present = F.col("key").isNotNull()
+    found = every.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("nth").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(~present, F.col("n"))).alias("null_keys"),
+        F.count(F.when(present, F.lit(1))).alias("distinct_keys"),
+        F.count(F.when(present & (F.col("n") > 1), F.lit(1))).alias("duplicated_keys"))
+    spec = star.spark.createDataFrame([(i, *k) for i, k in enumerate(keys)],
+                                      "nth int, table_name string, key_column string, kind string")
+    return spec.join(found, "nth", "left").select("table_name", "key_column", "kind", *[
+        F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+        for c in ("rows", "null_keys", "distinct_keys", "duplicated_keys")])
+
+
 def reference_check(star: Star, table: str,
                     refs: list[tuple[str, str, str]]) -> DataFrame:
     """Rows whose non-null reference has no match in the referenced key.
 
-    All references of one table are checked in one pass: each row emits
-    (reference, value) pairs, which are aggregated to (reference, value,
-    rows) — only distinct values are shuffled, and a hot value collapses in
-    the partial aggregate — and matched to the union of the referenced
-    keys with one existence join.
+    One pass over the table: a left join per reference to the distinct keys, in
+    the columns' own types (Spark broadcasts the keys where they are small and
+    shuffles by the reference where not).  A row then emits its orphans, or
+    itself once without any, and (column, orphan) is grouped: rows without
+    orphans collapse to one in each task, so the aggregate moves orphans only.
     """
     cols = [c for c, _, _ in refs]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("ref"))
-                      for c in cols])
-    found = (star.columns(table, *cols).select(F.inline(pairs))
-             .filter(F.col("ref").isNotNull())
-             .groupBy("column_name", "ref").agg(F.count(F.lit(1)).alias("n")))
-    targets = _union([star.columns(rt, rc).select(F.lit(c).alias("column_name"),
-                                                  F.col(rc).cast("string").alias("ref"))
-                      for c, rt, rc in refs])
-    # EXISTS subquery -> an existence join: duplicate target keys cannot
-    # multiply rows.
-    hit = targets.where((F.col("column_name") == F.col("r.column_name").outer())
-                        & (F.col("ref") == F.col("r.ref").outer())).exists()
-    missing = ~F.col("hit")
-    per_column = (found.alias("r").select("column_name", "n", hit.alias("hit"))
-                  .groupBy("column_name").agg(
-                      F.sum("n").cast("bigint").alias("checked"),
-                      F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).cast("bigint").alias("orphans"),
-                      F.count(F.when(missing, F.lit(1))).cast("bigint").alias("orphan_values")))
-    spec = star.spark.createDataFrame(
-        [(table, c, rt, rc) for c, rt, rc in refs],
-        "table_name string, column_name string, ref_table string, ref_column string")
-    # every declared reference gets a row, also when all its values are null
-    return (spec.join(per_column, "column_name", "left").select(
-        "table_name", "column_name", "ref_table", "ref_column",
-        *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
-          for c in ("checked", "orphans", "orphan_values")]))
+    marked = star.columns(table, *dict.fromkeys(cols))
+    for i, (c, ref_table, ref_column) in enumerate(refs):
+        keys = star.columns(ref_table, ref_column).select(F.col(ref_column).alias(f"key{i}"))
+        here = F.col(c)
+        if marked.schema[c].dataType != keys.schema[f"key{i}"].dataType:
+            here, keys = here.cast("string"), keys.select(F.col(f"key{i}").cast("string").alias(f"key{i}"))
+        marked = marked.join(keys.where(F.col(f"key{i}").isNotNull()).distinct(), here == F.col(f"key{i}"), "left")
+    present = [F.col(c).isNotNull() for c in cols]
+    orphans = F.filter(F.array(*[
+        F.when(there & F.col(f"key{i}").isNull(), F.struct(F.lit(c).alias("column_name"),
+                                                           F.col(c).cast("string").alias("orphan")))
+        for i, (c, there) in enumerate(zip(cols, present, strict=True))]), lambda x: x.isNotNull())
+    emitted = marked.select(*[there.cast("int").alias(f"there{i}") for i, there in enumerate(present)],
+                            F.posexplode_outer(orphans).alias("nth", "at"))
+    first = F.coalesce(F.col("nth"), F.lit(0)) == 0  # a row's own columns count once
+    found = emitted.groupBy("at.column_name", "at.orphan").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.when(first, F.col(f"there{i}"))).alias(f"there{i}")
+                                        for i in range(len(cols))])
+
+    def number(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0)).cast("bigint")
+
+    one = found.agg(*[x for i, c in enumerate(cols) for mine in [F.col("column_name") == c] for x in (
+        number(F.sum(f"there{i}")).alias(f"checked{i}"), number(F.sum(F.when(mine, F.col("n")))).alias(f"orphans{i}"),
+        F.count(F.when(mine, F.lit(1))).alias(f"values{i}"))])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(rt).alias("ref_table"),
+                 F.lit(rc).alias("ref_column"), F.col(f"checked{i}").alias("checked"),
+                 F.col(f"orphans{i}").alias("orphans"), F.col(f"values{i}").alias("orphan_values"))
+        for i, (c, rt, rc) in enumerate(refs)])))
 
 
 def reference_audit(star: Star) -> DataFrame:
@@ -104,17 +128,21 @@ def reference_audit(star: Star) -> DataFrame:
     return out.withColumn("status", F.when(F.col("orphans") == 0, F.lit("ok")).otherwise(F.lit("violation")))
 
 
-def row_counts(star: Star, expected: dict[str, int] | None = None,
+def row_counts(star: Star, expected: dict[str, int] | DataFrame | None = None,
                tables: list[str] | None = None) -> DataFrame:
-    """Rows per table next to the expected count (null = not checked)."""
+    """Rows per table next to the expected count (null = not checked).
+
+    ``expected``: counts by table, or a frame (table_name, expected) that
+    is counted in the same job.
+    """
     tables = tables or list(PRIMARY_KEYS)
-    expected = expected or {}
-    frames = [star.columns(t, PRIMARY_KEYS.get(t) or star.table(t).columns[0])
-              .agg(F.count(F.lit(1)).alias("rows"))
-              .select(F.lit(t).alias("table_name"), F.col("rows").cast("bigint").alias("rows"),
-                      F.lit(expected.get(t)).cast("bigint").alias("expected"))
-              for t in tables]
-    out = _union(frames)
+    out = _union([star.columns(t, PRIMARY_KEYS.get(t) or star.table(t).columns[0])
+                  .agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+                  .select(F.lit(t).alias("table_name"), "rows") for t in tables])
+    if not isinstance(expected, DataFrame):
+        expected = star.spark.createDataFrame(list((expected or {}).items()), "table_name string, expected long")
+    out = out.join(expected.select("table_name", F.col("expected").cast("bigint").alias("expected")),
+                   "table_name", "left")
     status = (F.when(F.col("expected").isNull(), F.lit("n/a"))
               .when(F.col("rows") == F.col("expected"), F.lit("ok"))
               .otherwise(F.lit("mismatch")))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,6 +220,23 @@ class DriverStar(Star):
                 for t in SCHEMAS if t != "data_dictionary" for f in SCHEMAS[t].fields]
         return self.spark.createDataFrame(rows, SCHEMAS["data_dictionary"])
 
+    def expected_rows(self) -> DataFrame:
+        """(table_name, expected): what the mapping must give, counted in the driver tables alone."""
+        rows = F.count(F.lit(1))
+        nation_months = self.read("orders").join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+            "c_nationkey", F.trunc("o_orderdate", "month").alias("first_day")).distinct()
+        counts = {
+            "dim_region": self.read("region").agg(rows), "dim_hospital": self.read("nation").agg(rows),
+            "dim_department": self.read("part").agg(F.countDistinct("p_type")),
+            "dim_date": self.spark.range(1).select(F.lit((self.calendar_end - self.calendar_start).days + 1)),
+            "dim_patient": self.read("customer").agg(rows), "dim_doctor": self.read("supplier").agg(rows),
+            "dim_diagnosis": self.read("part").agg(F.countDistinct("p_brand")),
+            "fact_patient_visits": self.read("lineitem").agg(rows), "fact_staffing": self.read("orders").agg(rows),
+            "fact_financials": nation_months.agg(rows),
+        }
+        return reduce(DataFrame.unionAll, [df.toDF("expected").select(F.lit(t).alias("table_name"), F.col("expected").cast("long"))
+                                           for t, df in counts.items()])
+
     # --------------------------------------------------------------- facts
     def visits(self, *cols: str) -> DataFrame:
         return self._visits.build("fact_patient_visits", cols)
