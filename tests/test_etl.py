@@ -12,7 +12,7 @@ from conftest import rows
 from test_traps import hospitals, star, v, visits
 from wardflow.plans import audit, outliers, sector
 from wardflow.sources import etl
-from wardflow.sources.star import DriverStar, PublishedStar
+from wardflow.sources.star import DriverStar, FrameStar, PublishedStar
 
 
 def scratch():
@@ -82,6 +82,27 @@ def test_key_and_reference_audits_find_planted_defects(spark):
     assert region["orphans"] == 1 and region["status"] == "violation"
 
 
+def test_expected_rows_of_the_driver_star_find_a_lost_row(spark, sf0001):
+    src = DriverStar(spark, sf0001)
+    ok = {r["table_name"]: r["status"] for r in audit.row_counts(src, src.expected_rows()).collect()}
+    assert len(ok) == 10 and set(ok.values()) == {"ok"}
+    short = FrameStar(spark, {"fact_staffing": src.staffing().where("shift_id <> 1")})
+    found = {r["table_name"]: r for r in audit.row_counts(short, src.expected_rows(), ["fact_staffing"]).collect()}
+    assert found["fact_staffing"]["status"] == "mismatch"
+
+
+def test_references_of_other_types_and_repeated_keys(spark):
+    keys = spark.createDataFrame([("1",), ("1",), ("2",), (None,)], "doctor_id string")
+    facts = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (None,)], "doctor_id long")
+
+    class Two:
+        def columns(self, name, *cols):
+            return (facts if name == "f" else keys).select(*cols)
+
+    row = audit.reference_check(Two(), "f", [("doctor_id", "k", "doctor_id")]).collect()
+    assert [(r["checked"], r["orphans"], r["orphan_values"]) for r in row] == [(5, 2, 1)]
+
+
 def test_row_count_and_headline_checks(spark):
     s = star(spark, fact_patient_visits=visits(spark, [v(i, "H01", readmit=(i < 17)) for i in range(100)]))
     counts = {r["table_name"]: r for r in audit.row_counts(s, {"fact_patient_visits": 100,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from wardflow.functions.numeric import round_dec
 from wardflow.operators.scope import Scope
-from wardflow.plans import finance, outliers, overview, sector, thresholds
+from wardflow.plans import finance, outliers, overview, sector, shapes, thresholds
 from wardflow.sources.star import FrameStar
 
 HOSPITALS = [
@@ -321,3 +321,16 @@ def test_financial_reports_use_their_own_burnout(spark):
     r6 = {r["hospital_id"]: r["avg_burnout_index"] for r in outliers.hospital_outliers(s).collect()}
     r13 = {r["hospital_id"]: r["avg_burnout"] for r in finance.burnout_financials(s).collect()}
     assert r6["H01"] == 0.5 and r13["H01"] == 0.9
+
+
+# ------------------------------------------------- more hospitals than two digits
+def test_150_hospitals_in_reports_and_pivots(spark):
+    ids = [f"H{k:02d}" for k in range(1, 151)]
+    s = star(spark, dim_hospital=hospitals(spark, [(h, f"Name {h}", "R01", "NHS Trust", False) for h in ids]),
+             fact_patient_visits=visits(spark, [v(i, h, month=1) for i, h in enumerate(ids)]),
+             fact_staffing=staffing(spark, [(i, h, 1, 0.5, 0, 0.0) for i, h in enumerate(ids)]))
+    assert {r["hospital_id"]: r["total_visits"] for r in outliers.hospital_outliers(s).collect()} == dict.fromkeys(ids, 1)
+    assert {r["hospital_id"] for r in outliers.bump_rankings(s).collect()} == set(ids)
+    assert {r["hospital_id"] for r in finance.burnout_by_month(s).collect()} == set(ids)
+    assert set(shapes.readmission_month_pivot(s).columns) == {"month", *ids}
+    assert set(shapes.burnout_month_pivot(s).columns) == {"month", "name", *[f"Name {h}" for h in ids]}

@@ -2,8 +2,8 @@
 
 Every published table has a StructType here; keys, unique columns and
 references are listed once and drive the audits (A11-A13).  ``ROW_BOUND``
-is the size promise a dimension must keep to be broadcast (checked by the
-ETL before publishing, see ``sources.etl``).
+is the size that a dimension is expected to stay under; ``audit.dimension_bounds``
+reports it, no plan or load depends on it.
 """
 
 from __future__ import annotations
