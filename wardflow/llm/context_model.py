@@ -1,20 +1,21 @@
-"""Variable-order byte context trees, counted by Spark and run as an automaton.
-
-A tree holds, per class (a language, or accepted/rejected), the contexts of
-up to ``order`` bytes that are frequent enough.  Counts come from every
-training row; only the tree's size is bounded (``table_mb``), by a count
-threshold per class.  A threshold keeps a context's prefixes and suffixes, as
-these occur at least as often, so the trees of all classes form one finite
-automaton: a state is the longest known context, and a table gives for each
-state and byte the next state and every class's code length.
-
-Texts are cut into short segments that start ``order`` bytes early, which
-fixes the state, so a batch advances all its segments together.
+"""Variable-order byte context trees, counted by Spark and run as a sparse automaton.
+
+A tree holds, per class (a language, or accepted/rejected), every context of
+up to ``order`` bytes that the class's training rows have: it grows with the
+corpus, and no class takes room from another.  Its entries are sorted arrays,
+one pair for each class and context length: (context, byte) with its code
+length, and context with what an escape from it costs.  A byte's code length is
+that of the longest context which knows the byte, plus the escapes before it;
+as whatever a context has seen, its suffixes have seen too, entries need no
+rows for unseen bytes.  The driver and every worker hold all trees.
+
+A batch's distinct grams are looked up once, so text costs one hash a byte.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import cut, gather_arrow
+from wardflow.llm.common import gather_arrow
 
 #: Bytes before a text's start.
 PAD = 10
-#: Bytes that one cursor reads.
-SEGMENT = 512
+#: Bytes that are looked up together.
+PIECE = 1 << 20
+#: The longest code length of a byte.
+MAX_BITS = -np.log2(1e-30)
 #: Distinct grams that a task holds before it writes them out.
 FLUSH_GRAMS = 2_000_000
 
 
+def _pack(flat: np.ndarray, order: int) -> np.ndarray:
+    """Each run of ``order`` + 1 bytes in 64 bits."""
+    key = np.zeros(flat.size - order, np.int64)
+    for k in range(order + 1):
+        key = (key << 8) | flat[k:k + key.size]
+    return key
+
+
 def _grams(data: list[bytes], order: int) -> np.ndarray:
     """All (context, byte) grams of ``order`` + 1 bytes, packed in 64 bits."""
     lead = bytes([PAD]) * order
     flat = np.frombuffer(lead + lead.join(data) if data else b"", dtype=np.uint8)
     if flat.size <= order:
         return np.empty(0, np.int64)
-    key = np.zeros(flat.size - order, np.int64)
-    for k in range(order + 1):
-        key = (key << 8) | flat[k:k + key.size]
+    key = _pack(flat, order)
     # a text's first symbol follows `order` pads; grams that end in the next text's pads go
     ends = np.cumsum([len(d) + order for d in data]) - order
     keep = np.ones(key.size, bool)
@@ -97,103 +106,121 @@ def count_grams(rows: DataFrame, label: str, text: str, order: int) -> DataFrame
             .groupBy("label", "gram").agg(F.sum("n").alias("n")))
 
 
-def context_counts(grams: DataFrame, order: int, table_mb: int) -> list[tuple[str, int, int, int]]:
-    """(label, context order, gram of order + 1 bytes, n) of the contexts kept.
+@dataclass
+class ContextCounts:
+    """Counts by class and context length: sorted grams (context and byte) and how often they occur."""
+
+    levels: dict[str, list[tuple[np.ndarray, np.ndarray]]]
+
+    def __iter__(self) -> Iterator[tuple[str, int, int, int]]:
+        """(label, context order, gram, n)."""
+        for name, levels in self.levels.items():
+            for k, (grams, ns) in enumerate(levels):
+                for g, n in zip(grams.tolist(), ns.tolist(), strict=True):
+                    yield name, k, g, n
 
-    The number of contexts of a class is at most what ``table_mb`` allows, so
-    the rows that reach the driver are bounded whatever the corpus.
+
+def _mask(k: int) -> int:
+    """Of a gram's last k + 1 bytes."""
+    return (1 << 8 * (k + 1)) - 1
+
+
+def context_counts(grams: DataFrame, order: int, least: int = 1) -> ContextCounts:
+    """The counts of every context that occurs ``least`` times, and of the empty one.
+
+    The longest grams come to the driver; the shorter ones are their sums.
+    """
+    rows = grams.select("label", "gram", "n").toArrow().combine_chunks()
+    label = rows.column("label").combine_chunks()
+    label = label.dictionary_encode() if len(label) else label
+    names = label.dictionary.to_pylist() if len(label) else []
+    which = label.indices.to_numpy() if len(label) else np.empty(0, np.int32)
+    gram, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+    out = {}
+    for i, name in sorted(enumerate(names), key=lambda x: x[1]):
+        of = which == i
+        at = np.argsort(gram[of])
+        keys, ns = gram[of][at], n[of][at]
+        levels = []
+        for k in range(order, -1, -1):
+            short = keys & _mask(k)
+            if k < order:
+                short, at = np.unique(short, return_inverse=True)
+                ns = np.bincount(at, weights=ns, minlength=short.size).astype(np.int64)
+            keys = short
+            known = np.ones(keys.size, bool)
+            if k and least > 1:
+                _, at = np.unique(keys >> 8, return_inverse=True)
+                known = np.bincount(at, weights=ns)[at] >= least
+            levels.append((keys[known], ns[known]))
+        out[name] = levels[::-1]
+    return ContextCounts(out)
+
+
+def escape_rows(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, parent: np.ndarray,
+                rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prediction by partial matching, escape method C with exclusion.
+
+    Probabilities of the bytes that contexts have seen, and the factor that a context
+    puts before the shorter one's for other bytes.  ``parent``: the shorter context's
+    probabilities of the seen bytes, ``rest``: what it leaves to the others.
     """
-    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"),
-                                          F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g"))
-                                 for k in range(order + 1)])).alias("x")
-    every = cut(grams.select("label", "n", levels).groupBy("label", "x.k", "x.g").agg(F.sum("n").alias("n")))
-    totals = every.groupBy("label", "k", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("total"))
-    shape = every.where("k = 0").agg(F.countDistinct("g"), F.countDistinct("label")).first()
-    symbols, labels = shape[0] + 1, shape[1]
-    if not labels:
-        return []
-    most = max(300, int(table_mb * 1e6 / (4.0 * symbols * (labels + 1) * labels)))
-    # an eighth of a power of two is fine enough for a threshold, and few rows
-    step = F.floor(F.log2("total") * 8).cast("int")
-    levels_of: dict[str, list[tuple[int, int]]] = {}
-    for name, s, c in totals.groupBy("label", step.alias("s")).count().collect():
-        levels_of.setdefault(name, []).append((s, c))
-    least = []
-    for name, steps in levels_of.items():
-        seen, at = 0, 1 << 30
-        for s, c in sorted(steps, reverse=True):
-            if seen + c > most:
-                break
-            seen, at = seen + c, s
-        least.append((name, at))
-    limit = every.sparkSession.createDataFrame(least, "label string, least int")
-    kept = (totals.join(F.broadcast(limit), "label").where(step >= F.col("least"))
-            .select("label", "k", "c"))
-    kept = kept.unionByName(limit.select("label", F.lit(0).alias("k"), F.lit(0).cast("long").alias("c"))).distinct()
-    rows = (every.withColumn("c", F.shiftright("g", 8)).join(kept, ["label", "k", "c"])
-            .select("label", "k", "g", "n").toArrow())
-    return list(zip(*[rows.column(c).to_pylist() for c in ("label", "k", "g", "n")], strict=True))
-
-
-def escape_rows(parent: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Prediction by partial matching, escape method C with exclusion."""
-    total, seen = n.sum(), n > 0
-    kinds = seen.sum()
-    rest = 1.0 - parent[seen].sum()
-    escape = parent * (kinds / (total + kinds) / max(rest, 1e-12))
-    return np.where(seen, n / (total + kinds), escape)
-
-
-def witten_bell_rows(parent: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Witten-Bell interpolation with the shorter context."""
-    total, kinds = n.sum(), (n > 0).sum()
-    return (n + kinds * parent) / (total + kinds)
+    return n / (total + kinds), kinds / (total + kinds) / np.maximum(rest, 1e-12)
+
+
+def witten_bell_rows(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, parent: np.ndarray,
+                     rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Witten-Bell interpolation with the shorter context; arguments as in ``escape_rows``."""
+    return (n + kinds * parent) / (total + kinds), kinds / (total + kinds)
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted ``keys``, and whether the key is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, keys.size - 1))
+    return at, keys[at] == wanted if keys.size else np.zeros(wanted.size, bool)
 
 
 class Automaton:
-    """States (longest known contexts), their transitions and code lengths in bits."""
+    """Per class and context length: seen bytes' code lengths and escapes, in bits."""
 
-    def __init__(self, counts: list[tuple[str, int, int, int]], order: int,
-                 smooth: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    def __init__(self, counts: ContextCounts, order: int, smooth: Callable[..., tuple[np.ndarray, np.ndarray]]):
         self.order = order
-        self.labels = sorted({c[0] for c in counts})
-        symbols = sorted({PAD, *(g & 255 for _, _, g, _ in counts)})
-        self.symbol_of = np.zeros(256, np.int64)  # 0: a byte that no training text has
-        for i, b in enumerate(symbols):
-            self.symbol_of[b] = i + 1
-        width = len(symbols) + 1
-        found: dict[tuple[int, int], dict[int, np.ndarray]] = {}
-        at = {name: i for i, name in enumerate(self.labels)}
-        for name, k, g, n in counts:
-            by = found.setdefault((k, g >> 8), {})
-            row = by.get(at[name])
-            if row is None:
-                row = by[at[name]] = np.zeros(width)
-            row[self.symbol_of[g & 255]] += n
-        states = sorted(found)
-        number = {s: i for i, s in enumerate(states)}
-
-        def longest(k: int, c: int) -> int:
-            while (k, c) not in number:
-                k -= 1
-                c &= (1 << 8 * k) - 1
-            return number[k, c]
-
-        many = max(1, len(states))
-        self.next = np.zeros((many, width), np.int32)
-        self.bits = np.zeros((many, width, len(self.labels)), np.float32)
-        probs: list[list[np.ndarray]] = []
-        base = np.full(width, 1 / 256)
-        for i, (k, c) in enumerate(states):
-            up = probs[longest(k - 1, c & ((1 << 8 * (k - 1)) - 1))] if k else [base] * len(self.labels)
-            probs.append([smooth(up[x], found[k, c][x]) if x in found[k, c] else up[x]
-                          for x in range(len(self.labels))])
-            for x, p in enumerate(probs[i]):
-                self.bits[i, :, x] = -np.log2(np.maximum(p, 1e-30))
-            for s, b in enumerate(symbols, 1):
-                size = min(k + 1, order)
-                self.next[i, s] = longest(size, ((c << 8) | b) & ((1 << 8 * size) - 1))
-        self.width = width
+        self.labels = sorted(counts.levels)
+        self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
+        for name in self.labels:
+            tables, below, p = [], np.empty(0, np.int64), np.empty(0)
+            for k, (grams, n) in enumerate(counts.levels[name]):
+                parent = p[np.searchsorted(below, grams & _mask(k - 1))] if k else np.full(grams.size, 1 / 256)
+                contexts, first, of = np.unique(grams >> 8, return_index=True, return_inverse=True)
+                total = np.bincount(of, weights=n, minlength=contexts.size)
+                kinds = np.bincount(of, minlength=contexts.size)
+                rest = 1.0 - np.bincount(of, weights=parent, minlength=contexts.size)
+                p, escape = smooth(n, total[of], kinds[of], parent, rest[of])
+                tables.append((grams, -np.log2(p).astype(np.float32), contexts,
+                               -np.log2(escape[first]).astype(np.float32)))
+                below = grams
+            self.tables.append(tables)
+
+    @property
+    def contexts(self) -> dict[str, int]:
+        """How many contexts each class holds."""
+        return {name: sum(t[2].size for t in tables) for name, tables in zip(self.labels, self.tables, strict=True)}
+
+    def _bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the grams' last bytes: (grams, classes)."""
+        out = np.zeros((grams.size, len(self.labels)))
+        for x, tables in enumerate(self.tables):
+            left = np.arange(grams.size)
+            for k in range(self.order, -1, -1):
+                known, cost, contexts, escape = tables[k]
+                short = grams[left] & _mask(k)
+                at, hit = _at(known, short)
+                out[left[hit], x] += cost[at[hit]]
+                left, short = left[~hit], short[~hit]
+                at, hit = _at(contexts, short >> 8)
+                out[left[hit], x] += escape[at[hit]]
+            out[left, x] += 8.0  # 1 / 256: a byte that the class never had
+        return np.minimum(out, MAX_BITS)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each class: (texts, classes)."""
@@ -202,25 +229,15 @@ class Automaton:
         if not self.labels or not sizes.sum():
             return out
         lead, k = bytes([PAD]) * self.order, self.order
-        flat = self.symbol_of[np.frombuffer(lead + b"".join(t + lead for t in texts) + bytes(SEGMENT), np.uint8)]
-        begins = np.concatenate([[0], np.cumsum(sizes + k)[:-1]]) + k
-        pieces = -(-sizes // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(owner.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = begins[owner] + nth * SEGMENT
-        length = np.minimum(sizes[owner] - nth * SEGMENT, SEGMENT)
-        order = np.argsort(-length, kind="stable")
-        start, length, owner = start[order], length[order], owner[order]
-        state = np.zeros(start.size, np.int64)
-        step, cost = self.next.reshape(-1), self.bits.reshape(-1, len(self.labels))
-        for j in range(k):
-            state = step[state * self.width + flat[start - k + j]].astype(np.int64)
-        bits = np.zeros((start.size, len(self.labels)), np.float64)
-        live = np.searchsorted(-length, -np.arange(SEGMENT), side="left")  # segments longer than j
-        for j in range(int(length.max())):
-            m = live[j]
-            at = state[:m] * self.width + flat[start[:m] + j]
-            bits[:m] += cost[at]
-            state[:m] = step[at]
-        np.add.at(out, owner, bits)
+        flat = np.frombuffer(lead + lead.join(texts), np.uint8)
+        begins = np.cumsum(sizes + k) - (sizes + k)
+        for a in range(0, flat.size - k, PIECE):
+            key = _pack(flat[a:a + PIECE + k], k)
+            place = np.arange(a, a + key.size)
+            owner = np.searchsorted(begins, place, side="right") - 1
+            inside = place < begins[owner] + sizes[owner]
+            owner, grams = owner[inside], pa.array(key[inside]).dictionary_encode()
+            bits, at = self._bits(grams.dictionary.to_numpy()), grams.indices.to_numpy()
+            for x in range(len(self.labels)):
+                out[:, x] += np.bincount(owner, weights=bits[:, x][at], minlength=len(texts))
         return out

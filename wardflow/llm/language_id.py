@@ -9,7 +9,7 @@ wins.
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 equal code lengths go to the first language by name; without training rows
 every text is ``und``.  Rows with a null language or text teach nothing;
-repeated rows count each time.  Very long texts are scored whole, in segments.
+repeated rows count each time.  Very long texts are scored whole, in pieces.
 Columns of the input that an output column names are replaced.
 """
 
@@ -27,19 +27,18 @@ from wardflow.llm.common import crc_bucket, map_arrow, prepare
 from wardflow.llm.context_model import Automaton, context_counts, count_grams, escape_rows
 
 UNKNOWN = "und"
-#: Longest context in bytes, and the size of the automaton's tables.
+#: Longest context in bytes.
 ORDER = 4
-TABLE_MB = 24
 FOLDS = 5
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
-def fit(train: DataFrame, order: int = ORDER, table_mb: int = TABLE_MB) -> Automaton:
-    """The context trees of ``train`` (columns text, lang), built from every row."""
+def fit(train: DataFrame, order: int = ORDER) -> Automaton:
+    """The context trees of ``train`` (columns text, lang), with every context of every row."""
     prepare(train.sparkSession)
     grams = count_grams(train, "lang", "text", order)
-    return Automaton(context_counts(grams, order, table_mb), order, escape_rows)
+    return Automaton(context_counts(grams, order), order, escape_rows)
 
 
 def has_letter(data: bytes) -> bool:

@@ -28,9 +28,8 @@ from wardflow.llm.common import cut, map_arrow, prepare
 from wardflow.llm.context_model import Automaton, context_counts, count_grams, witten_bell_rows
 
 ALLOW, BLOCK = "allow", "block"
-#: Longest context, and the size of the automaton's tables.
+#: Longest context.
 ORDER = 5
-TABLE_MB = 12
 #: Bins per bit of the calibration's histogram.
 BINS = 200
 
@@ -107,14 +106,13 @@ def _scored(pages: DataFrame, trees: Automaton, url: str) -> DataFrame:
     return map_arrow(pages, {url: "binary"}, add, make)
 
 
-def fit(pages: DataFrame, rules: list[Rule], url: str = "url", order: int = ORDER,
-        table_mb: int = TABLE_MB) -> UrlModel:
+def fit(pages: DataFrame, rules: list[Rule], url: str = "url", order: int = ORDER) -> UrlModel:
     """Models of all rule-judged URLs and the calibrated threshold."""
     prepare(pages.sparkSession)
     known = cut(judged(pages.select(url), rules, url).where("rule_verdict is not null")
                 .select(F.col(url), "rule_verdict"))
     grams = count_grams(known, "rule_verdict", url, order)
-    trees = Automaton(context_counts(grams, order, table_mb), order, witten_bell_rows)
+    trees = Automaton(context_counts(grams, order), order, witten_bell_rows)
     if trees.labels != [ALLOW, BLOCK]:
         return UrlModel(trees, float("-inf"))
     # llr lies within 2 x 100 bits a byte: a bounded number of bins
