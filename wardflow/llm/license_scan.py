@@ -1,7 +1,12 @@
 """License scan: exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text.  A block meets a template when it holds at
-least ``CONTAINMENT`` of the template's distinct words.  Tokens are ordered
+Blocks are the lines of a text up to ``LINE`` times the longest template, and, for
+each template length, overlapping runs of the whole word sequence across line
+breaks: twice as long as the template, a run every half template, so any
+passage of one and a half times its words lies within a run.  Runs meet only templates of
+their length, and are made only in texts that have the words of one.  A block
+meets a template when it holds at least ``CONTAINMENT`` of the template's
+distinct words.  Tokens are ordered
 by their frequency over all blocks, rarest first.  A template must then share
 one of its first |T| - o + 1 tokens with the block (o: the words needed); the
 join is on these prefix tokens, the length filter asks the block for o template
@@ -21,6 +26,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +35,8 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import cut, prepare
 
 CONTAINMENT = 0.9
+#: A line of more than this many times the longest template's words is met by its runs only.
+LINE = 4
 #: Between words; upper case is lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases to an ASCII letter, though it isn't one.
@@ -64,16 +73,44 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def tokenised(docs: DataFrame, vocabulary: list[str], least: int, text: str, keep: list[str]) -> DataFrame:
+def _need(template: Template, containment: float) -> int:
+    return math.ceil(containment * len(set(template.text.split())) - 1e-9)
+
+
+def _runs(mine: list[Template], containment: float) -> Column:
+    """Blocks of the word sequence ``w`` for templates of one length; ``tw`` has its distinct template words."""
+    m, least = len(mine[0].text.split()), min(_need(t, containment) for t in mine)
+    there = [F.size(F.array_intersect("tw", _strings(sorted(set(t.text.split()))))) >= _need(t, containment)
+             for t in mine]
+    words = _strings(sorted({w for t in mine for w in t.text.split()}))
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(max(1, m // 2)))
+    run = F.transform(starts, lambda i: F.struct(
+        F.lit(m).alias("span"), F.array_intersect(F.slice("w", i + 1, F.lit(2 * m)), words).alias("tokens")))
+    return F.when((F.size("w") > 0) & reduce(or_, there), F.filter(run, lambda x: F.size(x["tokens"]) >= least))
+
+
+def tokenised(docs: DataFrame, templates: tuple[Template, ...], containment: float, text: str,
+              keep: list[str]) -> DataFrame:
     """Per row: kept columns, a row id, n_words, phrase places and the blocks' template words."""
+    vocabulary = _strings(sorted({w for t in templates for w in t.text.split()}))
+    least = min(_need(t, containment) for t in templates)
+    longest = LINE * max(len(t.text.split()) for t in templates)
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
     k = [F.col(f"__k{i}") for i in range(len(keep))]
     plain = F.lower(F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(KELVIN), F.lit("é")))
-    lines = docs.select(*kept, F.transform(F.split(plain, "\n"), lambda x: F.split(x, BETWEEN)).alias("lw"))
+    lines = docs.select(*kept, F.transform(F.split(plain, "\n"), lambda x: F.array_remove(F.split(x, BETWEEN), "")).alias("lw"))
+    short = F.filter("lw", lambda x: F.size(x).between(least, longest))
     words = lines.select(
-        *k, F.array_remove(F.flatten("lw"), "").alias("w"),
-        F.filter(F.transform("lw", lambda x: F.array_intersect(x, _strings(vocabulary))),
-                 lambda x: F.size(x) >= least).alias("blocks"))
+        *k, F.flatten("lw").alias("w"),
+        F.filter(F.transform(short, lambda x: F.struct(F.lit(0).alias("span"),
+                                                       F.array_intersect(x, vocabulary).alias("tokens"))),
+                 lambda x: F.size(x["tokens"]) >= least).alias("lines"))
+    words = words.select(*k, "w", "lines", F.array_intersect("w", vocabulary).alias("tw"))
+    none = F.expr("cast(array() as array<struct<span: int, tokens: array<string>>>)")
+    by_length: dict[int, list[Template]] = {}
+    for t in templates:
+        by_length.setdefault(len(t.text.split()), []).append(t)
+    blocks = F.concat("lines", *[F.coalesce(_runs(mine, containment), none) for mine in by_length.values()])
     # a place is looked for only in texts that have every phrase's last word
     fits = " or ".join(
         "(" + " and ".join(f"get(w, i + {j}) = '{word}'" for j, word in enumerate(phrase.split())) + ")"
@@ -81,7 +118,7 @@ def tokenised(docs: DataFrame, vocabulary: list[str], least: int, text: str, kee
     last = sorted({phrase.split()[-1] for phrase, _ in PHRASES})
     places = F.when(F.arrays_overlap(F.col("w"), _strings(last)), F.expr(
         f"filter(sequence(0, size(w) - 1), i -> {fits})")).otherwise(F.expr("cast(array() as array<int>)"))
-    placed = words.select(*k, F.size("w").cast("long").alias("n_words"), "w", "blocks", places.alias("places"))
+    placed = words.select(*k, F.size("w").cast("long").alias("n_words"), "w", blocks.alias("blocks"), places.alias("places"))
     label = F.expr(
         "transform(places, p -> case " + " ".join(
             f"when w[p] = '{phrase.split()[0]}' then '{name}'" for phrase, name in PHRASES) + " end)")
@@ -102,15 +139,15 @@ def similarity_join(blocks: DataFrame, templates: tuple[Template, ...], containm
     prefixes = []
     for n, t in enumerate(templates):
         ids = sorted(rank[w] for w in set(t.text.split()))
-        need = math.ceil(containment * len(ids) - 1e-9)
-        prefixes += [(n, t.label, ids, need, i, ids[i]) for i in range(len(ids) - need + 1)]
+        need = _need(t, containment)
+        prefixes += [(n, t.label, len(t.text.split()), ids, need, i, ids[i]) for i in range(len(ids) - need + 1)]
     table = spark.createDataFrame(
-        prefixes, "template int, label string, ids array<int>, need int, t_at int, token int")
+        prefixes, "template int, label string, words int, ids array<int>, need int, t_at int, token int")
     ranks = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
-    ordered = blocks.select("row", "block", F.sort_array(F.transform("tokens", lambda w: ranks[w])).alias("b"))
-    probes = ordered.select("row", "block", "b", F.posexplode("b").alias("b_at", "token"))
+    ordered = blocks.select("row", "block", "span", F.sort_array(F.transform("tokens", lambda w: ranks[w])).alias("b"))
+    probes = ordered.select("row", "block", "span", "b", F.posexplode("b").alias("b_at", "token"))
     joined = probes.join(F.broadcast(table), "token")  # the templates are a parameter: bounded
-    fits = (F.size("b") >= F.col("need")) & (
+    fits = ((F.col("span") == 0) | (F.col("span") == F.col("words"))) & (F.size("b") >= F.col("need")) & (
         F.least(F.size("ids") - F.col("t_at"), F.size("b") - F.col("b_at")) >= F.col("need"))
     share = F.size(F.array_intersect("b", "ids"))
     found = joined.where(fits).withColumn("shared", share).where(F.col("shared") >= F.col("need"))
@@ -124,10 +161,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """Per row of ``docs``: n_words, n_base, first_word, last_word, base and labels (arrays), score."""
     prepare(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    vocabulary = sorted({w for t in templates for w in t.text.split()})
-    least = min(math.ceil(containment * len(set(t.text.split())) - 1e-9) for t in templates)
-    rows = cut(tokenised(docs, vocabulary, least, text, keep))
-    blocks = rows.select("row", F.posexplode("blocks").alias("block", "tokens"))
+    rows = cut(tokenised(docs, templates, containment, text, keep))
+    blocks = rows.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.span", "b.tokens")
     found = similarity_join(blocks, templates, containment).groupBy("row").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     out = rows.drop("blocks").join(found, "row", "left")
