@@ -1,7 +1,10 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans come from fixed patterns (e-mail, IPv4, card with Luhn check,
-phone).  Further candidates, ASCII runs with digits, are judged without any
+phone).  Further candidates are ASCII runs with digits, short values after a
+secret word, grouped numbers (IBAN, phones without +, ids), capitalised words
+after a name cue or beginning with a listed first name, street addresses and
+dates after a birth cue.  Each class is judged by itself, without any
 labels: a regex labeler, a gazetteer labeler and a context labeler vote
 (for, against or silent).  Expectation-maximisation over the counts of vote
 patterns estimates each labeler's reliability and a posterior for each
@@ -15,7 +18,8 @@ linear time: runs start only where the run starts (or where the last
 match ended), and repeats are of single characters.
 
 Defined cases: a null text is an empty one, without spans; spans are code
-points, end exclusive; a candidate that overlaps a base span is dropped;
+points, end exclusive; a candidate that overlaps a base span is dropped, as is
+one that overlaps an accepted one of an earlier class;
 without candidates nothing is trained; a null doc_id and repeated rows are
 results of their own.  Columns other than ``keep`` are not carried.
 """
@@ -23,13 +27,14 @@ results of their own.  Columns other than ``keep`` are not carried.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm.common import cut, prepare
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "number", "name", "address", "date")
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
@@ -52,6 +57,35 @@ PLAIN_PREFIXES = "ISBN|ISSN|RFC|UTF|SHA|MD5|doi|v[0-9]"
 SECRET_WORDS = "password|passwd|pwd|passwort|contrase|secret|token|api.?key|key|clave|passport|ssn|iban|account"
 PLAIN_WORDS = "page|chapter|version|isbn|issn|figure|table|section|line|row"
 
+SHORT_WORDS = ("password|passwd|passwort|passcode|pwd|pin|contraseña|mot de passe|account(?: number| no\\.?)?|"
+               "konto(?:nummer)?|token|secret|api.?key")
+NUMBER_WORDS = r"phone|tel\b|call|mobile|fax|iban|account|konto|ssn|passport|\bid\b|téléphone|teléfono|telefon"
+NAME_WORDS = (r"(?i:\bname(?:d| is)?|\bcalled|\bdear|\bcontact|\bsigned|\bpatient|\bcustomer|\bheißt|s'appelle|\bse llama)"
+              r"|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)")
+FIRST_NAMES = ("James|John|Robert|Michael|William|David|Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Sarah|Emma|Alice|Anna|"
+               "Thomas|Peter|Hans|Klaus|Jürgen|Stefan|Andreas|Ursula|Sabine|Petra|Monika|Jean|Pierre|Michel|Marie|Sophie|"
+               "Camille|Isabelle|José|Juan|Carlos|Luis|Miguel|Carmen|Lucía|Ana|Pedro|Pablo|Sofía")
+PLAIN_NAMES = ("Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|"
+               "September|October|November|December|Sir|Madam|The|This|Reader|Customer|All")
+PLACES = ("London|Manchester|New York|Chicago|Boston|Berlin|Hamburg|München|Munich|Köln|Wien|Zürich|Paris|Lyon|Marseille|"
+          "Bruxelles|Madrid|Barcelona|Sevilla|Valencia|Roma")
+_WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
+#: Candidates by cue or grouping: the last group is the span, at the match's end.
+CUED = {
+    "short": rf"""(?i:\b(?:{SHORT_WORDS})(?: is| ist| est| es)?\s?[:=#]?\s?["']?)([^\s"',;:=]{{4,8}})(?![^\s"',;.!?)])""",
+    "number": r"(?<![\p{L}0-9.,/-])([A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|\([0-9]{2,5}\) ?[0-9]{2,5}"
+              r"(?:[ -][0-9]{2,5}){0,3}|[0-9]{2,5}(?:[ -][0-9]{2,5}){2,7})(?![\p{L}0-9])",
+    "name": rf"(?:(?:{NAME_WORDS})[.:]?\s|(?<!\p{{L}})(?=(?:{FIRST_NAMES}) \p{{Lu}}))({_WORD}(?: {_WORD}){{0,3}})",
+    "address": rf"(?<![\p{{L}}0-9])([0-9]{{1,5}}[a-z]? (?:{_WORD} ){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|"
+               rf"Blvd|Court|Square)|\p{{Lu}}\p{{L}}{{1,30}}(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?|"
+               rf"(?:[0-9]{{1,4}},? )?(?:rue|avenue|boulevard|calle|avenida|plaza|paseo) (?:(?:de|du|des|la|le|les|del|los) )"
+               rf"{{0,2}}{_WORD}(?: [0-9]{{1,4}})?)(?!\p{{L}})",
+    "date": r"(?i:\b(?:born|date of birth|birth(?:day| date)?|dob|geboren|geburtsdatum|née?|nacid[oa]|nacimiento)\b(?: on| am| le| el| is)?"
+            r"[: ]{1,2})([0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}|[0-9]{1,2}\.? \p{L}{3,10} [0-9]{4}|\p{L}{3,10} [0-9]{1,2},? [0-9]{4})",
+}
+#: The classes of candidates, judged apart, and the kind of each one's spans.
+CLASSES = {"secret": "secret", "short": "secret", "number": "number", "name": "name", "address": "address", "date": "date"}
+
 #: Characters before a candidate that the context labeler sees.
 CONTEXT = 24
 THRESHOLD = 0.5
@@ -75,6 +109,15 @@ def _zip(ends: str, matches: str) -> Column:
     return F.expr(f"transform({matches}, (m, i) -> struct({ends}[2 * i + 1] as s, {ends}[2 * i + 2] as e, m as m))")
 
 
+def _values(name: str) -> Column:
+    """The spans of a class's matches without their cues."""
+    if name not in CUED:
+        return F.col(name)
+    return F.transform(name, lambda x: F.struct(
+        (x["e"] - F.length(F.regexp_extract(x["m"], CUED[name], 1))).alias("s"), x["e"].alias("e"),
+        F.regexp_extract(x["m"], CUED[name], 1).alias("m")))
+
+
 def _luhn(m: Column) -> Column:
     digits = F.reverse(F.regexp_replace(m, "[ -]", ""))
     total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + F.when(
@@ -93,16 +136,40 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(m: Column, before: Column) -> Column:
-    """The three labelers' votes as text: + for, - against, 0 silent."""
+def _votes(name: str, m: Column, before: Column, after: Column) -> Column:
+    """The three labelers' votes (shape, gazetteer, context) as text: + for, - against, 0 silent."""
     def vote(yes: Column, no: Column) -> Column:
         return F.when(yes, "+").when(no, "-").otherwise("0")
 
-    shape = vote(m.rlike(r"\A(?:[A-Z]{4}[A-Z0-9]{16}|(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4})\z"),
-                 m.rlike(r"\A(?:[A-Za-z]++[0-9]{1,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9]++)\z"))
-    gazetteer = vote(m.rlike(rf"\A(?:{SECRET_PREFIXES})") | before.rlike(rf"(?i)(?:{SECRET_WORDS})"),
-                     m.rlike(rf"\A(?:{PLAIN_PREFIXES})") | before.rlike(rf"(?i)(?:{PLAIN_WORDS})\W*\z"))
-    context = vote(before.rlike(r"""[=:]\s*["']?\z"""), before.rlike(r"[.,;]\s\z"))
+    never = F.lit(False)
+    if name == "secret":
+        shape = vote(m.rlike(r"\A(?:[A-Z]{4}[A-Z0-9]{16}|(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4})\z"),
+                     m.rlike(r"\A(?:[A-Za-z]++[0-9]{1,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9]++)\z"))
+        gazetteer = vote(m.rlike(rf"\A(?:{SECRET_PREFIXES})") | before.rlike(rf"(?i)(?:{SECRET_WORDS})"),
+                         m.rlike(rf"\A(?:{PLAIN_PREFIXES})") | before.rlike(rf"(?i)(?:{PLAIN_WORDS})\W*\z"))
+        context = vote(before.rlike(r"""[=:]\s*["']?\z"""), before.rlike(r"[.,;]\s\z"))
+    elif name == "short":
+        shape = vote(m.rlike(r"[0-9]") | m.rlike(r"[^\p{L}.!?)]."), m.rlike(r"\A\p{L}+[.!?)]*\z"))
+        gazetteer = vote(before.rlike(r"(?i)(?:pass(?:word|wd|wort|code)|pwd|\bpin|contraseña|mot de passe|account|konto)"), never)
+        context = vote(before.rlike(r"""[=:#]\s?["']?\z"""), before.rlike(r"\p{L} \z"))
+    elif name == "number":
+        shape = vote(m.rlike(r"\A(?:[A-Z]{2}|\(|0|[0-9]{3}-[0-9]{2}-[0-9]{4}\z)"),
+                     m.rlike(r"\A(?:(?:1[0-9]|20)[0-9]{2}[ -]|[0-9]{2}-[0-9]{2}-[0-9]{4}\z|[0-9]{2}(?: [0-9]{2})+\z)"))
+        gazetteer = vote(before.rlike(rf"(?i)(?:{NUMBER_WORDS})"), before.rlike(rf"(?i)(?:{PLAIN_WORDS})\W*\z"))
+        context = vote(before.rlike(r"[=:#]\s?\z"), before.rlike(r"[0-9,;]\s\z"))
+    elif name == "name":
+        shape = vote(m.rlike(r"\A\p{Lu}\p{Ll}+(?: \p{Lu}[\p{L}'’-]+){1,2}\z"), m.rlike(r"\A\p{Lu}+\z"))
+        gazetteer = vote(m.rlike(rf"\A(?:{FIRST_NAMES})(?!\p{{L}})"),
+                         m.rlike(rf"\A(?:{PLAIN_NAMES}|{PLACES})(?!\p{{L}})"))
+        context = vote(before.rlike(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\.?|(?i:name(?: is)?:?))\s\z"), never)
+    elif name == "address":
+        shape = vote(m.rlike("[0-9]"), ~m.rlike("[0-9]"))
+        gazetteer = vote(after.rlike(rf"\A\W{{1,3}}(?:[0-9]{{4,5}}|(?:in )?(?:{PLACES}))"), never)
+        context = vote(before.rlike(r"(?i)(?:address|adresse|dirección|lives?|wohnt|habite|vive)\W*(?:at|in|en|à|au)?\W*\z"), never)
+    else:
+        shape = vote(m.rlike(r"(?:1[89]|20)[0-9]{2}"), ~m.rlike(r"[0-9]{4}"))
+        gazetteer = vote(before.rlike(r"(?i)(?:birth|dob|geburt|nacimiento|geboren|born)"), never)
+        context = vote(before.rlike(r"(?i)(?::\s?|\b(?:on|am|le|el) )\z"), never)
     return F.concat(shape, gazetteer, context)
 
 
@@ -121,15 +188,14 @@ def _shape(m: Column, before: Column) -> list[Column]:
 
 
 def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Kept columns, ``base`` (kind, s, e) and ``cand`` (s, e, votes, f): the pass over the texts."""
+    """Kept columns, ``base`` (kind, s, e) and ``cand`` (c: class, s, e, votes, f): the pass over the texts."""
     k = [F.col(f"__k{i}") for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)],
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    found = dict(PATTERNS) | {"secret": CANDIDATE}
-    guards = GUARDS | {"secret": r"[A-Za-z0-9_-]{9}"}
+    found = dict(PATTERNS) | {"secret": CANDIDATE} | CUED
     parts = []
     for kind, pattern in found.items():
-        pieces, matches = _found("t", pattern, guards[kind] if kind != "secret" else CANDIDATE)
+        pieces, matches = _found("t", pattern, GUARDS.get(kind, pattern))
         parts += [pieces.alias(f"p_{kind}"), matches.alias(f"m_{kind}")]
     rows = rows.select(*k, "t", *parts)
     rows = rows.select(*k, "t", *[f"m_{x}" for x in found], *[_spans(f"p_{x}", f"m_{x}").alias(f"x_{x}") for x in found])
@@ -142,17 +208,22 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                                                                x["e"].alias("e"))), F.expr(none))
 
     base = F.concat(*[valid(i, kind) for i, kind in enumerate(KINDS[:4])])
-    rows = rows.select(*k, "t", base.alias("base"), "secret")
-    free = F.filter("secret", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    rows = rows.select(*k, "t", base.alias("base"), *[_values(x).alias(x) for x in CLASSES])
+
+    def free(name: str) -> Column:
+        return F.filter(name, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
 
-    def described(x: Column) -> Column:
+    def described(name: str, x: Column) -> Column:
         before = F.substr(F.col("t"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1,
                           F.least(x["s"], F.lit(CONTEXT)))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), _votes(x["m"], before).alias("votes"),
+        after = F.substr(F.col("t"), x["e"] + 1, F.lit(CONTEXT))
+        return F.struct(F.lit(list(CLASSES).index(name)).alias("c"), x["s"].alias("s"), x["e"].alias("e"),
+                        _votes(name, x["m"], before, after).alias("votes"),
                         F.array(*_shape(x["m"], before)).alias("f"))
 
-    return rows.select(*k, "base", F.coalesce(F.transform(free, described), F.expr(
-        "cast(array() as array<struct<s: int, e: int, votes: string, f: array<string>>>)")).alias("cand"))
+    nothing = F.expr("cast(array() as array<struct<c: int, s: int, e: int, votes: string, f: array<string>>>)")
+    cand = [F.coalesce(F.transform(free(n), partial(described, n)), nothing) for n in CLASSES]
+    return rows.select(*k, "base", F.concat(*cand).alias("cand"))
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], float]:
@@ -215,26 +286,34 @@ def find_private(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     prepare(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     rows = cut(candidates(docs, text, keep))
-    seen = (rows.select(F.explode("cand").alias("c")).groupBy("c.votes", "c.f").agg(F.count("*").alias("n"))
+    seen = (rows.select(F.explode("cand").alias("c")).groupBy("c.c", "c.votes", "c.f").agg(F.count("*").alias("n"))
             .collect())
-    patterns: dict[str, int] = {}
-    for r in seen:
-        patterns[r.votes] = patterns.get(r.votes, 0) + r.n
-    post, prior = reliabilities(patterns)
-    bias, weights = span_classifier([(r.votes, r.f, r.n) for r in seen], post, prior)
-    if weights:
-        shape = F.create_map(*[F.lit(x) for f, w in sorted(weights.items()) for x in (f, w)])
-        vote = F.create_map(*[F.lit(x) for p, q in sorted(post.items())
-                              for x in (p, math.log(max(q, 1e-9) / max(1 - q, 1e-9)))])
+    biases, shapes, votes = {}, {}, {}
+    for i in sorted({r.c for r in seen}):  # each class by itself
+        mine = [r for r in seen if r.c == i]
+        patterns: dict[str, int] = {}
+        for r in mine:
+            patterns[r.votes] = patterns.get(r.votes, 0) + r.n
+        post, prior = reliabilities(patterns)
+        biases[i], weights = span_classifier([(r.votes, r.f, r.n) for r in mine], post, prior)
+        shapes |= {f"{i}{f}": w for f, w in weights.items()}
+        votes |= {f"{i}{p}": math.log(max(q, 1e-9) / max(1 - q, 1e-9)) for p, q in post.items()}
+    if seen:
+        bias, shape, vote = (F.create_map(*[F.lit(x) for f, w in sorted(d.items()) for x in (f, w)])
+                             for d in (biases, shapes, votes))
         logit = math.log(threshold / (1 - threshold))
 
         def taken(c: Column) -> Column:
-            by_shape = F.aggregate(c["f"], F.lit(bias), lambda a, f: a + shape[f])
+            by_shape = F.aggregate(c["f"], bias[c["c"]], lambda a, f: a + shape[F.concat(c["c"].cast("string"), f)])
             # half from the votes, half from the span's shape
-            return (by_shape + vote[c["votes"]]) / 2 >= logit
-
-        more = F.transform(F.filter("cand", taken), lambda c: F.struct(
-            F.lit(len(KINDS) - 1).alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+            return (by_shape + vote[F.concat(c["c"].cast("string"), c["votes"])]) / 2 >= logit
+
+        rows = rows.withColumn("cand", F.filter("cand", taken))
+        kind = F.array(*[F.lit(KINDS.index(x)) for x in CLASSES.values()])
+        first = F.filter("cand", lambda x: ~F.exists("cand", lambda y: (
+            (y["c"] < x["c"]) & (y["s"] < x["e"]) & (y["e"] > x["s"]))))
+        more = F.transform(first, lambda c: F.struct(
+            F.element_at(kind, c["c"] + 1).alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
     else:
         more = F.expr("cast(array() as array<struct<kind: int, s: int, e: int>>)")
 
