@@ -30,13 +30,6 @@ def sf0001():
     return f"{TESTDATA}/sf0.001"
 
 
-def rows(df, *cols):
-    """Sorted tuples of a DataFrame (optionally of some columns)."""
-    if cols:
-        df = df.select(*cols)
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple(str(x) for x in t))
-
-
 @pytest.fixture(scope="session")
 def published_sf0001(spark, sf0001):
     """The sf0.001 star published once by the load job: (derived, published)."""

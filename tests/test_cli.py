@@ -40,7 +40,7 @@ def test_report_as_json(spark, sf0001):
 
 
 def test_load_command_from_csv_sheets(spark, sf0001):
-    from conftest import rows
+    from support import rows
     from test_etl import _sheet_header
     from wardflow.plans import outliers
     from wardflow.sources import etl

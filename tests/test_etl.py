@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from test_traps import hospitals, star, v, visits
 from wardflow.plans import audit, outliers, sector
 from wardflow.sources import etl

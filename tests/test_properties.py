@@ -7,7 +7,8 @@ from decimal import ROUND_HALF_UP, Decimal
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from test_traps import NAIVE_RADAR, financials, hospitals, staffing, star, visits
+from support import SECTOR_PRODUCT
+from test_traps import financials, hospitals, staffing, star, visits
 from wardflow.functions.numeric import round_dec
 from wardflow.plans import sector
 from wardflow.sources.views import register_views
@@ -36,7 +37,7 @@ def test_eager_fanout_equals_naive_join(spark, vs, ss, fs):
     frame = star(spark, dim_hospital=hospitals(spark), fact_patient_visits=v, fact_staffing=s,
                  fact_financials=f)
     register_views(frame, ["dim_hospital", "fact_patient_visits", "fact_staffing", "fact_financials"])
-    naive = {r["private"]: r.asDict() for r in spark.sql(NAIVE_RADAR).collect()}
+    naive = {r["private"]: r.asDict() for r in spark.sql(SECTOR_PRODUCT).collect()}
     eager = {r["private"]: r.asDict() for r in sector.sector_metrics(frame).collect()}
     assert set(naive) == set(eager)
     for key, row in naive.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import rows
+from support import rows
 from wardflow import catalog
 
 QUERIES = catalog.star_queries()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import rows
+from support import rows
 from wardflow import routes
 from wardflow.operators.scope import Scope
 from wardflow.plans import outliers

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from conftest import rows
+from support import rows
 from test_traps import financials, staffing, star, v, visits
 from wardflow.functions import bands
 from wardflow.functions.flags import strict_flag, truthy

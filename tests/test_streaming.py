@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from conftest import rows
+from support import rows
 from wardflow.operators.scope import Scope
 from wardflow.plans import outliers, overview
 from wardflow.sources.star import DriverStar

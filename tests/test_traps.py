@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from wardflow.functions.numeric import round_dec
 from wardflow.operators.scope import Scope
 from wardflow.plans import finance, outliers, overview, sector, shapes, thresholds
