@@ -49,7 +49,7 @@ PATTERNS = {
 #: What a text must match before its pattern runs.
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9][A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{9,}"
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: The labelers' word lists.
 SECRET_PREFIXES = "AKIA|ASIA|ghp_|gho_|xoxb-|xoxp-|sk_live_|sk-|AIza|glpat-"
