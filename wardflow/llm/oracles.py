@@ -27,5 +27,83 @@ FROM n
 """
 
 
+#: Trees by recursion; the checksum's lowest bit, bit by bit, says which texts were changed.
+OP12 = r"""
+WITH RECURSIVE crc(doc_id, bits, c) AS (
+  SELECT DISTINCT doc_id, 8 * length(doc_id::VARCHAR), 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, bits - 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT doc_id, bits, CASE WHEN bits % 8 = 0
+               THEN xor(c, ascii(substr(doc_id::VARCHAR, length(doc_id::VARCHAR) - bits // 8 + 1, 1))::BIGINT) ELSE c END AS x
+        FROM crc WHERE bits > 0)),
+touched AS (SELECT doc_id FROM crc WHERE bits = 0 AND xor(c, 4294967295) % 2 = 0),
+d AS (SELECT *, doc_id IN (SELECT doc_id FROM touched) AS hit FROM documents),
+f AS (SELECT doc_id, source,
+             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+             text, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS later FROM d),
+leaves AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                  sha256(head || coalesce(strlen(later) || ':' || later, '-')) AS later FROM f),
+place AS (SELECT *, coalesce('=' || source, '') AS tree, count(*) OVER (PARTITION BY source) AS n,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+low(tree, k, n, idx, h, l, r) AS (
+  SELECT tree, 0, n, idx, leaf, '', '' FROM place
+  UNION ALL
+  SELECT tree, k + 1, (n + 2) // 3, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), '', ''
+  FROM low WHERE n > 1 GROUP BY tree, k, n, idx // 3),
+up(tree, k, n, idx, h) AS (
+  SELECT tree, 0, count(*) OVER (), row_number() OVER (ORDER BY tree) - 1, h FROM low WHERE n = 1
+  UNION ALL
+  SELECT min(tree), k + 1, (n + 2) // 3, idx // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM up WHERE n > 1 GROUP BY k, n, idx // 3),
+tops AS (SELECT row_number() OVER (ORDER BY tree) - 1 AS place, tree, h FROM low WHERE n = 1),
+steps AS (
+  SELECT p.doc_id, p.idx AS leaf_idx, p.tree, a.k, a.idx AS own, s.idx AS spot, s.h
+  FROM place p JOIN low a ON a.tree = p.tree AND a.n > 1 AND a.idx = p.idx // pow(3, a.k)::BIGINT
+  JOIN low s ON s.tree = a.tree AND s.k = a.k AND s.idx // 3 = a.idx // 3
+  UNION ALL
+  SELECT p.doc_id, p.idx, p.tree, 1000 + a.k, a.idx, s.idx, s.h
+  FROM place p JOIN tops t ON t.tree = p.tree JOIN up a ON a.n > 1 AND a.idx = t.place // pow(3, a.k)::BIGINT
+  JOIN up s ON s.k = a.k AND s.idx // 3 = a.idx // 3),
+sides AS (SELECT tree, leaf_idx, k, coalesce(string_agg(h, '' ORDER BY spot) FILTER (WHERE spot < own), '') AS l,
+                 coalesce(string_agg(h, '' ORDER BY spot) FILTER (WHERE spot > own), '') AS r
+          FROM steps GROUP BY tree, leaf_idx, k),
+runs AS (SELECT *, row_number() OVER (PARTITION BY tree, leaf_idx ORDER BY k) AS step FROM sides),
+folds(tree, idx, step, h) AS (
+  SELECT tree, idx, 0, later FROM place
+  UNION ALL
+  SELECT x.tree, x.idx, x.step + 1, sha256(r.l || x.h || r.r)
+  FROM folds x JOIN runs r ON r.tree = x.tree AND r.leaf_idx = x.idx AND r.step = x.step + 1),
+last AS (SELECT tree, idx, arg_max(h, step) AS folded FROM folds GROUP BY tree, idx),
+proofs AS (SELECT tree, leaf_idx, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM sides GROUP BY tree, leaf_idx)
+SELECT p.doc_id, p.leaf, t.h AS subroot, u.h AS root, coalesce(q.proof, sha256('')) AS proof_sha256,
+       last.folded AS folded_root, last.folded = u.h AS verified
+FROM place p JOIN tops t ON t.tree = p.tree JOIN up u ON u.n = 1 JOIN last ON last.tree = p.tree AND last.idx = p.idx
+LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_idx = p.idx
+"""
+
+#: Every anchor against every row, without an index.
+OP13 = r"""
+WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL),
+bad AS (SELECT vec_id FROM x WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT vec_id, i, floor(256 * x) AS x FROM x WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM bad)),
+s AS (SELECT a.vec_id AS anchor, b.vec_id AS other, sum(a.x * b.x)::BIGINT AS score
+      FROM v a JOIN v b USING (i) WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+m AS (SELECT s.*, p.label = q.label AS same FROM s JOIN r p ON p.vec_id = s.anchor JOIN r q ON q.vec_id = s.other),
+pos AS (SELECT anchor, other, score FROM m WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+neg AS (SELECT pos.anchor, pos.other AS positive, pos.score AS ps, m.other, m.score,
+               row_number() OVER (PARTITION BY pos.anchor, pos.other ORDER BY m.score DESC, m.other) AS rank
+        FROM pos JOIN m ON m.anchor = pos.anchor AND NOT m.same AND 30 * pos.score <= 100 * m.score
+                           AND 100 * m.score <= 90 * pos.score)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, other AS negative_id,
+       ps AS positive_score, score AS negative_score
+FROM neg WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4}
+    return {"op4_mixing": OP4, "op12_merkle_manifest": OP12, "op13_hard_negatives": OP13}

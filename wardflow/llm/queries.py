@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.llm import (
-    decontamination, language_id, license_scan, mixing, near_dedup, private_data, quality_rules, token_files, toxicity,
-    url_filter,
+    byte_network, decontamination, hard_negatives, language_id, license_scan, merkle, mixing, near_dedup, private_data,
+    quality_rules, token_files, toxicity, url_filter,
 )
 from wardflow.llm.common import crc_bucket, table
 
@@ -104,6 +104,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held)
+    net = byte_network.fit(docs, labels)
+    return byte_network.score_quality(docs.withColumn("held_out", held), net, keep=["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and its root again after line feeds were deleted from half of the texts."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(crc_bucket("doc_id", 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    values = [changed if f == "text" else F.col(f) for f in merkle.FIELDS]
+    out = merkle.build(docs, carry={"now": merkle.leaf(*values)})
+    folded = merkle.fold(F.col("now"), "path")
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof("path").alias("proof_sha256"),
+                      folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over the documents."""
     import corpus_pipeline
@@ -112,5 +140,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_token_files, op2_url_filter, op3_toxicity, op4_mixing, op5_quality_rules, op6_license_scan,
-             op7_decontamination, op8_near_dedup, op9_private_data, op10_language_id, pipeline)
+             op7_decontamination, op8_near_dedup, op9_private_data, op10_language_id, op11_quality_classifier,
+             op12_merkle_manifest, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in every}
