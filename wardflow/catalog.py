@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardflow.operators.scope import Scope
-from wardflow.plans import audit, finance, outliers, overview, sector, shapes, sql, thresholds
+from wardflow.plans import audit, finance, outliers, overview, sector, shapes, sql, thresholds, trends
 from wardflow.sources import etl, sheets
 from wardflow.sources.star import DriverStar
 
@@ -94,6 +94,18 @@ def shape_queries() -> dict[str, QueryFn]:
     }
 
 
+def trend_queries() -> dict[str, QueryFn]:
+    """Growth, winter surge, delayed effects and slopes."""
+    return {
+        "visit_growth": _on_star(trends.visit_growth),
+        "visit_growth_by_year": _on_star(trends.visit_growth_by_year),
+        "winter_surge": _on_star(trends.winter_surge),
+        "absence_overtime_lags": _on_star(trends.absence_overtime_lags),
+        "absence_overtime_network": _on_star(trends.absence_overtime_network),
+        "half_year_slopes": _on_star(trends.half_year_slopes),
+    }
+
+
 def scoped_queries() -> dict[str, QueryFn]:
     """Reports under a dashboard filter, a search or a sort."""
     region, private = Scope(region="R02"), Scope(trust_type="Independent / Private")
@@ -149,7 +161,8 @@ def audit_queries() -> dict[str, QueryFn]:
 
 def star_queries() -> dict[str, QueryFn]:
     """The queries that run on any star."""
-    return {**report_queries(), **shape_queries(), **scoped_queries(), **audit_queries()}
+    return {**report_queries(), **shape_queries(), **trend_queries(), **scoped_queries(),
+            **audit_queries()}
 
 
 def queries() -> dict[str, QueryFn]:

@@ -646,6 +646,88 @@ FROM (SELECT private, COALESCE(nhs_trust_type = 'Independent / Private', false)
 GROUP BY private, private_by_type"""
 
 
+#: Visits of every hospital in every month of the data, months without visits included.
+MONTHLY = f"""by_month AS (
+    SELECT h.hospital_id, h.hospital_name, m.month_start, COUNT(v.visit_id) AS visits
+    FROM dim_hospital h
+    CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month_start
+                FROM (SELECT date_trunc('month', MIN(arrival_datetime)) AS lo,
+                             date_trunc('month', MAX(arrival_datetime)) AS hi FROM {V_H})) m
+    LEFT JOIN fact_patient_visits v
+           ON v.hospital_id = h.hospital_id AND date_trunc('month', v.arrival_datetime) = m.month_start
+    GROUP BY ALL),
+with_before AS (
+    SELECT n.*, b.visits AS before FROM by_month n
+    LEFT JOIN by_month b ON b.hospital_id = n.hospital_id AND b.month_start = n.month_start - INTERVAL 1 YEAR)"""
+
+#: Weekly sums per hospital and department from the first to the last week with shifts.
+WEEKLY = f"""found AS (
+    SELECT s.hospital_id, s.department_id, CAST(date_trunc('week', s.shift_date) AS DATE) AS week,
+           CAST(SUM(s.staff_absence_count) AS DOUBLE) AS absences, SUM(s.overtime_hours) AS overtime
+    FROM {S_H} GROUP BY ALL),
+spans AS (SELECT hospital_id, department_id, MIN(week) AS lo, MAX(week) AS hi FROM found GROUP BY ALL),
+weeks AS (
+    SELECT x.hospital_id, x.department_id, x.week, COALESCE(f.absences, 0) AS absences, COALESCE(f.overtime, 0) AS overtime
+    FROM (SELECT hospital_id, department_id, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week FROM spans) x
+    LEFT JOIN found f ON f.hospital_id = x.hospital_id AND f.department_id IS NOT DISTINCT FROM x.department_id
+                     AND f.week = x.week),
+pairs AS (
+    SELECT a.hospital_id, a.department_id, l.lag_weeks, a.absences, b.overtime
+    FROM weeks a CROSS JOIN range(9) l(lag_weeks)
+    LEFT JOIN weeks b ON b.hospital_id = a.hospital_id AND b.department_id IS NOT DISTINCT FROM a.department_id
+                     AND b.week = a.week + l.lag_weeks * INTERVAL 7 DAY)"""
+
+
+def percent_more(now: str, before: str) -> str:
+    return f"CASE WHEN {before} > 0 THEN {rd(f'({now} - {before}) * 100.0 / {before}', 2)} END"
+
+
+def _slopes(name: str, fact: str, value: str) -> str:
+    """Lines of ``value`` over the months of each half, per hospital."""
+    parts = [f"{rd(f'{fn}({value}, month) FILTER (WHERE {PERIODS[half]})', 6)} AS {half.lower()}_{name}_{what}"
+             for half in ("H1", "H2") for fn, what in (("regr_slope", "slope"), ("regr_r2", "r2"))]
+    return f"SELECT hospital_id, {', '.join(parts)} FROM {fact} GROUP BY hospital_id"
+
+
+def trend_parts() -> dict[str, tuple[str, str]]:
+    correlation = "CASE WHEN COUNT(overtime) > 1 THEN CORR(absences, overtime) END"
+    lags = f"""SELECT hospital_id, department_id, lag_weeks, COUNT(overtime) AS pairs,
+       {rd(correlation, 6)} AS correlation
+FROM pairs GROUP BY hospital_id, department_id, lag_weeks"""
+    network = f"SELECT lag_weeks, COUNT(overtime) AS pairs, {rd(correlation, 6)} AS correlation FROM pairs GROUP BY lag_weeks"
+    per_month = "CAST(winter AS DOUBLE) / 3"
+    level = "(CAST(beside AS DOUBLE) / beside_months)"
+    return {
+        "visit_growth": _p(f"""SELECT hospital_id, hospital_name, strftime(month_start, '%Y-%m') AS month, visits,
+       before AS visits_year_ago, {percent_more('visits', 'before')} AS growth_pct FROM with_before""", MONTHLY),
+        "visit_growth_by_year": _p(f"""SELECT y.hospital_id, y.hospital_name, y.year, y.months, y.visits,
+       CASE WHEN y.months = 12 AND p.months = 12 THEN {percent_more('y.visits', 'p.visits')} END AS growth_pct,
+       {percent_more('y.aligned', 'y.before')} AS aligned_growth_pct
+FROM years y LEFT JOIN years p ON p.hospital_id = y.hospital_id AND p.year = y.year - 1""", MONTHLY + """,
+years AS (SELECT hospital_id, hospital_name, year(month_start) AS year, COUNT(*) AS months,
+                 CAST(SUM(visits) AS BIGINT) AS visits, SUM(visits) FILTER (WHERE before IS NOT NULL) AS aligned,
+                 SUM(before) AS before FROM with_before GROUP BY ALL)"""),
+        "winter_surge": _p(f"""SELECT hospital_id, hospital_name, season, CAST(COALESCE(winter, 0) AS BIGINT) AS winter_visits,
+       winter_months, CAST(COALESCE(beside, 0) AS BIGINT) AS beside_visits, beside_months,
+       CASE WHEN winter_months = 3 AND beside > 0 THEN {rd(f'({per_month} / {level} - 1) * 100', 2)} END AS surge_pct
+FROM (SELECT hospital_id, hospital_name,
+             year(month_start) - CASE WHEN month(month_start) < 5 THEN 1 ELSE 0 END AS season,
+             SUM(visits) FILTER (WHERE month(month_start) IN (11, 12, 1)) AS winter,
+             COUNT(*) FILTER (WHERE month(month_start) IN (11, 12, 1)) AS winter_months,
+             SUM(visits) FILTER (WHERE month(month_start) NOT IN (11, 12, 1)) AS beside,
+             COUNT(*) FILTER (WHERE month(month_start) NOT IN (11, 12, 1)) AS beside_months
+      FROM by_month WHERE month(month_start) NOT IN (5, 6, 7) GROUP BY ALL)""", MONTHLY),
+        "absence_overtime_lags": _p(lags, WEEKLY),
+        "absence_overtime_network": _p(f"""SELECT *, COALESCE(correlation = MAX(correlation) OVER (), false) AS strongest
+FROM ({network})""", WEEKLY),
+        "half_year_slopes": _p(f"""SELECT hospital_id, hospital_name, v.* EXCLUDE (hospital_id), s.* EXCLUDE (hospital_id),
+       {rd('h2_satisfaction_slope - h1_satisfaction_slope', 6)} AS satisfaction_slope_change,
+       {rd('h2_burnout_slope - h1_burnout_slope', 6)} AS burnout_slope_change
+FROM dim_hospital h LEFT JOIN ({_slopes('satisfaction', 'fact_patient_visits', 'satisfaction_score')}) v USING (hospital_id)
+LEFT JOIN ({_slopes('burnout', 'fact_staffing', 'burnout_risk_index')}) s USING (hospital_id)"""),
+    }
+
+
 def audit_parts() -> dict[str, tuple[str, str]]:
     keys = [_key_sql(t, k, "primary") for t, k in PRIMARY_KEYS] + [_key_sql("dim_date", "full_date", "unique")]
     counts = "\nUNION ALL\n".join(
@@ -670,7 +752,7 @@ FROM (SELECT {rate('readmission_30_days_flag')} AS readmission_rate FROM fact_pa
 
 
 def oracle_sql() -> dict[str, str]:
-    parts = {**report_parts(), **shape_parts(), **audit_parts()}
+    parts = {**report_parts(), **shape_parts(), **trend_parts(), **audit_parts()}
     out = {name: q(body, ctes) for name, (ctes, body) in parts.items()}
     out["facility_ledger_search"] = (
         f"SELECT * FROM ({out['facility_ledger']}) WHERE contains(lower(hospital_name), 'nation_1') "
