@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -64,6 +65,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Written as Parquet below the shared checkpoint folder and read back.
+
+    Like ``cut``, but the planner then knows the files' size.  A checkpoint
+    keeps the estimate of its plan, which in a chain of joins is a product that
+    doubles its digits with every step.
+    """
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def crc_bucket(column: str, parts: int) -> Column:
     """crc32 of a column's text, modulo ``parts``; null for a null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)
