@@ -88,8 +88,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = _session()
     if args.cmd == "load":
         strict = args.strict_flags or (args.format == "csv" and not args.truthy_flags)
-        tables = etl.conform(etl.read_sources(spark, args.source, fmt=args.format), strict)
-        result = etl.load(spark, tables, args.target, allow_violations=set(args.allow))
+        coerced = {}
+        tables = etl.conform(etl.read_sources(spark, args.source, fmt=args.format), strict, coerced)
+        result = etl.load(spark, tables, args.target, allow_violations=set(args.allow), coerced=coerced)
+        for row in result.findings["coerced"]:
+            if row["rows"]:
+                print(f"{row['table_name']}.{row['column_name']}: {row['rows']} values did not parse and are null")
         print(f"published {result.published_to} (staged at {result.staged_at})")
         return 0
     if args.cmd == "derive":

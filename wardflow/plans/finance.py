@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import mean, round_dec
 from wardflow.functions.text import py_str as py_text
+from wardflow.operators import states
 from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, hospital_scope
 from wardflow.sources.star import Star
@@ -104,22 +105,18 @@ def financial_waterfall(star: Star, scope: Scope | None = None) -> DataFrame:
 def absences_overtime(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Per month, total absences and mean overtime hours."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id")
-    s = star.staffing("hospital_id", "month", "staff_absence_count", "overtime_hours")
-    out = (s.join(h, "hospital_id").groupBy("month").agg(
-        F.sum("staff_absence_count").cast("bigint").alias("absences"),
-        mean("overtime_hours", 1).alias("overtime_hours"),
-    ).select(F.col("month").cast("bigint").alias("month"), "absences", "overtime_hours"))
+    out = star.shift_states(h, "month").select(
+        F.col("month").cast("bigint").alias("month"), F.col("absence_sum").alias("absences"),
+        states.average("overtime", 1).alias("overtime_hours"))
     return sort_if(out, ordered, F.asc_nulls_last("month"))
 
 
 def burnout_by_month(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Mean shift burnout per hospital and month (years pooled, T7)."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
-    s = star.staffing("hospital_id", "month", "burnout_risk_index")
-    out = (s.join(h, "hospital_id")
-           .groupBy("hospital_id", "hospital_name", "month")
-            .agg(mean("burnout_risk_index", 3).alias("burnout"))
-           .select("hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"), "burnout"))
+    out = star.shift_states(h, "hospital_id", "month").join(h, "hospital_id").select(
+        "hospital_id", "hospital_name", F.col("month").cast("bigint").alias("month"),
+        states.average("burnout", 3).alias("burnout"))
     return sort_if(out, ordered, F.asc_nulls_last("month"), F.asc_nulls_last("hospital_name"))
 
 

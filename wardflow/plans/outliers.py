@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.functions.numeric import mean, rate_pct
+from wardflow.functions.numeric import mean
+from wardflow.operators import states
 from wardflow.operators.reshape import sort_if
-from wardflow.operators.scope import Scope, half_year, hospital_scope, in_scope
+from wardflow.operators.scope import Scope, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
 
 def visit_metrics(star: Star, hospitals: DataFrame, period: str | None = None) -> DataFrame:
     """Per-hospital visit aggregates (the ``visit_metrics`` CTE)."""
-    v = star.visits("hospital_id", "visit_id", "month", "readmission_30_days_flag",
-                    "wait_time_minutes", "satisfaction_score")
-    v = half_year(in_scope(v, hospitals), period)
-    return v.groupBy("hospital_id").agg(
-        F.count("visit_id").cast("bigint").alias("total_visits"),
-        rate_pct("readmission_30_days_flag").alias("readmission_rate"),
-        mean("wait_time_minutes", 1).alias("avg_wait_time"),
-        mean("satisfaction_score", 1).alias("avg_satisfaction"),
-    )
+    v = star.visit_states(hospitals, "hospital_id", period=period)
+    return v.select("hospital_id", F.col("with_id").alias("total_visits"),
+                    states.readmission_rate().alias("readmission_rate"),
+                    states.average("wait", 1).alias("avg_wait_time"),
+                    states.average("satisfaction", 1).alias("avg_satisfaction"))
 
 
 def staff_metrics(star: Star, hospitals: DataFrame, period: str | None = None) -> DataFrame:
     """Per-hospital mean burnout of shifts (the ``staff_metrics`` CTE)."""
-    s = half_year(in_scope(star.staffing("hospital_id", "month", "burnout_risk_index"), hospitals), period)
-    return s.groupBy("hospital_id").agg(mean("burnout_risk_index", 3).alias("avg_burnout_index"))
+    s = star.shift_states(hospitals, "hospital_id", period=period)
+    return s.select("hospital_id", states.average("burnout", 3).alias("avg_burnout_index"))
 
 
 def hospital_outliers(star: Star, scope: Scope | None = None, period: str | None = None,
@@ -61,10 +58,8 @@ def bump_rankings(star: Star, scope: Scope | None = None, ordered: bool = True)
     hospitals.  The window runs on the (months x hospitals) aggregate.
     """
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
-    v = star.visits("hospital_id", "month", "readmission_30_days_flag")
-    monthly = (v.join(h, "hospital_id")
-               .groupBy("month", "hospital_id", "hospital_name")
-               .agg(rate_pct("readmission_30_days_flag").alias("readmission_rate")))
+    monthly = star.visit_states(h, "hospital_id", "month").join(h, "hospital_id").withColumn(
+        "readmission_rate", states.readmission_rate())
     w = Window.partitionBy("month").orderBy(F.desc_nulls_first("readmission_rate"))
     out = monthly.select(
         F.col("month").cast("bigint").alias("month"), "hospital_id", "hospital_name",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.functions.numeric import count_true, pct, round_dec
+from wardflow.operators import states
 from wardflow.operators.reshape import sort_if
 from wardflow.operators.scope import Scope, hospital_scope, in_scope
 from wardflow.sources.star import Star
@@ -18,17 +18,12 @@ def kpis(star: Star, scope: Scope | None = None) -> DataFrame:
     An empty selection gives zeros, as the dashboard intends (T2).
     """
     h = hospital_scope(star.hospitals(), scope)
-    v = in_scope(star.visits("hospital_id", "readmission_30_days_flag", "wait_time_minutes"), h)
-    s = in_scope(star.staffing("hospital_id", "burnout_risk_index"), h)
-    burnout = s.agg(round_dec(F.avg("burnout_risk_index"), 3).alias("b")).scalar()
-    agg = v.agg(F.count(F.lit(1)).alias("n"),
-                count_true("readmission_30_days_flag").alias("hits"),
-                F.avg("wait_time_minutes").alias("wait"))
-    empty = F.col("n") == 0
-    return agg.select(
-        F.col("n").cast("bigint").alias("total_visits"),
-        F.when(empty, F.lit(0.0)).otherwise(pct(F.col("hits"), F.col("n"))).alias("readmission_rate"),
-        F.when(empty, F.lit(0.0)).otherwise(round_dec(F.col("wait"), 1)).alias("avg_wait_time"),
+    burnout = star.shift_states(h).select(states.average("burnout", 3).alias("b")).scalar()
+    empty = F.col("visits") == 0
+    return star.visit_states(h).select(
+        F.col("visits").alias("total_visits"),
+        F.when(empty, F.lit(0.0)).otherwise(states.readmission_rate()).alias("readmission_rate"),
+        F.when(empty, F.lit(0.0)).otherwise(states.average("wait", 1)).alias("avg_wait_time"),
         F.when(empty, F.lit(0.0)).otherwise(burnout).alias("avg_burnout_index"),
     )
 
@@ -36,9 +31,7 @@ def kpis(star: Star, scope: Scope | None = None) -> DataFrame:
 def visits_over_time(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """R2: visits per arrival ``YYYY-MM`` (null arrivals form a null month)."""
     h = hospital_scope(star.hospitals(), scope)
-    v = in_scope(star.visits("hospital_id", "arrival_datetime"), h)
-    out = (v.groupBy(F.date_format("arrival_datetime", "yyyy-MM").alias("month"))
-           .agg(F.count(F.lit(1)).cast("bigint").alias("visits")))
+    out = star.visit_states(h, "month_text").select(F.col("month_text").alias("month"), "visits")
     return sort_if(out, ordered, F.asc_nulls_last("month"))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.functions.numeric import count_true, pct, round_dec
+from wardflow.functions.numeric import pct, ratio, round_dec
 from wardflow.operators.reshape import sort_if
-from wardflow.operators.scope import Scope, hospital_scope, in_scope
+from wardflow.operators.scope import Scope, hospital_scope
 from wardflow.plans.outliers import staff_metrics, visit_metrics
 from wardflow.sources.star import Star
 
@@ -45,17 +45,20 @@ def half_year_shift(star: Star, scope: Scope | None = None, ordered: bool = True
     rounded values and round again (T18).
     """
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
-    v = in_scope(star.visits("hospital_id", "month", "readmission_30_days_flag"), h)
-    s = in_scope(star.staffing("hospital_id", "month", "burnout_risk_index"), h)
     first, second = F.col("month") <= 6, F.col("month") > 6
-    flag = F.col("readmission_30_days_flag")
-    va = v.groupBy("hospital_id").agg(
-        F.count(F.when(first, 1)).alias("h1_n"), F.count(F.when(second, 1)).alias("h2_n"),
-        count_true(first & flag).alias("h1_hits"), count_true(second & flag).alias("h2_hits"))
-    sa = s.groupBy("hospital_id").agg(
-        F.count(F.when(first, 1)).alias("h1_s"), F.count(F.when(second, 1)).alias("h2_s"),
-        round_dec(F.avg(F.when(first, F.col("burnout_risk_index"))), 3).alias("h1_burnout"),
-        round_dec(F.avg(F.when(second, F.col("burnout_risk_index"))), 3).alias("h2_burnout"))
+
+    def of(half, column):
+        return F.sum(F.when(half, F.col(column)))
+
+    def burnout(half):
+        return round_dec(ratio(of(half, "burnout_sum"), of(half, "burnout_n")), 3)
+
+    va = star.visit_states(h, "hospital_id", "month").groupBy("hospital_id").agg(
+        of(first, "visits").alias("h1_n"), of(second, "visits").alias("h2_n"),
+        of(first, "readmitted").alias("h1_hits"), of(second, "readmitted").alias("h2_hits"))
+    sa = star.shift_states(h, "hospital_id", "month").groupBy("hospital_id").agg(
+        of(first, "shifts").alias("h1_s"), of(second, "shifts").alias("h2_s"),
+        burnout(first).alias("h1_burnout"), burnout(second).alias("h2_burnout"))
     j = (h.join(va.filter((F.col("h1_n") > 0) & (F.col("h2_n") > 0)), "hospital_id")
          .join(sa.filter((F.col("h1_s") > 0) & (F.col("h2_s") > 0)), "hospital_id"))
     rates = j.select(

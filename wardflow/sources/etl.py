@@ -5,10 +5,11 @@
     result = load(spark, conformed, "/shared/star")          # A10-A18
 
 ``load`` writes every table once into a new version folder under the target,
-runs the key, reference, row-count and headline audits on that copy (so the
-audits read files, not the source lineage), and then publishes the version
-by appending one row to a small log.  A failed audit or write leaves the
-published star as it was.
+counts rows, null keys and unparsable timestamps while it writes, runs the key,
+reference and headline audits on that copy (so the audits read files, not the
+source lineage), stores the rollup next to it, and then publishes the version
+by a commit to a small log (``sources.commits``), which two loads may do at
+once.  A failed audit or write leaves the published star as it was.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 from pyspark.sql.utils import AnalysisException
@@ -25,7 +26,8 @@ from wardflow.functions.flags import strict_flag, truthy
 from wardflow.functions.text import clean_column_name, clean_name_col
 from wardflow.plans import audit
 from wardflow.schemas import FOREIGN_KEYS, LAYOUT, LOAD_ORDER, PRIMARY_KEYS, SCHEMAS
-from wardflow.sources.star import PublishedStar, Star, published_version
+from wardflow.sources import commits, rollup
+from wardflow.sources.star import PublishedStar, Star
 
 # Source table (sheet) names and the star table each becomes.
 SOURCE_TABLES = {
@@ -118,18 +120,20 @@ def conform_vocabulary(raw: DataFrame) -> DataFrame:
         *[F.col(c).cast("string").alias(c) for c in VOCABULARY_COLUMNS[2:] if c in df.columns])
 
 
-def conform_table(name: str, df: DataFrame, strict_flags: bool = False) -> DataFrame:
+def conform_table(name: str, df: DataFrame, strict_flags: bool = False,
+                  coerced: Observation | None = None) -> DataFrame:
     """A5-A8 for one table: flags, dates, timestamps, dropped columns,
     declared types for the measures.  Ids keep the source's type, other
     unknown columns are kept.  A value that its type can't hold fails the load
-    (ANSI cast); a whole number may be written as ``3.0``."""
+    (ANSI cast); a whole number may be written as ``3.0``.  ``coerced`` counts, by
+    column, the timestamps that did not parse, in whichever job reads the frame."""
     if name == "data_dictionary":
         return conform_vocabulary(df)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     declared = {f.name: f.dataType for f in SCHEMAS[name].fields}
     ids = {PRIMARY_KEYS.get(name), *(col for t, col, _, _ in FOREIGN_KEYS if t == name)}
     ids = {c for c in ids if c and not isinstance(declared.get(c), DateType)}
-    exprs = []
+    exprs, lost = [], []
     for c in df.columns:
         if c in DENORMALISED.get(name, []):
             continue
@@ -139,8 +143,11 @@ def conform_table(name: str, df: DataFrame, strict_flags: bool = False) -> DataF
         elif c in STRICT_DATES.get(name, []):
             col = F.to_date(col)  # ANSI: an unparsable date fails the load
         elif c in COERCED_TIMESTAMPS.get(name, []):
+            raw = col
             col = (F.try_to_timestamp(col.cast("string")) if dtypes[c].simpleString() == "string"
                    else col).cast("timestamp_ntz")
+            if dtypes[c].simpleString() == "string":
+                lost.append(F.count_if(raw.isNotNull() & (F.trim(raw) != "") & col.isNull()).alias(c))
         elif c in declared and c not in ids:
             if dtypes[c].simpleString() == "string":
                 col = F.when(F.trim(col) != "", col)  # an empty cell
@@ -148,15 +155,27 @@ def conform_table(name: str, df: DataFrame, strict_flags: bool = False) -> DataF
                     col = F.regexp_replace(F.trim(col), r"\.0+$", "")
             col = col.cast(declared[c])
         exprs.append(col.alias(c))
+    if coerced is not None and lost:
+        df = df.observe(coerced, *lost)
     return df.select(*exprs)
 
 
-def conform(tables: dict[str, DataFrame], strict_flags: bool = False) -> dict[str, DataFrame]:
-    return {name: conform_table(name, df, strict_flags) for name, df in tables.items()}
+def conform(tables: dict[str, DataFrame], strict_flags: bool = False,
+            coerced: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
+    """All tables; ``coerced`` gets an observation for each table with timestamps (give it to ``load``)."""
+    out = {}
+    for name, df in tables.items():
+        seen = None
+        texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+        if coerced is not None and texts & set(COERCED_TIMESTAMPS.get(name, [])):
+            seen = coerced[name] = Observation(f"coerced {name} {uuid.uuid4().hex}")
+        out[name] = conform_table(name, df, strict_flags, seen)
+    return out
 
 
 # -------------------------------------------------------- write / publish
-def _write(df: DataFrame, path: str, name: str) -> None:
+def _write(df: DataFrame, path: str, name: str) -> dict[str, int]:
+    """Write a table and return what its write counted: rows, and nulls of its key."""
     # Cluster by the columns reports filter and join on so Parquet
     # min/max statistics prune row groups.  ``rebalance`` lets AQE size
     # the output partitions from the measured shuffle bytes (advisory
@@ -166,7 +185,14 @@ def _write(df: DataFrame, path: str, name: str) -> None:
     cols = [c for c in LAYOUT.get(name, ()) if c in df.columns]
     if cols:
         df = df.hint("rebalance", cols[0]).sortWithinPartitions(*cols)
-    df.write.parquet(path)
+    counted = [F.count(F.lit(1)).alias("rows")]
+    key = PRIMARY_KEYS.get(name)
+    if key in df.columns:
+        counted.append(F.count_if(F.col(key).isNull()).alias("null_keys"))
+    # after the sort: the writing tasks count, each of which commits once
+    seen = Observation(f"write {name} {uuid.uuid4().hex}")
+    df.observe(seen, *counted).write.parquet(path)
+    return seen.get
 
 
 @dataclass
@@ -176,16 +202,29 @@ class LoadResult:
     findings: dict[str, list] = field(default_factory=dict)
 
 
-def audit_findings(star: Star, expected_rows: dict[str, int] | None = None) -> dict[str, list]:
-    """Run the audits; the results are per-table summaries (tens of rows)."""
+def audit_findings(star: Star, expected_rows: dict[str, int] | None = None,
+                   written: dict[str, dict[str, int]] | None = None) -> dict[str, list]:
+    """Run the audits; the results are per-table summaries (tens of rows).
+
+    ``written``: what the writes counted; then no table is read for its count.
+    """
+    if written is None:
+        counts = [r.asDict() for r in audit.row_counts(star, expected_rows).collect()]
+    else:
+        counts = [_counted(t, (written.get(t) or {"rows": 0})["rows"], (expected_rows or {}).get(t)) for t in PRIMARY_KEYS]
     return {
         "keys": [r.asDict() for r in audit.key_audit(star).collect()],
         "references": [r.asDict() for r in audit.reference_audit(star).collect()],
-        "row_counts": [r.asDict() for r in audit.row_counts(star, expected_rows).collect()],
+        "row_counts": counts,
         "headline": [r.asDict() for r in audit.headline_check(star).collect()],
     }
 
 
+def _counted(table: str, rows: int, expected: int | None) -> dict:
+    status = "n/a" if expected is None else "ok" if rows == expected else "mismatch"
+    return {"table_name": table, "rows": rows, "expected": expected, "status": status}
+
+
 def finding_name(kind: str, row: dict) -> str:
     """``audit:table:column``, by which a finding is allowed."""
     return f"{kind}:{row['table_name']}:{row.get('key_column') or row.get('column_name') or '*'}"
@@ -206,34 +245,33 @@ def blocking(findings: dict[str, list], allow: set[str] | frozenset = frozenset(
 
 def load(spark: SparkSession, tables: dict[str, DataFrame], target: str,
          run_id: str | None = None, allow_violations: set[str] | frozenset = frozenset(),
-         publish: bool = True, expected_rows: dict[str, int] | None = None) -> LoadResult:
+         publish: bool = True, expected_rows: dict[str, int] | None = None,
+         coerced: dict[str, Observation] | None = None) -> LoadResult:
     """A10 + A18: write a version in dependency order, audit it, publish it.
 
     Every table is written once, below ``_versions/<run_id>``; the audits read
-    those files; then one row appended to the log ``_published`` makes the
+    those files, the rollup is made from them; then one commit makes the
     whole version current.  Until that commit readers see the old star, after
-    it the new one.  ``allow_violations`` names findings (``finding_name``)
+    it the new one; loads that run at once commit one after the other.
+    ``allow_violations`` names findings (``finding_name``)
     that are reported but do not block; ``expected_rows`` is the number of
-    rows that each table must have (A15).
+    rows that each table must have (A15).  ``coerced`` are the observations of
+    ``conform``: timestamps that did not parse are listed in the findings (A7).
     """
     run_id = run_id or uuid.uuid4().hex[:12]
     root = target.rstrip("/")
     version = f"{root}/_versions/{run_id}"
-    for name in LOAD_ORDER:
-        if name in tables:
-            _write(tables[name], f"{version}/{name}", name)
-    findings = audit_findings(PublishedStar(spark, version), expected_rows)
+    written = {name: _write(tables[name], f"{version}/{name}", name) for name in LOAD_ORDER if name in tables}
+    findings = audit_findings(PublishedStar(spark, version), expected_rows, written)
+    findings["coerced"] = [{"table_name": t, "column_name": c, "rows": n, "status": "ok" if n == 0 else "coerced"}
+                           for t, seen in (coerced or {}).items() for c, n in sorted(seen.get.items())]
     bad = blocking(findings, allow_violations)
     if bad:
         raise LoadRejected(f"{len(bad)} blocking audit finding(s); nothing published: {bad[0]}", findings)
+    rollup.write(PublishedStar(spark, version), version)
     if not publish:
         return LoadResult(version, None, findings)
-    log = f"{root}/_published"
-    number = 1
-    if published_version(spark, root):
-        number += spark.read.schema("number long, version string").parquet(log).agg(F.max("number")).first()[0]
-    (spark.createDataFrame([(number, run_id)], "number long, version string").coalesce(1)
-     .write.mode("append").parquet(log))
+    commits.publish(spark, root, run_id)
     return LoadResult(version, root, findings)
 
 

@@ -14,7 +14,6 @@ with Parquet that becomes the scan's ReadSchema.
 
 from __future__ import annotations
 
-import datetime as dt
 from decimal import Decimal
 from collections.abc import Callable, Iterable
 from functools import reduce
@@ -23,7 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from wardflow.operators import states
+from wardflow.operators.scope import half_year, in_scope
 from wardflow.schemas import SCHEMAS
+from wardflow.sources import commits
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -32,8 +34,6 @@ TRUST_TYPE_BY_NATION_MOD4 = {0: "Independent / Private", 1: "NHS Trust"}
 TRUST_TYPE_OTHER = "NHS Foundation Trust"
 ADMISSION_BY_LINESTATUS = {"O": "Emergency", "F": "Elective"}
 OUTCOME_BY_RETURNFLAG = {"R": "Readmitted", "A": "Discharged", "N": "Transfer"}
-CALENDAR_START = dt.date(1995, 1, 1)
-CALENDAR_END = dt.date(2001, 12, 31)
 
 
 def coded_id(prefix: str, key: Column) -> Column:
@@ -50,6 +50,22 @@ def _lookup(col: Column, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def _years(time: str) -> list[Column]:
+    return [F.min(F.year(time)).alias("first"), F.max(F.year(time)).alias("last")]
+
+
+def date_spine(*dates: DataFrame) -> DataFrame:
+    """(full_date): every day of the years that the frames' one column of dates or times reaches.
+
+    The bounds are aggregates and the days a ``sequence``, all inside the plan;
+    without any date there is no day.
+    """
+    spans = reduce(DataFrame.unionAll, [df.agg(*_years(df.columns[0])) for df in dates])
+    span = spans.agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first is not null")
+    return span.select(F.explode(F.expr(
+        "sequence(make_date(first, 1, 1), make_date(last, 12, 31), interval 1 day)")).alias("full_date"))
+
+
 class Star:
     """Interface every star source implements."""
 
@@ -86,6 +102,18 @@ class Star:
             return self.financials(*cols)
         return self.dim(name).select(*cols)
 
+    # Partial states of the row-level facts: by one aggregate over the rows.
+    def visit_states(self, hospitals: DataFrame, *keys: str, period: str | None = None) -> DataFrame:
+        """States of the visits of ``hospitals`` (and a half-year) by ``keys`` (``operators.states``)."""
+        more = {"department_id": "department_id", "month_text": "arrival_datetime"}
+        rows = self.visits(*states.VISIT_COLUMNS, *[c for k, c in more.items() if k in keys])
+        return states.of_visits(half_year(in_scope(rows, hospitals), period), *keys)
+
+    def shift_states(self, hospitals: DataFrame, *keys: str, period: str | None = None) -> DataFrame:
+        """States of the shifts of ``hospitals`` (and a half-year) by ``keys``."""
+        rows = self.staffing(*states.SHIFT_COLUMNS, *[k for k in keys if k == "department_id"])
+        return states.of_shifts(half_year(in_scope(rows, hospitals), period), *keys)
+
     # Convenience accessors used by most reports.
     def hospitals(self) -> DataFrame:
         return self.dim("dim_hospital")
@@ -128,12 +156,9 @@ class _Derived:
 class DriverStar(Star):
     """The star derived from the driver tables in ``sf_dir``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str,
-                 calendar_start: dt.date = CALENDAR_START,
-                 calendar_end: dt.date = CALENDAR_END):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.calendar_start, self.calendar_end = calendar_start, calendar_end
         self._read: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
@@ -183,9 +208,7 @@ class DriverStar(Star):
         )
 
     def _dim_date(self) -> DataFrame:
-        days = (self.calendar_end - self.calendar_start).days + 1
-        d = F.date_add(F.lit(self.calendar_start), F.col("id").cast("int"))
-        cal = self.spark.range(days).select(d.alias("full_date"))
+        cal = date_spine(self.read("lineitem").select("l_shipdate"), self.read("orders").select("o_orderdate"))
         m = F.month("full_date")
         return cal.select(
             F.date_format("full_date", "yyyyMMdd").cast("int").alias("date_key"),
@@ -228,7 +251,9 @@ class DriverStar(Star):
         counts = {
             "dim_region": self.read("region").agg(rows), "dim_hospital": self.read("nation").agg(rows),
             "dim_department": self.read("part").agg(F.countDistinct("p_type")),
-            "dim_date": self.spark.range(1).select(F.lit((self.calendar_end - self.calendar_start).days + 1)),
+            "dim_date": self.read("lineitem").agg(*_years("l_shipdate")).unionAll(
+                self.read("orders").agg(*_years("o_orderdate"))).agg(F.coalesce(F.datediff(
+                    F.make_date(F.max("last") + 1, F.lit(1), F.lit(1)), F.make_date(F.min("first"), F.lit(1), F.lit(1))), F.lit(0))),
             "dim_patient": self.read("customer").agg(rows), "dim_doctor": self.read("supplier").agg(rows),
             "dim_diagnosis": self.read("part").agg(F.countDistinct("p_brand")),
             "fact_patient_visits": self.read("lineitem").agg(rows), "fact_staffing": self.read("orders").agg(rows),
@@ -360,26 +385,11 @@ class DriverStar(Star):
         return _Derived(base, {}, columns)
 
 
-def published_version(spark: SparkSession, target: str) -> str | None:
-    """The version of the last published load below ``target``, None without one.
-
-    ``_published`` is a log of one-row Parquet files: appending one is a
-    single committed write, and the row with the highest number counts.
-    """
-    try:
-        log = spark.read.schema("number long, version string").parquet(f"{target}/_published")
-        last = log.orderBy(F.desc("number"), F.desc("version")).first()
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return None
-    return last.version if last else None
-
-
 class PublishedStar(Star):
     """The star that ``sources.etl.load`` last published under ``target``.
 
-    The version is looked up once, so one star never mixes two loads.  A
+    The version is looked up once, so one star never mixes two loads; its
+    stored rollup, if any, answers what it can.  A
     folder without published versions is read as a version itself.  Tables
     have the columns and types they were written with; declared columns that
     the source lacks are null.
@@ -387,8 +397,10 @@ class PublishedStar(Star):
 
     def __init__(self, spark: SparkSession, target: str):
         self.spark, self.target = spark, target.rstrip("/")
-        version = published_version(spark, self.target)
-        self.root = f"{self.target}/_versions/{version}" if version else self.target
+        last = commits.current(spark, self.target)
+        self.root = f"{self.target}/_versions/{last.version}" if last else self.target
+        folder = commits.Folder(spark, self.root)
+        self.has_rollup = folder.exists("rollup_visits/_SUCCESS") and folder.exists("rollup_shifts/_SUCCESS")
 
     def _read(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/{name}")
@@ -411,6 +423,27 @@ class PublishedStar(Star):
     def financials(self, *cols: str) -> DataFrame:
         return self._read("fact_financials", cols)
 
+    def _rollup(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        except AnalysisException as exc:  # the rollup of a fact without rows has no files
+            if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def visit_states(self, hospitals: DataFrame, *keys: str, period: str | None = None) -> DataFrame:
+        """From the version's rollup, where it has one: no fact is read."""
+        if not self.has_rollup:
+            return super().visit_states(hospitals, *keys, period=period)
+        stored = self._rollup("rollup_visits", states.VISIT_SCHEMA)
+        return states.merged(half_year(in_scope(stored, hospitals), period), *keys)
+
+    def shift_states(self, hospitals: DataFrame, *keys: str, period: str | None = None) -> DataFrame:
+        if not self.has_rollup:
+            return super().shift_states(hospitals, *keys, period=period)
+        stored = self._rollup("rollup_shifts", states.SHIFT_SCHEMA)
+        return states.merged(half_year(in_scope(stored, hospitals), period), *keys)
+
 
 class FrameStar(Star):
     """A star over given DataFrames (hand-made fixtures, other sources).
