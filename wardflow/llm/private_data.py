@@ -27,7 +27,8 @@ results of their own.  Columns other than ``keep`` are not carried.
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,10 @@ PLAIN_NAMES = ("Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January
                "September|October|November|December|Sir|Madam|The|This|Reader|Customer|All")
 PLACES = ("London|Manchester|New York|Chicago|Boston|Berlin|Hamburg|München|Munich|Köln|Wien|Zürich|Paris|Lyon|Marseille|"
           "Bruxelles|Madrid|Barcelona|Sevilla|Valencia|Roma")
+PLAIN_VALUES = "reset|policy|change|changed|required|protected|manager|field|holder|based|only|free|number|security|forgotten"
+ORGANISATIONS = "Street|Road|Avenue|Square|University|College|Company|Inc|Ltd|GmbH|AG|Foundation|Hospital|Museum|Bridge|Park"
+WAYS = "walk(?:ed)?|drove|along|down|across|through|past|crossed|sur|dans|durch|entlang|por"
+BORN_THINGS = "nation|idea|company|movement|project|again|tradition"
 _WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
 #: Candidates by cue or grouping: the last group is the span, at the match's end.
 CUED = {
@@ -86,8 +91,10 @@ CUED = {
 #: The classes of candidates, judged apart, and the kind of each one's spans.
 CLASSES = {"secret": "secret", "short": "secret", "number": "number", "name": "name", "address": "address", "date": "date"}
 
-#: Characters before a candidate that the context labeler sees.
+#: Characters before and after a candidate that the labelers see.
 CONTEXT = 24
+#: Matches whose places are summed together.
+BLOCK = 64
 THRESHOLD = 0.5
 
 
@@ -98,24 +105,55 @@ def _found(text: str, pattern: str, guard: str) -> tuple[Column, Column]:
             F.when(there, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
 
 
-def _spans(pieces: str, matches: str) -> Column:
-    """array<struct<s, e, m>> of the matches, from running sums of the lengths."""
-    ends = (f"aggregate(sequence(0, size({matches}) - 1), array(0), (a, i) -> concat(a, array("
-            f"a[size(a) - 1] + length({pieces}[i]), a[size(a) - 1] + length({pieces}[i]) + length({matches}[i]))))")
-    return F.when(F.size(matches) > 0, F.expr(ends))
+def _spans(kind: str) -> Column:
+    """array<struct<s, e, m, b, a>> of a kind's matches: place, match, text before and after.
 
-
-def _zip(ends: str, matches: str) -> Column:
-    return F.expr(f"transform({matches}, (m, i) -> struct({ends}[2 * i + 1] as s, {ends}[2 * i + 2] as e, m as m))")
+    Running sums go block by block, so the cost grows with the matches, not with their square.
+    What is before and after reaches back over the last match and on over the next one.
+    """
+    p, m = f"p_{kind}", f"m_{kind}"
+    length = f"length({p}[i]) + length({m}[i])"
+    starts = (f"aggregate(sequence(0, (size({m}) - 1) div {BLOCK}), array(0), (a, b) -> concat(a, array(a[b] + aggregate("
+              f"sequence(b * {BLOCK}, least(size({m}), (b + 1) * {BLOCK}) - 1), 0, (n, i) -> n + {length}))))")
+    around = ""
+    if kind in CLASSES:
+        around = (f", 'b', right(concat(if(i > 0, concat({p}[i - 1], {m}[i - 1]), ''), {p}[i]), {CONTEXT})"
+                  f", 'a', left(concat({p}[i + 1], if(i + 1 < size({m}), {m}[i + 1], '')), {CONTEXT})")
+    last = "if(size(a) > 0, a[size(a) - 1].e, f)"
+    one = f"named_struct('s', {last} + length({p}[i]), 'e', {last} + {length}, 'm', {m}[i]{around})"
+    empty = "cast(array() as array<struct<s: int, e: int, m: string" + (", b: string, a: string" if around else "") + ">>)"
+    block = (f"aggregate(sequence(b * {BLOCK}, least(size({m}), (b + 1) * {BLOCK}) - 1), {empty}, "
+             f"(a, i) -> concat(a, array({one})))")
+    firsts = f"slice({starts}, 1, (size({m}) - 1) div {BLOCK} + 1)"
+    return F.when(F.size(m) > 0, F.expr(f"flatten(transform({firsts}, (f, b) -> {block}))"))
 
 
 def _values(name: str) -> Column:
-    """The spans of a class's matches without their cues."""
+    """The spans of a class's matches without their cues, which go to the text before."""
     if name not in CUED:
         return F.col(name)
-    return F.transform(name, lambda x: F.struct(
-        (x["e"] - F.length(F.regexp_extract(x["m"], CUED[name], 1))).alias("s"), x["e"].alias("e"),
-        F.regexp_extract(x["m"], CUED[name], 1).alias("m")))
+
+    def value(x: Column) -> Column:
+        mine = F.regexp_extract(x["m"], CUED[name], 1)
+        cue = F.substr(x["m"], F.lit(1), F.length(x["m"]) - F.length(mine))
+        return F.struct((x["e"] - F.length(mine)).alias("s"), x["e"].alias("e"), mine.alias("m"),
+                        F.right(F.concat(x["b"], cue), F.lit(CONTEXT)).alias("b"), x["a"].alias("a"))
+
+    return F.transform(name, value)
+
+
+def _meets(spans: str, x: Column) -> Column:
+    """Whether ``x`` overlaps one of ``spans``, which are in order and apart: by bisection."""
+    steps = F.expr(f"sequence(1, cast(ceil(log2(size({spans}) + 1)) as int))")
+
+    def step(r: Column, _: Column) -> Column:
+        mid = ((r["lo"] + r["hi"]) / 2).cast("int")
+        left = F.get(F.col(spans), mid)["s"] < x["e"]
+        return F.struct(F.when((r["lo"] < r["hi"]) & left, mid + 1).otherwise(r["lo"]).alias("lo"),
+                        F.when((r["lo"] < r["hi"]) & ~left, mid).otherwise(r["hi"]).alias("hi"))
+
+    begun = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), step)["lo"]
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(F.col(spans), begun - 1)["e"] > x["s"], F.lit(False))).otherwise(F.lit(False))
 
 
 def _luhn(m: Column) -> Column:
@@ -141,7 +179,6 @@ def _votes(name: str, m: Column, before: Column, after: Column) -> Column:
     def vote(yes: Column, no: Column) -> Column:
         return F.when(yes, "+").when(no, "-").otherwise("0")
 
-    never = F.lit(False)
     if name == "secret":
         shape = vote(m.rlike(r"\A(?:[A-Z]{4}[A-Z0-9]{16}|(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4})\z"),
                      m.rlike(r"\A(?:[A-Za-z]++[0-9]{1,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9]++)\z"))
@@ -150,7 +187,8 @@ def _votes(name: str, m: Column, before: Column, after: Column) -> Column:
         context = vote(before.rlike(r"""[=:]\s*["']?\z"""), before.rlike(r"[.,;]\s\z"))
     elif name == "short":
         shape = vote(m.rlike(r"[0-9]") | m.rlike(r"[^\p{L}.!?)]."), m.rlike(r"\A\p{L}+[.!?)]*\z"))
-        gazetteer = vote(before.rlike(r"(?i)(?:pass(?:word|wd|wort|code)|pwd|\bpin|contraseña|mot de passe|account|konto)"), never)
+        gazetteer = vote(before.rlike(r"(?i)(?:pass(?:word|wd|wort|code)|pwd|\bpin|contraseña|mot de passe|account|konto)")
+                         & ~m.rlike(rf"(?i)\A(?:{PLAIN_VALUES})[.!?)]*\z"), m.rlike(rf"(?i)\A(?:{PLAIN_VALUES})[.!?)]*\z"))
         context = vote(before.rlike(r"""[=:#]\s?["']?\z"""), before.rlike(r"\p{L} \z"))
     elif name == "number":
         shape = vote(m.rlike(r"\A(?:[A-Z]{2}|\(|0|[0-9]{3}-[0-9]{2}-[0-9]{4}\z)"),
@@ -161,15 +199,19 @@ def _votes(name: str, m: Column, before: Column, after: Column) -> Column:
         shape = vote(m.rlike(r"\A\p{Lu}\p{Ll}+(?: \p{Lu}[\p{L}'’-]+){1,2}\z"), m.rlike(r"\A\p{Lu}+\z"))
         gazetteer = vote(m.rlike(rf"\A(?:{FIRST_NAMES})(?!\p{{L}})"),
                          m.rlike(rf"\A(?:{PLAIN_NAMES}|{PLACES})(?!\p{{L}})"))
-        context = vote(before.rlike(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\.?|(?i:name(?: is)?:?))\s\z"), never)
+        context = vote(before.rlike(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\.?|(?i:name(?: is)?:?))\s\z"),
+                       m.rlike(rf" (?:{ORGANISATIONS})\z") | after.rlike(rf"\A\W?\s?(?:{ORGANISATIONS})(?!\p{{L}})"))
     elif name == "address":
         shape = vote(m.rlike("[0-9]"), ~m.rlike("[0-9]"))
-        gazetteer = vote(after.rlike(rf"\A\W{{1,3}}(?:[0-9]{{4,5}}|(?:in )?(?:{PLACES}))"), never)
-        context = vote(before.rlike(r"(?i)(?:address|adresse|dirección|lives?|wohnt|habite|vive)\W*(?:at|in|en|à|au)?\W*\z"), never)
+        gazetteer = vote(after.rlike(rf"\A\W{{1,3}}(?:[0-9]{{4,5}}|(?:in )?(?:{PLACES}))"),
+                         before.rlike(rf"(?i)(?:{PLAIN_WORDS})\W*\z"))
+        context = vote(before.rlike(r"(?i)(?:address|adresse|dirección|lives?|wohnt|habite|vive)\W*(?:at|in|en|à|au)?\W*\z"),
+                       before.rlike(rf"(?i)\b(?:{WAYS})\W*(?:the|la|le|die|der|el)?\W*\z"))
     else:
         shape = vote(m.rlike(r"(?:1[89]|20)[0-9]{2}"), ~m.rlike(r"[0-9]{4}"))
-        gazetteer = vote(before.rlike(r"(?i)(?:birth|dob|geburt|nacimiento|geboren|born)"), never)
-        context = vote(before.rlike(r"(?i)(?::\s?|\b(?:on|am|le|el) )\z"), never)
+        gazetteer = vote(before.rlike(r"(?i)(?:birth|dob|geburt|nacimiento|geboren|born)")
+                         & ~before.rlike(rf"(?i)(?:{BORN_THINGS})"), before.rlike(rf"(?i)(?:{BORN_THINGS})"))
+        context = vote(before.rlike(r"(?i)(?::\s?|\b(?:on|am|le|el) )\z"), after.rlike(r"\A\s?(?:[0-9%]|[-/][0-9])"))
     return F.concat(shape, gazetteer, context)
 
 
@@ -197,33 +239,30 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     for kind, pattern in found.items():
         pieces, matches = _found("t", pattern, GUARDS.get(kind, pattern))
         parts += [pieces.alias(f"p_{kind}"), matches.alias(f"m_{kind}")]
-    rows = rows.select(*k, "t", *parts)
-    rows = rows.select(*k, "t", *[f"m_{x}" for x in found], *[_spans(f"p_{x}", f"m_{x}").alias(f"x_{x}") for x in found])
-    rows = rows.select(*k, "t", *[_zip(f"x_{x}", f"m_{x}").alias(x) for x in found])
-    none = "cast(array() as array<struct<kind: int, s: int, e: int>>)"
+    rows = rows.select(*k, *parts)
+    rows = rows.select(*k, *[_spans(x).alias(x) for x in found])
+    none = "cast(array() as array<struct<s: int, e: int>>)"
 
-    def valid(i: int, kind: str) -> Column:
+    def valid(kind: str) -> Column:
         good = F.filter(kind, lambda x: _valid(kind, x["m"]))
-        return F.coalesce(F.transform(good, lambda x: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"),
-                                                               x["e"].alias("e"))), F.expr(none))
+        return F.coalesce(F.transform(good, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), F.expr(none))
 
-    base = F.concat(*[valid(i, kind) for i, kind in enumerate(KINDS[:4])])
-    rows = rows.select(*k, "t", base.alias("base"), *[_values(x).alias(x) for x in CLASSES])
+    bases = [f"b_{kind}" for kind in KINDS[:4]]
+    rows = rows.select(*k, *[valid(kind).alias(f"b_{kind}") for kind in KINDS[:4]], *[_values(x).alias(x) for x in CLASSES])
 
     def free(name: str) -> Column:
-        return F.filter(name, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+        return F.filter(name, lambda x: ~reduce(or_, [_meets(b, x) for b in bases]))
+
+    rows = rows.select(*k, *bases, *[free(x).alias(x) for x in CLASSES])
 
     def described(name: str, x: Column) -> Column:
-        before = F.substr(F.col("t"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1,
-                          F.least(x["s"], F.lit(CONTEXT)))
-        after = F.substr(F.col("t"), x["e"] + 1, F.lit(CONTEXT))
         return F.struct(F.lit(list(CLASSES).index(name)).alias("c"), x["s"].alias("s"), x["e"].alias("e"),
-                        _votes(name, x["m"], before, after).alias("votes"),
-                        F.array(*_shape(x["m"], before)).alias("f"))
+                        _votes(name, x["m"], x["b"], x["a"]).alias("votes"),
+                        F.array(*_shape(x["m"], x["b"])).alias("f"))
 
     nothing = F.expr("cast(array() as array<struct<c: int, s: int, e: int, votes: string, f: array<string>>>)")
-    cand = [F.coalesce(F.transform(free(n), partial(described, n)), nothing) for n in CLASSES]
-    return rows.select(*k, "base", F.concat(*cand).alias("cand"))
+    cand = [F.coalesce(F.transform(n, partial(described, n)), nothing) for n in CLASSES]
+    return rows.select(*k, F.concat(*[F.transform(x, partial(_kinded, i)) for i, x in enumerate(bases)]).alias("base"), F.concat(*cand).alias("cand"))
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], float]:
@@ -280,6 +319,19 @@ def span_classifier(rows: list[tuple[str, list[str], int]], post: dict[str, floa
     return math.log(prior / (1 - prior)), weights
 
 
+def _of_class(i: int) -> Column:
+    return F.filter("cand", lambda x: x["c"] == i)
+
+
+def _apart(i: int) -> Column:
+    """The spans of class ``i`` that meet none of an earlier class."""
+    return F.filter(f"__c{i}", lambda x: ~reduce(or_, [_meets(f"__c{j}", x) for j in range(i)], F.lit(False)))
+
+
+def _kinded(kind: int, x: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
+
+
 def find_private(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
                  threshold: float = THRESHOLD) -> DataFrame:
     """Kept columns, ``base`` and ``spans``: arrays of (kind, s, e), by start, then kind as in KINDS."""
@@ -309,11 +361,10 @@ def find_private(docs: DataFrame, text: str = "text", keep: list[str] | None = N
             return (by_shape + vote[F.concat(c["c"].cast("string"), c["votes"])]) / 2 >= logit
 
         rows = rows.withColumn("cand", F.filter("cand", taken))
-        kind = F.array(*[F.lit(KINDS.index(x)) for x in CLASSES.values()])
-        first = F.filter("cand", lambda x: ~F.exists("cand", lambda y: (
-            (y["c"] < x["c"]) & (y["s"] < x["e"]) & (y["e"] > x["s"]))))
-        more = F.transform(first, lambda c: F.struct(
-            F.element_at(kind, c["c"] + 1).alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+        # the spans of a class are in order and apart
+        rows = rows.withColumns({f"__c{i}": _of_class(i) for i in range(len(CLASSES))})
+        parts = [F.transform(_apart(i), partial(_kinded, KINDS.index(name))) for i, name in enumerate(CLASSES.values())]
+        more = F.concat(*parts)
     else:
         more = F.expr("cast(array() as array<struct<kind: int, s: int, e: int>>)")
 
