@@ -16,18 +16,22 @@ Groups of copies are never expanded into pairs:
    components is compared, and no link between components is lost.
 Components come from repeated contraction, cut by checkpoints.
 
-``BANDINGS`` has bands and rows by similarity: 24 bands of 5 rows miss a pair at
-0.85 with probability (1 - 0.85^5)^24 = 8e-7, 28 of 4 one at 0.8 with 4e-7.
+``banding`` gives bands and rows by similarity: 24 bands of 5 rows miss a pair at
+0.85 with probability (1 - 0.85^5)^24 = 8e-7, 28 of 4 one at 0.8 with 4e-7; below,
+as many bands as keep the miss under ``MISS``.
 
 Defined cases: a null, empty or word-free text has no shingle and is linked
 with nothing; a text with fewer words than a shingle is one shingle of all
 its words; rows with a null doc_id are nodes of their own (known by a hash of
 their text) with a null component unless it holds a real id; repeated rows share a
-component.  ``kept`` marks the rows whose id is the component's.  Texts are shingled whole.
+component.  An id with several texts is one document: each text is compared, and all
+that any of them is linked with is one component.  ``kept`` marks the rows whose id is the
+component's.  Texts are shingled whole.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,9 @@ from wardflow.llm.common import cut, map_arrow, prepare
 from wardflow.llm.words import spaced_words_of
 
 #: (least percent, bands, rows): the first that a similarity reaches.
-BANDINGS = ((85, 24, 5), (80, 28, 4), (0, 64, 3))
+BANDINGS = ((85, 24, 5), (80, 28, 4))
+#: Below them: the chance that banding may miss a pair at the threshold, and the bands it may take for more rows.
+MISS, MAX_BANDS = 1e-6, 64
 #: Shingles of one side of a block comparison (8 bytes each).
 BLOCK_SHINGLES = 400_000
 #: Word hashes that a task remembers.
@@ -57,6 +63,18 @@ def _mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for links of at least ``percent``: most rows that keep the miss under MISS."""
+    for least, bands, rows in BANDINGS:
+        if percent >= least:
+            return bands, rows
+    p = max(percent, 1) / 100
+    for rows in (3, 2, 1):
+        bands = math.ceil(math.log(MISS) / math.log(1 - p ** rows))
+        if bands <= MAX_BANDS or rows == 1:
+            return bands, rows
+
+
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
@@ -122,7 +140,7 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """key, n_shingles, digest of the set, bands: the pass over all texts."""
+    """key, tx (the text's hash), n_shingles, digest of the set, bands: the pass over all texts."""
     add = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
                         T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -140,19 +158,20 @@ def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
         return work
 
-    return map_arrow(docs, {"text": "binary"}, add, make, keep=["key"])
+    return map_arrow(docs, {"text": "binary"}, add, make, keep=["key", "tx"])
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, z): packed texts of the wanted nodes, one each."""
+    """(node, z): packed texts of the wanted nodes (node, key, tx), one each."""
     add = T.StructType([T.StructField("z", T.BinaryType())])
 
     def make():
         packer = zstandard.ZstdCompressor(level=1)
         return lambda texts: [pa.array([packer.compress(t) for t in texts.to_pylist()], pa.binary())]
 
-    found = docs.where("text is not null").join(wanted, docs["key"] == wanted["node"], "left_semi")
-    return map_arrow(found, {"text": "binary"}, add, make, keep=["key"]).withColumnRenamed("key", "node").dropDuplicates(["node"])
+    wanted = wanted.select("node", F.col("key").alias("k"), F.col("tx").alias("x"))
+    found = docs.where("text is not null").join(wanted, (docs["key"] == wanted["k"]) & (docs["tx"] == wanted["x"]))
+    return map_arrow(found, {"text": "binary"}, add, make, keep=["node"]).dropDuplicates(["node"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -295,13 +314,14 @@ def _importance() -> Column:
 def find_links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that connect every component of the candidate graph.
 
-    ``nodes``: node, copies, n_shingles, bands.
+    ``nodes``: node, key and tx of a text with that set, copies, n_shingles, bands.
     """
     members = nodes.select("node", "n_shingles", _importance().alias("weight"), F.explode("bands").alias("band"))
     heads = (members.groupBy("band").agg(F.count("*").alias("n"), F.max_by("node", "weight").alias("leader"))
              .where("n > 1"))
     members = cut(members.join(heads, "band").select("band", "node", "n_shingles", "weight", "n", "leader"))
-    texts = cut(texts_of(docs, members.select("node").distinct()))
+    wanted = nodes.select("node", "key", "tx").join(members.select("node").distinct(), "node", "left_semi")
+    texts = cut(texts_of(docs, wanted))
     # one pair per node: the leader with which it shares most bands
     pairs = (members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"))
              .groupBy("node").agg(F.max_by("leader", "shared").alias("leader"))
@@ -345,14 +365,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Links: 100 x intersection >= ``percent`` x union of the shingle sets of ``words`` words.
     """
     prepare(docs.sparkSession)
-    _, bands, rows = next(b for b in BANDINGS if percent >= b[0])
-    keyed = docs.select(row_key("doc_id", "text").alias("key"), F.col("text"))
+    bands, rows = banding(percent)
+    keyed = docs.select(row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("tx"), F.col("text"))
     sets = cut(sets_of(keyed, words, bands, rows))
-    nodes = cut(sets.where("digest is not null").groupBy("digest").agg(
-        F.min("key").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
+    groups = cut(sets.where("digest is not null").groupBy("digest").agg(
+        F.min(F.struct("key", "tx")).alias("of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands")))
-    comps = components(find_links(nodes, keyed, words, percent))
-    named = _with_comp(nodes.select("digest", "node"), comps).select("digest", "comp")
+    # ids with several sets: their sets are nodes by a hash, and linked with one another
+    several = cut(sets.where("digest is not null").groupBy("key").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select(F.col("key").alias("s")))
+    by_hash = F.xxhash64("digest").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    nodes = cut(groups.join(several, F.col("of.key") == F.col("s"), "left").select(
+        "digest", F.when(F.col("s").isNull(), F.col("of.key")).otherwise(by_hash).alias("node"), F.col("of.key").alias("key"),
+        F.col("of.tx").alias("tx"), "copies", "n_shingles", "bands"))
+    links = find_links(nodes, keyed, words, percent)
+    if not several.isEmpty():
+        mine = sets.select("key", "digest").join(several, F.col("key") == F.col("s"), "left_semi").distinct().join(
+            nodes.select("digest", "node"), "digest").select("key", "node")
+        first = mine.groupBy("key").agg(F.min("node").alias("a"))
+        links = cut(links.unionByName(mine.join(first, "key").where("a <> node").select("a", F.col("node").alias("b"))))
+    named = _with_comp(nodes.select("digest", "node", "key"), components(links))
+    # a component's id is the least key of its rows
+    least = named.groupBy("comp").agg(F.min("key").alias("id"))
+    named = named.join(least, "comp").select("digest", F.col("id").alias("comp"))
     out = sets.select("key", "n_shingles", "digest").join(named, "digest", "left")
     comp = F.coalesce("comp", "key")
     return out.select(F.when(F.col("key") < NO_ID, F.col("key")).alias("doc_id"), "n_shingles",
