@@ -10,7 +10,8 @@ carriage return.  Repeated 8-word windows are found by a sort of the
 windows' 64-bit hashes within the row.
 
 Defined cases: a null or empty text has no words, all measures 0, and fails
-on ``n_words``; ratios over 0 are 0; a null doc_id and repeated rows are
+on ``n_words``; ratios over 0 are 0; the stop-word rule holds for texts in
+Latin script (by their bytes a character), as the list has no other words; a null doc_id and repeated rows are
 judged as any row.  Columns of the input that an output column names are
 replaced.  Texts are measured whole.
 """
@@ -27,9 +28,13 @@ from wardflow.llm.common import replacing
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 
-#: Frequent words of the four languages.
+#: Frequent words of languages in Latin script.
 STOP_WORDS = ("the of and to in is that for it with der die und das den von zu mit ist im "
-              "le la les de des et en un une que el los las y se por con para").split()
+              "le la les de des et en un une que el los las y se por con para "
+              "di il che per non del della sono da do em um uma com het een van niet dat op "
+              "och att det inte na nie jest się w ve bir bu için").split()
+#: Bytes a character from which a text is taken to be in another script.
+OTHER_SCRIPT = 1.5
 
 
 @dataclass(frozen=True)
@@ -42,12 +47,12 @@ class Threshold:
     most: float | None = None
 
 
-#: The rules.  Lower bounds for stop words are low, as any language may come.
+#: The rules.  A measure that does not apply to a text is null and passes: stop words in other scripts.
 THRESHOLDS = (
-    Threshold("length", "n_words", least=20, most=10_000_000),
+    Threshold("length", "n_words", least=20),
     Threshold("mean_word", "mean_word_chars", least=1.5, most=20),
     Threshold("symbols", "symbol_ratio", most=0.05),
-    Threshold("stop_words", "stop_ratio", least=0.0),
+    Threshold("stop_words", "stop_ratio", least=0.02),
     Threshold("dup_lines", "dup_line_ratio", most=0.6),
     Threshold("stutter", "stutter_ratio", most=0.3),
     Threshold("repeats", "repeat_ratio", most=0.3),
@@ -64,7 +69,7 @@ def _ratio(a: str, b: str) -> Column:
 
 def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and the base measures, each level one projection."""
-    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_stutter"]
+    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_stutter", "latin"]
     keep = replacing(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else docs, out)
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
     k = [F.col(f"__k{i}") for i in range(len(keep))]
@@ -82,6 +87,7 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         *k, _n(F.col("w")).alias("n_words"),
         F.length(F.regexp_replace("t", SPACE + "+", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.octet_length("t") <= OTHER_SCRIPT * F.length("t")).alias("latin"),
         _n(F.col("lines")).alias("n_lines"),
         (_n(F.col("lines")) - _n(F.array_distinct("lines"))).alias("n_dup_lines"),
         _n(F.filter("w", lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
@@ -105,9 +111,9 @@ def compile_rules(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> tuple[Colum
         value = F.col(t.measure)
         fine = F.lit(True)
         if t.least is not None:
-            fine = fine & (value >= t.least)
+            fine = fine & F.coalesce(value >= t.least, F.lit(True))
         if t.most is not None:
-            fine = fine & (value <= t.most)
+            fine = fine & F.coalesce(value <= t.most, F.lit(True))
         ok = ok & fine
         failed.append(F.when(~fine, F.lit(t.name)))
     return ok, F.array_compact(F.array(*failed))
@@ -118,7 +124,8 @@ def judge(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text:
     """``docs`` with measures, ratios, ``failed`` (rule names) and ``kept``."""
     out = measures(docs, text, keep)
     ratios = {"mean_word_chars": _ratio("word_chars", "n_words"), "symbol_ratio": _ratio("n_symbols", "word_chars"),
-              "stop_ratio": _ratio("n_stop", "n_words"), "stutter_ratio": _ratio("n_stutter", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
+              "stop_ratio": F.when(F.col("latin"), _ratio("n_stop", "n_words")),
+              "stutter_ratio": _ratio("n_stutter", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
               "repeat_ratio": _ratio("n_repeat_words", "n_words")}
     out = out.withColumns(ratios)
     kept, failed = compile_rules(thresholds)
