@@ -191,7 +191,7 @@ def test_near_dedup_blocks(spark, monkeypatch):
         for j in rng.integers(0, 60, rng.integers(1, 8)):
             words[j] = f"n{i}_{j}"
         docs.append((i, " ".join(words)))
-    from test_brute_force import plain_components
+    from .test_brute_force import plain_components
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     want = plain_components(frame.collect(), 3, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame, 3, 85).collect()}
@@ -266,3 +266,39 @@ def test_code_lengths_against_a_plain_tree(spark):
 
 def test_words():
     assert words_of("Ab-é 1x y\x00Z".encode()) == ["ab".encode(), "é".encode(), "1x y".encode(), b"z"]
+
+
+def test_one_id_with_different_texts(spark):
+    """Each text of an id is compared, and all their links are one component."""
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, "quite another text " * 9), (None, a), (11, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+        assert got == [(11, 5, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (None, 5, False)]
+    many = spark.createDataFrame([(1, f"{x} " * 3 + " ".join(f"{x}{i}" for i in range(60))) for x in "abcdefgh"] + [
+        (2, "a " * 3 + " ".join(f"a{i}" for i in range(60)))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(many).collect()} == {(1, 1), (2, 1)}
+
+
+def test_bandings_miss_little():
+    for percent in (1, 20, 30, 50, 70, 79, 80, 85, 95):
+        bands, rows = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-6, percent
+
+
+def test_word_lists_without_stop_words_are_rejected(spark):
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)), "der Hund und die Katze im Haus " * 1 + " ".join(
+        f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), " ".join(f"слово{chr(0x430 + i % 30)}{chr(0x430 + i // 30)}" for i in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.failed) for r in quality_rules.judge(docs).collect()}
+    assert got == {0: (False, ["stop_words"]), 1: (True, []), 2: (True, [])}
+
+
+def test_k_fits_the_best_segments():
+    """Best scores drawn from the law give its K back."""
+    draw, lam, k = np.random.default_rng(2), 1.3, 0.02
+    n = draw.integers(50, 2000, 4000)
+    best = np.log(k * n / draw.exponential(size=4000)) / lam
+    seen = best > 0
+    assert 0.9 < (seen.sum() / (n * np.exp(-lam * np.maximum(best, 0))).sum()) / k < 1.1

@@ -5,7 +5,8 @@ taken from the token counts of the whole corpus; a token's score is its
 log-odds drawn towards 0 by their uncertainty, less a small drift, so that
 ordinary text has a negative expected score.  A linear scan finds every
 maximal-scoring segment.  Scores of segments follow an extreme-value law in
-clean text (parameters lambda and K): a segment is significant when its
+clean text: lambda follows from the clean token scores, K is fitted to the best segments
+of clean labelled texts by maximum likelihood.  A segment is significant when its
 expected number of equals in that much clean text is below ``EVALUE``.  A document's evidence is the sum of its
 significant segments' excess over that level.  Evidence becomes a probability
 by a calibration on labelled rows: each half of them is scored by the tokens of
@@ -36,12 +37,13 @@ from wardflow.llm.common import cut, gather_arrow, map_arrow, prepare
 from wardflow.llm.words import words_of
 
 #: Labelled documents that teach, about: the bounded sample, chosen by a hash of doc_id.
+#: It bounds the tokens with a score, too: those whose log-odds differ from 0 by CAUTION standard errors.
 MAX_LABELLED = 400_000
+#: K before it is fitted, and where no clean text has a segment.
+START_K = 0.1
 #: Strength of the Dirichlet prior as a share of the labelled tokens, and the standard errors taken off a log-odds.
 PRIOR = 0.1
 CAUTION = 2.0
-#: Tokens with a score of their own: at most this many, the strongest.
-MAX_TOKENS = 100_000
 DRIFT = 0.1
 #: Expected number of clean segments of that score in one document.
 EVALUE = 0.1
@@ -55,7 +57,7 @@ MAX_BIN = 200
 class ToxicityModel:
     scores: dict[bytes, float] = field(default_factory=dict)
     lam: float = 1.0
-    k: float = 0.1
+    k: float = START_K
     a: float = -2.0
     b: float = 0.0
 
@@ -131,11 +133,11 @@ def log_odds(counts: DataFrame, halves: tuple[int, ...] = (0, 1), prior: float =
     return rows.select("token", "n_clean", score.alias("score")).where("score <> 0"), nc
 
 
-def extreme_value(values: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """lambda with E[exp(lambda s)] = 1 under the clean token scores, and a conservative K."""
+def scale_of(values: np.ndarray, weights: np.ndarray) -> float:
+    """lambda with E[exp(lambda s)] = 1 under the clean token scores."""
     p = weights / weights.sum()
     if not (values > 0).any() or (p[values > 0].sum() <= 0):
-        return 1.0, 0.1
+        return 1.0
     lo, hi = 0.0, 1.0
     while (p * np.exp(np.minimum(hi * values, 500))).sum() < 1 and hi < 50:
         hi *= 2
@@ -145,7 +147,7 @@ def extreme_value(values: np.ndarray, weights: np.ndarray) -> tuple[float, float
             lo = mid
         else:
             hi = mid
-    return max(lo, 1e-3), 0.1
+    return max(lo, 1e-3)
 
 
 def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -172,15 +174,51 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tup
     return [(s, e, float(hi - lo)) for s, e, lo, hi in stack]
 
 
-def significant(words: list[bytes], model: ToxicityModel) -> list[tuple[int, int, float]]:
-    """Segments whose E-value K n exp(-lambda S) is below EVALUE, with the excess over that level."""
+def segments(words: list[bytes], model: ToxicityModel) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments of a text."""
     known = np.fromiter(map(model.scores.get, words, repeat(0.0)), np.float64, len(words))
     at = np.flatnonzero(known)
-    if not at.size:
+    return maximal_segments(at, known[at], DRIFT) if at.size else []
+
+
+def significant(words: list[bytes], model: ToxicityModel) -> list[tuple[int, int, float]]:
+    """Segments whose E-value K n exp(-lambda S) is below EVALUE, with the excess over that level."""
+    if not words:
         return []
     level = math.log(model.k * len(words) / EVALUE)
-    found = maximal_segments(at, known[at], DRIFT)
-    return [(s, e, model.lam * score - level) for s, e, score in found if model.lam * score > level]
+    return [(s, e, model.lam * score - level) for s, e, score in segments(words, model) if model.lam * score > level]
+
+
+def segment_scores(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+    """``keep`` with n_words and the scores of the maximal segments: what K and the evidence are made of."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    add = T.StructType([T.StructField("n_words", T.LongType()),
+                        T.StructField("found", T.ArrayType(T.DoubleType()))])
+
+    def make():
+        fitted = shared.value
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            words = [words_of(t) if t else [] for t in texts.to_pylist()]
+            return [pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([[x[2] for x in segments(w, fitted)] for w in words], pa.list_(pa.float64()))]
+
+        return work
+
+    return map_arrow(docs, {"text": "binary"}, add, make, keep)
+
+
+def fitted_k(rows: DataFrame, lam: float) -> float:
+    """K by maximum likelihood from clean texts' best segments.
+
+    The best score S of n words has P(S < s) = exp(-K n exp(-lambda s)), so
+    n exp(-lambda S) is exponential with rate K; a text without a segment says
+    only that it is n at least.
+    """
+    best = F.array_max("found")
+    seen, total = rows.where("n_words > 0").agg(
+        F.count(best), F.sum(F.col("n_words") * F.exp(-F.lit(lam) * F.coalesce(best, F.lit(0.0))))).first()
+    return seen / total if seen else START_K
 
 
 def evidence(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
@@ -246,26 +284,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     counts = cut(token_counts(docs, sample))
     taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     bins: Counter = Counter()
-    for half in (0, 1):
+    ks = []
+    for half in (0, 1):  # each half is judged by the tokens and the K of the other rows
         model = _learned(counts, (1 - half,))
-        for b, n, toxic in (evidence(taught.where(F.col("half") == half), model, keep=["toxic"])
-                            .groupBy(_bin().alias("bin")).agg(F.count("*"), F.sum("toxic")).collect()):
+        rows = cut(segment_scores(taught.where(F.col("half") == half), model, keep=["toxic"]))
+        model.k = fitted_k(rows.where("toxic = 0"), model.lam)
+        ks.append(model.k)
+        for b, n, toxic in (rows.withColumn("tox_evidence", _evidence(model)).groupBy(_bin().alias("bin"))
+                            .agg(F.count("*"), F.sum("toxic")).collect()):
             bins[b, 0] += n
             bins[b, 1] += toxic
     model = _learned(counts, (0, 1))
+    model.k = math.sqrt(ks[0] * ks[1])
     model.a, model.b = _calibrate([(b, bins[b, 0], bins[b, 1]) for b in sorted({b for b, _ in bins})])
     return model
 
 
+def _evidence(model: ToxicityModel):
+    """The significant segments' excess of a row of ``segment_scores``."""
+    level = F.log(F.lit(model.k / EVALUE) * F.greatest(F.col("n_words"), F.lit(1)))
+    return F.aggregate("found", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(model.lam) * s - level, F.lit(0.0)))
+
+
 def _learned(counts: DataFrame, halves: tuple[int, ...]) -> ToxicityModel:
-    """Token scores and extreme-value parameters from some halves of the labelled rows."""
+    """Token scores and lambda from some halves of the labelled rows."""
     odds, clean = log_odds(counts, halves)
-    rows = odds.orderBy(F.abs("score").desc(), "token").limit(MAX_TOKENS).collect()
+    rows = odds.collect()  # bounded by the labelled sample
     model = ToxicityModel({bytes(r.token): r.score for r in rows})
     known = sum(r.n_clean for r in rows)
     values = np.array([r.score - DRIFT for r in rows] + [-DRIFT])
     weights = np.array([r.n_clean + 0.5 for r in rows] + [max(clean - known, 1.0)], float)
-    model.lam, model.k = extreme_value(values, weights)
+    model.lam = scale_of(values, weights)
     return model
 
 
