@@ -136,14 +136,48 @@ def test_license_scan(spark, odd, none):
 def test_license_join_against_every_pair(spark):
     rng = np.random.default_rng(3)
     words = [w for t in license_scan.TEMPLATES for w in t.text.split()] + ["other", "text"]
-    lines = [" ".join(rng.choice(words, rng.integers(2, 40))) for _ in range(300)]
-    lines += [" ".join(t.text.split()[1:]) for t in license_scan.TEMPLATES]
+    lines = [" ".join(rng.choice(words, rng.integers(2, 90))) for _ in range(300)]
+    for t in license_scan.TEMPLATES:
+        mine = t.text.split()
+        lines += [" ".join(mine[1:]), " ".join(mine[::-1]), " ".join(["other"] * 7 + mine[:4] + ["text"] + mine[4:] + ["other"] * 9)]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {r.doc_id: set(r.labels) - set(r.base) for r in license_scan.scan_licenses(docs, containment=0.6).collect()}
+    got = {r.doc_id: set(r.labels) for r in license_scan.scan_licenses(docs, containment=0.6).collect()}
+
+    def common(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                best[j + 1], last = (max(best[j + 1], last + 1) if x == y else max(best[j + 1], best[j])), best[j + 1]
+        return best[-1]
+
+    found = 0
     for i, line in enumerate(lines):
-        want = {t.label for t in license_scan.TEMPLATES
-                if len(set(line.split()) & set(t.text.split())) >= 0.6 * len(set(t.text.split())) - 1e-9}
-        assert got[i] | {"mit", "apache", "gpl"} == want | {"mit", "apache", "gpl"}
+        every, want = line.split(), set()
+        for t in license_scan.TEMPLATES:
+            mine = t.text.split()
+            for at in range(0, len(every), max(1, len(mine) // 2)):
+                run = every[at:at + 2 * len(mine)]
+                if (len(set(run) & set(mine)) >= 0.6 * len(set(mine)) - 1e-9
+                        and common(mine, run) >= 0.6 * len(mine) - 1e-9):
+                    want.add(t.label)
+        assert got[i] | {"mit", "apache", "gpl"} == want | {"mit", "apache", "gpl"}, line
+        found += len(want)
+    assert found > 60
+
+
+def test_scattered_and_reordered_words_are_no_license(spark):
+    words = "licensed under the gnu general public license".split()
+    spread = " ".join(f"{w} " + " ".join(f"y{i}" for i in range(7)) for w in words)
+    texts = [spread, "all the people reserved their seats and kept the rights of way", "reserved rights all",
+             " ".join(words[::-1]), "All rights are reserved", " ".join(words)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, score string")
+    out = license_scan.scan_licenses(docs)
+    assert out.columns.count("n_words") == out.columns.count("score") == 1
+    got = {r.doc_id: (r.labels, r.score) for r in out.collect()}
+    assert [got[i][0] for i in range(6)] == [[], [], [], [], ["proprietary"], ["gpl"]] and got[0][1] == 0
+    spans = private_data.find_private(docs.selectExpr("doc_id", "text", "1 as base", "'x' as spans"))
+    assert sorted(spans.columns) == ["base", "doc_id", "spans", "text"] and spans.count() == 6
 
 
 def test_decontamination(spark, odd, none):

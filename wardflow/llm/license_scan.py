@@ -1,8 +1,7 @@
 """License scan: exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text up to ``LINE`` times the longest template, and, for
-each template length, overlapping runs of the whole word sequence across line
-breaks: twice as long as the template, a run every half template, so any
+Blocks are, for each template length, overlapping runs of the whole word sequence, across
+line breaks: twice as long as the template, a run every half template, so any
 passage of one and a half times its words lies within a run.  Runs meet only templates of
 their length, and are made only in texts that have the words of one.  A block
 meets a template when it holds at least ``CONTAINMENT`` of the template's
@@ -12,7 +11,9 @@ one of its first |T| - o + 1 tokens with the block (o: the words needed); the
 join is on these prefix tokens, the length filter asks the block for o template
 words, the positional filter for enough words after the shared one, and
 the exact overlap confirms the pair.  Words that no template has can't
-change an overlap, so blocks are kept as their template words only.
+change an overlap, so blocks are kept as their template words only.  A pair
+that meets is a label only if as many of the template's words stand in the
+template's order in the block (longest common subsequence).
 
 Places of the base phrases are found besides, over the whole word sequence.
 
@@ -32,17 +33,21 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import cut, prepare
+from wardflow.llm.common import cut, prepare, replacing
 
 CONTAINMENT = 0.9
-#: A line of more than this many times the longest template's words is met by its runs only.
-LINE = 4
 #: Between words; upper case is lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases to an ASCII letter, though it isn't one.
 KELVIN = "K"
 
 
+#: Length of the longest common subsequence of ``words`` and ``seq``: for each template word in turn the longest
+#: one that ends at each place of the block.
+IN_ORDER = ("array_max(aggregate(words, array_repeat(0, size(seq)), (ends, word) -> transform(ends, (n, i) -> "
+            "if(seq[i] = word, greatest(n, 1 + coalesce(array_max(slice(ends, 1, i)), 0)), n))))")
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -66,6 +71,20 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0"),
     Template("cc-by", "licensed under a creative commons attribution international license"),
     Template("proprietary", "all rights reserved"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("agpl", "licensed under the gnu affero general public license"),
+    Template("epl", "made available under the terms of the eclipse public license"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("boost", "distributed under the boost software license version 1 0"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    Template("cc-by-sa", "licensed under cc by sa 4 0"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike international license"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
 )
 
 
@@ -83,34 +102,28 @@ def _runs(mine: list[Template], containment: float) -> Column:
     there = [F.size(F.array_intersect("tw", _strings(sorted(set(t.text.split()))))) >= _need(t, containment)
              for t in mine]
     words = _strings(sorted({w for t in mine for w in t.text.split()}))
+    # the template words of a run in their order, repeats included
     starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(max(1, m // 2)))
     run = F.transform(starts, lambda i: F.struct(
-        F.lit(m).alias("span"), F.array_intersect(F.slice("w", i + 1, F.lit(2 * m)), words).alias("tokens")))
-    return F.when((F.size("w") > 0) & reduce(or_, there), F.filter(run, lambda x: F.size(x["tokens"]) >= least))
+        F.lit(m).alias("span"), F.filter(F.slice("w", i + 1, F.lit(2 * m)), lambda x: F.array_contains(words, x)).alias("tokens")))
+    return F.when((F.size("w") > 0) & reduce(or_, there),
+                  F.filter(run, lambda x: F.size(F.array_distinct(x["tokens"])) >= least))
 
 
 def tokenised(docs: DataFrame, templates: tuple[Template, ...], containment: float, text: str,
               keep: list[str]) -> DataFrame:
     """Per row: kept columns, a row id, n_words, phrase places and the blocks' template words."""
     vocabulary = _strings(sorted({w for t in templates for w in t.text.split()}))
-    least = min(_need(t, containment) for t in templates)
-    longest = LINE * max(len(t.text.split()) for t in templates)
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
     k = [F.col(f"__k{i}") for i in range(len(keep))]
     plain = F.lower(F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(KELVIN), F.lit("é")))
-    lines = docs.select(*kept, F.transform(F.split(plain, "\n"), lambda x: F.array_remove(F.split(x, BETWEEN), "")).alias("lw"))
-    short = F.filter("lw", lambda x: F.size(x).between(least, longest))
-    words = lines.select(
-        *k, F.flatten("lw").alias("w"),
-        F.filter(F.transform(short, lambda x: F.struct(F.lit(0).alias("span"),
-                                                       F.array_intersect(x, vocabulary).alias("tokens"))),
-                 lambda x: F.size(x["tokens"]) >= least).alias("lines"))
-    words = words.select(*k, "w", "lines", F.array_intersect("w", vocabulary).alias("tw"))
+    words = docs.select(*kept, F.array_remove(F.split(plain, BETWEEN), "").alias("w"))
+    words = words.select(*k, "w", F.array_intersect("w", vocabulary).alias("tw"))
     none = F.expr("cast(array() as array<struct<span: int, tokens: array<string>>>)")
     by_length: dict[int, list[Template]] = {}
     for t in templates:
         by_length.setdefault(len(t.text.split()), []).append(t)
-    blocks = F.concat("lines", *[F.coalesce(_runs(mine, containment), none) for mine in by_length.values()])
+    blocks = F.concat(*[F.coalesce(_runs(mine, containment), none) for mine in by_length.values()])
     # a place is looked for only in texts that have every phrase's last word
     fits = " or ".join(
         "(" + " and ".join(f"get(w, i + {j}) = '{word}'" for j, word in enumerate(phrase.split())) + ")"
@@ -140,27 +153,34 @@ def similarity_join(blocks: DataFrame, templates: tuple[Template, ...], containm
     for n, t in enumerate(templates):
         ids = sorted(rank[w] for w in set(t.text.split()))
         need = _need(t, containment)
-        prefixes += [(n, t.label, len(t.text.split()), ids, need, i, ids[i]) for i in range(len(ids) - need + 1)]
+        row = (n, t.label, [rank[w] for w in t.text.split()], math.ceil(containment * len(t.text.split()) - 1e-9), ids, need)
+        prefixes += [(*row, i, ids[i]) for i in range(len(ids) - need + 1)]
     table = spark.createDataFrame(
-        prefixes, "template int, label string, words int, ids array<int>, need int, t_at int, token int")
+        prefixes, "template int, label string, words array<int>, in_order int, ids array<int>, need int, t_at int, token int")
     ranks = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
-    ordered = blocks.select("row", "block", "span", F.sort_array(F.transform("tokens", lambda w: ranks[w])).alias("b"))
-    probes = ordered.select("row", "block", "span", "b", F.posexplode("b").alias("b_at", "token"))
+    ordered = blocks.select("row", "block", "span", F.transform("tokens", lambda w: ranks[w]).alias("seq")).select(
+        "row", "block", "span", "seq", F.sort_array(F.array_distinct("seq")).alias("b"))
+    probes = ordered.select("row", "block", "span", "seq", "b", F.posexplode("b").alias("b_at", "token"))
     joined = probes.join(F.broadcast(table), "token")  # the templates are a parameter: bounded
-    fits = ((F.col("span") == 0) | (F.col("span") == F.col("words"))) & (F.size("b") >= F.col("need")) & (
+    fits = (F.col("span") == F.size("words")) & (F.size("b") >= F.col("need")) & (
         F.least(F.size("ids") - F.col("t_at"), F.size("b") - F.col("b_at")) >= F.col("need"))
     share = F.size(F.array_intersect("b", "ids"))
     found = joined.where(fits).withColumn("shared", share).where(F.col("shared") >= F.col("need"))
-    return (found.groupBy("row", "block", "template")
-            .agg(F.first("label").alias("label"), F.max(F.col("shared") / F.size("ids")).alias("containment"))
-            .drop("template"))
+    found = found.groupBy("row", "block", "template").agg(
+        F.first("label").alias("label"), F.max(F.col("shared") / F.size("ids")).alias("containment"),
+        F.first("seq").alias("seq"), F.first("words").alias("words"), F.first("in_order").alias("in_order"))
+    return found.where(F.expr(IN_ORDER) >= F.col("in_order")).select("row", "block", "label", "containment")
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, containment: float = CONTAINMENT,
                   text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: n_words, n_base, first_word, last_word, base and labels (arrays), score."""
+    """Per row of ``docs``: n_words, n_base, first_word, last_word, base and labels (arrays), score.
+
+    ``keep`` (all columns) is carried; columns that the result names are replaced.
+    """
     prepare(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    out = ["n_words", "n_base", "first_word", "last_word", "base", "labels", "score"]
+    keep = replacing(docs, out) if keep is None else keep
     rows = cut(tokenised(docs, templates, containment, text, keep))
     blocks = rows.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.span", "b.tokens")
     found = similarity_join(blocks, templates, containment).groupBy("row").agg(

@@ -21,7 +21,7 @@ Defined cases: a null text is an empty one, without spans; spans are code
 points, end exclusive; a candidate that overlaps a base span is dropped, as is
 one that overlaps an accepted one of an earlier class;
 without candidates nothing is trained; a null doc_id and repeated rows are
-results of their own.  Columns other than ``keep`` are not carried.
+results of their own.  Columns other than ``keep`` (all) are not carried; those that the result names are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import cut, prepare
+from wardflow.llm.common import cut, prepare, replacing
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "name", "address", "date")
 
@@ -336,7 +336,7 @@ def find_private(docs: DataFrame, text: str = "text", keep: list[str] | None = N
                  threshold: float = THRESHOLD) -> DataFrame:
     """Kept columns, ``base`` and ``spans``: arrays of (kind, s, e), by start, then kind as in KINDS."""
     prepare(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = replacing(docs, ["base", "spans"]) if keep is None else keep
     rows = cut(candidates(docs, text, keep))
     seen = (rows.select(F.explode("cand").alias("c")).groupBy("c.c", "c.votes", "c.f").agg(F.count("*").alias("n"))
             .collect())
