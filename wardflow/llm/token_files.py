@@ -7,10 +7,12 @@ public seekable format's: compressed size, decompressed size and xxh64
 checksum of each frame.  A document lies in one frame, whole; a reader seeks
 the table, then the index, and unpacks the frames that hold the documents it wants.
 
-Layout: frame, separator, frame, separator, ..., index, separator, table,
-separator.  The separator is an empty skippable frame; it is what Spark's text
-writer puts after each row, so shards are written and committed by Spark to
-any store, and a lost executor's shard is written anew.
+Spark's text writer puts a separator after each row, so shards are written and
+committed by Spark to any store, and a lost executor's shard is written anew.
+The separator is the seekable format's own last four bytes: after a frame (or the index) they
+are the payload of a skippable frame whose header ends the row, and after the
+table they are its end, so that the file's last nine bytes are the public
+format's footer.  Layout: frame, spacer, frame, spacer, ..., index, spacer, table.
 
 Documents are range-partitioned by id into shards of about ``SHARD_TEXT``
 bytes of text, in ascending order within and between shards.  A task holds
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import io
+import json
 import re
 import struct
 import uuid
@@ -51,10 +54,20 @@ CHUNK_TEXT = 8 << 20
 #: Words whose ids a task remembers.
 CACHE_WORDS = 250_000
 
+#: The steps of a tokenizer that lower-cases, drops white space and parts words, digits and signs.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 #: Fixed values of the seekable format.
 SKIPPABLE, TABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX_MAGIC = 0x184D2A51
-SEPARATOR = struct.pack("<II", SKIPPABLE, 0)
+#: What follows each row, and the header that makes a skippable frame of it.
+SEPARATOR = struct.pack("<I", SEEKABLE_MAGIC)
+SPACER = struct.pack("<II", SKIPPABLE, len(SEPARATOR))
 
 
 def skippable(magic: int, payload: bytes) -> bytes:
@@ -216,14 +229,41 @@ class WordEncoder:
         return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+class PlainEncoder:
+    """Ids of whole texts from the tokenizer as it is, for any tokenizer."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+
+def encodes_words(tokenizer_json: str) -> bool:
+    """Whether a tokenizer is of the kind that ``WordEncoder`` takes: all steps before the merges as stated there."""
+    told = json.loads(tokenizer_json)
+    model = told.get("model") or {}
+    return (told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == WORD_SPLITTER
+            and not told.get("truncation") and not told.get("padding")
+            and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+            and all(a["content"].startswith("<|") and not a.get("normalized") for a in told.get("added_tokens") or []))
+
+
 @functools.lru_cache(maxsize=1)
-def encoder_of(tokenizer_json: str) -> WordEncoder:
+def encoder_of(tokenizer_json: str) -> WordEncoder | PlainEncoder:
     """One encoder for all tasks of a worker."""
-    return WordEncoder(tokenizer_json)
+    return (WordEncoder if encodes_words(tokenizer_json) else PlainEncoder)(tokenizer_json)
 
 
 class ShardWriter:
-    """Frames, then index and table, of one shard, as byte strings in order."""
+    """Frames, then index and table, of one shard, as byte strings in order, each to be followed by SEPARATOR."""
 
     def __init__(self, dtype: str, level: int = LEVEL, frame_tokens: int = FRAME_TOKENS):
         self.width = np.dtype(dtype).itemsize
@@ -245,10 +285,10 @@ class ShardWriter:
         data = b"".join(self.held)
         packed = self.packer.compress(data)
         self.table.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
-        self.table.append((len(SEPARATOR), 0, 0))
+        self.table.append((len(SPACER + SEPARATOR), 0, 0))
         self.held, self.size = [], 0
         self.frames += 1
-        return packed
+        return packed + SPACER
 
     def finish(self) -> Iterator[bytes]:
         if self.held:
@@ -259,10 +299,11 @@ class ShardWriter:
         index = struct.pack("<IQ", self.width, len(ids)) + np.array([x or 0 for x in ids], "<i8").tobytes() + bytes(
             x is None for x in ids) + np.array(frames, "<u4").tobytes() + np.array(counts, "<u8").tobytes()
         block = skippable(INDEX_MAGIC, self.packer.compress(index))
-        yield block
-        self.table += [(len(block), 0, 0), (len(SEPARATOR), 0, 0)]
+        yield block + SPACER
+        self.table += [(len(block), 0, 0), (len(SPACER + SEPARATOR), 0, 0)]
         rows = b"".join(struct.pack("<III", *r) for r in self.table)
-        yield skippable(TABLE_MAGIC, rows + struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEKABLE_MAGIC))
+        table = skippable(TABLE_MAGIC, rows + struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEKABLE_MAGIC))
+        yield table.removesuffix(SEPARATOR)
 
 
 class ShardReader:
@@ -270,14 +311,14 @@ class ShardReader:
 
     def __init__(self, file):
         self.file = file
-        end = file.seek(0, io.SEEK_END) - len(SEPARATOR)
+        end = file.seek(0, io.SEEK_END)
         n, flag, magic = struct.unpack("<IBI", self._at(end - 9, 9))
         if magic != SEEKABLE_MAGIC or flag != CHECKSUM_FLAG:
             raise ValueError("not a seekable shard")
         rows = np.frombuffer(self._at(end - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
         starts = np.concatenate([[0], np.cumsum(rows[:, 0].astype(np.int64))])
-        data = np.flatnonzero((rows[:, 1] > 0) | (rows[:, 0] != len(SEPARATOR)))[:-1]  # the last is the index
-        self.frames = [(int(starts[i]), int(rows[i, 0]), int(rows[i, 2])) for i in data]
+        # every second one is a spacer; the last of the others is the index
+        self.frames = [(int(starts[i]), int(rows[i, 0]), int(rows[i, 2])) for i in range(0, n - 2, 2)]
         at = int(starts[n - 2])
         raw = zstandard.ZstdDecompressor().decompress(self._at(at + 8, int(rows[n - 2, 0]) - 8))
         self.width, many = struct.unpack_from("<IQ", raw)
@@ -364,7 +405,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             yield batch([frame])
 
     (rows.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
-     .write.option("lineSep", SEPARATOR.decode()).text(path))
+     .write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path))
 
 
 def read_tokens(spark: SparkSession, path: str, wanted: list[int] | None = None, ids: bool = True) -> DataFrame:
