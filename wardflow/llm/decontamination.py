@@ -9,9 +9,11 @@ patterns and a direct comparison of all words confirms the occurrence.  All
 segments of a batch's texts advance together, so the scan is array code.
 
 Documents never move: the compiled benchmark goes to the tasks.  It is cut
-into blocks of at most ``MAX_BLOCK_WORDS`` words, each broadcast within that
+into blocks of about ``MAX_BLOCK_WORDS`` words, none of twice as many, each broadcast within that
 bound; a benchmark of several blocks costs as many passes over a text inside
-the same stage.
+the same stage.  A long item is cut into pieces that overlap by a window less one
+word, so every window lies in one of them, and a text that many items share
+lies once in each block that has some of their names.
 
 Defined cases: null and empty texts have no words and no hits; null or
 word-free items never occur; items with the same id count once, and a null id
@@ -21,20 +23,23 @@ Input columns that an output column names are replaced.  Texts are searched whol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import map_arrow, prepare
+from wardflow.llm.common import cut, map_arrow, prepare
 from wardflow.llm.words import words_of
 
 WINDOW = 10
 #: Words of benchmark items in one broadcast: about 60 MB compiled.
 MAX_BLOCK_WORDS = 200_000
+#: Blocks that one stage searches, one after the other; then its rows are written.
+BLOCKS_A_STAGE = 16
 #: Words that one cursor scans.
 SEGMENT = 256
 
@@ -112,18 +117,17 @@ class WuManber:
 
 
 class Benchmark:
-    """A block of benchmark items, compiled: vocabulary, searchers, items of each pattern."""
+    """A block of benchmark texts with the names of their items, compiled: vocabulary, searchers, texts of each pattern."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[list[str], bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.names: list[str] = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(self.names)}
+        self.names = [names for names, _ in items]
         lists: dict[int, dict[tuple, set[int]]] = {}
-        for name, text in items:
+        for number, (_, text) in enumerate(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             m = min(window, len(ids))
             for i in range(len(ids) - m + 1 if m else 0):
-                lists.setdefault(m, {}).setdefault(tuple(ids[i:i + m]), set()).add(number[name])
+                lists.setdefault(m, {}).setdefault(tuple(ids[i:i + m]), set()).add(number)
         self.searchers = []
         for by in lists.values():
             owners = [sorted(s) for s in by.values()]
@@ -159,19 +163,58 @@ class Benchmark:
         names: list[set[str]] = [set() for _ in texts]
         for p in pairs:
             for i, item in p.T.tolist():
-                names[i].add(self.names[item])
+                names[i].update(self.names[item])
         return sizes.tolist(), spans, [sorted(n) for n in names]
 
 
-def blocks_of(benchmark: DataFrame, item: str = "item_id", text: str = "text",
+def pieces_of(rows: DataFrame, window: int, most_words: int) -> DataFrame:
+    """(name, text) with texts of more than ``most_words`` words in pieces that share ``window`` - 1 words."""
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(data) if len(data) > most_words else []
+                if len(words) <= most_words:
+                    names.append(name)
+                    texts.append(data)
+                    continue
+                for at in range(0, len(words) - (window - 1), most_words - (window - 1)):
+                    names.append(name)
+                    texts.append(b" ".join(words[at:at + most_words]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["name", "text"])
+
+    return rows.mapInArrow(parts, "name string, text binary")
+
+
+def blocks_of(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW,
               max_words: int = MAX_BLOCK_WORDS) -> list[DataFrame]:
-    """The benchmark in blocks of about ``max_words`` words at most, by a hash of the text."""
+    """(names, text): the benchmark in blocks, none of more than twice ``max_words`` words (or one row), by a hash.
+
+    A text stands once with the names of all its items, or with some of them in several rows, where
+    these alone would be long.
+    """
     rows = benchmark.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(text).cast("binary").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = total // (2 * max_words) + 1  # a word and its space: two bytes at least
-    block = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return [rows.where(block == i) for i in range(parts)]
+    most = max(2 * window, max_words // 16)
+    rows = cut(pieces_of(rows, window, most).distinct())
+    length = F.ceil((F.octet_length("name") + 1) / 2)
+    lists = rows.groupBy("text").agg(F.ceil(F.sum(length) / most).alias("lists"))
+    rows = cut(rows.join(lists, "text").groupBy("text", F.pmod(F.xxhash64("name"), F.col("lists")).alias("nth"))
+               .agg(F.collect_list("name").alias("names"), F.sum(length).alias("long")))
+    # a word and its space take two bytes at least; names count like words
+    weight = F.ceil((F.octet_length("text") + 1) / 2) + F.col("long")
+    total, heaviest = rows.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    parts = total // max_words + 1
+
+    def block(many: int) -> Column:
+        return F.pmod(F.xxhash64("nth", "text"), F.lit(many))
+
+    while parts > 1:
+        found = rows.groupBy(block(parts).alias("block")).agg(F.sum(weight).alias("n")).agg(F.max("n")).first()[0]
+        if found <= max(2 * max_words, heaviest):
+            break
+        parts *= 2
+    return [rows.where(block(parts) == i).select("names", "text", weight.alias("weight")) for i in range(parts)]
 
 
 def _merged(a: list, b: list) -> list[tuple[int, int]]:
@@ -192,10 +235,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     add = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)),
                         T.StructField("items", T.ArrayType(T.StringType()))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    blocks = blocks_of(benchmark, max_words=max_block_words)
+    blocks = blocks_of(benchmark, window=window, max_words=max_block_words)
     out = docs
     for i, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast([(r.name, bytes(r.text)) for r in block.collect()])
+        shared = spark.sparkContext.broadcast([(list(r.names), bytes(r.text)) for r in block.collect()])
 
         def make(shared=shared, first=i == 0):
             compiled = Benchmark(shared.value, window)
@@ -216,6 +259,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         last = i == len(blocks) - 1
         columns = keep if last or keep is None else [*keep, *([] if text in keep else [text])]
         out = map_arrow(out, read, add, make, columns)
+        if i % BLOCKS_A_STAGE == BLOCKS_A_STAGE - 1 and not last:
+            out = cut(out)
     return out
 
 
