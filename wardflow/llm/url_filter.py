@@ -4,7 +4,9 @@ Two smoothed variable-order Markov models (Witten-Bell) learn the URLs that
 rules accept and reject.  Any other URL is judged by the difference of its
 log-likelihoods divided by its length, against a threshold calibrated on the
 rule-judged URLs: the value that best separates the two classes, weighting
-both alike (half way between the neighbouring scores).
+both alike (half way between the neighbouring scores).  For the calibration each
+half of them, by a hash of the URL, is scored by the models of the other half,
+so the scores are those of unseen URLs; the models that judge learn from all.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and
 path; a null or empty URL scores 0 and is allowed, as is every URL while one
@@ -17,6 +19,7 @@ Columns of the input that an output column names are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,16 +110,24 @@ def _scored(pages: DataFrame, trees: Automaton, url: str) -> DataFrame:
 
 
 def fit(pages: DataFrame, rules: list[Rule], url: str = "url", order: int = ORDER) -> UrlModel:
-    """Models of all rule-judged URLs and the calibrated threshold."""
+    """Models of all rule-judged URLs and the cross-fitted threshold."""
     prepare(pages.sparkSession)
-    known = cut(judged(pages.select(url), rules, url).where("rule_verdict is not null")
-                .select(F.col(url), "rule_verdict"))
-    grams = count_grams(known, "rule_verdict", url, order)
-    trees = Automaton(context_counts(grams, order), order, witten_bell_rows)
+    known = cut(judged(pages.select(url), rules, url).where("rule_verdict is not null").select(
+        F.col(url), "rule_verdict", F.pmod(F.xxhash64(F.lit("fold"), F.col(f"`{url}`")), F.lit(2)).alias("fold")))
+
+    def learned(rows: DataFrame) -> Automaton:
+        grams = count_grams(rows, "rule_verdict", url, order)
+        return Automaton(context_counts(grams, order), order, witten_bell_rows)
+
+    trees = learned(known)
     if trees.labels != [ALLOW, BLOCK]:
         return UrlModel(trees, float("-inf"))
+    halves = [(known.where(F.col("fold") == f), learned(known.where(F.col("fold") != f))) for f in (0, 1)]
+    if any(model.labels != [ALLOW, BLOCK] for _, model in halves):  # too few URLs to part
+        halves = [(known, trees)]
+    scored = [_scored(rows, model, url).select("llr", "rule_verdict") for rows, model in halves]
     # llr lies within 2 x 100 bits a byte: a bounded number of bins
-    bins = (_scored(known, trees, url).groupBy(F.floor(F.col("llr") * BINS).cast("long").alias("bin"))
+    bins = (reduce(DataFrame.unionAll, scored).groupBy(F.floor(F.col("llr") * BINS).cast("long").alias("bin"))
             .agg(F.sum((F.col("rule_verdict") == ALLOW).cast("long")).alias("good"),
                  F.sum((F.col("rule_verdict") == BLOCK).cast("long")).alias("bad")).collect())
     bins.sort(key=lambda r: r.bin)
