@@ -1,12 +1,15 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import io
+import json
 import math
+import struct
 
 import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
+from tokenizers import Tokenizer
 
 from wardflow.llm import (
     context_model, decontamination, language_id, license_scan, mixing, near_dedup, private_data, quality_rules,
@@ -40,6 +43,18 @@ def test_shard_is_a_zstandard_file_and_reads_only_what_is_wanted():
     reader = token_files.ShardReader(io.BytesIO(blob))
     assert [(i, t.tolist()) for _, i, t in reader.documents([2])] == [(2, texts[2].tolist())] and reader.unpacked == 1
     assert [t.tolist() for _, _, t in reader.documents()] == [t.tolist() for t in texts]
+    # the public format's footer ends the file, and its table leads a plain reader to any frame
+    n, flag, magic = struct.unpack("<IBI", blob[-9:])
+    assert (flag, magic) == (0x80, 0x8F92EAB1)
+    table = [struct.unpack_from("<III", blob, len(blob) - 9 - 12 * (n - i)) for i in range(n)]
+    assert struct.unpack_from("<II", blob, len(blob) - 17 - 12 * n) == (0x184D2A5E, 12 * n + 9)
+    assert sum(size for size, _, _ in table) + 17 + 12 * n == len(blob)
+    at, unpacked = 0, b""
+    for size, many, _ in table:
+        if many:
+            unpacked += zstandard.ZstdDecompressor().decompress(blob[at:at + size])
+        at += size
+    assert unpacked == b"".join(t.tobytes() for t in texts)
     plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(blob), read_across_frames=True).read()
     assert plain == b"".join(t.tobytes() for t in texts)
     bad = bytearray(blob)
@@ -48,6 +63,36 @@ def test_shard_is_a_zstandard_file_and_reads_only_what_is_wanted():
         list(token_files.ShardReader(io.BytesIO(bytes(bad))).documents())
 
 
+def test_files_that_spark_writes_are_seekable(spark, odd):
+    path = token_files.shared_path(spark, "t")
+    token_files.write_tokens(odd, path, TOKENIZER, shard_text=50_000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    assert len(files) > 1
+    for blob in files:
+        assert struct.unpack("<BI", blob[-5:]) == (0x80, 0x8F92EAB1)
+        zstandard.ZstdDecompressor().stream_reader(io.BytesIO(blob), read_across_frames=True).read()
+
+
+def test_other_tokenizers_are_used_as_they_are(spark):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        told = f.read()
+    assert token_files.encodes_words(told)
+    cased = json.loads(told)
+    cased["normalizer"]["normalizers"].pop()
+    assert isinstance(token_files.encoder_of(json.dumps(cased)), token_files.PlainEncoder)
+    for path in (public_tokenizers.path("byte_bpe_50k.json"),):
+        docs = spark.createDataFrame([(1, "Two  Words here"), (2, None)], "doc_id long, text string")
+        out = token_files.read_tokens(spark, _packed(spark, docs, path)).orderBy("doc_id").collect()
+        plain = Tokenizer.from_file(path)
+        assert [r.ids for r in out] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in ("Two  Words here", "")]
+
+
+def _packed(spark, docs, tokenizer):
+    path = token_files.shared_path(spark, "t")
+    token_files.write_tokens(docs, path, tokenizer)
+    return path
+
+
 def test_encoder_equals_the_tokenizer():
     with open(TOKENIZER, encoding="utf-8") as f:
         encoder = token_files.WordEncoder(f.read(), cache_words=8)
@@ -59,6 +104,21 @@ def test_encoder_equals_the_tokenizer():
                 text, add_special_tokens=False).ids, text
 
 
+def test_url_threshold_lies_between_unseen_scores(spark):
+    """Most URLs without a rule get the verdict of those they resemble."""
+    rng = np.random.default_rng(6)
+    good = ["".join(rng.choice(list("aeiou") + ["st", "nd", "r"], 9)) for _ in range(400)]
+    bad = ["".join(rng.choice(list("xqz0189") + ["k", "7"], 9)) for _ in range(400)]
+    rules = [url_filter.Rule("allow", "good.org", "/"), url_filter.Rule("block", "bad.com", "/")]
+    urls = [f"http://good.org/{w}" for w in good[:200]] + [f"http://bad.com/{w}" for w in bad[:200]]
+    urls += [f"http://new.net/{w}" for w in good[200:]] + [f"http://new.net/{w}" for w in bad[200:]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    model = url_filter.fit(pages, rules)
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules, model).collect()}
+    right = sum(got[i] == ("allow" if i < 600 else "block") for i in range(400, 800))
+    assert right >= 390
+
+
 def test_url_filter(spark):
     rules = [url_filter.Rule("allow", "good.org", "/"), url_filter.Rule("block", "good.org", "/ads/"),
              url_filter.Rule("block", "bad.com", "/")]
@@ -180,12 +240,29 @@ def test_scattered_and_reordered_words_are_no_license(spark):
     assert sorted(spans.columns) == ["base", "doc_id", "spans", "text"] and spans.count() == 6
 
 
+def test_benchmarks_with_one_text_or_one_long_item(spark):
+    """No block takes more than its bound, and what is found is the same."""
+    long = " ".join(f"w{i % 400}q{i // 400}" for i in range(6000))
+    words = long.split()
+    bench = spark.createDataFrame([(f"same{i}", " ".join(words[50:75])) for i in range(3000)] + [("long", long), ("tail", long)],
+                                  "item_id string, text string")
+    texts = [" ".join(words[i:i + 30]) for i in range(0, 5990, 431)] + ["x " + " ".join(words[-10:]) + " y", " ".join(words[48:60]), long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = decontamination.blocks_of(bench, max_words=2000)
+    sizes = [b.selectExpr("coalesce(sum(weight), 0)").first()[0] for b in blocks]
+    assert 16 < len(blocks) < 60 and max(sizes) <= 4000
+    few = by_text(decontamination.find_contamination(docs, bench, max_block_words=2000), "doc_id", "items", "spans", "n_words")
+    assert few == by_text(decontamination.find_contamination(docs, bench), "doc_id", "items", "spans", "n_words")
+    assert all({"long", "tail"} <= set(items) for _, items, _, _ in few)
+
+
 def test_decontamination(spark, odd, none):
     bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog while seven wizards mix"), (1, "one two"),
                                    (2, None), (None, "34"), (3, " ")], "item_id long, text string")
     out = by_text(decontamination.find_contamination(odd, bench), "doc_id", "items")
     assert (6, [""]) in out and (8, ["1"]) in out and (9, ["1"]) in out and (3, []) in out
     split = decontamination.find_contamination(odd, bench, max_block_words=5)
+    assert len(decontamination.blocks_of(bench, max_words=5)) > 1
     assert by_text(split, "doc_id", "items", "spans", "n_words") == by_text(
         decontamination.find_contamination(odd, bench), "doc_id", "items", "spans", "n_words")
     clean = decontamination.decontaminate(odd, bench)
@@ -267,6 +344,20 @@ def test_language_id(odd, none):
     assert language_id.identify(none, model).count() == 0
     kept = language_id.keep_identified(odd, model)
     assert kept.columns == odd.columns and kept.count() == 7
+    assert language_id.keep_identified(odd, empty).count() == 7  # nothing learned: texts with a letter
+    assert language_id.keep_identified(none, model).count() == 0
+
+
+def test_noise_with_letters_is_no_language(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "")]
+    good = [(i, " ".join(rng.choice(words, 60)), "xx") for i in range(300)]
+    noise = [(1000 + i, "".join(chr(c) for c in rng.integers(33, 127, 400)), None) for i in range(20)]
+    short = [(2000, "Qz", None), (2001, "no", "xx")]
+    docs = spark.createDataFrame([*good, *noise, *short], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where(language_id.training_rows(docs)))
+    kept = {r.doc_id for r in language_id.keep_identified(docs, model).collect()}
+    assert kept == {i for i, *_ in good} | {2000, 2001}
 
 
 def test_code_lengths_against_a_plain_tree(spark):

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: bounds a Python worker's memory with long texts.
+#: Rows and bytes of one Arrow batch: bound a Python worker's memory with long texts (a row is never split).
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 #: Applications that have this package's modules on their executors.
@@ -42,9 +43,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the operators rely on; the checkpoint folder is the session's."""
+    """Settings the operators rely on, which stay set: their frames run when the caller asks.
+
+    The checkpoint folder is the session's; a scratch one only for a local session without any.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():

@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import crc_bucket, map_arrow, prepare
+from wardflow.llm.common import crc_bucket, map_arrow, prepare, written
 from wardflow.llm.context_model import Automaton, context_counts, count_grams, escape_rows
 
 UNKNOWN = "und"
 #: Longest context in bytes.
 ORDER = 4
 FOLDS = 5
+#: A kept text's code length: at most this many times the usual bits a byte, and so many bits more.
+LIMIT, SLACK_BITS = 2.0, 128.0
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -84,8 +86,25 @@ def training_rows(docs: DataFrame, folds: int = FOLDS) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: Automaton) -> DataFrame:
-    """The rows with an identified language: only texts without any letter go."""
+    """The rows of ``docs`` that some learned language codes well enough, with their own columns.
+
+    A text without a letter goes, and one whose code length under its language
+    is above ``LIMIT`` times the held-out rows' median bits a byte, by more than
+    ``SLACK_BITS``: noise, or no language that was learned.  ``model`` should
+    not have learned the held-out rows (``training_rows``).  Where nothing was learned, or nothing is held out,
+    all texts with a letter stay.
+    """
     columns = docs.columns
-    return identify(docs.withColumns({f"__o{i}": F.col(f"`{c}`") for i, c in enumerate(columns)}), model,
-                    keep=[f"__o{i}" for i in range(len(columns))]).where(
-        F.col("lang_pred") != UNKNOWN).select(*[F.col(f"__o{i}").alias(c) for i, c in enumerate(columns)])
+    named = docs.select(*[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(columns)], F.col("text").alias("__t"),
+                        (~training_rows(docs)).alias("__held"))
+    found = written(identify(named.withColumn("__n", F.octet_length("__t")), model, "__t",
+                             keep=[*[f"__o{i}" for i in range(len(columns))], "__t", "__held", "__n"]))
+    if not model.labels:
+        kept = found.where(F.regexp_like(F.coalesce("__t", F.lit("")), F.lit(r"\p{L}")))
+    else:
+        kept = found.where(F.col("lang_pred") != UNKNOWN)
+        usual = found.where("__held").agg(F.percentile_approx("bits_per_byte", 0.5, 10000)).first()[0]
+        if usual is not None:
+            over = (F.col("bits_per_byte") - F.lit(LIMIT * usual)) * F.col("__n")
+            kept = kept.where(~F.coalesce(over > SLACK_BITS, F.lit(False)))
+    return kept.select(*[F.col(f"__o{i}").alias(c) for i, c in enumerate(columns)])
