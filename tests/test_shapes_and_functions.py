@@ -181,25 +181,51 @@ def test_department_pivot_order_and_zero_fill(spark):
     vv = visits(spark, [v(1, "H01"), v(2, "H02")]).withColumn(
         "department_id", F.when(F.col("hospital_id") == "H01", "D1").otherwise("D3"))
     s = star(spark, fact_patient_visits=vv, dim_department=depts)
-    out = shapes.department_pivot(s)
+    out = shapes.department_pivot(s, departments=[r["department_name"] for r in s.dim("dim_department").collect()])
     assert out.columns == ["name", "hospital_name", "Emergency Department", "Cardiology", "Zoo"]
     got = {r["name"]: tuple(r)[2:] for r in out.collect()}
     assert got == {"Alpha": (0, 1, 0), "Beta": (0, 0, 1)}
     assert shapes.department_pivot(s, Scope(hospital_id="H02")).count() == 1
 
 
-def test_pivot_values_are_guarded(spark):
-    from wardflow.operators.reshape import TooManyPivotValues, pivot_values
-
-    df = spark.range(30).selectExpr("cast(id as string) as k")
-    assert pivot_values(df, "k")[:3] == ["0", "1", "10"]
-    spark.conf.set("spark.sql.pivotMaxValues", "10")
-    try:
-        with pytest.raises(TooManyPivotValues):
-            pivot_values(df, "k")
-    finally:
-        spark.conf.unset("spark.sql.pivotMaxValues")
-
+def test_maps_hold_any_number_of_hospitals(spark):
+    """20,000 hospitals, planned without a job; wide columns only for those that are named."""
+    ids = [f"H{i:05d}" for i in range(20_000)]
+    h = spark.createDataFrame([(i, f"Name {i}", "R01", "NHS Trust", False) for i in ids],
+                              "hospital_id string, hospital_name string, region_id string, nhs_trust_type string, private boolean")
+    vs = spark.range(40_000).selectExpr("id as visit_id", "concat('H', lpad(cast(id % 20000 as string), 5, '0')) as hospital_id",
+                                        "cast(1 + id % 2 as int) as month", "id % 3 = 0 as readmission_30_days_flag")
+    s = star(spark, dim_hospital=h, fact_patient_visits=vs)
+    sc = spark.sparkContext
+    sc.setJobGroup("planning", "no job may run here")
+    out, wide = shapes.readmission_month_map(s), shapes.readmission_month_pivot(s, hospital_ids=["H00007", "H19999", "H99999"])
+    assert shapes.readmission_month_pivot(s).columns == ["month", "rates"]
+    sc.setJobGroup("running", "")
+    assert list(sc.statusTracker().getJobIdsForGroup("planning")) == []
+    got = {r["month"]: len(r["rates"]) for r in out.collect()}
+    assert got == {1: 10_000, 2: 10_000} and wide.columns == ["month", "H00007", "H19999", "H99999"]
+    assert {r["month"]: (r["H00007"] is None, r["H99999"]) for r in wide.collect()} == {1: (True, None), 2: (False, None)}
+
+
+def test_collations_order_names(spark):
+    """Mixed case and accents as a database collation orders them; binary order by default."""
+    names = ["Zulu", "alpha", "Éclair", "eclat", "Beta", "echo"]
+    h = spark.createDataFrame([(f"H{i:02d}", n, "R01", "NHS Trust", False, n) for i, n in enumerate(names)],
+                              "hospital_id string, hospital_name string, region_id string, nhs_trust_type string, private boolean, city string")
+    d = spark.createDataFrame([("D1", "Ward")], "department_id string, department_name string")
+    vs = spark.createDataFrame([(i, f"H{i:02d}", "D1") for i in range(6)], "visit_id long, hospital_id string, department_id string")
+    s = star(spark, dim_hospital=h, dim_department=d, fact_patient_visits=vs)
+    order = ["alpha", "Beta", "echo", "Éclair", "eclat", "Zulu"]
+
+    def names_of(df):
+        return [r["hospital_name"] for r in df.collect()]
+
+    assert names_of(overview.visits_by_department(s, collation="UNICODE")) == order
+    assert names_of(overview.visits_by_department(s)) == sorted(names)
+    assert names_of(shapes.facility_ledger(s, sort_by="hospital_name", ascending=True, collation="UNICODE_CI")) == order
+    assert names_of(shapes.facility_ledger(s, sort_by="hospital_name", ascending=True)) == sorted(names, key=str.lower)
+    assert [r["place"] for r in shapes.ledger_places(s, collation="UNICODE").collect()] == [1, 2, 3, 4, 5, 6]
+    assert names_of(shapes.ledger_places(s, collation="UNICODE", ascending=False)) == order[::-1]
 
 def test_filter_options_fall_back_to_codes(spark):
     hs = spark.createDataFrame([("H01", None, "R01", "NHS Trust", False), ("H02", "Beta", "R02", None, False)],

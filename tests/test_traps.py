@@ -332,5 +332,7 @@ def test_150_hospitals_in_reports_and_pivots(spark):
     assert {r["hospital_id"]: r["total_visits"] for r in outliers.hospital_outliers(s).collect()} == dict.fromkeys(ids, 1)
     assert {r["hospital_id"] for r in outliers.bump_rankings(s).collect()} == set(ids)
     assert {r["hospital_id"] for r in finance.burnout_by_month(s).collect()} == set(ids)
-    assert set(shapes.readmission_month_pivot(s).columns) == {"month", *ids}
-    assert set(shapes.burnout_month_pivot(s).columns) == {"month", "name", *[f"Name {h}" for h in ids]}
+    assert set(shapes.readmission_month_pivot(s, hospital_ids=ids).columns) == {"month", *ids}
+    assert all(set(r["rates"]) <= set(ids) for r in shapes.readmission_month_map(s).collect())
+    names = [f"Name {h}" for h in ids]
+    assert set(shapes.burnout_month_pivot(s, hospital_names=names).columns) == {"month", "name", *names}

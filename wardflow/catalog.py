@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardflow.operators.scope import Scope
 from wardflow.plans import audit, finance, outliers, overview, sector, shapes, sql, thresholds, trends
 from wardflow.sources import etl, sheets
-from wardflow.sources.star import DriverStar
+from wardflow.sources.star import DRIVER_TABLES, DriverStar
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -71,13 +73,13 @@ def report_queries() -> dict[str, QueryFn]:
 
 def shape_queries() -> dict[str, QueryFn]:
     return {
-        "department_pivot": _on_star(shapes.department_pivot),
+        "department_pivot": _on_star(shapes.department_pivot, departments=list(sheets.DEPARTMENT_NAMES)),
         "department_totals": _on_star(shapes.department_totals),
         "calendar_heatmap": _on_star(shapes.calendar_heatmap),
         "kpi_target_gap": _on_star(shapes.kpi_target_gap),
         "department_families": _on_star(shapes.department_families),
         "filter_options": _on_star(shapes.filter_options),
-        "readmission_month_pivot": _on_star(shapes.readmission_month_pivot),
+        "readmission_month_pivot": _on_star(shapes.readmission_month_pivot, hospital_ids=[f"H{k:02d}" for k in range(1, 26)]),
         "sankey_node_stats": _on_star(shapes.sankey_node_stats),
         "sankey_link_shares": _on_star(shapes.sankey_link_shares),
         "severity_weekday_grid": _on_star(shapes.severity_weekday_grid),
@@ -87,10 +89,14 @@ def shape_queries() -> dict[str, QueryFn]:
         "diverging_bars": _on_star(shapes.diverging_bars),
         "sector_gap": _on_star(shapes.sector_gap),
         "waterfall_bars": _on_star(shapes.waterfall_bars),
-        "burnout_month_pivot": _on_star(shapes.burnout_month_pivot),
+        "burnout_month_pivot": _on_star(shapes.burnout_month_pivot, hospital_names=[f"NATION_{k}" for k in range(25)]),
         "burnout_hospital_list": _on_star(shapes.burnout_hospital_list),
         "alert_summary": _on_star(shapes.alert_summary),
         "deficit_hospitals": _on_star(shapes.deficit_hospitals),
+        "department_labels": _on_star(shapes.department_labels),
+        "kpi_labels": _on_star(shapes.kpi_labels),
+        "waterfall_labels": _on_star(shapes.waterfall_labels),
+        "ledger_places": _on_star(shapes.ledger_places, sort_by="city"),
     }
 
 
@@ -119,6 +125,8 @@ def scoped_queries() -> dict[str, QueryFn]:
         "facility_ledger_search": _on_star(shapes.facility_ledger, text="nation_1", sort_by="avg_wait_time",
                                            ascending=True),
         "visits_treemap_text": _on_star(overview.visits_treemap_text),
+        "visits_treemap_json": _on_star(overview.visits_treemap_json),
+        "calendar_heatmap_1997": _on_star(shapes.calendar_heatmap, year="1997"),
     }
 
 
@@ -145,7 +153,32 @@ def conform_queries() -> dict[str, QueryFn]:
     def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
         return etl.conform_vocabulary(sheets.vocabulary_sheet(spark, sf_dir))
 
-    return {"conform_visits": visits, "conform_flags": flags, "conform_vocabulary": vocabulary}
+    def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return etl.conform_table("fact_staffing", etl.normalise_headers(sheets.shift_sheet(spark, sf_dir)))
+
+    return {"conform_visits": visits, "conform_flags": flags, "conform_vocabulary": vocabulary, "conform_shifts": shifts}
+
+
+def source_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A3: the driver tables read as sources: their normalised headers and rows."""
+    found = etl.read_sources(spark, sf_dir, tables={f"{t}.parquet": t for t in DRIVER_TABLES})
+    return reduce(DataFrame.unionAll, [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), F.lit(",".join(df.columns)).alias("headers"), "rows")
+        for t, df in found.items()])
+
+
+def named_queries() -> dict[str, QueryFn]:
+    """Display rules over a star whose names they know."""
+    def on(report: Callable[..., DataFrame], **kwargs) -> QueryFn:
+        return lambda spark, sf_dir: report(sheets.NamedStar(spark, sf_dir), **kwargs)
+
+    return {
+        "named_department_pivot": on(shapes.department_pivot, departments=list(sheets.DEPARTMENT_NAMES.values())),
+        "named_department_stack": on(shapes.department_stack),
+        "named_department_families": on(shapes.department_families),
+        "named_diverging_bars": on(shapes.diverging_bars),
+        "named_deficit_hospitals": on(shapes.deficit_hospitals),
+    }
 
 
 def audit_queries() -> dict[str, QueryFn]:
@@ -166,4 +199,4 @@ def star_queries() -> dict[str, QueryFn]:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {**star_queries(), **conform_queries()}
+    return {**star_queries(), **conform_queries(), **named_queries(), "source_tables": source_tables}

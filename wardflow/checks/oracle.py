@@ -563,6 +563,66 @@ WHERE profit_margin_pct < 0""", _on("burnout_financials")),
     }
 
 
+def label_parts() -> dict[str, tuple[str, str]]:
+    """Figures as text, places under a sort, ids as labels."""
+    money = "replace(format('{:,}', CAST(round(abs(value)) AS BIGINT)), ' ', '')"
+    return {
+        "kpi_labels": _p("""SELECT format('{:,}', total_visits) AS total_visits, printf('%.2f', readmission_rate) || '%' AS readmission_rate,
+       printf('%.1f', avg_wait_time) || ' min' AS avg_wait_time, printf('%.3f', avg_burnout_index) AS avg_burnout_index FROM base""",
+                         _on("overview_kpis")),
+        "waterfall_labels": _p(f"""SELECT stage, name, CASE WHEN value < 0 THEN '-' ELSE '' END || '£' || {money} AS label
+FROM base""", _on("financial_waterfall")),
+        "department_labels": _p("""SELECT department_id,
+       CASE WHEN strpos(department_id, '_') > 0 THEN left(department_id, strpos(department_id, '_') - 1) || ' '
+                 || substr(department_id, strpos(department_id, '_') + 1) ELSE department_id END AS label FROM dim_department"""),
+        "ledger_places": _p("""SELECT ROW_NUMBER() OVER (ORDER BY lower(city), hospital_id) AS place, hospital_id, hospital_name, city
+FROM dim_hospital"""),
+    }
+
+
+#: The driver star under other names (part types, nations by key modulo 7), with lower margins.
+NAMED = [
+    ("n_name AS hospital_name", """CASE n_nationkey % 7 WHEN 0 THEN n_name || ' University Hospital NHS Foundation Trust'
+                 WHEN 1 THEN n_name || ' Royal Infirmary' WHEN 2 THEN 'Nuffield Health ' || n_name || ' Hospital'
+                 WHEN 3 THEN 'Leeds General ' || n_name || ' Hospitals NHS Trust'
+                 WHEN 4 THEN 'Harrogate District ' || n_name || ' hospital'
+                 WHEN 5 THEN 'Alder Hey Children''s ' || n_name || ' NHS FT'
+                 ELSE 'University College London ' || n_name || ' Hospital Infirmary' END AS hospital_name"""),
+    ("p_type AS department_name", """CASE p_type WHEN 'ECONOMY' THEN 'Emergency Department' WHEN 'LARGE' THEN 'Intensive Care Unit'
+                 WHEN 'MEDIUM' THEN 'Cardiology' WHEN 'PROMO' THEN 'Ward_7 Annex' WHEN 'SMALL' THEN 'General Medicine'
+                 WHEN 'STANDARD' THEN 'Physiotherapy' ELSE p_type END AS department_name"""),
+    ("% 30 AS DOUBLE) / 100.0 AS profit_margin", "% 30 AS DOUBLE) / 100.0 - 0.16 AS profit_margin"),
+]
+STACKED = ["Cardiology", "Emergency Department", "General Medicine", "Intensive Care Unit", "Physiotherapy", "Ward_7 Annex"]
+#: Their places: the four that the business order lists, then the others by name.
+PLACES = {"Emergency Department": 1, "General Medicine": 2, "Cardiology": 3, "Intensive Care Unit": 4, "Physiotherapy": 5,
+          "Ward_7 Annex": 6}
+
+
+def named_sql(out: dict[str, str]) -> dict[str, str]:
+    def named(sql: str) -> str:
+        for a, b in NAMED:
+            assert a in sql, a
+            sql = sql.replace(a, b)
+        return sql
+
+    short = "hospital_name"
+    for suffix in (" Hospital", " Infirmary", " NHS FT"):  # the first occurrence of each
+        short = (f"(CASE WHEN strpos({short}, '{suffix}') > 0 THEN substr({short}, 1, strpos({short}, '{suffix}') - 1) || "
+                 f"substr({short}, strpos({short}, '{suffix}') + {len(suffix)}) ELSE {short} END)")
+    cells = ", ".join(f"CAST(COALESCE(SUM(visits) FILTER (WHERE department_name = '{d}'), 0) AS BIGINT) AS \"{d}\"" for d in STACKED)
+    place = "CASE department_name " + " ".join(f"WHEN '{d}' THEN {n}" for d, n in PLACES.items()) + " END"
+    return {
+        "named_department_pivot": f"SELECT {short} AS name, hospital_name, {cells} FROM ({named(out['visits_by_department'])}) "
+                                  "GROUP BY hospital_name",
+        "named_department_stack": f"SELECT CAST({place} AS BIGINT) AS place, department_name, CAST(SUM(visits) AS BIGINT) AS visits "
+                                  f"FROM ({named(out['visits_by_department'])}) GROUP BY department_name",
+        "named_department_families": named(out["department_families"]),
+        "named_diverging_bars": named(out["diverging_bars"]),
+        "named_deficit_hospitals": named(out["deficit_hospitals"]),
+    }
+
+
 PRIMARY_KEYS = [
     ("dim_region", "region_id"), ("dim_hospital", "hospital_id"), ("dim_department", "department_id"),
     ("dim_date", "date_key"), ("dim_patient", "patient_id"), ("dim_doctor", "doctor_id"),
@@ -613,6 +673,10 @@ FROM lineitem""",
        CASE l_linenumber WHEN 2 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN true END
            AS icu_required_flag
 FROM lineitem""",
+    "conform_shifts": """SELECT CAST(o_orderkey AS VARCHAR) AS shift_id, CAST(o_orderdate AS DATE) AS shift_date,
+       CAST(month(o_orderdate) AS INTEGER) AS month, CAST(o_custkey % 6 AS INTEGER) AS staff_absence_count,
+       CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 121 / 10.0 END AS overtime_hours
+FROM orders""",
     "conform_vocabulary": """SELECT CASE p_size % 3 WHEN 0 THEN 'fact_' || lower(p_type) WHEN 1 THEN lower(p_type)
                                 ELSE lower(p_type) || '_dim' END AS table_name,
        replace(lower(p_name), ' ', '_') AS column_name, p_brand AS data_type, CAST(p_size AS VARCHAR) AS description,
@@ -756,7 +820,7 @@ FROM (SELECT {rate('readmission_30_days_flag')} AS readmission_rate FROM fact_pa
 
 
 def oracle_sql() -> dict[str, str]:
-    parts = {**report_parts(), **shape_parts(), **trend_parts(), **audit_parts()}
+    parts = {**report_parts(), **shape_parts(), **label_parts(), **trend_parts(), **audit_parts()}
     out = {name: q(body, ctes) for name, (ctes, body) in parts.items()}
     out["facility_ledger_search"] = (
         f"SELECT * FROM ({out['facility_ledger']}) WHERE contains(lower(hospital_name), 'nation_1') "
@@ -764,6 +828,15 @@ def oracle_sql() -> dict[str, str]:
     out["visits_treemap_text"] = (
         "SELECT hospital_name AS name, string_agg(department_name || '=' || visits, ', ' "
         f"ORDER BY visits DESC, department_name) AS children FROM ({out['visits_by_department']}) GROUP BY 1")
+    out["visits_treemap_json"] = (
+        "SELECT hospital_name AS name, '[' || string_agg('{\"name\":\"' || department_name || '\",\"value\":' || visits || '}', ',' "
+        f"ORDER BY visits DESC, department_name) || ']' AS children FROM ({out['visits_by_department']}) GROUP BY 1")
+    out["calendar_heatmap_1997"] = f"SELECT * FROM ({out['calendar_heatmap']}) WHERE year = '1997'"
+    out["source_tables"] = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() "
+        f"WHERE table_name = '{t}') AS headers, COUNT(*) AS rows FROM {t}"
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
+    out |= named_sql(out)
     for name, (base, where) in SCOPED.items():
         out[name] = _scoped(out[base], where)
     return out | CONFORM

@@ -1,3 +1,3 @@
 """Reusable DataFrame operators: dashboard scoping (filters, semi joins,
 bounded broadcasts), eager aggregation of many-to-many fan-outs, and
-reshape helpers (guarded pivot columns, optional final sort)."""
+reshape helpers (maps keyed by data values, optional final sort)."""

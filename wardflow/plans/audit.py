@@ -5,15 +5,15 @@ here each rule is a query whose result lists the findings, so a load can be
 checked before it is published (see ``sources.etl``).
 
 Plans are built for large facts: a key check is one aggregation by key
-(partial aggregation collapses a hot key inside each task), and a reference
-check joins a table once to each referenced key and moves only orphans on.
+(partial aggregation collapses a hot key inside each task), and the reference
+check counts distinct references, which then meet the keys.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.bands import is_private_trust
@@ -76,55 +76,32 @@ def _small_key_checks(star: Star, keys: list[tuple[str, str, str]]) -> DataFrame
         for c in ("rows", "null_keys", "distinct_keys", "duplicated_keys")])
 
 
-def reference_check(star: Star, table: str,
-                    refs: list[tuple[str, str, str]]) -> DataFrame:
-    """Rows whose non-null reference has no match in the referenced key.
+def reference_audit(star: Star) -> DataFrame:
+    """Rows whose non-null reference has no match in the referenced key, for every declared reference.
 
-    One pass over the table: a left join per reference to the distinct keys, in
-    the columns' own types (Spark broadcasts the keys where they are small and
-    shuffles by the reference where not).  A row then emits its orphans, or
-    itself once without any, and (column, orphan) is grouped: rows without
-    orphans collapse to one in each task, so the aggregate moves orphans only.
+    Each table is read once: a row emits its references, and (reference, value)
+    is counted, first inside each task, so distinct values are shuffled and not
+    rows; no row meets a dimension.  These counts meet the referenced keys in one join.
     """
-    cols = [c for c, _, _ in refs]
-    marked = star.columns(table, *dict.fromkeys(cols))
-    for i, (c, ref_table, ref_column) in enumerate(refs):
-        keys = star.columns(ref_table, ref_column).select(F.col(ref_column).alias(f"key{i}"))
-        here = F.col(c)
-        if marked.schema[c].dataType != keys.schema[f"key{i}"].dataType:
-            here, keys = here.cast("string"), keys.select(F.col(f"key{i}").cast("string").alias(f"key{i}"))
-        marked = marked.join(keys.where(F.col(f"key{i}").isNotNull()).distinct(), here == F.col(f"key{i}"), "left")
-    present = [F.col(c).isNotNull() for c in cols]
-    orphans = F.filter(F.array(*[
-        F.when(there & F.col(f"key{i}").isNull(), F.struct(F.lit(c).alias("column_name"),
-                                                           F.col(c).cast("string").alias("orphan")))
-        for i, (c, there) in enumerate(zip(cols, present, strict=True))]), lambda x: x.isNotNull())
-    emitted = marked.select(*[there.cast("int").alias(f"there{i}") for i, there in enumerate(present)],
-                            F.posexplode_outer(orphans).alias("nth", "at"))
-    first = F.coalesce(F.col("nth"), F.lit(0)) == 0  # a row's own columns count once
-    found = emitted.groupBy("at.column_name", "at.orphan").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.when(first, F.col(f"there{i}"))).alias(f"there{i}")
-                                        for i in range(len(cols))])
-
-    def number(value: Column) -> Column:
-        return F.coalesce(value, F.lit(0)).cast("bigint")
-
-    one = found.agg(*[x for i, c in enumerate(cols) for mine in [F.col("column_name") == c] for x in (
-        number(F.sum(f"there{i}")).alias(f"checked{i}"), number(F.sum(F.when(mine, F.col("n")))).alias(f"orphans{i}"),
-        F.count(F.when(mine, F.lit(1))).alias(f"values{i}"))])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(rt).alias("ref_table"),
-                 F.lit(rc).alias("ref_column"), F.col(f"checked{i}").alias("checked"),
-                 F.col(f"orphans{i}").alias("orphans"), F.col(f"values{i}").alias("orphan_values"))
-        for i, (c, rt, rc) in enumerate(refs)])))
-
-
-def reference_audit(star: Star) -> DataFrame:
-    """Every declared reference (nulls allowed), one pass per table."""
-    by_table: dict[str, list[tuple[str, str, str]]] = {}
-    for table, column, ref_table, ref_column in FOREIGN_KEYS:
-        by_table.setdefault(table, []).append((column, ref_table, ref_column))
-    out = _union([reference_check(star, t, refs) for t, refs in by_table.items()])
+    every, keys = [], []
+    for table in dict.fromkeys(t for t, *_ in FOREIGN_KEYS):
+        refs = [(i, c) for i, (t, c, *_) in enumerate(FOREIGN_KEYS) if t == table]
+        pairs = F.array(*[F.struct(F.lit(i).alias("nth"), F.col(c).cast("string").alias("value")) for i, c in refs])
+        every.append(star.columns(table, *dict.fromkeys(c for _, c in refs)).select(F.inline(pairs)))
+    for target in dict.fromkeys((t, c) for _, _, t, c in FOREIGN_KEYS):
+        to = F.array(*[F.lit(i) for i, (_, _, t, c) in enumerate(FOREIGN_KEYS) if (t, c) == target])
+        keys.append(star.columns(*target).select(F.explode(to).alias("nth"), F.col(target[1]).cast("string").alias("value")))
+    found = _union(every).where(F.col("value").isNotNull()).groupBy("nth", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = _union(keys).where(F.col("value").isNotNull()).distinct().withColumn("known", F.lit(True))
+    missing = F.col("known").isNull()
+    sums = found.join(known, ["nth", "value"], "left").groupBy("nth").agg(
+        F.sum("n").alias("checked"), F.sum(F.when(missing, F.col("n"))).alias("orphans"),
+        F.count(F.when(missing, F.lit(1))).alias("orphan_values"))
+    spec = star.spark.createDataFrame([(i, *r) for i, r in enumerate(FOREIGN_KEYS)],
+                                      "nth int, table_name string, column_name string, ref_table string, ref_column string")
+    out = spec.join(sums, "nth", "left").select(
+        "table_name", "column_name", "ref_table", "ref_column",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("checked", "orphans", "orphan_values")])
     return out.withColumn("status", F.when(F.col("orphans") == 0, F.lit("ok")).otherwise(F.lit("violation")))
 
 

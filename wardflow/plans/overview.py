@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.operators import states
-from wardflow.operators.reshape import sort_if
+from wardflow.operators.reshape import sort_if, text_order
 from wardflow.operators.scope import Scope, hospital_scope, in_scope
 from wardflow.sources.star import Star
 
@@ -35,8 +35,9 @@ def visits_over_time(star: Star, scope: Scope | None = None, ordered: bool = Tru
     return sort_if(out, ordered, F.asc_nulls_last("month"))
 
 
-def visits_by_department(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
-    """R3 (flat): visits per hospital name x department name."""
+def visits_by_department(star: Star, scope: Scope | None = None, ordered: bool = True,
+                         collation: str | None = None) -> DataFrame:
+    """R3 (flat): visits per hospital name x department name; names in binary order or a collation's."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     d = star.dim("dim_department").select("department_id", "department_name")
     v = star.visits("visit_id", "hospital_id", "department_id")
@@ -44,7 +45,7 @@ def visits_by_department(star: Star, scope: Scope | None = None, ordered: bool =
            .join(d, "department_id")
            .groupBy("hospital_name", "department_name")
            .agg(F.count("visit_id").cast("bigint").alias("visits")))
-    return sort_if(out, ordered, F.asc_nulls_last("hospital_name"), F.desc_nulls_first("visits"))
+    return sort_if(out, ordered, text_order("hospital_name", collation).asc_nulls_last(), F.desc_nulls_first("visits"))
 
 
 def visits_treemap(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
@@ -72,6 +73,11 @@ def visits_treemap_text(star: Star, scope: Scope | None = None, ordered: bool =
         "=", x["name"], x["value"].cast("string"))), ", ").alias("children"))
 
 
+def visits_treemap_json(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
+    """R3 with the ordered children as JSON, the form in which the page gets them."""
+    return visits_treemap(star, scope, ordered).select("name", F.to_json("children").alias("children"))
+
+
 def daily_counts(star: Star, scope: Scope | None = None, ordered: bool = True) -> DataFrame:
     """Visits per arrival date as ``YYYY-MM-DD`` text."""
     h = hospital_scope(star.hospitals(), scope)

@@ -8,13 +8,17 @@ a fixed size (five waterfall stages) or bounded by the hospital dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions import bands
 from wardflow.functions.numeric import js_round, round_dec
-from wardflow.functions.text import clean_facility_name, month_short_name, short_hospital_name, weekday_short
-from wardflow.operators.reshape import pivot_values
+from wardflow.functions.text import (
+    clean_facility_name, currency, first_underscore_to_space, fixed, month_short_name, short_hospital_name, weekday_short,
+)
+from wardflow.operators.reshape import keyed, spread, text_order
 from wardflow.operators.scope import Scope, focus_flag, hospital_scope, search
 from wardflow.plans import finance, outliers, overview, sector
 from wardflow.sources.star import Star
@@ -58,21 +62,23 @@ def ordered_departments(names: list[str]) -> list[str]:
 
 
 # ---------------------------------------------------------------- overview
-def department_pivot(star: Star, scope: Scope | None = None,
-                     departments: list[str] | None = None) -> DataFrame:
-    """Hospital rows x department columns of visit counts (missing = 0).
+def department_map(star: Star, scope: Scope | None = None) -> DataFrame:
+    """A row per hospital with its visits by department name."""
+    flat = overview.visits_by_department(star, scope, ordered=False)
+    rows = keyed(flat, ["hospital_name"], "department_name", F.sum("visits").cast("bigint"), "departments")
+    return rows.select(short_hospital_name("hospital_name").alias("name"), "hospital_name", "departments")
+
 
-    The column list is the department dimension in business order (a pivot
-    needs its columns up front; the dimension is small by contract).
+def department_pivot(star: Star, scope: Scope | None = None, departments: Sequence[str] | None = None) -> DataFrame:
+    """P1 with a column for each of the given departments, in business order (missing = 0).
+
+    Without a list the departments stay a map: columns never come from the data.
     """
-    flat = overview.visits_by_department(star, scope, ordered=False)
+    rows = department_map(star, scope)
     if departments is None:
-        departments = pivot_values(star.dim("dim_department"), "department_name")
-    cols = ordered_departments(departments)
-    wide = flat.groupBy("hospital_name").pivot("department_name", cols).agg(F.sum("visits"))
-    wide = wide.na.fill(0, subset=cols)
-    return wide.select(short_hospital_name("hospital_name").alias("name"), "hospital_name",
-                       *[F.col(f"`{c}`").cast("bigint").alias(c) for c in cols])
+        return rows
+    cells = spread("departments", ordered_departments(list(departments)), F.lit(0).cast("bigint"))
+    return rows.select("name", "hospital_name", *cells)
 
 
 def department_totals(star: Star, scope: Scope | None = None) -> DataFrame:
@@ -85,6 +91,21 @@ def department_totals(star: Star, scope: Scope | None = None) -> DataFrame:
             .orderBy(F.desc("visits"), "department_name"))
 
 
+def department_stack(star: Star, scope: Scope | None = None) -> DataFrame:
+    """departments in business order, those not listed last by name, with their place and visits."""
+    listed = F.array(*[F.lit(d) for d in DEPARTMENT_ORDER])
+    rank = F.coalesce(F.nullif(F.array_position(listed, F.col("department_name")), F.lit(0)), F.lit(999))
+    totals = department_totals(star, scope).withColumn("rank", rank)
+    # one row per department reaches this window
+    place = F.row_number().over(Window.orderBy("rank", "department_name")).cast("bigint")
+    return totals.select(place.alias("place"), "department_name", "visits").orderBy("place")
+
+
+def department_labels(star: Star) -> DataFrame:
+    """Department ids as labels, the first underscore a space."""
+    return star.dim("dim_department").select("department_id", first_underscore_to_space("department_id").alias("label"))
+
+
 def calendar_heatmap(star: Star, scope: Scope | None = None, year: str | None = None) -> DataFrame:
     """P2 + P3: daily counts laid out in blocks of 7 *present* days per year.
 
@@ -118,6 +139,18 @@ def kpi_target_gap(star: Star, scope: Scope | None = None,
                     (F.col("readmission_rate") <= F.lit(target)).alias("within_target"))
 
 
+def kpi_labels(star: Star, scope: Scope | None = None) -> DataFrame:
+    """The headline figures as the page prints them: thousands separators, fixed decimals."""
+    return overview.kpis(star, scope).select(
+        fixed("total_visits", 0).alias("total_visits"), F.concat(fixed("readmission_rate", 2), F.lit("%")).alias("readmission_rate"),
+        F.concat(fixed("avg_wait_time", 1), F.lit(" min")).alias("avg_wait_time"), fixed("avg_burnout_index", 3).alias("avg_burnout_index"))
+
+
+def waterfall_labels(star: Star, scope: Scope | None = None) -> DataFrame:
+    """The stages of the cost bridge as money, the sign before the symbol."""
+    return finance.financial_waterfall(star, scope).select("stage", "name", currency("value").alias("label"))
+
+
 def filter_options(star: Star) -> DataFrame:
     """The dashboard's filter menus from the dimensions: regions, trust types
     and hospitals, each value with its display label (G16: the name, or the
@@ -142,14 +175,16 @@ def department_families(star: Star) -> DataFrame:
 
 
 # ---------------------------------------------------------------- outliers
-def readmission_month_pivot(star: Star, scope: Scope | None = None,
-                            hospital_ids: list[str] | None = None) -> DataFrame:
-    """Month rows x hospital-id columns of monthly readmission %."""
+def readmission_month_map(star: Star, scope: Scope | None = None) -> DataFrame:
+    """A row per month with the readmission % by hospital id."""
     bump = outliers.bump_rankings(star, scope, ordered=False)
-    if hospital_ids is None:
-        hospital_ids = pivot_values(hospital_scope(star.hospitals(), scope), "hospital_id")
-    return (bump.groupBy("month").pivot("hospital_id", hospital_ids)
-            .agg(F.max("readmission_rate")).orderBy("month"))
+    return keyed(bump, ["month"], "hospital_id", F.max("readmission_rate"), "rates").orderBy("month")
+
+
+def readmission_month_pivot(star: Star, scope: Scope | None = None, hospital_ids: Sequence[str] | None = None) -> DataFrame:
+    """P6 with a column for each of the given hospital ids; a map without a list."""
+    rows = readmission_month_map(star, scope)
+    return rows if hospital_ids is None else rows.select("month", *spread("rates", hospital_ids))
 
 
 def sankey_node_stats(star: Star, hospital_id: str | None = None,
@@ -228,11 +263,11 @@ def scatter_focus(star: Star, focus_id: str = "H07", scope: Scope | None = None)
 # ------------------------------------------------------------------ sector
 def facility_ledger(star: Star, scope: Scope | None = None, period: str | None = None,
                     text: str | None = None, sort_by: str = "readmission_rate",
-                    ascending: bool = False) -> DataFrame:
+                    ascending: bool = False, collation: str | None = None) -> DataFrame:
     """The outlier table with sector flag, recalculated staffing
     stress, readmission band against the listed hospitals' mean, optional
     search (B6) and sort (F2).  The mean is of the whole list; the search
-    only picks what is shown.
+    only picks what is shown.  Text sorts without regard to case, or by ``collation``.
     """
     t = outliers.hospital_outliers(star, scope, period, ordered=False)
     t = t.select(
@@ -247,10 +282,26 @@ def facility_ledger(star: Star, scope: Scope | None = None, period: str | None =
     mean = F.avg("readmission_rate").over(Window.partitionBy())
     t = t.withColumn("readmission_band", bands.readmission_band("readmission_rate", mean))
     t = search(t, text, "hospital_name", "city")
-    key = F.lower(F.col(sort_by)) if dict(t.dtypes)[sort_by] == "string" else F.col(sort_by)
+    key = _sort_key(t, sort_by, collation)
     return t.orderBy(key.asc() if ascending else key.desc())
 
 
+def _sort_key(t: DataFrame, sort_by: str, collation: str | None = None) -> Column:
+    if dict(t.dtypes)[sort_by] != "string":
+        return F.col(sort_by)
+    return text_order(sort_by, collation) if collation else F.lower(F.col(sort_by))
+
+
+def ledger_places(star: Star, scope: Scope | None = None, sort_by: str = "hospital_name", ascending: bool = True,
+                  collation: str | None = None) -> DataFrame:
+    """the ledger's hospitals with their places under a chosen sort; equal keys by hospital id."""
+    t = facility_ledger(star, scope)
+    key = _sort_key(t, sort_by, collation)
+    # one row per hospital reaches this window
+    place = F.row_number().over(Window.orderBy(key.asc() if ascending else key.desc(), "hospital_id")).cast("bigint")
+    return t.select(place.alias("place"), "hospital_id", "hospital_name", "city").orderBy("place")
+
+
 def diverging_bars(star: Star, scope: Scope | None = None) -> DataFrame:
     """R11 as the sector page charts it: facility names shortened."""
     d = sector.diverging_wait(star, scope, ordered=False)
@@ -329,18 +380,19 @@ def waterfall_bars(star: Star, scope: Scope | None = None) -> DataFrame:
     return finance.waterfall_totals(star, scope).select(F.inline(F.array(*bars)))
 
 
-def burnout_month_pivot(star: Star, scope: Scope | None = None,
-                        hospital_names: list[str] | None = None) -> DataFrame:
-    """Twelve month rows (always present) x hospital-name columns."""
+def burnout_month_map(star: Star, scope: Scope | None = None) -> DataFrame:
+    """Twelve month rows (always present) with the burnout by hospital name."""
     slope = finance.burnout_by_month(star, scope, ordered=False)
-    if hospital_names is None:
-        hospital_names = pivot_values(hospital_scope(star.hospitals(), scope), "hospital_name")
-    wide = slope.groupBy("month").pivot("hospital_name", hospital_names).agg(F.max("burnout"))
+    found = keyed(slope, ["month"], "hospital_name", F.max("burnout"), "burnout")
     months = star.spark.range(1, 13).select(F.col("id").alias("month"))
-    return (months.join(wide, "month", "left")
-            .select("month", month_short_name("month").alias("name"),
-                    *[F.col(f"`{n}`") for n in hospital_names])
-            .orderBy("month"))
+    return (months.join(found, "month", "left")
+            .select("month", month_short_name("month").alias("name"), "burnout").orderBy("month"))
+
+
+def burnout_month_pivot(star: Star, scope: Scope | None = None, hospital_names: Sequence[str] | None = None) -> DataFrame:
+    """P19 with a column for each of the given hospital names; a map without a list."""
+    rows = burnout_month_map(star, scope)
+    return rows if hospital_names is None else rows.select("month", "name", *spread("burnout", hospital_names))
 
 
 def burnout_hospital_list(star: Star, scope: Scope | None = None) -> DataFrame:
