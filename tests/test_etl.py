@@ -96,10 +96,13 @@ def test_references_of_other_types_and_repeated_keys(spark):
     facts = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (None,)], "doctor_id long")
 
     class Two:
+        def __init__(self):
+            self.spark = spark
+
         def columns(self, name, *cols):
             return (facts if name == "f" else keys).select(*cols)
 
-    row = audit.reference_check(Two(), "f", [("doctor_id", "k", "doctor_id")]).collect()
+    row = audit.reference_check(Two(), [("f", "doctor_id", "k", "doctor_id")]).collect()
     assert [(r["checked"], r["orphans"], r["orphan_values"]) for r in row] == [(5, 2, 1)]
 
 

@@ -17,7 +17,7 @@ from wardflow.functions.text import (char_code_bucket, clean_column_name, clean_
                                      clean_name_col, first_underscore_to_space, month_short_name,
                                      short_hospital_name, weekday_short)
 from wardflow.operators.scope import Scope, focus_flag, search
-from wardflow.plans import shapes
+from wardflow.plans import overview, shapes
 
 
 def one(spark, expr, value, dtype="string"):
