@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import crc_bucket, map_arrow, prepare, written
+from wardflow.llm.common import crc_bucket, map_arrow, prepare
 from wardflow.llm.context_model import Automaton, context_counts, count_grams, escape_rows
 
 UNKNOWN = "und"
@@ -95,15 +95,17 @@ def keep_identified(docs: DataFrame, model: Automaton) -> DataFrame:
     all texts with a letter stay.
     """
     columns = docs.columns
+    usual = None
+    if model.labels:  # the held-out rows first: their median takes no copy of the texts
+        held = identify(docs.where(~training_rows(docs)).select("text"), model, keep=[])
+        usual = held.agg(F.percentile_approx("bits_per_byte", 0.5, 10000)).first()[0]
     named = docs.select(*[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(columns)], F.col("text").alias("__t"),
-                        (~training_rows(docs)).alias("__held"))
-    found = written(identify(named.withColumn("__n", F.octet_length("__t")), model, "__t",
-                             keep=[*[f"__o{i}" for i in range(len(columns))], "__t", "__held", "__n"]))
+                        F.octet_length("text").alias("__n"))
     if not model.labels:
-        kept = found.where(F.regexp_like(F.coalesce("__t", F.lit("")), F.lit(r"\p{L}")))
+        kept = named.where(F.regexp_like(F.coalesce("__t", F.lit("")), F.lit(r"\p{L}")))
     else:
+        found = identify(named, model, "__t", keep=[*[f"__o{i}" for i in range(len(columns))], "__n"])
         kept = found.where(F.col("lang_pred") != UNKNOWN)
-        usual = found.where("__held").agg(F.percentile_approx("bits_per_byte", 0.5, 10000)).first()[0]
         if usual is not None:
             over = (F.col("bits_per_byte") - F.lit(LIMIT * usual)) * F.col("__n")
             kept = kept.where(~F.coalesce(over > SLACK_BITS, F.lit(False)))
