@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wardflow.llm.quality_rules import STOP_WORDS
+
 #: Systematic sampling: the same order, rates and offsets as the operator.
 OP4 = r"""
 WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
@@ -105,5 +107,73 @@ FROM neg WHERE rank <= 10
 """
 
 
+#: Measures by words, 8-word windows and lines, then the threshold table.
+OP5 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+x AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before,
+             string_agg(w, ' ') OVER f AS k, count(*) OVER f AS long
+      FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+again AS (SELECT doc_id, i FROM x WHERE long = 8 QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(8) r(j) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS kinds
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars,
+             count(*) FILTER (WHERE lower(w) IN (STOP)) AS n_stop, count(*) FILTER (WHERE w = before) AS n_stutter
+      FROM x GROUP BY doc_id),
+a AS (SELECT d.doc_id, coalesce(m.n_words, 0)::BIGINT AS n_words, coalesce(m.word_chars, 0)::BIGINT AS word_chars,
+             (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+             coalesce(l.n - l.kinds, 0)::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
+             coalesce(l.n, 0) AS n_lines, coalesce(n_stop, 0) AS n_stop, coalesce(n_stutter, 0) AS n_stutter,
+             strlen(t) <= 1.5 * length(t) AS latin
+      FROM d LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN inside USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words >= 20 AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / word_chars <= 0.05
+       AND (NOT latin OR n_stop / n_words >= 0.02) AND n_dup_lines / n_lines <= 0.6 AND n_stutter / n_words <= 0.3
+       AND n_repeat_words / n_words <= 0.3 AS kept
+FROM b
+""".replace("STOP", ", ".join(f"'{w}'" for w in STOP_WORDS))
+
+#: Every window of every item against every run of as many words of every document.
+OP7 = r"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+           FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (SELECT DISTINCT item, m, array_to_string(list_slice(ws, i::BIGINT, (i + m - 1)::BIGINT), ' ') AS k
+       FROM (SELECT item, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, m, i, array_to_string(list_slice(ws, i::BIGINT, (i + m - 1)::BIGINT), ' ') AS k
+       FROM (SELECT doc_id, ws, s.m, unnest(range(1, len(ws) - s.m + 2)) AS i
+             FROM d, (SELECT DISTINCT m FROM bw) s WHERE len(ws) >= s.m)),
+hit AS (SELECT DISTINCT doc_id, dw.m, i, item FROM dw JOIN bw ON bw.m = dw.m AND bw.k = dw.k),
+n AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT doc_id, m, i FROM hit), range(10) r(j) WHERE j < m GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(names.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(names.t, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id
+"""
+
+#: All pairs that share a shingle, and what is reachable from each document.
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+                            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+                     FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, ends.b FROM reach JOIN ends ON ends.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id, c.low = d.doc_id AS kept
+FROM d JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op12_merkle_manifest": OP12, "op13_hard_negatives": OP13}
+    return {"op4_mixing": OP4, "op5_quality_rules": OP5, "op7_decontamination": OP7, "op8_near_dedup": OP8,
+            "op12_merkle_manifest": OP12, "op13_hard_negatives": OP13}
