@@ -176,8 +176,7 @@ LAYOUT = {
     "fact_financials": ("hospital_id", "month"),
 }
 
-# Row bound a dimension promises; reports broadcast dimensions only under
-# this promise, and the ETL refuses to publish a dimension that breaks it.
+# Rows that a dimension is expected to stay under; ``audit.dimension_bounds`` reports it.
 ROW_BOUND = {
     "dim_region": 10_000,
     "dim_hospital": 100_000,
