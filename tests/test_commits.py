@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from support import rows
 from test_traps import hospitals, star, staffing, v, visits
 from wardflow.operators.scope import Scope
-from wardflow.plans import finance, outliers, overview, thresholds
+from wardflow.plans import finance, outliers, overview, sector, thresholds
 from wardflow.sources import commits, etl, rollup
 from wardflow.sources.star import PublishedStar, Star
 
@@ -106,6 +106,7 @@ ALLOWED = {f"references:{t}:{c}" for t, c in (
 
 
 REPORTS = {
+    "departments": overview.visits_by_department, "waits": sector.diverging_wait, "regions": sector.regional_choropleth,
     "kpis": overview.kpis, "months": overview.visits_over_time, "outliers": outliers.hospital_outliers,
     "bump": outliers.bump_rankings, "absences": finance.absences_overtime, "burnout": finance.burnout_by_month,
     "flags": thresholds.threshold_flags, "halves": thresholds.half_year_shift, "double": thresholds.double_violators,
@@ -125,6 +126,8 @@ def test_reports_finish_from_the_rollup(published_sf0001, scope):
         from_states = report(pub, scope)
         assert rows(from_states) == rows(report(scanning, scope)), name
         assert "fact_" not in final_plan(from_states), name
+    assert rows(sector.radar_profiles(pub, scope)) == rows(sector.radar_profiles(scanning, scope))
+    assert "fact_patient_visits" not in final_plan(sector.radar_profiles(pub, scope))
     for period in ("H1", "H2"):
         assert rows(outliers.hospital_outliers(pub, scope, period=period)) == rows(
             outliers.hospital_outliers(scanning, scope, period=period))

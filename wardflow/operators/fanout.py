@@ -30,15 +30,26 @@ COUNT_TYPE = "decimal(38,0)"
 
 @dataclass
 class FactSide:
-    """One fact of the fan-out: its frame, measures to average, flags to count."""
+    """One fact of the fan-out: its frame, measures to average, flags to count.
+
+    ``frame`` holds rows, or with ``states`` partial states by (hospital, month):
+    the columns of the number of rows, of each measure's sum and count, and of each flag's count.
+    """
 
     name: str
     frame: DataFrame  # must hold hospital_id, month and the measures/flags
     measures: list[str] = field(default_factory=list)
     flags: list[str] = field(default_factory=list)
+    states: dict[str, str] | None = None
 
     def partial(self) -> DataFrame:
         p = self.name
+        if self.states is not None:
+            return self.frame.select(
+                "hospital_id", "month", F.col(self.states["rows"]).alias(f"{p}__n"),
+                *[F.col(f"{self.states[m]}_{kind}").alias(f"{p}__{name}__{m}")
+                  for m in self.measures for kind, name in (("sum", "sum"), ("n", "cnt"))],
+                *[F.col(self.states[flag]).alias(f"{p}__hits__{flag}") for flag in self.flags])
         aggs: list[Column] = [F.count(F.lit(1)).alias(f"{p}__n")]
         for m in self.measures:
             aggs.append(F.sum(m).alias(f"{p}__sum__{m}"))

@@ -40,11 +40,10 @@ def visits_by_department(star: Star, scope: Scope | None = None, ordered: bool =
     """R3 (flat): visits per hospital name x department name; names in binary order or a collation's."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "hospital_name")
     d = star.dim("dim_department").select("department_id", "department_name")
-    v = star.visits("visit_id", "hospital_id", "department_id")
-    out = (v.join(h, "hospital_id")
+    out = (star.visit_states(h, "hospital_id", "department_id").join(h, "hospital_id")
            .join(d, "department_id")
            .groupBy("hospital_name", "department_name")
-           .agg(F.count("visit_id").cast("bigint").alias("visits")))
+           .agg(F.sum("with_id").cast("bigint").alias("visits")))
     return sort_if(out, ordered, text_order("hospital_name", collation).asc_nulls_last(), F.desc_nulls_first("visits"))
 
 

@@ -24,16 +24,22 @@ RADAR_AXES = [
 NETWORK_WAIT_BENCHMARK = 61.4  # minutes; a constant of the report (T14)
 
 
+def _visit_side(star: Star, hospitals: DataFrame) -> FactSide:
+    return FactSide("v", star.visit_states(hospitals, "hospital_id", "month"),
+                    measures=["wait_time_minutes", "satisfaction_score"], flags=["readmission_30_days_flag", "icu_required_flag"],
+                    states={"rows": "visits", "wait_time_minutes": "wait", "satisfaction_score": "satisfaction",
+                            "readmission_30_days_flag": "readmitted", "icu_required_flag": "icu"})
+
+
+def _shift_side(star: Star, hospitals: DataFrame) -> FactSide:
+    return FactSide("s", star.shift_states(hospitals, "hospital_id", "month"), measures=["burnout_risk_index"],
+                    states={"rows": "shifts", "burnout_risk_index": "burnout"})
+
+
 def sector_metrics(star: Star, scope: Scope | None = None) -> DataFrame:
     """The grouped row per ``private`` value behind R10 (fan-out weighted, T4)."""
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "private")
-    visits = FactSide("v", in_scope(star.visits(
-        "hospital_id", "month", "wait_time_minutes", "satisfaction_score",
-        "readmission_30_days_flag", "icu_required_flag"), h),
-        measures=["wait_time_minutes", "satisfaction_score"],
-        flags=["readmission_30_days_flag", "icu_required_flag"])
-    shifts = FactSide("s", in_scope(star.staffing("hospital_id", "month", "burnout_risk_index"), h),
-                      measures=["burnout_risk_index"])
+    visits, shifts = _visit_side(star, h), _shift_side(star, h)
     money = FactSide("f", in_scope(star.financials("hospital_id", "month", "profit_margin"), h),
                      measures=["profit_margin"])
     sums = fanout_sums(h, visits, [shifts, money], ["private"])
@@ -81,10 +87,8 @@ def diverging_wait(star: Star, scope: Scope | None = None,
     """
     h = hospital_scope(star.hospitals(), scope).select(
         "hospital_id", "hospital_name", "nhs_trust_type", "private")
-    v = (in_scope(star.visits("hospital_id", "wait_time_minutes"), h)
-         .groupBy("hospital_id")
-         .agg(F.sum("wait_time_minutes").alias("w_sum"), F.count("wait_time_minutes").alias("w_cnt")))
-    avg = F.try_divide(F.col("w_sum").cast("double"), F.col("w_cnt").cast("double"))
+    v = star.visit_states(h, "hospital_id")
+    avg = F.try_divide(F.col("wait_sum"), F.col("wait_n").cast("double"))
     out = h.join(v, "hospital_id", "left").select(
         "hospital_id", "hospital_name", "nhs_trust_type", "private",
         round_dec(avg, 1).alias("avg_wait_time"),
@@ -97,11 +101,7 @@ def regional_choropleth(star: Star, scope: Scope | None = None) -> DataFrame:
     h = hospital_scope(star.hospitals(), scope).select("hospital_id", "region_id")
     r = star.regions().select("region_id", "region_name")
     hr = h.join(r, "region_id")
-    visits = FactSide("v", in_scope(star.visits(
-        "hospital_id", "month", "wait_time_minutes", "readmission_30_days_flag"), h),
-        measures=["wait_time_minutes"], flags=["readmission_30_days_flag"])
-    shifts = FactSide("s", in_scope(star.staffing("hospital_id", "month", "burnout_risk_index"), h),
-                      measures=["burnout_risk_index"])
+    visits, shifts = _visit_side(star, h), _shift_side(star, h)
     sums = fanout_sums(hr, visits, [shifts], ["region_id", "region_name"])
     return sums.select(
         "region_id", "region_name",
