@@ -17,9 +17,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all given documents; those without an identified language (no text, no letter) go."""
+    """Learns from all given documents; those without an identified language (no text, no letter, noise) go."""
     prepare(spark)
-    return language_id.keep_identified(docs, language_id.fit(docs))
+    return language_id.keep_identified(docs, *language_id.fit_crossed(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,21 +60,23 @@ def _grams(data: list[bytes], order: int) -> np.ndarray:
     return key[keep]
 
 
-def count_grams(rows: DataFrame, label: str, text: str, order: int) -> DataFrame:
-    """(label, gram, n): counts of all texts, combined in each task before the shuffle."""
+def count_grams(rows: DataFrame, label: str, text: str, order: int, part: str | None = None) -> DataFrame:
+    """(label, gram, n): counts of all texts, combined in each task before the shuffle.
+
+    With ``part``, a boolean column, also n_part: the counts of the texts where it holds.
+    """
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
-    out = T.StructType([T.StructField("label", T.StringType()), T.StructField("gram", T.LongType()),
-                        T.StructField("n", T.LongType())])
+    sums = ["n", "n_part"] if part else ["n"]
+    out = T.StructType([T.StructField("label", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("gram", *sums)]])
 
     def make():
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
 
         def merge(parts):
-            keys = np.concatenate([p[0] for p in parts])
-            ns = np.concatenate([p[1] for p in parts])
-            uniq, at = np.unique(keys, return_inverse=True)
-            return uniq, np.bincount(at, weights=ns, minlength=uniq.size).astype(np.int64)
+            uniq, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return uniq, *[np.bincount(at, weights=np.concatenate([p[i] for p in parts]), minlength=uniq.size).astype(np.int64)
+                           for i in range(1, 1 + len(sums))]
 
         def drain():
             if not held:
@@ -81,19 +84,19 @@ def count_grams(rows: DataFrame, label: str, text: str, order: int) -> DataFrame
             merged = {k: merge(v) for k, v in held.items()}
             held.clear()
             return pa.RecordBatch.from_arrays([
-                pa.array([k for k, (u, _) in merged.items() for _ in range(u.size)], pa.string()),
-                pa.array(np.concatenate([u for u, _ in merged.values()])),
-                pa.array(np.concatenate([n for _, n in merged.values()])),
-            ], names=["label", "gram", "n"])
-
-        def add(labels, texts):
-            groups: dict[str, list[bytes]] = {}
-            for name, data in zip(labels.to_pylist(), texts.to_pylist(), strict=True):
+                pa.array([k for k, (u, *_) in merged.items() for _ in range(u.size)], pa.string()),
+                *[pa.array(np.concatenate([m[i] for m in merged.values()])) for i in range(1 + len(sums))],
+            ], names=out.names)
+
+        def add(labels, texts, *inside):
+            groups: dict[tuple, list[bytes]] = {}
+            for name, data, *x in zip(labels.to_pylist(), texts.to_pylist(), *[i.to_pylist() for i in inside], strict=True):
                 if data:
-                    groups.setdefault(name, []).append(data)
-            for name, data in groups.items():
-                held.setdefault(name, []).append(np.unique(_grams(data, order), return_counts=True))
-                if len(held[name]) >= 16:
+                    groups.setdefault((name, *x), []).append(data)
+            for (name, *x), data in groups.items():
+                grams, ns = np.unique(_grams(data, order), return_counts=True)
+                held.setdefault(name, []).append((grams, ns, *[ns if i else np.zeros_like(ns) for i in x]))
+                if len(held[name]) >= 16 * len(sums):
                     held[name] = [merge(held[name])]
             if sum(p[0].size for v in held.values() for p in v) > FLUSH_GRAMS:
                 return drain()
@@ -102,8 +105,8 @@ def count_grams(rows: DataFrame, label: str, text: str, order: int) -> DataFrame
         return add, drain
 
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    return (gather_arrow(rows, {label: "string", text: "binary"}, out, make)
-            .groupBy("label", "gram").agg(F.sum("n").alias("n")))
+    read = {label: "string", text: "binary"} | ({part: "boolean"} if part else {})
+    return gather_arrow(rows, read, out, make).groupBy("label", "gram").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 @dataclass
@@ -130,7 +133,20 @@ def context_counts(grams: DataFrame, order: int, least: int = 1) -> ContextCount
 
     The longest grams come to the driver; the shorter ones are their sums.
     """
-    rows = grams.select("label", "gram", "n").toArrow().combine_chunks()
+    return summed(grams.select("label", "gram", "n").toArrow(), order, least)
+
+
+def crossed_counts(grams: DataFrame, order: int) -> tuple[ContextCounts, list[ContextCounts]]:
+    """The counts of all texts, of those where ``count_grams``' part holds, and of the others."""
+    rows = grams.toArrow()
+    inside = rows.column("n_part")
+    other = pc.subtract(rows.column("n"), inside)
+    return summed(rows, order), [summed(rows.set_column(2, "n", n).filter(pc.greater(n, 0)), order) for n in (inside, other)]
+
+
+def summed(rows: pa.Table, order: int, least: int = 1) -> ContextCounts:
+    """``context_counts`` of collected (label, gram, n)."""
+    rows = rows.combine_chunks()
     label = rows.column("label").combine_chunks()
     label = label.dictionary_encode() if len(label) else label
     names = label.dictionary.to_pylist() if len(label) else []

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm.common import crc_bucket, map_arrow, prepare
-from wardflow.llm.context_model import Automaton, context_counts, count_grams, escape_rows
+from wardflow.llm.context_model import Automaton, context_counts, count_grams, crossed_counts, escape_rows
 
 UNKNOWN = "und"
 #: Longest context in bytes.
@@ -85,20 +85,44 @@ def training_rows(docs: DataFrame, folds: int = FOLDS) -> Column:
     return ~F.coalesce(crc_bucket("doc_id", folds) == 0, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: Automaton) -> DataFrame:
+def fold_of(text: str = "text", folds: int = 2) -> Column:
+    """A fold by the text itself, so that its copies lie in the same one; 0 for a null."""
+    return F.when(F.col(text).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(text)), F.lit(folds)))
+
+
+def fit_crossed(train: DataFrame, order: int = ORDER) -> tuple[Automaton, list[Automaton]]:
+    """The context trees of all of ``train``, and for each fold those of its other rows, from one count."""
+    prepare(train.sparkSession)
+    rows = train.select("lang", "text", (fold_of() == 1).alias("part"))
+    whole, others = crossed_counts(count_grams(rows, "lang", "text", order, "part"), order)
+    return Automaton(whole, order, escape_rows), [Automaton(x, order, escape_rows) for x in others]
+
+
+def usual_length(docs: DataFrame, models: list[Automaton]) -> float | None:
+    """The median bits a byte, to a thousandth, of all texts with a letter; ``models[i]`` codes fold i of as many."""
+    found = None
+    for i, model in enumerate(models):
+        if model.labels:
+            rows = identify(docs.where(fold_of(folds=len(models)) == i).select("text"), model, keep=[])
+            found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return None
+    lengths = found.where(F.col("bits_per_byte").isNotNull()).groupBy(F.round("bits_per_byte", 3).alias("bits")).count()
+    return lengths.agg(F.percentile("bits", 0.5, F.col("count"))).first()[0]
+
+
+def keep_identified(docs: DataFrame, model: Automaton, crossed: list[Automaton] | None = None) -> DataFrame:
     """The rows of ``docs`` that some learned language codes well enough, with their own columns.
 
     A text without a letter goes, and one whose code length under its language
-    is above ``LIMIT`` times the held-out rows' median bits a byte, by more than
-    ``SLACK_BITS``: noise, or no language that was learned.  ``model`` should
-    not have learned the held-out rows (``training_rows``).  Where nothing was learned, or nothing is held out,
-    all texts with a letter stay.
+    is above ``LIMIT`` times the median bits a byte of all rows, by more than
+    ``SLACK_BITS``: noise, or no language that was learned.  The median is that
+    of each row under trees that have not learned its text, which
+    ``fit_crossed`` gives; without ``crossed``, under ``model``.  Where nothing
+    was learned, all texts with a letter stay.
     """
     columns = docs.columns
-    usual = None
-    if model.labels:  # the held-out rows first: their median takes no copy of the texts
-        held = identify(docs.where(~training_rows(docs)).select("text"), model, keep=[])
-        usual = held.agg(F.percentile_approx("bits_per_byte", 0.5, 10000)).first()[0]
+    usual = usual_length(docs, crossed or [model]) if model.labels else None
     named = docs.select(*[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(columns)], F.col("text").alias("__t"),
                         F.octet_length("text").alias("__n"))
     if not model.labels:
