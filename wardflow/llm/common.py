@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
@@ -94,6 +95,14 @@ def replacing(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def releasing(run: Callable[[Iterator], Iterator], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``run``'s batches; then what Arrow's pool keeps goes back to the system: the Python worker stays for later stages."""
+    try:
+        yield from run(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, read: dict[str, str], add: T.StructType,
               make: Callable[[], Callable[..., list[pa.Array]]],
               keep: list[str] | None = None) -> DataFrame:
@@ -120,7 +129,7 @@ def map_arrow(df: DataFrame, read: dict[str, str], add: T.StructType,
             yield pa.RecordBatch.from_arrays(
                 [*columns[:n_keep], *work(*columns[n_keep:])], names=[f.name for f in schema])
 
-    out = given.mapInArrow(run, schema)
+    out = given.mapInArrow(partial(releasing, run), schema)
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
@@ -143,4 +152,4 @@ def gather_arrow(df: DataFrame, read: dict[str, str], out: T.StructType,
         if last is not None:
             yield last
 
-    return df.select(*inputs).mapInArrow(run, out)
+    return df.select(*inputs).mapInArrow(partial(releasing, run), out)
