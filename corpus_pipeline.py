@@ -19,7 +19,10 @@ TOKENIZER = "word_bpe_49k.json"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all given documents; those without an identified language (no text, no letter, noise) go."""
     prepare(spark)
-    return language_id.keep_identified(docs, *language_id.fit_crossed(docs))
+    model, crossed = language_id.fit_crossed(docs)
+    usual = language_id.usual_length(docs, crossed)
+    del crossed  # the driver need not hold these trees any longer
+    return language_id.keep_coded(docs, model, usual)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

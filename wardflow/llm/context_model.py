@@ -136,12 +136,14 @@ def context_counts(grams: DataFrame, order: int, least: int = 1) -> ContextCount
     return summed(grams.select("label", "gram", "n").toArrow(), order, least)
 
 
-def crossed_counts(grams: DataFrame, order: int) -> tuple[ContextCounts, list[ContextCounts]]:
-    """The counts of all texts, of those where ``count_grams``' part holds, and of the others."""
+def crossed_counts(grams: DataFrame, order: int) -> Iterator[ContextCounts]:
+    """The counts of all texts, of those where ``count_grams``' part holds, and of the others, one after another."""
     rows = grams.toArrow()
+    yield summed(rows, order)
     inside = rows.column("n_part")
+    yield summed(rows.set_column(2, "n", inside).filter(pc.greater(inside, 0)), order)
     other = pc.subtract(rows.column("n"), inside)
-    return summed(rows, order), [summed(rows.set_column(2, "n", n).filter(pc.greater(n, 0)), order) for n in (inside, other)]
+    yield summed(rows.set_column(2, "n", other).filter(pc.greater(other, 0)), order)
 
 
 def summed(rows: pa.Table, order: int, least: int = 1) -> ContextCounts:

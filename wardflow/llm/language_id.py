@@ -19,11 +19,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import crc_bucket, map_arrow, prepare
+from wardflow.llm.common import crc_bucket, cut, map_arrow, prepare
 from wardflow.llm.context_model import Automaton, context_counts, count_grams, crossed_counts, escape_rows
 
 UNKNOWN = "und"
@@ -49,9 +50,9 @@ def has_letter(data: bytes) -> bool:
     return any(map(str.isalpha, data.decode("utf-8", "replace")))
 
 
-def identify(docs: DataFrame, model: Automaton, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with lang_pred, score (posterior of lang_pred) and bits_per_byte of the winner."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Automaton | Broadcast, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with lang_pred, score (posterior of lang_pred) and bits_per_byte of the winner; ``model`` may be broadcast already."""
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     add = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                         T.StructField("bits_per_byte", T.DoubleType())])
 
@@ -94,21 +95,29 @@ def fit_crossed(train: DataFrame, order: int = ORDER) -> tuple[Automaton, list[A
     """The context trees of all of ``train``, and for each fold those of its other rows, from one count."""
     prepare(train.sparkSession)
     rows = train.select("lang", "text", (fold_of() == 1).alias("part"))
-    whole, others = crossed_counts(count_grams(rows, "lang", "text", order, "part"), order)
-    return Automaton(whole, order, escape_rows), [Automaton(x, order, escape_rows) for x in others]
+    # the driver holds one set of counts at a time
+    whole, *others = [Automaton(x, order, escape_rows)
+                      for x in crossed_counts(count_grams(rows, "lang", "text", order, "part"), order)]
+    pa.default_memory_pool().release_unused()
+    return whole, others
 
 
 def usual_length(docs: DataFrame, models: list[Automaton]) -> float | None:
-    """The median bits a byte, to a thousandth, of all texts with a letter; ``models[i]`` codes fold i of as many."""
+    """The median bits a byte, to a thousandth, of all texts with a letter; ``models[i]`` codes fold i of as many.
+
+    One fold after another, so that driver and workers hold the trees of one.
+    """
     found = None
     for i, model in enumerate(models):
         if model.labels:
-            rows = identify(docs.where(fold_of(folds=len(models)) == i).select("text"), model, keep=[])
+            shared = docs.sparkSession.sparkContext.broadcast(model)
+            rows = identify(docs.where(fold_of(folds=len(models)) == i).select("text"), shared, keep=[])
+            rows = cut(rows.where(F.col("bits_per_byte").isNotNull()).groupBy(F.round("bits_per_byte", 3).alias("bits")).count())
             found = rows if found is None else found.unionByName(rows)
+            shared.destroy()
     if found is None:
         return None
-    lengths = found.where(F.col("bits_per_byte").isNotNull()).groupBy(F.round("bits_per_byte", 3).alias("bits")).count()
-    return lengths.agg(F.percentile("bits", 0.5, F.col("count"))).first()[0]
+    return found.agg(F.percentile("bits", 0.5, F.col("count"))).first()[0]
 
 
 def keep_identified(docs: DataFrame, model: Automaton, crossed: list[Automaton] | None = None) -> DataFrame:
@@ -121,8 +130,12 @@ def keep_identified(docs: DataFrame, model: Automaton, crossed: list[Automaton]
     ``fit_crossed`` gives; without ``crossed``, under ``model``.  Where nothing
     was learned, all texts with a letter stay.
     """
+    return keep_coded(docs, model, usual_length(docs, crossed or [model]))
+
+
+def keep_coded(docs: DataFrame, model: Automaton, usual: float | None) -> DataFrame:
+    """``keep_identified`` with the median bits a byte, ``usual``, at hand; no limit without it."""
     columns = docs.columns
-    usual = usual_length(docs, crossed or [model]) if model.labels else None
     named = docs.select(*[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(columns)], F.col("text").alias("__t"),
                         F.octet_length("text").alias("__n"))
     if not model.labels:

@@ -14,7 +14,7 @@ Groups of copies are never expanded into pairs:
    member across components, inside tasks, in blocks of bounded size; a task returns a
    spanning forest of its links.  So every candidate pair of different
    components is compared, and no link between components is lost.
-Components come from repeated contraction, cut by checkpoints.
+Components come from repeated contraction, each round written as tables.
 
 ``banding`` gives bands and rows by similarity: 24 bands of 5 rows miss a pair at
 0.85 with probability (1 - 0.85^5)^24 = 8e-7, 28 of 4 one at 0.8 with 4e-7; below,
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import cut, map_arrow, prepare
+from wardflow.llm.common import cut, map_arrow, prepare, written
 from wardflow.llm.words import spaced_words_of
 
 #: (least percent, bands, rows): the first that a similarity reaches.
@@ -50,6 +50,8 @@ BANDINGS = ((85, 24, 5), (80, 28, 4))
 MISS, MAX_BANDS = 1e-6, 64
 #: Shingles of one side of a block comparison (8 bytes each).
 BLOCK_SHINGLES = 400_000
+#: Rows that a task takes: of a few numbers, and of nodes with their bands.
+TASK_ROWS, TASK_NODES = 100_000, 10_000
 #: Word hashes that a task remembers.
 CACHE_WORDS = 300_000
 #: Keys from here on stand for rows without doc_id.
@@ -139,6 +141,15 @@ def row_key(doc_id: str, text: str) -> Column:
                       F.xxhash64(F.col(text)).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
 
 
+def few(rows: DataFrame, most: int, a_task: int = TASK_ROWS) -> DataFrame:
+    """``rows``, ``most`` at most, in no more partitions than they need.
+
+    A shuffle between many nearly empty partitions makes their product of blocks, which the
+    disks and the driver carry: here partitions follow the rows, at any setting.
+    """
+    return rows.coalesce(max(1, -(-most // a_task)))
+
+
 def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """key, tx (the text's hash), n_shingles, digest of the set, bands: the pass over all texts."""
     add = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
@@ -276,27 +287,31 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node to its smallest neighbour, follows pointers
     twice and contracts the links; their number at least halves per component.
+    Rounds are tables, as the planner's estimate of a checkpoint grows by powers.
     """
-    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = None
-    while not edges.isEmpty():
+    most = links.count()
+    edges = written(few(few(links, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), most))
+    label, labels = None, 2 * most
+    while many := edges.count():
+        edges = few(edges, many)
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = ends.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-        up = cut(up)
+        up = written(few(up, 2 * many))
         for _ in range(2):
             over = up.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            up = up.join(over, "comp").select("node", F.col("top").alias("comp"))
-        up = cut(up)
+            up = few(up.join(over, "comp").select("node", F.col("top").alias("comp")), 2 * many)
+        up = written(up)
         x = up.select(F.col("node").alias("a"), F.col("comp").alias("x"))
         y = up.select(F.col("node").alias("b"), F.col("comp").alias("y"))
-        edges = cut(edges.join(x, "a").join(y, "b").where("x <> y").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = few(few(edges.join(x, "a"), many).join(y, "b").where("x <> y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), many)
+        edges = written(few(edges.distinct(), many))
         if label is None:
             label = up
         else:
             top = up.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            label = cut(label.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+            label = written(few(label.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), labels))
     if label is None:
         return links.select(F.col("a").alias("node"), F.col("a").alias("comp")).where("false")
     return label
@@ -316,30 +331,31 @@ def find_links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     ``nodes``: node, key and tx of a text with that set, copies, n_shingles, bands.
     """
+    many = nodes.count()
+    entries = many * banding(percent)[0]
     members = nodes.select("node", "n_shingles", _importance().alias("weight"), F.explode("bands").alias("band"))
     heads = (members.groupBy("band").agg(F.count("*").alias("n"), F.max_by("node", "weight").alias("leader"))
              .where("n > 1"))
-    members = cut(members.join(heads, "band").select("band", "node", "n_shingles", "weight", "n", "leader"))
-    wanted = nodes.select("node", "key", "tx").join(members.select("node").distinct(), "node", "left_semi")
+    members = cut(few(members.join(heads, "band").select("band", "node", "n_shingles", "weight", "n", "leader"), entries))
+    wanted = few(nodes.select("node", "key", "tx").join(members.select("node").distinct(), "node", "left_semi"), many)
     texts = cut(texts_of(docs, wanted))
     # one pair per node: the leader with which it shares most bands
-    pairs = (members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"))
-             .groupBy("node").agg(F.max_by("leader", "shared").alias("leader"))
-             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    pairs = cut(pairs)
+    pairs = few(members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared")), entries)
+    pairs = few(pairs.groupBy("node").agg(F.max_by("leader", "shared").alias("leader")), many)
+    pairs = cut(few(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), many))
     first = cut(confirm(pairs, texts, words, percent))
     comps = components(first)
-    rows = _with_comp(members, comps)
+    rows = few(_with_comp(members, comps), entries)
     mixed = rows.groupBy("band").agg(
         F.max("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"),
         F.max_by("comp", "weight").alias("main"), F.min("node").alias("x"), F.max("node").alias("y"),
         F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h")).where("low <> high")
     # bands with the same members need one comparison
-    mixed = mixed.dropDuplicates(["n", "x", "y", "h"])
-    two = mixed.where("n = 2").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    mixed = few(few(mixed, entries).dropDuplicates(["n", "x", "y", "h"]), entries)
+    two = few(mixed.where("n = 2").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), entries)
     second = confirm(two.join(pairs, ["a", "b"], "left_anti"), texts, words, percent)
-    rows = cut(rows.select("band", "node", "n_shingles", "comp").join(mixed.where("n > 2").select("band", "main"), "band")
-               .withColumn("other", (F.col("comp") != F.col("main")).cast("int")))
+    rows = rows.select("band", "node", "n_shingles", "comp").join(mixed.where("n > 2").select("band", "main"), "band")
+    rows = cut(few(rows.withColumn("other", (F.col("comp") != F.col("main")).cast("int")), entries))
     size = F.sum(F.when(F.col("other") == 1, F.col("n_shingles"))), F.sum(F.when(F.col("other") == 0, F.col("n_shingles")))
     sizes = rows.groupBy("band").agg(*[F.ceil(F.coalesce(s, F.lit(0)) / BLOCK_SHINGLES).cast("int").alias(c)
                                        for s, c in zip(size, ("many_u", "many_v"), strict=True)])
@@ -368,27 +384,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bands, rows = banding(percent)
     keyed = docs.select(row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("tx"), F.col("text"))
     sets = cut(sets_of(keyed, words, bands, rows))
-    groups = cut(sets.where("digest is not null").groupBy("digest").agg(
+    many = sets.count()
+    groups = cut(few(sets.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct("key", "tx")).alias("of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-        F.first("bands").alias("bands")))
+        F.first("bands").alias("bands")), many, TASK_NODES))
     # ids with several sets: their sets are nodes by a hash, and linked with one another
-    several = cut(sets.where("digest is not null").groupBy("key").agg(
-        F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select(F.col("key").alias("s")))
+    several = cut(few(sets.where("digest is not null").groupBy("key").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select(F.col("key").alias("s")), many))
     by_hash = F.xxhash64("digest").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    nodes = cut(groups.join(several, F.col("of.key") == F.col("s"), "left").select(
+    nodes = cut(few(groups.join(several, F.col("of.key") == F.col("s"), "left").select(
         "digest", F.when(F.col("s").isNull(), F.col("of.key")).otherwise(by_hash).alias("node"), F.col("of.key").alias("key"),
-        F.col("of.tx").alias("tx"), "copies", "n_shingles", "bands"))
+        F.col("of.tx").alias("tx"), "copies", "n_shingles", "bands"), many, TASK_NODES))
     links = find_links(nodes, keyed, words, percent)
     if not several.isEmpty():
         mine = sets.select("key", "digest").join(several, F.col("key") == F.col("s"), "left_semi").distinct().join(
             nodes.select("digest", "node"), "digest").select("key", "node")
         first = mine.groupBy("key").agg(F.min("node").alias("a"))
         links = cut(links.unionByName(mine.join(first, "key").where("a <> node").select("a", F.col("node").alias("b"))))
-    named = _with_comp(nodes.select("digest", "node", "key"), components(links))
+    named = few(_with_comp(nodes.select("digest", "node", "key"), components(links)), many)
     # a component's id is the least key of its rows
-    least = named.groupBy("comp").agg(F.min("key").alias("id"))
-    named = named.join(least, "comp").select("digest", F.col("id").alias("comp"))
-    out = sets.select("key", "n_shingles", "digest").join(named, "digest", "left")
+    least = few(named.groupBy("comp").agg(F.min("key").alias("id")), many)
+    named = few(named.join(least, "comp").select("digest", F.col("id").alias("comp")), many)
+    out = few(sets.select("key", "n_shingles", "digest").join(named, "digest", "left"), many)
     comp = F.coalesce("comp", "key")
     return out.select(F.when(F.col("key") < NO_ID, F.col("key")).alias("doc_id"), "n_shingles",
                       F.when(comp < NO_ID, comp).alias("component_id"), (comp == F.col("key")).alias("kept"), "key")
