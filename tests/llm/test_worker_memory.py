@@ -27,3 +27,24 @@ def test_idle_workers_return_arrow_memory(spark):
     row = map_arrow(spark.range(0, 1, 1, 1), {"id": "long"}, add, make).collect()[0]
     time.sleep(1)
     assert resident(row.pid) - row.before < 30
+
+
+def test_idle_workers_return_small_objects_memory(spark):
+    """Freed memory below one object that stays is not returned by itself."""
+    def resident(pid):
+        with open(f"/proc/{pid}/statm") as f:
+            return int(f.read().split()[1]) * 4096 / (1 << 20)
+
+    def make():
+        def work(x):
+            before = resident(os.getpid())
+            held = [bytes([i % 255 + 1]) * 2000 for i in range(80_000)]  # 150 MB
+            assert resident(os.getpid()) - before > 100
+            os.__dict__["stays"] = held.pop()
+            return [pa.array([os.getpid()] * len(x), pa.int64()), pa.array([before] * len(x), pa.float64())]
+        return work
+
+    add = T.StructType([T.StructField("pid", T.LongType()), T.StructField("before", T.DoubleType())])
+    row = map_arrow(spark.range(0, 1, 1, 1), {"id": "long"}, add, make).collect()[0]
+    time.sleep(1)
+    assert resident(row.pid) - row.before < 30

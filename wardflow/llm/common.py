@@ -7,6 +7,7 @@ frame below the session's ``spark.checkpoint.dir`` and reads it back.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -95,12 +96,20 @@ def replacing(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def give_back() -> None:
+    """Memory that Arrow's pool and the C library keep after use goes back to the system (the latter with glibc only)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def releasing(run: Callable[[Iterator], Iterator], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``run``'s batches; then what Arrow's pool keeps goes back to the system: the Python worker stays for later stages."""
+    """``run``'s batches; then its memory is given back: the Python worker stays for later stages."""
     try:
         yield from run(batches)
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def map_arrow(df: DataFrame, read: dict[str, str], add: T.StructType,

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import crc_bucket, cut, map_arrow, prepare
+from wardflow.llm.common import crc_bucket, cut, give_back, map_arrow, prepare
 from wardflow.llm.context_model import Automaton, context_counts, count_grams, crossed_counts, escape_rows
 
 UNKNOWN = "und"
@@ -98,7 +98,7 @@ def fit_crossed(train: DataFrame, order: int = ORDER) -> tuple[Automaton, list[A
     # the driver holds one set of counts at a time
     whole, *others = [Automaton(x, order, escape_rows)
                       for x in crossed_counts(count_grams(rows, "lang", "text", order, "part"), order)]
-    pa.default_memory_pool().release_unused()
+    give_back()
     return whole, others
 
 

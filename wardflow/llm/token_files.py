@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import cut, prepare
+from wardflow.llm.common import cut, give_back, prepare
 
 END_ID = 2
 SHARD_TEXT = 32 << 20
@@ -403,6 +403,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         encoder.forget()
         for frame in writer.finish():
             yield batch([frame])
+        give_back()
 
     (rows.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path))
